@@ -1,6 +1,6 @@
 """All bound queries."""
 
-from locusforge.plans import bound_functions, bound_manifests  # noqa: F401
+from locusforge.plans import bound_functions, bound_genetics, bound_manifests  # noqa: F401
 from locusforge.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
