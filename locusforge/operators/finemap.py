@@ -245,7 +245,11 @@ def finemap_loci(
         rows.join(small, "locus", "left_semi")
         .select("locus", "variant", "z")
         .groupBy("locus")
-        .cogroup(pairs.join(small, "locus", "left_semi").groupBy("locus"))
+        .cogroup(
+            pairs.join(small, "locus", "left_semi")
+            .select(F.col("locus").alias("pair_locus"), "variant_a", "variant_b", "r")
+            .groupBy("pair_locus")
+        )
         .applyInPandas(_solve(settings), RESULT)
     )
     large = sizes.where(F.col("n") > task_variants).select("locus")

@@ -437,7 +437,7 @@ _ERFC = """(CASE WHEN x >= 0 THEN e ELSE 2 - e END)"""
 def pics(t):
     rows = loci.ld_join(study_leads(t), ld_pairs(t), variant="lead", min_r2=0.5)
     tags = rows.groupBy("study", "lead", "tag").agg(
-        F.max("r2").alias("r2"), (F.first("strength") / 10000).alias("m")
+        F.max("r2").alias("r2"), (F.max("strength") / 10000).alias("m")
     )
     return posteriors.pics(tags, ["study", "lead"], lead_strength="m", r2="r2").select(
         "study", "lead", "tag", F.round("pip", 5).alias("pip")
