@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusforge.operators.annotate import id_mapping
-from locusforge.operators.scale import first_by, nest_rows, null_safe_join, row_numbers
+from locusforge.operators.scale import first_by, nest_rows, null_safe_join, top_rows
 from locusforge.operators.variants import union_sources
 
 
@@ -35,18 +35,20 @@ def harmonic_association(
 
     Scores are ranked per (pair, source) and the best ``cap`` weigh
     ``score / rank^2`` (Koscielny et al. 2017), scaled by the largest sum that
-    many ranks can give. The ranks come from range slices, so a pair with very
-    many rows is spread out. A pair has few sources, so the second ranking is a
-    window.
+    many ranks can give. Each task keeps the best ``cap`` of its rows before the
+    shuffle and all rows are counted by a plain aggregate, so a pair with very
+    many rows is no burden. A pair has few sources, so the second ranking is a
+    window over those.
     """
     top = sum(1.0 / (i * i) for i in range(1, cap + 1))
     keys = list(keys)
     order = [F.col(score).desc(), *[F.col(t) for t in tie]]
-    ranked = row_numbers(evidence.select(*keys, source, score, *tie), [*keys, source], order, "__rank")
-    weight = F.when(F.col("__rank") <= cap, F.col(score) / (F.col("__rank") * F.col("__rank")))
-    per_source = ranked.groupBy(*keys, source).agg(
-        (F.sum(weight) / F.lit(top)).alias("source_score"), F.count(F.lit(1)).alias("n_evidence")
+    best = top_rows(evidence.select(*keys, source, score, *tie), [*keys, source], order, cap, "__rank")
+    scores = best.groupBy(*keys, source).agg(
+        (F.sum(F.col(score) / (F.col("__rank") * F.col("__rank"))) / F.lit(top)).alias("source_score")
     )
+    counts = evidence.groupBy(*keys, source).agg(F.count(F.lit(1)).alias("n_evidence"))
+    per_source = null_safe_join(scores, counts, [*keys, source])
     w = Window.partitionBy(*keys).orderBy(F.col("source_score").desc(), F.col(source))
     place = F.row_number().over(w)
     return (

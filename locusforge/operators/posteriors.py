@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusforge.functions.stats import normal_two_sided
@@ -17,6 +17,9 @@ PRIOR_2 = 1e-4
 PRIOR_12 = 1e-5
 CREDIBLE_MASS = 0.99
 
+# Beyond the smallest power of two a double can hold.
+SMALLEST_POWER = 1100
+
 # Rows of one variant that a single overlap task meets on its right side.
 OVERLAP_BLOCK = 2_000
 
@@ -36,11 +39,28 @@ def single_effect_posterior(
 def credible_set(
     df: DataFrame, locus: Sequence[str], *, pip: str, tie: str, mass: float = CREDIBLE_MASS
 ) -> DataFrame:
-    """Most probable rows of a locus until ``mass`` is reached, the crossing row included."""
+    """Most probable rows of a locus until ``mass`` is reached, the crossing row included.
+
+    Rows are first totalled by powers of two of their probability. Once the
+    total of the more probable powers reaches the mass, the powers behind cannot
+    contribute; their rows, nearly all of a locus, are dropped before the sort.
+    """
+    value = F.coalesce(F.col(pip), F.lit(0.0))
+    power = F.when(value > 0, F.floor(-F.log2(value))).otherwise(F.lit(SMALLEST_POWER)).cast("int")
+    rows = df.withColumn("__power", power)
+    earlier = Window.partitionBy(*locus).orderBy("__power").rowsBetween(Window.unboundedPreceding, -1)
+    reach = (
+        rows.groupBy(*locus, "__power")
+        .agg(F.sum(value).alias("__sum"))
+        .withColumn("__before", F.coalesce(F.sum("__sum").over(earlier), F.lit(0.0)))
+        .where(F.col("__before") < F.lit(float(mass) + 1e-8))
+        .groupBy(*locus)
+        .agg(F.max("__power").alias("__last"))
+    )
+    near = null_safe_join(rows, reach, locus).where(F.col("__power") <= F.col("__last")).drop("__power", "__last")
     order = [F.col(pip).desc_nulls_last(), F.col(tie).asc()]
-    summed = running_total(df, locus, order, F.coalesce(F.col(pip), F.lit(0.0)), "__cum")
-    before = F.round(F.col("__cum") - F.coalesce(F.col(pip), F.lit(0.0)), 9)
-    return summed.where(before < F.lit(float(mass))).withColumn("cumulative", F.col("__cum")).drop("__cum")
+    summed = running_total(near, locus, order, value, "cumulative")
+    return summed.where(F.round(F.col("cumulative") - value, 9) < F.lit(float(mass)))
 
 
 def credible_set_overlaps(

@@ -12,6 +12,9 @@ from locusforge.session import cut_lineage
 
 EXPONENT_STEP = 256
 
+# Largest rank filter that Spark pushes below the shuffle by default.
+GROUP_LIMIT = 1000
+
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join on equal keys where null equals null; the left key columns are kept."""
@@ -133,14 +136,24 @@ def nest_rows(
     return placed.groupBy(*keys, "part").agg(F.array_sort(F.collect_list("__item")).alias(out))
 
 
+def top_rows(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], limit: int, rank: str = "rank"
+) -> DataFrame:
+    """The first ``limit`` rows per key with their 1-based rank.
+
+    A rank filter of up to ``GROUP_LIMIT`` is applied by Spark in each task
+    before the shuffle, so a huge group sends only ``limit`` rows per task. A
+    larger limit ranks over range slices instead.
+    """
+    if limit > GROUP_LIMIT:
+        return row_numbers(df, keys, order, rank).where(F.col(rank) <= limit)
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= limit)
+
+
 def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """The first row per key in the given order, by aggregation instead of a window.
+    """The first row per key in the given order.
 
     The order columns must make ties impossible or irrelevant.
     """
-    keys = list(keys)
-    rest = [c for c in df.columns if c not in keys]
-    picked = df.groupBy(*keys).agg(
-        F.min_by(F.struct(*rest), F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])).alias("__row")
-    )
-    return picked.select(*keys, *[F.col("__row")[c].alias(c) for c in rest]).select(*df.columns)
+    return top_rows(df, keys, order, 1, "__rank").drop("__rank")

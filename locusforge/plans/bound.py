@@ -6,6 +6,7 @@ from locusforge.plans import (
     bound_genetics,
     bound_manifests,
     bound_sources,
+    bound_steps,
 )  # noqa: F401
 from locusforge.plans.registry import ORACLE, QUERIES
 

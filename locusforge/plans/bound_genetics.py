@@ -285,7 +285,7 @@ def window_clump_in_rounds(t):
     return window_leads(t, fold_positions=0)
 
 
-@query(
+QUERY_SPLIT_LARGE = (
     _BREAKER.replace("WITH s", "WITH RECURSIVE s")
     + f""",
     wide AS (SELECT l.study || ':' || l.block AS wkey, s.* FROM loci l JOIN ({_SIGNALS}) s
@@ -304,6 +304,9 @@ def window_clump_in_rounds(t):
     SELECT study, lead.pos - 15000, lead.pos + 15000, lead.id, lead.pos, lead.v FROM picked
     """
 )
+
+
+@query(QUERY_SPLIT_LARGE)
 def split_large_loci(t):
     return loci.split_large_loci(
         broken_loci(t), signals(t), ["study"], position="pos", strength="value", tie="event_id", threshold=100,
@@ -484,29 +487,39 @@ def single_effect_posterior(t):
     """
 )
 def credible_set(t):
+    return credible_members(t).select("locus", "variant", F.round("pip", 8).alias("pip"))
+
+
+def credible_members(t):
     rows = pip_rows(t).withColumn("pip", F.round("pip", 10))
-    return posteriors.credible_set(rows, ["locus"], pip="pip", tie="variant").select(
-        "locus", "variant", F.round("pip", 8).alias("pip")
-    )
+    return posteriors.credible_set(rows, ["locus"], pip="pip", tie="variant")
 
 
-def overlaps(t):
-    return posteriors.credible_set_overlaps(pip_rows(t), locus="locus", variant="variant", carry=["pip", "log_bf"])
+def overlaps(t, **options):
+    """Colocalisation works on credible sets, not on all rows of the loci."""
+    return posteriors.credible_set_overlaps(
+        credible_members(t), locus="locus", variant="variant", carry=["pip", "log_bf"], **options
+    )
 
 
+_MEMBERS = f"""
+    SELECT locus, variant, pip, log_bf FROM (
+      SELECT *, sum(pip) OVER (PARTITION BY locus ORDER BY pip DESC, variant ROWS UNBOUNDED PRECEDING) AS cum
+      FROM (SELECT locus, variant, log_bf, round(pip, 10) AS pip FROM ({_PIP})))
+    WHERE round(cum - pip, 9) < 0.99"""
 _OVERLAPS = f"""
     SELECT a.locus AS left_locus, b.locus AS right_locus, a.variant, a.pip AS left_pip, b.pip AS right_pip,
            a.log_bf AS l1, b.log_bf AS l2
-    FROM ({_PIP}) a JOIN ({_PIP}) b ON a.variant = b.variant AND a.locus < b.locus"""
+    FROM ({_MEMBERS}) a JOIN ({_MEMBERS}) b ON a.variant = b.variant AND a.locus < b.locus"""
 
 
 @query(
-    f"SELECT left_locus, right_locus, count(*) AS n, sum(variant)::BIGINT AS variants FROM ({_OVERLAPS}) GROUP BY ALL"
+    f"SELECT left_locus, right_locus, variant, round(left_pip, 8) AS left_pip, round(right_pip, 8) AS right_pip FROM ({_OVERLAPS})"
 )
 def credible_set_overlaps(t):
-    rows = posteriors.credible_set_overlaps(credible_rows(t), locus="locus", variant="variant", block=20)
-    return rows.groupBy("left_locus", "right_locus").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("variant").alias("variants")
+    return overlaps(t, block=3).select(
+        "left_locus", "right_locus", "variant", F.round("left_pip", 8).alias("left_pip"),
+        F.round("right_pip", 8).alias("right_pip"),
     )
 
 

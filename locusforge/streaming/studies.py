@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -13,15 +14,14 @@ from locusforge.functions.text import exit_status
 from locusforge.operators.manifests import new_studies
 
 
-def _files(spark: SparkSession, path: str):
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
-
-
 def _existing(spark: SparkSession, path: str) -> DataFrame | None:
     """Earlier output of a stream, or none on the first batch."""
-    fs, target = _files(spark, path)
-    return spark.read.parquet(path) if fs.exists(target) else None
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as problem:
+        if problem.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
 def new_file_stream(
@@ -53,9 +53,9 @@ def _one_row_per_key(
 ) -> StreamingQuery:
     """Keep one row per key over all batches, chosen by time.
 
-    A batch is reduced to one row per key, merged into the table of the batch
-    before, and written as the next version beside it. A batch that is run again
-    finds its predecessor in place; older versions are removed.
+    A batch is reduced to one row per key and merged with the table of the
+    batch before. Two folders take turns: a batch reads the one and overwrites
+    the other, so a batch that is run again finds its predecessor in place.
     """
     columns = [c for c in changes.columns if c != key]
 
@@ -64,15 +64,13 @@ def _one_row_per_key(
         return df.groupBy(key).agg(row.alias("__r")).select(key, "__r.*")
 
     def process(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
         rows = reduce_rows(batch)
-        earlier = _existing(spark, os.path.join(target, f"version={number - 1}"))
+        earlier = _existing(batch.sparkSession, os.path.join(target, f"turn={(number + 1) % 2}"))
         if earlier is not None:
-            rows = reduce_rows(rows.unionByName(earlier))
-        rows.write.mode("overwrite").parquet(os.path.join(target, f"version={number}"))
-        fs, old = _files(spark, os.path.join(target, f"version={number - 2}"))
-        if fs.exists(old):
-            fs.delete(old, True)
+            rows = reduce_rows(rows.unionByName(earlier.drop("version")))
+        rows.withColumn("version", F.lit(number)).write.mode("overwrite").parquet(
+            os.path.join(target, f"turn={number % 2}")
+        )
 
     return (
         changes.writeStream.foreachBatch(process)
@@ -110,4 +108,4 @@ def newest_state(spark: SparkSession, target: str) -> DataFrame:
     """The table after the last batch."""
     versions = spark.read.parquet(target)
     last = versions.agg(F.max("version")).scalar()
-    return versions.where(F.col("version") == last).drop("version")
+    return versions.where(F.col("version") == last).drop("version", "turn")
