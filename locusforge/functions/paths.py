@@ -11,7 +11,7 @@ PARTITION = r"\w*=\w*"
 STUDY_ID = r"/(GCST\d+)/"
 
 # Accepts dots in the root and any character in the path.
-OPEN_URI = r"^((?<protocol>[^/]*)://)?(?<root>[^/]+)/(?<path>.+)$"
+OPEN_URI = r"^((?<protocol>[^/:]*)://)?(?<root>[^/:]+)/(?<path>.+)$"
 
 
 def _or_error(value: Column, ok: Column, message: str, source: Column, on_error: str) -> Column:

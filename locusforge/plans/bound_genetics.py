@@ -8,6 +8,7 @@ from locusforge.functions.stats import log_abf
 from locusforge.operators import annotate, graph, intervals, loci, posteriors, variants
 from locusforge.operators.scale import nest_rows
 from locusforge.plans.registry import epoch, joined, query
+from locusforge.session import cut_lineage
 
 DAY = 86_400
 
@@ -497,8 +498,9 @@ def credible_members(t):
 
 def overlaps(t, **options):
     """Colocalisation works on credible sets, not on all rows of the loci."""
+    members = cut_lineage(credible_members(t).select("locus", "variant", "pip", "log_bf"))
     return posteriors.credible_set_overlaps(
-        credible_members(t), locus="locus", variant="variant", carry=["pip", "log_bf"], **options
+        members, locus="locus", variant="variant", carry=["pip", "log_bf"], **options
     )
 
 

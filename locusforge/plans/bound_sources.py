@@ -151,6 +151,22 @@ def bulk_decompress(t):
     return lines.select("line")
 
 
+@query("SELECT c_mktsegment AS segment, count(*) AS n, max(c_name) AS last FROM customer GROUP BY 1")
+def write_decompressed(t):
+    path = scratch_path(t.spark, "unpacked")
+    t.customer.select("c_name", "c_mktsegment").write.partitionBy("c_mktsegment").option("compression", "gzip").text(
+        path + "/in"
+    )
+    frames = []
+    for segment in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"):
+        sinks.write_decompressed(
+            t.spark, f"{path}/in/c_mktsegment={segment}", "*.gz", f"{path}/out/{segment}", f"{path}/failed/{segment}"
+        )
+        frames.append(t.spark.read.text(f"{path}/out/{segment}").withColumn("segment", F.lit(segment)))
+    rows = variants.union_sources(frames)
+    return rows.groupBy("segment").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("last"))
+
+
 @query("SELECT event_id, event_type, (props::JSON->>'k')::BIGINT AS k FROM events")
 def read_jsonl_source(t):
     path = scratch_path(t.spark, "jsonl")

@@ -37,18 +37,21 @@ def read_manifests(
     spark: SparkSession, path: str, schema: T.StructType = MANIFEST_SCHEMA, glob: str = "*.json"
 ) -> tuple[DataFrame, DataFrame]:
     """Manifests, one per file, and the files that could not be parsed."""
-    rows = (
-        spark.read.schema(T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())]))
-        .option("multiLine", "true")
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
+    full = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    documents = (
+        spark.read.option("wholetext", "true")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", glob)
-        .json(path)
-        .withColumn("source_file", F.col("_metadata.file_path"))
+        .text(path)
+        .select(F.col("_metadata.file_path").alias("source_file"), "value")
+    )
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    rows = documents.withColumn("doc", F.from_json("value", full, options))
+    bad = F.col("doc").isNull() | F.col(f"doc.{CORRUPT}").isNotNull()
+    return (
+        rows.where(~bad).select(*[F.col(f"doc.{name}").alias(name) for name in schema.fieldNames()]),
+        rows.where(bad).select("source_file", F.col("value").alias(CORRUPT)),
     )
-    bad = F.col(CORRUPT).isNotNull()
-    return rows.where(~bad).drop(CORRUPT, "source_file"), rows.where(bad).select("source_file", CORRUPT)
 
 
 def read_variant_tsv(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
@@ -209,23 +212,33 @@ def _pieces(name: str, content: bytes) -> Iterator[bytes]:
         raise ValueError("unknown compression")
 
 
+def _texts(name: str, content: bytes) -> Iterator[str]:
+    """Decompressed text in pieces that end at a line end."""
+    tail = b""
+    for data in _pieces(name, content):
+        data = tail + data
+        cut = data.rfind(b"\n") + 1
+        if cut:
+            yield data[:cut].decode("utf-8")
+        tail = data[cut:]
+    if tail:
+        yield tail.decode("utf-8")
+
+
 def _decompress(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     columns = ["path", "piece", "text", "error"]
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"]):
-            tail, number = b"", 0
+            content = bytes(content)
             try:
-                for data in _pieces(path, bytes(content)):
-                    data = tail + data
-                    cut = data.rfind(b"\n") + 1
-                    if cut:
-                        yield pd.DataFrame([(path, number, data[:cut].decode("utf-8"), None)], columns=columns)
-                        number += 1
-                    tail = data[cut:]
-                if tail:
-                    yield pd.DataFrame([(path, number, tail.decode("utf-8"), None)], columns=columns)
+                # read to the end first: a broken file must not leave lines behind
+                for _ in _texts(path, content):
+                    pass
             except Exception as problem:
-                yield pd.DataFrame([(path, number, None, str(problem))], columns=columns)
+                yield pd.DataFrame([(path, 0, None, str(problem))], columns=columns)
+                continue
+            for number, text in enumerate(_texts(path, content)):
+                yield pd.DataFrame([(path, number, text, None)], columns=columns)
 
 
 def bulk_decompress(spark: SparkSession, prefix: str, glob: str = "*") -> tuple[DataFrame, DataFrame]:
@@ -243,10 +256,8 @@ def bulk_decompress(spark: SparkSession, prefix: str, glob: str = "*") -> tuple[
         .mapInPandas(_decompress, "path string, piece bigint, text string, error string")
     )
     failures = rows.where(F.col("error").isNotNull()).select("path", "error")
-    lines = (
-        rows.where(F.col("error").isNull())
-        .join(failures.select("path"), "path", "left_anti")
-        .select("path", "piece", F.posexplode(F.split(F.regexp_replace("text", "\n$", ""), "\n")).alias("pos", "line"))
+    lines = rows.where(F.col("error").isNull()).select(
+        "path", "piece", F.posexplode(F.split(F.regexp_replace("text", "\n$", ""), "\n")).alias("pos", "line")
     )
     return lines, failures
 

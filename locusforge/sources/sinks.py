@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from locusforge.functions.paths import base_name
 from locusforge.operators.manifests import duplicate_targets
 from locusforge.operators.variants import chunk_descriptors, row_range_chunks
+from locusforge.sources.readers import bulk_decompress
 
 # Write modes of a release.
 MODES = ("overwrite", "ignore", "errorifexists")
@@ -85,3 +87,19 @@ def write_by_chromosome(df: DataFrame, path: str, chromosome: str, position: str
         .partitionBy(chromosome)
         .parquet(path)
     )
+
+
+def write_decompressed(spark: SparkSession, prefix: str, glob: str, out: str, failures: str) -> None:
+    """Decompress every matching file to a folder of its name; broken files go to a failure list."""
+    lines, broken = bulk_decompress(spark, prefix, glob)
+    order = ["file", "piece", "pos"]
+    (
+        lines.withColumn("file", F.regexp_replace(base_name(F.col("path")), r"\.(gz|bgz|bz2|zip)$", ""))
+        .repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .select("file", F.col("line").alias("value"))
+        .write.mode("overwrite")
+        .partitionBy("file")
+        .text(out)
+    )
+    broken.write.mode("overwrite").json(failures)
