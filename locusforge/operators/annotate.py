@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from locusforge.operators.loci import expand_ld
 from locusforge.operators.scale import first_by, nest_rows
 
 # Population codes of the LD index.
@@ -53,18 +54,14 @@ def harmonise_sumstats(
     swapped match changes the sign of the effect and the alleles. Palindromic
     pairs are flagged. Statistics without a known variant are dropped.
     """
-    offered = variants.select(*position, F.col(ref).alias("__ref"), F.col(alt).alias("__alt"), variant_id)
-    direct = offered.withColumn("flipped", F.lit(False))
-    swapped = offered.where(F.col("__ref") != F.col("__alt")).select(
-        *position,
-        F.col("__alt").alias("__ref"),
-        F.col("__ref").alias("__alt"),
-        variant_id,
-        F.lit(True).alias("flipped"),
+    direct = F.struct(F.col(ref).alias("__ref"), F.col(alt).alias("__alt"), F.lit(False).alias("flipped"))
+    swapped = F.struct(F.col(alt).alias("__ref"), F.col(ref).alias("__alt"), F.lit(True).alias("flipped"))
+    ways = F.array_compact(F.array(direct, F.when(F.col(ref) != F.col(alt), swapped)))
+    offered = variants.select(*position, variant_id, F.explode(ways).alias("__way")).select(
+        *position, variant_id, "__way.*"
     )
-    keys = [*position, "__ref", "__alt"]
     # one offer per position and allele order, the direct one first
-    offers = first_by(direct.unionByName(swapped), keys, [F.col("flipped"), F.col(variant_id)])
+    offers = first_by(offered, [*position, "__ref", "__alt"], [F.col("flipped"), F.col(variant_id)])
     renamed = offers.select(*[F.col(p).alias(f"__p_{p}") for p in position], "__ref", "__alt", variant_id, "flipped")
     condition = (F.col(ref) == F.col("__ref")) & (F.col(alt) == F.col("__alt"))
     for p in position:
@@ -142,12 +139,10 @@ def ld_index_build(
         entries.where((F.col(r) * F.col(r) >= min_r2) & (F.col(row) != F.col(column)))
         .join(a, row)
         .join(b, column)
-        .select(F.col("__a"), F.col("__b"), F.col(r).alias("__rr"), F.col(population).alias("population"))
+        .select("__a", "__b", F.col(r).alias("r"), F.col(population).alias("population"))
     )
-    both = pairs.select(F.col("__a").alias("variant"), F.col("__b").alias("tag"), "__rr", "population").unionByName(
-        pairs.select(F.col("__b").alias("variant"), F.col("__a").alias("tag"), "__rr", "population")
-    )
-    return nest_rows(both, ["variant", "population"], F.struct("tag", F.col("__rr").alias("r")), "ldSet")
+    both = expand_ld(pairs, "__a", "__b", "r", "population")
+    return nest_rows(both, ["variant", "population"], F.struct("tag", "r"), "ldSet")
 
 
 def id_mapping(df: DataFrame, mapping: DataFrame, on: str, old: str, new: Column, out: str) -> DataFrame:

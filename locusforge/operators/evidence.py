@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from locusforge.operators.annotate import id_mapping
 from locusforge.operators.scale import first_by, nest_rows, null_safe_join, top_rows
 from locusforge.operators.variants import union_sources
+from locusforge.session import cut_lineage
 
 
 def evidence_union(
@@ -63,17 +64,25 @@ def harmonic_association(
 
 
 def propagate(evidence: DataFrame, closure: DataFrame, disease: str) -> DataFrame:
-    """Evidence also under every ancestor of its disease."""
-    up = closure.select(F.col("node").alias("__node"), F.col("ancestor").alias("__anc"))
-    lifted = evidence.join(up, F.col(disease) == F.col("__node")).withColumn(disease, F.col("__anc"))
-    return evidence.unionByName(lifted.drop("__node", "__anc"))
+    """Evidence also under every ancestor of its disease.
+
+    The ancestors of a term, bounded by its ontology, are gathered first, so the
+    evidence is read and joined once and no row is lost.
+    """
+    up = closure.groupBy(F.col("node").alias("__node")).agg(F.collect_set("ancestor").alias("__up"))
+    own = F.array(F.col(disease))
+    places = F.when(F.col("__up").isNull(), own).otherwise(F.array_union(own, F.col("__up")))
+    columns = [F.explode(places).alias(c) if c == disease else F.col(c) for c in evidence.columns]
+    return evidence.join(up, F.col(disease) == F.col("__node"), "left").select(*columns)
 
 
 def expression_summary(
     df: DataFrame, gene: str, tissue: str, value: str, bins: int = 10, low: float = -3.0, high: float = 3.0
 ) -> DataFrame:
     """Mean per (gene, tissue) with its z-score inside the tissue and the bin of that."""
-    means = df.groupBy(gene, tissue).agg(F.avg(value).alias("mean_value"), F.count(F.lit(1)).alias("n"))
+    means = cut_lineage(
+        df.groupBy(gene, tissue).agg(F.avg(value).alias("mean_value"), F.count(F.lit(1)).alias("n"))
+    )
     spread = means.groupBy(tissue).agg(F.avg("mean_value").alias("__avg"), F.stddev_samp("mean_value").alias("__sd"))
     z = (F.col("mean_value") - F.col("__avg")) / F.col("__sd")
     return (
@@ -108,10 +117,12 @@ def adverse_event_llr(reports: DataFrame, report: str, drug: str, event: str) ->
 
     Reports are reduced to distinct (report, drug, event) before counting, and
     the marginals are aggregates joined back instead of windows, as one event
-    may hold most of the reports.
+    may hold most of the reports. The counted cells feed four consumers and are
+    materialised, so the reports are read once.
     """
-    cells = (
-        reports.select(report, drug, event).distinct().groupBy(drug, event).agg(F.count(F.lit(1)).alias("n_ij"))
+    known = reports.where(F.col(drug).isNotNull() & F.col(event).isNotNull())
+    cells = cut_lineage(
+        known.select(report, drug, event).distinct().groupBy(drug, event).agg(F.count(F.lit(1)).alias("n_ij"))
     )
     by_event = cells.groupBy(event).agg(F.sum("n_ij").alias("n_i"))
     by_drug = cells.groupBy(drug).agg(F.sum("n_ij").alias("n_j"))

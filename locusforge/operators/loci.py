@@ -266,13 +266,14 @@ def split_large_loci(
 
 
 def expand_ld(ld: DataFrame, a: str, b: str, r: str, population: str | None = None) -> DataFrame:
-    """Both directions of pairs that are stored once."""
+    """Both directions of pairs that are stored once, from a single read."""
     extra = [population] if population else []
-    forward = ld.select(F.col(a).alias("variant"), F.col(b).alias("tag"), F.col(r).alias("r"), *extra)
-    backward = ld.where(F.col(a) != F.col(b)).select(
-        F.col(b).alias("variant"), F.col(a).alias("tag"), F.col(r).alias("r"), *extra
+    forward = F.struct(F.col(a).alias("variant"), F.col(b).alias("tag"))
+    backward = F.struct(F.col(b).alias("variant"), F.col(a).alias("tag"))
+    ways = F.array_compact(F.array(forward, F.when(F.col(a) != F.col(b), backward)))
+    return ld.select(F.explode(ways).alias("__way"), F.col(r).alias("r"), *extra).select(
+        "__way.variant", "__way.tag", "r", *extra
     )
-    return forward.unionByName(backward)
 
 
 def ld_join(loci: DataFrame, ld: DataFrame, *, variant: str, population: str | None = None, min_r2: float = 0.0) -> DataFrame:

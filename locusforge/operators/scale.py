@@ -12,6 +12,9 @@ from locusforge.session import cut_lineage
 
 EXPONENT_STEP = 256
 
+# Spark's partition-wise id holds the row number in its lower bits.
+ID_ROW_BITS = 33
+
 # Largest rank filter that Spark pushes below the shuffle by default.
 GROUP_LIMIT = 1000
 
@@ -60,8 +63,31 @@ def running_total(
 
 
 def row_numbers(df: DataFrame, group: Sequence[str], order: Sequence[Column], out: str) -> DataFrame:
-    """1-based position of each row in its group, without one task per group."""
-    return running_total(df, group, order, F.lit(1).cast("bigint"), out)
+    """1-based position of each row in its group, without one task per group.
+
+    Over the whole frame the position inside a sorted slice is the low part of
+    Spark's partition-wise id, so one range sort is the only shuffle. The slice
+    offsets are one row per partition and are broadcast.
+    """
+    if group:
+        return running_total(df, group, order, F.lit(1).cast("bigint"), out)
+    ident = F.col("__id")
+    sliced = cut_lineage(
+        df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
+    )
+    before = Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        sliced.groupBy(F.shiftright(ident, ID_ROW_BITS).alias("__slice"))
+        .agg(F.count(F.lit(1)).alias("__total"))
+        .select("__slice", F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__before"))
+    )
+    inside = ident.bitwiseAND(F.lit((1 << ID_ROW_BITS) - 1))
+    return (
+        sliced.withColumn("__slice", F.shiftright(ident, ID_ROW_BITS))
+        .join(F.broadcast(offsets), "__slice")
+        .withColumn(out, F.col("__before") + inside + 1)
+        .drop("__id", "__slice", "__before")
+    )
 
 
 def log_sum_exp(df: DataFrame, group: Sequence[str], **measures: Column) -> DataFrame:
