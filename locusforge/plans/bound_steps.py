@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from locusforge.operators import graph
+from locusforge.plans import bound_evidence as e
 from locusforge.plans import bound_genetics as g
 from locusforge.plans import steps
 from locusforge.plans.registry import joined, query
@@ -149,3 +151,134 @@ def credible_set_validation(t):
     )
     rows = good.withColumn("valid", F.lit(True)).unionByName(bad.withColumn("valid", F.lit(False)))
     return rows.select("l_orderkey", "l_linenumber", "valid", joined("qualityControls").alias("reasons"))
+
+
+@query(
+    f"""
+    WITH v AS (SELECT p_partkey AS idx, concat_ws('_', p_partkey * 10 + c.shift, 'A', 'G') AS id FROM part
+               JOIN (SELECT s_suppkey * 100 AS s, s_suppkey * 100 + 79 AS e, s_nationkey * 1000000 AS shift FROM supplier) c
+               ON p_partkey * 10 BETWEEN c.s AND c.e),
+    p AS (SELECT a.id AS a, b.id AS b, r, population FROM ({g._ENTRIES}) x JOIN v a ON a.idx = x.i JOIN v b ON b.idx = x.j
+          WHERE x.i <> x.j AND r * r >= 0.25),
+    u AS (SELECT a AS variant, b AS tag, r, population FROM p UNION ALL SELECT b, a, r, population FROM p)
+    SELECT variant, population, count(*) AS n, string_agg(tag, ',' ORDER BY tag, r) AS tags FROM u GROUP BY variant, population
+    """
+)
+def ld_index(t):
+    known = t.part.select(
+        "p_partkey", (F.col("p_partkey") * 10).alias("pos"), F.lit("A").alias("ref"), F.lit("G").alias("alt")
+    )
+    chain = t.supplier.select(
+        (F.col("s_suppkey") * 100).alias("s"), (F.col("s_suppkey") * 100 + 79).alias("e"),
+        (F.col("s_nationkey") * 1000000).cast("bigint").alias("shift"),
+    )
+    rows = steps.ld_index(
+        g.ld_entries(t), known, chain, row="i", column="j", r="r", population="population", index="p_partkey", by=[],
+        position="pos", ref="ref", alt="alt", start="s", end="e", offset="shift", width=500, min_r2=0.25,
+    )
+    tags = F.transform("ldSet", lambda x: x["tag"])
+    return rows.select(
+        "variant", "population", F.size("ldSet").cast("bigint").alias("n"), F.array_join(tags, ",").alias("tags")
+    )
+
+
+@query(
+    """
+    SELECT o_orderkey, lines FROM orders LEFT JOIN (
+      SELECT l_orderkey, string_agg(l_linenumber || ':' || l_partkey, ',' ORDER BY l_linenumber, l_partkey) AS lines
+      FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1) ON l_orderkey = o_orderkey
+    WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')
+    """
+)
+def catalog_study_index(t):
+    studies = t.orders.select("o_orderkey", "o_custkey")
+    included = t.orders.join(
+        t.customer.where("c_mktsegment = 'BUILDING'"), F.col("o_custkey") == F.col("c_custkey"), "left_semi"
+    ).select("o_orderkey")
+    lines = t.lineitem.where("l_linestatus = 'O'").withColumnRenamed("l_orderkey", "o_orderkey")
+    rows = steps.catalog_study_index(studies, lines, included, "o_orderkey", F.struct("l_linenumber", "l_partkey"))
+    texts = F.transform("ancestries", lambda x: F.concat_ws(":", x["l_linenumber"], x["l_partkey"]))
+    return rows.select("o_orderkey", F.array_join(texts, ",").alias("lines"))
+
+
+@query(
+    """
+    SELECT l_orderkey, l_linenumber, p_name, concat_ws(',', CASE WHEN p_partkey IS NULL THEN 'NON_MAPPED_VARIANT_FLAG' END,
+           CASE WHEN l_discount < 0.05 THEN 'SUBSIGNIFICANT_FLAG' END) AS reasons
+    FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size < 30) ON p_partkey = l_partkey
+    """
+)
+def catalog_top_hits(t):
+    rows = steps.catalog_top_hits(
+        t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_discount"), t.part.where("p_size < 30"),
+        {"l_partkey": "p_partkey"}, ["p_name"], "l_discount", 0.05,
+    )
+    return rows.select("l_orderkey", "l_linenumber", "p_name", joined("qualityControls").alias("reasons"))
+
+
+@query(
+    """
+    SELECT 'Q' || l_suppkey AS "studyId", 'SuSie' AS "finemappingMethod", l_suppkey, l_orderkey, l_linenumber, lead FROM lineitem
+    JOIN (SELECT s_suppkey, s_acctbal / 1000 AS lead FROM supplier WHERE s_acctbal / 1000 >= 3.0
+          AND s_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2)) ON s_suppkey = l_suppkey
+    """
+)
+def molecular_credible_sets(t):
+    summary = t.supplier.select(
+        F.col("s_suppkey").alias("l_suppkey"), "s_nationkey", (F.col("s_acctbal") / 1000).alias("lead")
+    )
+    return steps.molecular_credible_sets(
+        t.lineitem.select("l_suppkey", "l_orderkey", "l_linenumber"), summary, t.nation.where("n_regionkey = 2"),
+        on=["l_suppkey"], study=F.concat(F.lit("Q"), "l_suppkey"), method="s_nationkey", listed="n_nationkey",
+        lead_strength="lead", threshold=3.0,
+    )
+
+
+_RELEASE = """
+    SELECT *, concat_ws(',', CASE WHEN doc_id NOT IN (SELECT doc_id FROM labels) THEN 'UNRESOLVED_TARGET' END,
+           CASE WHEN source NOT IN ('src0', 'src1', 'src2', 'src3') THEN 'UNRESOLVED_DISEASE' END) AS reasons
+    FROM (SELECT *, row_number() OVER (PARTITION BY lang, text ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1"""
+
+
+@query(
+    f"""
+    SELECT m AS mode, lang AS "datasourceId", reasons = '' AS valid, reasons, count(*) AS n, sum(doc_id)::BIGINT AS ids
+    FROM ({_RELEASE}) JOIN (VALUES ('partner'), ('public')) v(m)
+      ON (m = 'partner' AND lang IN ('en', 'fr', 'es', 'de')) OR (m = 'public' AND lang IN ('en', 'fr'))
+    GROUP BY ALL
+    """
+)
+def evidence_release(t):
+    docs = t.documents.select("doc_id", "lang", "source", "text")
+    by_lang = {lang: docs.where(F.col("lang") == lang) for lang in ("en", "fr", "es", "de")}
+    known = t.documents.where(F.col("source").isin("src0", "src1", "src2", "src3")).select("source")
+    frames = []
+    for mode in ("partner", "public"):
+        pair = steps.evidence_release(
+            {k: by_lang[k] for k in ("en", "fr", "de")}, {"es": by_lang["es"]}, partner=mode == "partner",
+            excluded=["de"], id_columns=["lang", "text"], order=[F.col("doc_id")], targets=t.labels, target="doc_id",
+            diseases=known, disease="source",
+        )
+        for valid, rows in zip((True, False), pair):
+            frames.append(rows.withColumn("mode", F.lit(mode)).withColumn("valid", F.lit(valid)))
+    rows = frames[0]
+    for df in frames[1:]:
+        rows = rows.unionByName(df)
+    return rows.groupBy("mode", "datasourceId", "valid", joined("qualityControls").alias("reasons")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("ids")
+    )
+
+
+@query(
+    f"""
+    SELECT 'direct' AS kind, * FROM ({e._association_sql(e._DIRECT)}) UNION ALL
+    SELECT 'indirect', * FROM ({e._association_sql(e._INDIRECT)})
+    """
+)
+def associations(t):
+    closure = graph.hierarchy_closure(g.world_edges(t), "child", "parent")
+    rows = steps.associations(
+        e.scored(t), closure, target="target", disease="disease", source="source", score="score",
+        tie=["l_orderkey", "l_linenumber"],
+    )
+    return rows.withColumn("score", F.round("score", 6))

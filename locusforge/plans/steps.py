@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from locusforge.functions.paths import partition_key, study_id
-from locusforge.operators import annotate, intervals, loci, manifests, posteriors, validation, variants
+from locusforge.operators import annotate, evidence, intervals, loci, manifests, posteriors, validation, variants
 from locusforge.operators.scale import nest_rows
 
 
@@ -160,3 +160,112 @@ def credible_set_validation(
     }
     flagged = validation.qc_flags(rows, rules).drop("__repeated", "__missing")
     return validation.split_valid(flagged, invalid)
+
+
+def ld_index(
+    entries: DataFrame,
+    variants_index: DataFrame,
+    chain: DataFrame,
+    *,
+    row: str,
+    column: str,
+    r: str,
+    population: str,
+    index: str,
+    by: Sequence[str],
+    position: str,
+    ref: str,
+    alt: str,
+    start: str,
+    end: str,
+    offset: str,
+    width: float,
+    min_r2: float = 0.0,
+) -> DataFrame:
+    """Matrix entries of the listed populations to partner arrays on the new assembly.
+
+    Variants whose position has no counterpart there are left out.
+    """
+    lifted = intervals.lift_coordinates(
+        variants_index, chain, by=by, position=position, start=start, end=end, offset=offset, width=width, out="__new"
+    ).where(F.col("__new").isNotNull())
+    ids = lifted.select(index, F.concat_ws("_", *by, "__new", ref, alt).alias("variantId"))
+    return annotate.ld_index_build(
+        entries, ids, row=row, column=column, r=r, population=population, index=index, variant_id="variantId",
+        min_r2=min_r2,
+    )
+
+
+def catalog_study_index(
+    studies: DataFrame, ancestries: DataFrame, included: DataFrame | None, key: str, item: Column
+) -> DataFrame:
+    """Catalogue studies on the inclusion list with their ancestries collected."""
+    kept = manifests.inclusion_join(studies, included, key, key) if included is not None else studies
+    return annotate.study_ancestry_join(kept, ancestries, key, item)
+
+
+def catalog_top_hits(
+    associations: DataFrame, known: DataFrame, on: dict[str, str], columns: Sequence[str], strength: str, threshold: float
+) -> DataFrame:
+    """Curated associations as loci, with reasons where a variant is unknown or the signal weak."""
+    mapped = annotate.map_to_variants(associations, known, on, columns)
+    rules = {"NON_MAPPED_VARIANT_FLAG": F.col("non_mapped"), "SUBSIGNIFICANT_FLAG": F.col(strength) < threshold}
+    return validation.qc_flags(mapped, rules).drop("non_mapped")
+
+
+def molecular_credible_sets(
+    snps: DataFrame,
+    summary: DataFrame,
+    blacklist: DataFrame,
+    *,
+    on: Sequence[str],
+    study: Column,
+    method: str,
+    listed: str,
+    lead_strength: str,
+    threshold: float,
+) -> DataFrame:
+    """Members of the sets whose lead passes, without blacklisted quantification methods."""
+    kept = loci.blacklist_filter(summary, blacklist, method, listed)
+    return annotate.ingest_study_locus(
+        snps, kept, on=on, study=study, lead_strength=lead_strength, threshold=threshold, method="SuSie"
+    )
+
+
+def evidence_release(
+    sources: dict[str, DataFrame],
+    partner_sources: dict[str, DataFrame],
+    *,
+    partner: bool,
+    excluded: Sequence[str],
+    id_columns: Sequence[str],
+    order: Sequence[Column],
+    targets: DataFrame,
+    target: str,
+    diseases: DataFrame,
+    disease: str,
+) -> tuple[DataFrame, DataFrame]:
+    """Evidence of all sources, each once, split by whether target and disease are known.
+
+    The partner mode adds the partner sources and excludes none.
+    """
+    chosen = {**sources, **partner_sources} if partner else sources
+    rows = evidence.evidence_union(chosen, id_columns, order)
+    rows = manifests.exclude_sources(rows, "datasourceId", [] if partner else excluded)
+    rows = validation.resolve(rows, targets, target, target, "__no_target")
+    rows = validation.resolve(rows, diseases, disease, disease, "__no_disease")
+    flagged = validation.qc_flags(
+        rows, {"UNRESOLVED_TARGET": F.col("__no_target"), "UNRESOLVED_DISEASE": F.col("__no_disease")}
+    ).drop("__no_target", "__no_disease")
+    return validation.split_valid(flagged, ["UNRESOLVED_TARGET", "UNRESOLVED_DISEASE"])
+
+
+def associations(
+    rows: DataFrame, closure: DataFrame, *, target: str, disease: str, source: str, score: str, tie: Sequence[str]
+) -> DataFrame:
+    """Direct associations, and indirect ones in which evidence counts for ancestors too."""
+    direct = evidence.harmonic_association(rows, [target, disease], source, score, tie)
+    indirect = evidence.harmonic_association(
+        evidence.propagate(rows, closure, disease), [target, disease], source, score, tie
+    )
+    return direct.withColumn("kind", F.lit("direct")).unionByName(indirect.withColumn("kind", F.lit("indirect")))
