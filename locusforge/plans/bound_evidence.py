@@ -98,7 +98,7 @@ def expression_by_gene(t):
 
 @query(
     """
-    SELECT "geneA", "geneB", count(*) AS n_evidence, count(DISTINCT s) AS n_sources, round(max(score), 4) AS max_score FROM (
+    SELECT "geneA", "geneB", count(*) AS n_evidence, count(DISTINCT s) AS n_sources, round(max(score), 8) AS max_score FROM (
       SELECT least(l_partkey, l_suppkey) AS "geneA", greatest(l_partkey, l_suppkey) AS "geneB", l_discount AS score, 'intact' AS s
       FROM lineitem WHERE l_returnflag = 'A'
       UNION ALL SELECT least(l_partkey, l_suppkey), greatest(l_partkey, l_suppkey), l_tax, 'string' FROM lineitem WHERE l_returnflag = 'N'
@@ -125,7 +125,7 @@ def interaction_edges(t):
         "b",
         "score",
     )
-    return rows.withColumn("max_score", F.round("max_score", 4))
+    return rows.withColumn("max_score", F.round("max_score", 8))
 
 
 @query(
@@ -582,10 +582,11 @@ _Z = """
 
 @query(
     f"""
-    WITH p AS (SELECT locus, variant, round(exp(bf - m) / sum(exp(bf - m)) OVER (PARTITION BY locus), 9) AS alpha FROM (
+    WITH q AS (SELECT locus, variant, exp(bf - m) / sum(exp(bf - m)) OVER (PARTITION BY locus) AS exact FROM (
                  SELECT *, max(bf) OVER (PARTITION BY locus) AS m FROM ({_Z}))),
+    p AS (SELECT *, round(exact, 9) AS alpha FROM q),
     c AS (SELECT *, sum(alpha) OVER (PARTITION BY locus ORDER BY alpha DESC, variant ROWS UNBOUNDED PRECEDING) AS cum FROM p)
-    SELECT locus, count(*) AS n, round(max(alpha), 6) AS top FROM c WHERE round(cum - alpha, 9) < 0.99 GROUP BY locus
+    SELECT locus, count(*) AS n, round(max(exact), 6) AS top FROM c WHERE round(cum - alpha, 9) < 0.99 GROUP BY locus
     """
 )
 def finemap_single_effect(t):

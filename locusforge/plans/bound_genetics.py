@@ -481,14 +481,14 @@ def single_effect_posterior(t):
 
 @query(
     f"""
-    SELECT locus, variant, round(pip, 8) AS pip FROM (
+    SELECT locus, variant, pip FROM (
       SELECT locus, variant, pip, sum(pip) OVER (PARTITION BY locus ORDER BY pip DESC, variant
              ROWS UNBOUNDED PRECEDING) AS cum FROM (SELECT locus, variant, round(pip, 10) AS pip FROM ({_PIP})))
     WHERE round(cum - pip, 9) < 0.99
     """
 )
 def credible_set(t):
-    return credible_members(t).select("locus", "variant", F.round("pip", 8).alias("pip"))
+    return credible_members(t).select("locus", "variant", "pip")
 
 
 def credible_members(t):
@@ -516,13 +516,10 @@ _OVERLAPS = f"""
 
 
 @query(
-    f"SELECT left_locus, right_locus, variant, round(left_pip, 8) AS left_pip, round(right_pip, 8) AS right_pip FROM ({_OVERLAPS})"
+    f"SELECT left_locus, right_locus, variant, left_pip, right_pip FROM ({_OVERLAPS})"
 )
 def credible_set_overlaps(t):
-    return overlaps(t, block=3).select(
-        "left_locus", "right_locus", "variant", F.round("left_pip", 8).alias("left_pip"),
-        F.round("right_pip", 8).alias("right_pip"),
-    )
+    return overlaps(t, block=3).select("left_locus", "right_locus", "variant", "left_pip", "right_pip")
 
 
 @query(

@@ -17,12 +17,20 @@ MODES = ("overwrite", "ignore", "errorifexists")
 def write_manifests(df: DataFrame, root: str, key: str = "studyId", path: str = "manifestPath") -> None:
     """One JSON file per manifest in a folder of its study.
 
-    A target path used twice is an error that names the path.
+    A target path used twice is an error that names the path. The cost lies in
+    opening files, so the few bytes are spread over all tasks.
     """
     repeated = duplicate_targets(df, path).select(path).limit(5).collect()
     if repeated:
         raise ValueError(f"target paths used more than once: {[r[0] for r in repeated]}")
-    df.withColumn("study", F.col(key)).write.mode("overwrite").partitionBy("study").json(root)
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    (
+        df.withColumn("study", F.col(key))
+        .repartition(tasks, "study")
+        .write.mode("overwrite")
+        .partitionBy("study")
+        .json(root)
+    )
 
 
 def sink(df: DataFrame, path: str, mode: str = "errorifexists", fmt: str = "parquet") -> None:
