@@ -203,20 +203,20 @@ def json_path_explode(t):
 
 @query(
     """
-    SELECT n_nationkey, 'download ' || n_name || ' dictionary' AS name,
-           'https://ftp.example.org/' || r_name || '/' || n_name || '.json' AS source
-    FROM nation JOIN region ON n_regionkey = r_regionkey
+    SELECT c_custkey, 'download ' || c_name || ' dictionary' AS name,
+           'https://ftp.example.org/' || n_name || '/' || c_name || '.json' AS source
+    FROM customer JOIN nation ON n_nationkey = c_nationkey
     """
 )
 def expand_template(t):
-    templates = t.region.select(
-        F.col("r_regionkey").alias("grp"),
+    templates = t.nation.select(
+        F.col("n_nationkey").alias("grp"),
         F.lit("download ${species} dictionary").alias("name"),
-        F.concat(F.lit("https://ftp.example.org/"), "r_name", F.lit("/${species}.json")).alias("source"),
+        F.concat(F.lit("https://ftp.example.org/"), "n_name", F.lit("/${species}.json")).alias("source"),
     )
-    variables = t.nation.select(F.col("n_regionkey").alias("grp"), "n_nationkey", "n_name")
-    return listing.expand_template(templates, variables, "grp", ["name", "source"], {"species": "n_name"}).select(
-        "n_nationkey", "name", "source"
+    variables = t.customer.select(F.col("c_nationkey").alias("grp"), "c_custkey", "c_name")
+    return listing.expand_template(templates, variables, "grp", ["name", "source"], {"species": "c_name"}).select(
+        "c_custkey", "name", "source"
     )
 
 
@@ -244,7 +244,7 @@ def first_matching(t):
       WHEN value < 1 THEN 'startup-script exit status 0'
       WHEN value >= 50 THEN 'Script "startup-script" failed with error: exit status ' || floor(value)::BIGINT
       ELSE 'step done, value ' || floor(value)::BIGINT END AS message
-    FROM events WHERE user_id = 8
+    FROM events WHERE event_type IN ('error', 'click')
     """
 )
 def instance_log(t):
@@ -252,7 +252,7 @@ def instance_log(t):
         "event_id", "user_id", "ts", F.when(F.col("event_type") != "error", _message()).alias("message")
     )
     return logs.instance_log(
-        entries, instance=F.col("user_id") == 8, ts="ts", tie="event_id", message="message"
+        entries, instance=F.col("event_type").isin("error", "click"), ts="ts", tie="event_id", message="message"
     ).select("event_id", "message")
 
 

@@ -134,13 +134,13 @@ def source_sizes(t):
     return variants.source_sizes(t.documents, "source")
 
 
-@query("SELECT doc_id, lang, source, CASE WHEN lang = 'en' THEN n_chars END AS n_chars FROM documents WHERE lang IN ('en', 'fr')")
+@query("SELECT doc_id, lang, source, CASE WHEN lang = 'en' THEN n_chars END AS n_chars FROM documents")
 def union_sources(t):
     docs = t.documents
     return variants.union_sources(
         [
             docs.where("lang = 'en'").select("doc_id", "lang", "source", "n_chars"),
-            docs.where("lang = 'fr'").select("doc_id", "lang", "source"),
+            docs.where("lang <> 'en'").select("doc_id", "lang", "source"),
         ]
     )
 
@@ -744,9 +744,21 @@ def _closure_sql(edges: str) -> str:
     SELECT node, ancestor, min(depth)::INTEGER AS depth FROM c GROUP BY node, ancestor"""
 
 
-@query(_closure_sql(_EDGES))
+_ALL_EDGES = f"""{_EDGES}
+    UNION ALL SELECT 'C' || c_custkey, 'N' || c_nationkey FROM customer
+    UNION ALL SELECT 'O' || o_orderkey, 'C' || o_custkey FROM orders"""
+
+
+@query(_closure_sql(_ALL_EDGES))
 def hierarchy_closure(t):
-    return graph.hierarchy_closure(world_edges(t), "child", "parent")
+    customers = t.customer.select(
+        F.concat(F.lit("C"), "c_custkey").alias("child"), F.concat(F.lit("N"), "c_nationkey").alias("parent")
+    )
+    orders = t.orders.select(
+        F.concat(F.lit("O"), "o_orderkey").alias("child"), F.concat(F.lit("C"), "o_custkey").alias("parent")
+    )
+    edges = world_edges(t).unionByName(customers).unionByName(orders)
+    return graph.hierarchy_closure(edges, "child", "parent")
 
 
 def page_edges(t):
@@ -787,13 +799,11 @@ def project_disease(t):
 
 @query(
     """
-    SELECT DISTINCT n_name, c_mktsegment FROM nation JOIN customer
-      ON c_nationkey = n_nationkey OR c_nationkey = n_regionkey WHERE c_acctbal > 9000
+    SELECT DISTINCT n_name, s_name FROM nation JOIN supplier ON s_nationkey = n_nationkey OR s_nationkey = n_regionkey
     """
 )
 def disease_phenotypes(t):
     terms = t.nation.select("n_name", F.array("n_nationkey", "n_regionkey").alias("refs"))
     return graph.disease_phenotypes(
-        terms, t.customer.where("c_acctbal > 9000"), term="n_name", references="refs", on="c_nationkey",
-        phenotype="c_mktsegment",
+        terms, t.supplier, term="n_name", references="refs", on="s_nationkey", phenotype="s_name",
     )

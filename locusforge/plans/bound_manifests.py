@@ -67,11 +67,11 @@ def filter_any_flag_false_multiplicity(t):
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("copies"))
 
 
-@query("SELECT o_orderkey, o_orderstatus AS frame FROM orders WHERE o_orderstatus IN ('P', 'F')")
+@query("SELECT o_orderkey, o_orderstatus AS frame FROM orders")
 def split_by_status(t):
-    frames = manifests.split_by_status(t.orders, "o_orderstatus", ("P", "F"))
-    first, second = [df.select("o_orderkey", F.lit(name).alias("frame")) for name, df in frames.items()]
-    return first.unionByName(second)
+    frames = manifests.split_by_status(t.orders, "o_orderstatus", _STATUS)
+    a, b, c = [df.select("o_orderkey", F.lit(name).alias("frame")) for name, df in frames.items()]
+    return a.unionByName(b).unionByName(c)
 
 
 @query(
@@ -244,9 +244,10 @@ def last_per_key(t):
     )
 
 
-@query("SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_discount = 0 GROUP BY l_partkey HAVING count(*) > 1")
+@query("SELECT l_orderkey || '-' || l_linenumber AS target, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 1")
 def duplicate_targets(t):
-    return manifests.duplicate_targets(t.lineitem.where("l_discount = 0"), "l_partkey")
+    rows = t.lineitem.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("target"))
+    return manifests.duplicate_targets(rows, "target")
 
 
 @query("SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from locusforge.operators import evidence, manifests, variants
+from locusforge.operators import evidence, manifests, validation, variants
 from locusforge.operators.scale import nest_rows
 from locusforge.plans.bound_functions import FIRST_EXIT_SQL, log_entries
 from locusforge.plans.bound_genetics import merged
@@ -41,10 +41,15 @@ def write_manifests(t):
     return files.groupBy(study).agg(F.count(F.lit(1)).alias("n_files"))
 
 
-@query()
+@query("SELECT DISTINCT c_nationkey, c_mktsegment, true AS has_bytes FROM customer")
 def list_objects(t):
-    files = listing.list_objects(t.spark, t.folder, "*.parquet")
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
+    path = scratch_path(t.spark, "objects")
+    t.customer.write.partitionBy("c_nationkey", "c_mktsegment").parquet(path)
+    files = listing.list_objects(t.spark, path, "*.parquet")
+    return files.groupBy(
+        F.regexp_extract("path", r"c_nationkey=(\d+)/", 1).cast("int").alias("c_nationkey"),
+        F.regexp_extract("path", r"c_mktsegment=(\w+)/", 1).alias("c_mktsegment"),
+    ).agg((F.sum("length") > 0).alias("has_bytes"))
 
 
 _VARIANT_ROWS = """
@@ -116,7 +121,7 @@ def read_partitioned(t):
 def sink(t):
     path = scratch_path(t.spark, "release")
     rows = t.customer.select("c_custkey", "c_name")
-    sinks.sink(rows.where("c_custkey >= 0"), path, "errorifexists")
+    sinks.sink(rows, path, "errorifexists")
     sinks.sink(t.customer.where("c_acctbal > 0").select("c_custkey", "c_name"), path, "overwrite")
     sinks.sink(rows, path, "ignore")
     return t.spark.read.parquet(path)
@@ -140,6 +145,33 @@ def clean_then_write(t):
     return t.spark.read.parquet(path + "-parts")
 
 
+@query(
+    """
+    SELECT valid, reasons, count(*) AS n, sum(l_orderkey)::BIGINT AS keys FROM (
+      SELECT l_orderkey, l_discount >= 0.03 AND l_partkey IN (SELECT p_partkey FROM part WHERE p_size <= 40) AS valid,
+             concat_ws(',', CASE WHEN l_discount < 0.03 THEN 'SUBSIGNIFICANT_FLAG' END,
+               CASE WHEN l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size <= 40) THEN 'MISSING_STUDY' END,
+               CASE WHEN l_tax = 0 THEN 'NOTE' END) AS reasons FROM lineitem) GROUP BY ALL
+    """
+)
+def write_validated(t):
+    path = scratch_path(t.spark, "validated")
+    rows = validation.resolve(t.lineitem, t.part.where("p_size <= 40"), "l_partkey", "p_partkey", "missing")
+    flagged = validation.qc_flags(
+        rows,
+        {
+            "SUBSIGNIFICANT_FLAG": F.col("l_discount") < 0.03,
+            "MISSING_STUDY": F.col("missing"),
+            "NOTE": F.col("l_tax") == 0,
+        },
+    )
+    good, bad = sinks.write_validated(flagged, validation.CREDIBLE_SET_REASONS, path)
+    both = good.withColumn("valid", F.lit(True)).unionByName(bad.withColumn("valid", F.lit(False)))
+    return both.groupBy("valid", F.array_join("qualityControls", ",").alias("reasons")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("l_orderkey").alias("keys")
+    )
+
+
 @query("SELECT c_name || ';' || c_mktsegment AS line FROM customer UNION ALL SELECT p_name || ' ' || p_partkey FROM part")
 def bulk_decompress(t):
     path = scratch_path(t.spark, "packed")
@@ -335,12 +367,14 @@ def write_by_chromosome(t):
     )
 
 
-@query("SELECT l_suppkey, l_orderkey, l_linenumber FROM lineitem WHERE l_suppkey BETWEEN 3 AND 5")
+@query("SELECT l_suppkey, count(*) AS n, sum(l_orderkey)::BIGINT AS orders FROM lineitem GROUP BY 1")
 def write_association_facts(t):
     path = scratch_path(t.spark, "facts")
     facts = evidence.association_facts(t.lineitem, ["l_suppkey", "l_orderkey", "l_linenumber"], {})
     evidence.write_association_facts(facts, path, "l_suppkey")
-    return t.spark.read.parquet(path).where("l_suppkey BETWEEN 3 AND 5")
+    return t.spark.read.parquet(path).groupBy("l_suppkey").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("l_orderkey").alias("orders")
+    )
 
 
 @query("SELECT d.doc_id, lang FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")

@@ -245,7 +245,9 @@ def bulk_decompress(spark: SparkSession, prefix: str, glob: str = "*") -> tuple[
     """Lines of every compressed file below a prefix, and the files that failed.
 
     Spark spreads the files over tasks; a task decodes one file after the other
-    in pieces cut at line ends. A file that fails contributes no lines.
+    in pieces cut at line ends. A file that fails contributes no lines. The
+    compressed bytes of a file travel in one binary column, which Spark limits
+    to 2 GB; read larger gzip and bzip2 files with the text reader.
     """
     rows = (
         spark.read.format("binaryFile")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locusforge.functions.paths import base_name
 from locusforge.operators.manifests import duplicate_targets
+from locusforge.operators.validation import is_invalid
 from locusforge.operators.variants import chunk_descriptors, row_range_chunks
 from locusforge.sources.readers import bulk_decompress
 
@@ -64,6 +67,19 @@ def write_variant_chunks(df: DataFrame, path: str, order: list, n: int) -> None:
     )
 
 
+def write_validated(
+    df: DataFrame, invalid: Sequence[str], path: str, reasons: str = "qualityControls"
+) -> tuple[DataFrame, DataFrame]:
+    """Write valid and invalid rows in one pass and return both, read back from their folders.
+
+    Filtering a flagged frame twice would compute its joins twice.
+    """
+    df.withColumn("valid", ~is_invalid(F.col(reasons), invalid)).write.mode("overwrite").partitionBy("valid").parquet(path)
+    back = df.sparkSession.read.parquet(path)
+    good, bad = (back.where(F.col("valid") == flag).drop("valid") for flag in ("true", "false"))
+    return good, bad
+
+
 def write_path_list(df: DataFrame, path: str, target: str) -> None:
     """Object names, one per line, ordered over the files of the target folder."""
     df.select(F.col(path).alias("value")).orderBy("value").write.mode("overwrite").text(target)
