@@ -71,3 +71,22 @@ def test_model_separates(spark):
     model = l2g.l2g_train(df.drop("label"), df.select("id", "label"), ["id"], ["a", "b"], estimators=3, depth=2)
     scored = l2g.l2g_predict(model, df).collect()
     assert all((r["score"] > 0.5) == bool(r["label"]) for r in scored)
+
+
+@pytest.mark.parametrize("name", ["dedup_first", "pick_consequence", "harmonic_association", "evidence_union"])
+def test_rank_filters_reach_the_map_side(spark, name):
+    plan = QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_scan_is_pruned_and_filtered(spark):
+    plan = QUERIES["pvalue_filter"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(value,5.0)" in plan
+    assert "ReadSchema: struct<event_id:bigint,user_id:bigint,value:double>" in plan
+
+
+def test_listing_reads_no_content(spark):
+    from locusforge.sources import listing
+
+    plan = listing.list_objects(spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan.split("ReadSchema")[1]

@@ -178,6 +178,22 @@ def test_closure_with_cycle(spark):
     }
 
 
+@pytest.mark.parametrize("length", [1, 2, 3, 7, 8, 9])
+def test_closure_of_a_chain(spark, length):
+    df = spark.createDataFrame([(i, i + 1) for i in range(length)], "child long, parent long")
+    got = {(r["node"], r["ancestor"]): r["depth"] for r in graph.hierarchy_closure(df, "child", "parent").collect()}
+    assert got == {(i, j): j - i for i in range(length + 1) for j in range(i + 1, length + 1)}
+    short = graph.hierarchy_closure(df, "child", "parent", include_self=True, max_depth=3).collect()
+    assert {(r["node"], r["ancestor"]) for r in short} == {
+        (i, j) for i in range(length + 1) for j in range(i, length + 1) if j - i <= 3
+    }
+
+
+def test_closure_of_nothing(spark):
+    df = spark.createDataFrame([], "child long, parent long")
+    assert graph.hierarchy_closure(df, "child", "parent").isEmpty()
+
+
 def test_credible_set_flat_locus(spark):
     rows = [("flat", i, 0.01) for i in range(100)] + [("sharp", 0, 0.995), ("sharp", 1, 0.005), ("none", 0, None)]
     df = spark.createDataFrame(rows, "locus string, v long, pip double")
