@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusforge.operators.intervals import bin_of, join_points_to_intervals, mark_overlapping
+from locusforge.operators.scale import null_safe_join
 from locusforge.session import cut_lineage
 
 # Thresholds and distances of the configured steps.
@@ -117,7 +118,7 @@ def _islands(best: DataFrame, group: list[str], distance: int) -> DataFrame:
         "__island", F.sum("__cut").over(w.rowsBetween(Window.unboundedPreceding, 0))
     )
     size = numbered.groupBy(*group, "__island").agg(F.sum("__n").alias("__size"))
-    return numbered.join(size, [*group, "__island"]).select(*group, "__bin", "__island", "__size")
+    return null_safe_join(numbered, size, [*group, "__island"]).select(*group, "__bin", "__island", "__size")
 
 
 def _fold_islands(rows: DataFrame, group: list[str], distance: int) -> DataFrame:
@@ -201,14 +202,14 @@ def window_clump(
     """
     group = list(group)
     best = cut_lineage(
-        df.where(F.col(strength) >= F.lit(float(threshold)))
+        df.where((F.col(strength) >= F.lit(float(threshold))) & F.col(position).isNotNull())
         .groupBy(*group, F.col(position).cast("bigint").alias("pos"))
         .agg(F.min(F.struct((-F.col(strength)).alias("neg"), F.col(tie).alias("id"))).alias("__b"))
         .select(*group, "pos", F.col("__b.neg").alias("neg"), F.col("__b.id").alias("id"))
         .withColumn("__bin", bin_of(F.col("pos"), distance))
     )
     islands = cut_lineage(_islands(best, group, distance))
-    placed = best.join(islands, [*group, "__bin"])
+    placed = null_safe_join(best, islands, [*group, "__bin"])
     leads = _fold_islands(placed.where(F.col("__size") <= fold_positions), group, distance)
     if not islands.where(F.col("__size") > fold_positions).isEmpty():
         large = placed.where(F.col("__size") > fold_positions)

@@ -393,6 +393,19 @@ def biosample_index(t):
     return rows.select("id", "name", F.array_join("synonyms", ",").alias("synonyms"))
 
 
+@query(
+    """
+    SELECT o_orderkey, c_name AS doi FROM orders
+    LEFT JOIN (SELECT * FROM customer WHERE c_mktsegment <> 'BUILDING') ON c_custkey = o_custkey
+    """
+)
+def literature_ids(t):
+    known = t.customer.where("c_mktsegment <> 'BUILDING'")
+    return evidence.literature_ids(
+        t.orders.select("o_orderkey", "o_custkey"), known, "o_custkey", "c_custkey", "c_name", "doi"
+    ).drop("o_custkey")
+
+
 # ---- ingestion -----------------------------------------------------------------
 
 

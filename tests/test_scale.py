@@ -131,6 +131,16 @@ def test_window_clump(spark, fold):
     assert {s: {r["lead_id"] for r in got if r["study"] == s} for s in expected} == expected
 
 
+@pytest.mark.parametrize("fold", [0, 1000])
+def test_window_clump_without_study(spark, fold):
+    rows = [(None, 5, 9.0, 1), (None, 30, 8.5, 2), (None, 500, 8.0, 3), (None, None, 99.0, 4)]
+    df = spark.createDataFrame(rows, "study string, pos long, v double, id long")
+    got = loci.window_clump(
+        df, ["study"], position="pos", strength="v", tie="id", distance=100, threshold=8.0, fold_positions=fold
+    )
+    assert sorted(r["lead_id"] for r in got.collect()) == [1, 3]
+
+
 def test_locus_breaker_gap_equal_to_cutoff(spark):
     df = spark.createDataFrame(
         [("s", 0, 9.0, 1), ("s", 100, 9.0, 2), ("s", 201, 12.0, 3), ("s", 250, 1.0, 4), ("s", 301, 9.0, 5)],
