@@ -279,6 +279,17 @@ def near_components(
     )
 
 
+def without_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
+    """One row of each class of near duplicates, that of its smallest key, with all columns.
+
+    Of several rows of one key one stays. Rows with a null key stay as they are.
+    """
+    found = near_components(docs, key, text, **settings)
+    first = settle(found.where(F.col(key) == F.col("component")).select(key).distinct(), "kept")
+    kept = docs.join(first, key, "left_semi").dropDuplicates([key])
+    return kept.unionByName(docs.where(F.col(key).isNull()))
+
+
 def _distinct_nodes(nodes: DataFrame) -> DataFrame:
     """Small nodes without those that hold the same members as another, as different trees give."""
     members = nodes.groupBy("node").agg(F.array_sort(F.collect_set("id")).alias("ids"))

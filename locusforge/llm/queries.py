@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusforge.llm import langid, lines, mixing, neardup, secretscan, toolcalls
+from locusforge.llm import decontam, html, langid, lines, mixing, neardup, perplexity, secretscan, toolcalls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -27,6 +27,30 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+ARCHIVE_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages),
+g AS (SELECT h, max(page_id) AS last FROM p GROUP BY h),
+b AS (
+  SELECT h, last, [('0x' || substr(h, (i * 5 + 1)::INT, 5))::BIGINT FOR i IN range(8)] AS parts FROM g
+),
+d AS (
+  SELECT h, last, array_to_string([array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> s) % 32 + 1)::INT, 1)
+    FOR s IN [15, 10, 5, 0]], '') FOR v IN parts], '') AS digest FROM b
+)
+SELECT page_id, strlen(t)::BIGINT AS payload_bytes, digest AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> last THEN last END AS refers_to
+FROM p JOIN d USING (h)
+"""
+
+
+@query(ARCHIVE_SQL)
+def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """All pages written to archives and read back by byte ranges."""
+    found = warc.archive_round_trip(table(spark, folder, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 SECRETS_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 k AS (
@@ -151,6 +175,24 @@ def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return lines.judge(docs, lines.fit(docs, table(spark, folder, "labels")))
 
 
+@query()
+def op7_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    return html.extract(table(spark, folder, "pages"))
+
+
+@query()
+def op8_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Perplexity and verdict of every document."""
+    return perplexity.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query()
+def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold a text of the benchmark."""
+    return decontam.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 SCHEMA = [
     ("lookup", "after", "integer", False),
     ("lookup", "query", "string", True),
