@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from locusforge.llm.components import components
 from locusforge.llm.frames import fresh, mapped, settle
 from locusforge.llm.words import LOWER, chunks, mix, windows, word_hashes, word_limits
+from locusforge.operators import scale
 
 SHINGLE_WORDS = 5
 PERCENT = 85
@@ -29,8 +30,13 @@ SIGNATURE = 128
 TREES = 10
 LEVELS = 5
 LEAF = 48
+#: Members of a large node whose signatures choose its pivots, and how many pivots it gets.
+SAMPLE = 64
+PIVOTS = 3
+#: Members of a block when a large node is compared in tiles.
+BLOCK = 512
 #: Signature places by which an estimate may fall short of the threshold, in standard deviations.
-SLACK = 3.5
+SLACK = 3.0
 
 _random = np.random.default_rng(7)
 MULTIPLIERS = _random.integers(0, 2**31, SIGNATURE, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -166,13 +172,31 @@ def _candidates(batches: Iterator[pa.RecordBatch], least: int, spanning: bool) -
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
 
+def _tile(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Pairs across components of one block of left-out members and one block of all members."""
+    for batch in batches:
+        for members in batch.column("members"):
+            rows = members.as_py()
+            every, lone = [r for r in rows if not r["lone"]], [r for r in rows if r["lone"]]
+            if not every or not lone:
+                continue
+            table = np.stack([np.frombuffer(r["signature"], np.uint32) for r in every])
+            roots = np.array([r["root"] for r in every])
+            ids = np.array([r["id"] for r in every], np.int64)
+            pairs = set()
+            for r in lone:
+                same = (table == np.frombuffer(r["signature"], np.uint32)).sum(axis=1)
+                for other in ids[(same >= least) & (roots != r["root"])].tolist():
+                    pairs.add((min(other, r["id"]), max(other, r["id"])))
+            left, right = zip(*sorted(pairs)) if pairs else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+
 def _near(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        x, y = (
-            np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, SIGNATURE) for c in ("s1", "s2")
-        )
+        x, y = _table(batch.column("s1")), _table(batch.column("s2"))
         ok = np.flatnonzero((x == y).sum(axis=1) >= least)
         yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(ok)), batch.column("b").take(pa.array(ok))], names=["a", "b"])
 
@@ -318,15 +342,51 @@ def _compare(nodes: DataFrame, roots: DataFrame | None, sets: DataFrame, least:
     )
 
 
+def _consensus(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The commonest value at each place of the signatures of a node's sample."""
+    for batch in batches:
+        out = []
+        for sample in batch.column("sample"):
+            table = np.sort(np.stack([np.frombuffer(s, np.uint32) for s in sample.as_py()]), axis=0)
+            runs = np.zeros(table.shape, np.int64)
+            for i in range(1, len(table)):
+                runs[i] = np.where(table[i] == table[i - 1], runs[i - 1] + 1, 0)
+            out.append(table[runs.argmax(axis=0), np.arange(SIGNATURE)].tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(out, pa.binary())], names=["node", "middle"])
+
+
+def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Places at which each member agrees with the consensus of its node."""
+    for batch in batches:
+        same = (_table(batch.column("signature")) == _table(batch.column("middle"))).sum(axis=1)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("node"), batch.column("id"), pa.array(same.astype(np.int64))], names=["node", "id", "same"]
+        )
+
+
+def _table(signatures_: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(signatures_.to_pylist()), np.uint32).reshape(-1, SIGNATURE)
+
+
 def _pivots(large: DataFrame, sets: DataFrame, least: int) -> DataFrame:
-    """Pairs of each member of a large node with the node's smallest id."""
-    first = settle(large.groupBy("node").agg(F.min("id").alias("a")), "pivots")
-    pivots = first.join(sets.select(F.col("id").alias("a"), F.col("signature").alias("s1")), "a")
-    pairs = large.join(settle(pivots, "pivots"), "node").where("id > a").select("a", F.col("id").alias("b"), "s1")
-    rows = pairs.join(sets.select(F.col("id").alias("b"), F.col("signature").alias("s2")), "b").select(
-        "a", "b", "s1", "s2"
+    """Pairs of each member of a large node with the node's pivots.
+
+    Near copies are made from one text, to which they are nearer than to each
+    other. Pivots are the members that agree best with the consensus signature
+    of a sample of the node; the sample only steers the choice of the pivots.
+    """
+    rows = settle(large.join(sets, "id"), "large_signatures")
+    sample = scale.top_rows(rows, ["node"], [F.xxhash64("id"), F.col("id")], SAMPLE)
+    sample = sample.groupBy("node").agg(F.collect_list("signature").alias("sample"))
+    middle = settle(mapped(sample, _consensus, "node long, middle binary"), "consensus")
+    agreed = mapped(
+        rows.join(middle, "node").select("node", "id", "signature", "middle"), _agreement, "node long, id long, same long"
     )
-    return mapped(rows, partial(_near, least=least), "a long, b long").distinct()
+    best = scale.top_rows(agreed, ["node"], [F.col("same").desc(), F.col("id")], PIVOTS).select("node", F.col("id").alias("p"))
+    pivots = settle(best.join(sets.select(F.col("id").alias("p"), F.col("signature").alias("s1")), "p"), "pivots")
+    pairs = rows.join(pivots, "node").where("id <> p")
+    pairs = pairs.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"), "s1", F.col("signature").alias("s2"))
+    return mapped(pairs, partial(_near, least=least), "a long, b long").distinct()
 
 
 def _blocks(large: DataFrame, leaf: int) -> DataFrame:
@@ -337,7 +397,10 @@ def _blocks(large: DataFrame, leaf: int) -> DataFrame:
 
 
 def _left_out(large: DataFrame, sets: DataFrame, roots: DataFrame, least: int) -> DataFrame:
-    """Pairs across components in large nodes: all members outside the main component against all members."""
+    """Pairs across components in large nodes: all members outside the main component against all members.
+
+    They meet in tiles of two blocks; a tile gives only pairs whose signatures agree.
+    """
     tagged = settle(
         large.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn(
             "root", F.coalesce("root", "id")
@@ -346,16 +409,24 @@ def _left_out(large: DataFrame, sets: DataFrame, roots: DataFrame, least: int) -
     )
     parts = tagged.groupBy("node", "root").agg(F.count(F.lit(1)).alias("n"))
     main = settle(parts.groupBy("node").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1"), "main")
-    mixed = settle(tagged.join(main, "node"), "mixed")
-    out = mixed.where("root <> main").select("node", F.col("id").alias("a"), F.col("root").alias("r1"))
-    pairs = out.join(mixed.select("node", F.col("id").alias("b"), F.col("root").alias("r2")), "node").where(
-        "r1 <> r2 and a <> b"
-    )
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rows = pairs.join(sets.select(F.col("id").alias("a"), F.col("signature").alias("s1")), "a").join(
-        sets.select(F.col("id").alias("b"), F.col("signature").alias("s2")), "b"
+    mixed = tagged.join(main, "node").join(sets, "id")
+    mixed = settle(mixed.withColumn("out", F.col("root") != F.col("main")), "mixed")
+    sizes = mixed.groupBy("node").agg(
+        F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"),
+        F.ceil(F.count_if("out") / BLOCK).cast("int").alias("out_blocks"),
     )
-    return mapped(rows.select("a", "b", "s1", "s2"), partial(_near, least=least), "a long, b long")
+    dealt = mixed.join(settle(sizes, "sizes"), "node")
+
+    def spread(rows: DataFrame, own: str, other: str, names: tuple[str, str]) -> DataFrame:
+        return rows.withColumn(names[0], F.pmod(F.xxhash64("id"), F.col(own)).cast("int")).withColumn(
+            names[1], F.explode(F.sequence(F.lit(0), F.col(other) - 1))
+        )
+
+    lone = spread(dealt.where("out"), "out_blocks", "blocks", ("i", "j")).withColumn("lone", F.lit(True))
+    every = spread(dealt, "blocks", "out_blocks", ("j", "i")).withColumn("lone", F.lit(False))
+    member = F.struct("id", "signature", "root", "lone")
+    tiles = lone.unionByName(every).groupBy("node", "i", "j").agg(F.collect_list(member).alias("members"))
+    return mapped(tiles.select("members"), partial(_tile, least=least), "a long, b long")
 
 
 def _confirm(pairs: DataFrame, source: DataFrame, percent: int, size: int) -> DataFrame:
