@@ -24,8 +24,10 @@ from locusforge.session import scratch_path
 #: Payloads of at least so many bytes are written once.
 LEAST_BYTES = 0
 RANGE_BYTES = 8 << 20
+MOST_TASKS = 20_000
 READ_BYTES = 1 << 18
 MAGIC = b"\x1f\x8b\x08"
+HEADER_END = b"\r\n\r\n"
 #: Header of a record with all its fields, decoded; longer ones aren't written.
 HEADER_BYTES = 1 << 16
 
@@ -122,8 +124,7 @@ def _decoded(window: _Window, whole: bool) -> tuple[bytes, int] | None:
 
     None if it can't be decoded. The window is read on but not moved.
     """
-    unpacker, out, given = zlib.decompressobj(31), [], 0
-    have = 0
+    unpacker, out, given, have = zlib.decompressobj(31), [], 0, 0
     while not unpacker.eof:
         if given == len(window.data) and not window.fill(given + 1):
             return None
@@ -134,14 +135,14 @@ def _decoded(window: _Window, whole: bool) -> tuple[bytes, int] | None:
             return None
         given += len(piece)
         have += len(out[-1])
-        if not whole:
-            return b"".join(out), 0
+        if not whole and (have >= HEADER_BYTES or HEADER_END in b"".join(out)):
+            break
     return b"".join(out), given - len(unpacker.unused_data)
 
 
 def _fields(head: bytes) -> dict[str, str] | None:
     """Header fields by lowered name; None if it is no record."""
-    text, end, _ = head.partition(b"\r\n\r\n")
+    text, end, _ = head.partition(HEADER_END)
     lines = text.split(b"\r\n")
     if not end or not re.fullmatch(rb"WARC/\d+\.\d+", lines[0]):
         return None
@@ -175,7 +176,7 @@ def range_records(file, start: int, end: int) -> Iterator[tuple[dict[str, str],
         if not member:
             window.skip(1)
             continue
-        block = member[0].partition(b"\r\n\r\n")[2][: int(fields["content-length"])]
+        block = member[0].partition(HEADER_END)[2][: int(fields["content-length"])]
         yield fields, block
         window.skip(member[1])
 
@@ -188,7 +189,7 @@ def _read(batches: Iterator[pa.RecordBatch], with_payload: bool) -> Iterator[pa.
             rows, held = [], 0
             with store.open_input_file(path) as file:
                 for fields, block in range_records(file, row["start"], row["end"]):
-                    payload = block.partition(b"\r\n\r\n")[2]
+                    payload = block.partition(HEADER_END)[2]
                     stated = fields["warc-payload-digest"].removeprefix("sha1:")
                     intact = fields["warc-type"] == "revisit" or (
                         base64.b32encode(hashlib.sha1(payload).digest()).decode() == stated
@@ -229,7 +230,10 @@ def read_archives(archives: DataFrame, range_bytes: int = RANGE_BYTES, with_payl
         "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, "
         "intact boolean, payload binary"
     )
-    return mapped(ranges.repartition("path", "start"), partial(_read, with_payload=with_payload), schema)
+    # a number of tasks is given, for Spark would put the few bytes that name the ranges into one
+    n_ranges = F.sum(F.ceil(F.col("length") / range_bytes)).alias("n")
+    tasks = max(1, min(MOST_TASKS, int(archives.agg(n_ranges).first()["n"] or 1)))
+    return mapped(ranges.repartition(tasks, "path", "start"), partial(_read, with_payload=with_payload), schema)
 
 
 def archive_round_trip(pages: DataFrame, least_bytes: int = LEAST_BYTES, with_payload: bool = False) -> DataFrame:
