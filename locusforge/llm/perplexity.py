@@ -143,11 +143,11 @@ def trusted_text(docs: DataFrame, labels: DataFrame, key: str, text: str, lang:
 def _discounted(table: DataFrame) -> DataFrame:
     """(grp, gram, own, ctx) and the weight left for lower orders, of an order's counts."""
     shape = table.groupBy("grp").agg(*[F.sum((F.col("n") == k).cast("double")).alias(f"n{k}") for k in (1, 2, 3, 4)])
-    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    y = F.try_divide("n1", F.col("n1") + 2 * F.col("n2"))
 
     def d(k: int, fallback: float) -> Column:
-        value = k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}")
-        return F.when((F.col(f"n{k}") > 0) & (value > 0) & (value < k), value).otherwise(fallback).alias(f"d{k}")
+        value = k - (k + 1) * y * F.try_divide(f"n{k + 1}", f"n{k}")
+        return F.when((value > 0) & (value < k), value).otherwise(fallback).alias(f"d{k}")
 
     shape = settle(shape.select("grp", d(1, 0.5), d(2, 1.0), d(3, 1.5)), "discounts")
     cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
