@@ -24,7 +24,7 @@ from locusforge.session import ship_package
 
 ORDER = 4
 #: Rows of a block, as a power of two; a block is the unit that one task scores.
-BLOCK_BITS = 12
+BLOCK_BITS = 13
 #: Languages with fewer trusted texts are scored by the model of all trusted text.
 LEAST_TRUSTED = 50
 ALL = "*"
@@ -100,7 +100,7 @@ def _requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
-def _score(texts: pa.Table, answers: pa.Table, columns: tuple[str, ...]) -> pa.Table:
+def _score(texts: pa.Table, answers: pa.Table, columns: tuple[str, ...], text: str) -> pa.Table:
     """Texts of one block with the sum of surprises of their bytes."""
     tables = {}
     names = answers.column("grp").to_pandas().to_numpy()
@@ -111,7 +111,7 @@ def _score(texts: pa.Table, answers: pa.Table, columns: tuple[str, ...]) -> pa.T
         own = own[np.argsort(grams[own])]
         tables[name] = grams[own], surprise[own]
     total, n_bytes = [], []
-    for part in texts.column("text").chunks:
+    for part in texts.column(text).chunks:
         part_groups = texts.column("grp").slice(len(total), len(part)).combine_chunks()
         for chunk in chunks(part):
             groups = part_groups.slice(chunk.first, chunk.n).to_pylist()
@@ -219,23 +219,23 @@ def answer(requests: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> Dat
     return done.unionByName(rest)
 
 
-def score(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]], columns: tuple[str, ...]) -> DataFrame:
+def score(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]], columns: tuple[str, ...], text: str) -> DataFrame:
     """The given columns of every row with ``surprise`` (sum over bytes, in nats) and ``n_bytes``.
 
-    ``docs`` has also (block, grp, text). A block is a run of rows of one scan
+    ``docs`` has also (block, grp) and the column of the text. A block is a run of rows of one scan
     task, found alike by both passes over the same table.
     """
     ship_package(docs.sparkSession)
-    asked = mapped(docs.select("block", "grp", "text"), _requests, "block long, grp string, gram long")
+    asked = mapped(docs.select("block", "grp", F.col(text).alias("text")), _requests, "block long, grp string, gram long")
     asked = settle(asked, "requests")
     answers = settle(answer(asked.select("grp", "gram").distinct(), model), "surprises")
-    answered = asked.join(answers, ["grp", "gram"])
+    answered = asked.join(answers.withColumn("surprise", F.col("surprise").cast("float")), ["grp", "gram"])
     kinds = dict(docs.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", surprise double, n_bytes long"
-    wanted = docs.select("block", "grp", "text", *[c for c in columns if c not in ("grp", "text")])
+    wanted = docs.select("block", *dict.fromkeys(["grp", text, *columns]))
 
     def scored(texts: pa.Table, given: pa.Table) -> pa.Table:
-        return _score(texts, given, columns)
+        return _score(texts, given, columns, text)
 
     return wanted.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(scored, schema)
 
@@ -290,12 +290,13 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
         *[F.col(c).alias(f"c{i}") for i, c in enumerate(sources)],
         F.col(key).alias("__k"),
         F.col(lang).alias("lang"),
-        F.col(text).alias("text"),
+        *([] if carry else [F.col(text).alias("text")]),
         F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS).alias("block"),
     )
     rows = joined_by(plain, known, "lang").withColumn("grp", F.coalesce("grp", F.lit(ALL)))
     kept_columns = (*[f"c{i}" for i in range(len(sources))], "__k", "grp")
-    scored = settle(score(rows, model, kept_columns), "scores")
+    own_text = f"c{sources.index(text)}" if carry else "text"
+    scored = settle(score(rows, model, kept_columns, own_text), "scores")
     good = labels.where((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).select(F.col(key).alias("__k")).distinct()
     held = scored.where(is_held_out("__k")).select("__k", "grp", "surprise", "n_bytes").join(good, "__k")
     edges = settle(limits(held.select("grp", "surprise", "n_bytes")), "limits")
