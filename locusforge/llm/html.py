@@ -119,9 +119,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         depth += noise
         links += tag == "a"
     if not depth:
-        piece = unescape(page[at:])
-        if "<" in piece and ">" not in piece:
-            piece = piece[: piece.rindex("<")] if re.search(r"<[/!?a-zA-Z][^>]*\Z", piece) else piece
+        piece = unescape(re.sub(r"<[/!?a-zA-Z][^>]*\Z", "", page[at:]))  # a tag cut off by the end
         text.append(piece)
     flush()
     return out
