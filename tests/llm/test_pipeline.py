@@ -1,0 +1,25 @@
+"""The pipeline's stages on small data: what goes, what stays, and the columns."""
+
+import corpus_pipeline
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+def test_stages_decide_and_keep_the_columns(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    columns = docs.columns
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "decontamination", "secrets", "mixture"]
+    before = docs.count()
+    for n, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = corpus_pipeline.settle(stage(spark, docs, FOLDER), name)
+        after = docs.count()
+        if n < 4:
+            assert docs.columns == columns and after <= before
+        before = after
+    assert docs.columns == [*columns, "copy"] and before > 0
+
+
+def test_an_empty_table_stays_empty(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES[1:]:
+        assert stage(spark, docs, FOLDER).count() == 0
