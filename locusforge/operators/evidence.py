@@ -8,8 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from locusforge.functions.stats import inverse_squares
 from locusforge.operators.annotate import id_mapping
-from locusforge.operators.scale import first_by, nest_rows, null_safe_join, top_rows
+from locusforge.operators.scale import first_by, nest_rows, null_safe_join, running_total
 from locusforge.operators.variants import union_sources
 from locusforge.session import cut_lineage
 
@@ -29,27 +30,26 @@ def harmonic_association(
     keys: Sequence[str],
     source: str,
     score: str,
-    tie: Sequence[str],
-    cap: int = 50,
+    scaling_ranks: int = 50,
 ) -> DataFrame:
     """Harmonic sums of ranked scores per source, then over the sources of a pair.
 
-    Scores are ranked per (pair, source) and the best ``cap`` weigh
-    ``score / rank^2`` (Koscielny et al. 2017), scaled by the largest sum that
-    many ranks can give. Each task keeps the best ``cap`` of its rows before the
-    shuffle and all rows are counted by a plain aggregate, so a pair with very
-    many rows is no burden. A pair has few sources, so the second ranking is a
-    window over those.
+    Scores are ranked per (pair, source); every one weighs ``score / rank^2``
+    (Koscielny et al. 2017), and the sum is divided by what ``scaling_ranks``
+    scores of one would give. Equal scores take neighbouring ranks, so rows are
+    first counted per score, which combines on the map side; the ranks of a
+    score follow from a running total of these counts, and their weights from
+    a closed form. A pair has few sources, so the second ranking is a window
+    over those.
     """
-    top = sum(1.0 / (i * i) for i in range(1, cap + 1))
+    top = sum(1.0 / (i * i) for i in range(1, scaling_ranks + 1))
     keys = list(keys)
-    order = [F.col(score).desc(), *[F.col(t) for t in tie]]
-    best = top_rows(evidence.select(*keys, source, score, *tie), [*keys, source], order, cap, "__rank")
-    scores = best.groupBy(*keys, source).agg(
-        (F.sum(F.col(score) / (F.col("__rank") * F.col("__rank"))) / F.lit(top)).alias("source_score")
+    runs = evidence.groupBy(*keys, source, score).agg(F.count(F.lit(1)).alias("__n"))
+    ranked = running_total(runs, [*keys, source], [F.col(score).desc()], F.col("__n"), "__to")
+    weight = inverse_squares(F.col("__to")) - inverse_squares(F.col("__to") - F.col("__n"))
+    per_source = ranked.groupBy(*keys, source).agg(
+        (F.sum(F.col(score) * weight) / F.lit(top)).alias("source_score"), F.sum("__n").alias("n_evidence")
     )
-    counts = evidence.groupBy(*keys, source).agg(F.count(F.lit(1)).alias("n_evidence"))
-    per_source = null_safe_join(scores, counts, [*keys, source])
     w = Window.partitionBy(*keys).orderBy(F.col("source_score").desc(), F.col(source))
     place = F.row_number().over(w)
     return (

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from locusforge.operators.posteriors import credible_set
 from locusforge.operators.scale import log_sum_exp
-from locusforge.session import cut_lineage
+from locusforge.session import cut_lineage, ship_package
 
 # Parameters of the fine-mapping step.
 MAX_CAUSAL = 10
@@ -239,6 +239,7 @@ def finemap_loci(
         .select("locus", "variant_a", "variant_b", "r")
     )
     small = sizes.where(F.col("n") <= task_variants).select("locus")
+    ship_package(rows.sparkSession)
     narrow = (
         rows.join(small, "locus", "left_semi")
         .select("locus", "variant", "z")

@@ -167,10 +167,11 @@ def pics(
 
     The tag's signal is normal with mean ``r2 * m`` and deviation
     ``sqrt(1 - |r|^6.4) * sqrt(m) / 2``; its weight is the two-sided tail at the
-    lead's ``m``. The lead itself, with no deviation, has weight one.
+    lead's ``m``. The lead itself, with no deviation, has weight one, and so
+    has an ``r2`` that rounding put above 1.
     """
     m = F.col(lead_strength)
-    r = F.sqrt(F.col(r2))
+    r = F.sqrt(F.least(F.col(r2), F.lit(1.0)))
     sd = F.sqrt(F.lit(1.0) - F.pow(r, F.lit(6.4))) * F.sqrt(m) / 2
     z = (m - F.col(r2) * m) / sd
     weight: Column = F.when(sd > 0, normal_two_sided(z)).otherwise(F.lit(1.0))

@@ -111,10 +111,10 @@ def chunk_check(df: DataFrame, n: int, chunk: str = "chunk") -> DataFrame:
 
 
 def chunk_descriptors(df: DataFrame, prefix: str, chunk: str = "chunk") -> DataFrame:
-    """Index, path and row count of each chunk."""
+    """Index, folder below the prefix and row count of each chunk."""
     return chunk_counts(df, chunk).select(
         F.col(chunk).alias("idx"),
-        F.concat(F.lit(prefix + "/chunk_"), F.col(chunk).cast("string")).alias("path"),
+        F.concat(F.lit(f"{prefix}/{chunk}="), F.col(chunk).cast("string")).alias("path"),
         "n",
     )
 

@@ -41,7 +41,7 @@ def _association_sql(rows: str) -> str:
     WITH top AS (SELECT sum(1.0::DOUBLE / (i * i)) AS m FROM range(1, 51) r(i)),
     ev AS ({rows}),
     r AS (SELECT *, row_number() OVER (PARTITION BY target, disease, source ORDER BY score DESC) AS rk FROM ev),
-    s AS (SELECT target, disease, source, sum(CASE WHEN rk <= 50 THEN score / (rk * rk) END) / (SELECT m FROM top) AS ss,
+    s AS (SELECT target, disease, source, sum(score / (rk * rk)) / (SELECT m FROM top) AS ss,
                  count(*) AS n FROM r GROUP BY ALL),
     p AS (SELECT *, row_number() OVER (PARTITION BY target, disease ORDER BY ss DESC, source) AS pl FROM s)
     SELECT target, disease, round(sum(ss / (pl * pl)) / (SELECT m FROM top), 6) AS score, sum(n)::BIGINT AS n_evidence,
@@ -56,9 +56,7 @@ _INDIRECT = f"""
 
 @query(_association_sql(_DIRECT))
 def harmonic_association(t):
-    rows = evidence.harmonic_association(
-        scored(t), ["target", "disease"], "source", "score", ["l_orderkey", "l_linenumber"]
-    )
+    rows = evidence.harmonic_association(scored(t), ["target", "disease"], "source", "score")
     return rows.withColumn("score", F.round("score", 6))
 
 
@@ -66,8 +64,7 @@ def harmonic_association(t):
 def harmonic_association_indirect(t):
     closure = graph.hierarchy_closure(world_edges(t), "child", "parent")
     rows = evidence.harmonic_association(
-        evidence.propagate(scored(t), closure, "disease"), ["target", "disease"], "source", "score",
-        ["l_orderkey", "l_linenumber"],
+        evidence.propagate(scored(t), closure, "disease"), ["target", "disease"], "source", "score"
     )
     return rows.withColumn("score", F.round("score", 6))
 

@@ -95,7 +95,7 @@ def write_path_list(t):
 
 @query(
     """
-    SELECT rn // 4000 AS idx, 'chunk_' || rn // 4000 AS path, count(*) AS n
+    SELECT rn // 4000 AS idx, 'chunk=' || rn // 4000 AS path, count(*) AS n
     FROM (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS rn FROM orders) GROUP BY ALL
     """
 )
@@ -105,8 +105,11 @@ def write_chunk_manifests(t):
     rows = manifests.locus_rows(keys, "key", "gs://loci", "gs://susie", "gs://logs")
     number = F.regexp_extract("study_locus_input", r"(\d+)$", 1).cast("bigint")
     chunked = variants.chunk_rows(rows.withColumn("k", number), [F.col("k")], 4000)
-    found = sinks.write_chunk_manifests(chunked.drop("k", "row"), path)
-    return found.select("idx", F.element_at(F.split("path", "/"), -1).alias("path"), "n")
+    found = sinks.write_chunk_manifests(chunked.drop("row"), path, ["k"]).drop("n")
+    written = t.spark.read.option("header", "true").csv(path + "/*").select(F.regexp_extract(F.input_file_name(), r"([^/]+)/[^/]+$", 1).alias("folder"))
+    counts = written.groupBy("folder").agg(F.count(F.lit(1)).alias("n"))
+    own = found.select("idx", F.element_at(F.split("path", "/"), -1).alias("folder"))
+    return own.join(counts, "folder").select("idx", F.col("folder").alias("path"), "n")
 
 
 @query("SELECT o_orderstatus, count(*) AS n, sum(o_orderkey)::BIGINT AS keys FROM orders WHERE o_orderstatus <> 'O' GROUP BY 1")

@@ -279,6 +279,5 @@ def associations(t):
     closure = graph.hierarchy_closure(g.world_edges(t), "child", "parent")
     rows = steps.associations(
         e.scored(t), closure, target="target", disease="disease", source="source", score="score",
-        tie=["l_orderkey", "l_linenumber"],
     )
     return rows.withColumn("score", F.round("score", 6))

@@ -261,11 +261,11 @@ def evidence_release(
 
 
 def associations(
-    rows: DataFrame, closure: DataFrame, *, target: str, disease: str, source: str, score: str, tie: Sequence[str]
+    rows: DataFrame, closure: DataFrame, *, target: str, disease: str, source: str, score: str
 ) -> DataFrame:
     """Direct associations, and indirect ones in which evidence counts for ancestors too."""
-    direct = evidence.harmonic_association(rows, [target, disease], source, score, tie)
+    direct = evidence.harmonic_association(rows, [target, disease], source, score)
     indirect = evidence.harmonic_association(
-        evidence.propagate(rows, closure, disease), [target, disease], source, score, tie
+        evidence.propagate(rows, closure, disease), [target, disease], source, score
     )
     return direct.withColumn("kind", F.lit("direct")).unionByName(indirect.withColumn("kind", F.lit("indirect")))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from locusforge.operators.variants import VARIANT_SCHEMA
+from locusforge.session import ship_package
 
 CORRUPT = "_corrupt_record"
 PIECE = 8 * 1024 * 1024
@@ -29,6 +30,10 @@ MANIFEST_SCHEMA = T.StructType(
         T.StructField("passHarmonisation", T.BooleanType()),
         T.StructField("passQc", T.BooleanType()),
         T.StructField("status", T.StringType()),
+        T.StructField("studyType", T.StringType()),
+        T.StructField("analysisFlag", T.StringType()),
+        T.StructField("isCurated", T.BooleanType()),
+        T.StructField("pubmedId", T.StringType()),
     ]
 )
 
@@ -55,11 +60,12 @@ def read_manifests(
 
 
 def read_variant_tsv(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """Tab-separated variant files with a header."""
+    """Tab-separated variant files with a header; one that disagrees with the columns is an error."""
     return (
         spark.read.schema(VARIANT_SCHEMA)
         .option("sep", "\t")
         .option("header", "true")
+        .option("enforceSchema", "false")
         .option("pathGlobFilter", glob)
         .option("recursiveFileLookup", "true")
         .csv(path)
@@ -86,8 +92,9 @@ def read_delimited_source(
     spark: SparkSession, path: str, schema: T.StructType | str, sep: str = "\t", header: bool = True,
     comment: str | None = None,
 ) -> DataFrame:
-    """CSV, TSV and other delimited text, compressed or not."""
+    """CSV, TSV and other delimited text, compressed or not; a header that disagrees with the schema is an error."""
     reader = spark.read.schema(schema).option("sep", sep).option("header", str(header).lower())
+    reader = reader.option("enforceSchema", str(not header).lower())
     if comment:
         reader = reader.option("comment", comment)
     return reader.csv(path)
@@ -249,6 +256,7 @@ def bulk_decompress(spark: SparkSession, prefix: str, glob: str = "*") -> tuple[
     compressed bytes of a file travel in one binary column, which Spark limits
     to 2 GB; read larger gzip and bzip2 files with the text reader.
     """
+    ship_package(spark)
     rows = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")

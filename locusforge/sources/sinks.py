@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusforge.functions.paths import base_name
 from locusforge.operators.manifests import duplicate_targets
 from locusforge.operators.validation import is_invalid
 from locusforge.operators.variants import chunk_descriptors, row_range_chunks
@@ -85,10 +85,11 @@ def write_path_list(df: DataFrame, path: str, target: str) -> None:
     df.select(F.col(path).alias("value")).orderBy("value").write.mode("overwrite").text(target)
 
 
-def write_chunk_manifests(df: DataFrame, path: str, chunk: str = "chunk") -> DataFrame:
-    """CSV manifest per chunk; returns the descriptors."""
+def write_chunk_manifests(df: DataFrame, path: str, order: Sequence[str], chunk: str = "chunk") -> DataFrame:
+    """CSV manifest per chunk, its rows in the given order; returns the descriptors of the written folders."""
     (
         df.repartition(chunk)
+        .sortWithinPartitions(chunk, *order)
         .write.mode("overwrite")
         .option("header", "true")
         .partitionBy(chunk)
@@ -113,12 +114,19 @@ def write_by_chromosome(df: DataFrame, path: str, chromosome: str, position: str
     )
 
 
+def _below(prefix: str) -> Column:
+    """The part of ``path`` below a prefix, whatever slashes follow their schemes."""
+    bare = re.sub(r"^[a-z0-9]+:/*", "/", prefix).strip("/")
+    plain = F.regexp_replace("path", r"^[a-z0-9]+:/*", "/")
+    return F.regexp_replace(plain, "^/*" + re.escape(bare) + "/+", "")
+
+
 def write_decompressed(spark: SparkSession, prefix: str, glob: str, out: str, failures: str) -> None:
-    """Decompress every matching file to a folder of its name; broken files go to a failure list."""
+    """Decompress every matching file to a folder of its path below the prefix; broken files go to a failure list."""
     lines, broken = bulk_decompress(spark, prefix, glob)
     order = ["file", "piece", "pos"]
     (
-        lines.withColumn("file", F.regexp_replace(base_name(F.col("path")), r"\.(gz|bgz|bz2|zip)$", ""))
+        lines.withColumn("file", _below(prefix))
         .repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .select("file", F.col("line").alias("value"))

@@ -73,7 +73,7 @@ def test_model_separates(spark):
     assert all((r["score"] > 0.5) == bool(r["label"]) for r in scored)
 
 
-@pytest.mark.parametrize("name", ["dedup_first", "pick_consequence", "harmonic_association", "evidence_union"])
+@pytest.mark.parametrize("name", ["dedup_first", "pick_consequence", "evidence_union"])
 def test_rank_filters_reach_the_map_side(spark, name):
     plan = QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan

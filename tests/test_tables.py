@@ -7,7 +7,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from locusforge.operators import annotate, evidence, logs, manifests, validation
+from locusforge.operators import annotate, evidence, logs, manifests, posteriors, validation
 from locusforge.sources import listing, readers, sinks
 from locusforge.streaming import studies as streams
 
@@ -15,7 +15,7 @@ MANIFEST = readers.MANIFEST_SCHEMA
 
 
 def manifest(study, harmonised=False, qc=False, status="pending", path=None):
-    return (study, f"raw/{study}", path or f"m/{study}", f"h/{study}", f"q/{study}", harmonised, qc, status)
+    return (study, f"raw/{study}", path or f"m/{study}", f"h/{study}", f"q/{study}", harmonised, qc, status, "gwas", None, True, "1")
 
 
 def test_flags(spark):
@@ -88,10 +88,16 @@ def test_decompress_reports_failures(spark, tmp_path):
     (tmp_path / "bad.bz2").write_bytes(b"no")
     with zipfile.ZipFile(tmp_path / "z.zip", "w") as z:
         z.writestr("x.tsv", "d\ne")
+    for folder in "ab":
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "same.gz").write_bytes(gzip.compress(folder.encode()))
     out, failed = str(tmp_path / "out"), str(tmp_path / "failed")
     sinks.write_decompressed(spark, str(tmp_path), "*.{gz,bz2,zip}", out, failed)
     rows = spark.read.text(out).collect()
-    assert sorted((r["file"], r["value"]) for r in rows) == [("two", "a"), ("two", "b"), ("two", "c"), ("z", "d"), ("z", "e")]
+    assert sorted((r["file"], r["value"]) for r in rows) == [
+        ("a/same.gz", "a"), ("b/same.gz", "b"),
+        ("two.gz", "a"), ("two.gz", "b"), ("two.gz", "c"), ("z.zip", "d"), ("z.zip", "e"),
+    ]
     assert sorted(r["path"].rsplit("/", 1)[1] for r in spark.read.json(failed).collect()) == ["bad.bz2", "cut.gz"]
 
 
@@ -160,13 +166,13 @@ def test_study_inclusion_unknown_in_neither(spark):
         validation.study_inclusion(df, "other", F.col("c"), F.col("c"))
 
 
-def test_harmonic_cap(spark):
-    df = spark.createDataFrame([("t", "d", "s", 1.0, i) for i in range(2000)], "t string, d string, s string, score double, id long")
-    row = evidence.harmonic_association(df, ["t", "d"], "s", "score", ["id"], cap=50).first()
+def test_harmonic_sum_takes_every_rank(spark):
+    df = spark.createDataFrame([("t", "d", "s", 1.0 if i % 3 else 0.5, i) for i in range(2000)], "t string, d string, s string, score double, id long")
+    row = evidence.harmonic_association(df, ["t", "d"], "s", "score").first()
     top = sum(1 / i**2 for i in range(1, 51))
-    assert abs(row["score"] - 1 / top) < 1e-12 and row["n_evidence"] == 2000
-    big = evidence.harmonic_association(df, ["t", "d"], "s", "score", ["id"], cap=1500).first()
-    assert abs(big["score"] * sum(1 / i**2 for i in range(1, 1501)) - 1) < 1e-12
+    scores = sorted((1.0 if i % 3 else 0.5 for i in range(2000)), reverse=True)
+    exact = sum(x / (k * k) for k, x in enumerate(scores, 1)) / top / top
+    assert abs(row["score"] - exact) < 1e-12 and row["n_evidence"] == 2000
 
 
 def test_first_matching_empty(spark):
@@ -203,3 +209,23 @@ def test_new_file_stream_does_not_repeat(spark, tmp_path):
         raw = spark.readStream.schema("study string").parquet(root + "/in")
         streams.new_file_stream(raw, known, "study", root + "/out", root + "/state").awaitTermination()
     assert sorted(r["study"] for r in spark.read.parquet(root + "/out").collect()) == ["a", "b"]
+
+
+def test_a_header_that_disagrees_is_an_error(spark, tmp_path):
+    (tmp_path / "a.tsv").write_text("b\ta\n1\t2\n")
+    with pytest.raises(Exception, match="header|Header|HEADER"):
+        readers.read_delimited_source(spark, str(tmp_path), "a int, b int").collect()
+
+
+def test_r2_above_one_is_one(spark):
+    rows = [("l", 9.0, 1.0000001), ("l", 9.0, 1.0), ("l", 9.0, 0.6)]
+    got = posteriors.pics(spark.createDataFrame(rows, "locus string, m double, r2 double"), ["locus"], lead_strength="m", r2="r2").collect()
+    assert abs(sum(r["pip"] for r in got) - 1) < 1e-9
+
+
+def test_sum_of_inverse_squares(spark):
+    from locusforge.functions.stats import inverse_squares
+
+    got = spark.range(0, 300).select("id", inverse_squares(F.col("id")).alias("s")).collect()
+    for r in got:
+        assert abs(r["s"] - sum(1 / i**2 for i in range(1, r["id"] + 1))) < 1e-13
