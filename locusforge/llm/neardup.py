@@ -6,17 +6,19 @@ or more signature places by a hash of its path, and each document follows the
 minwise token it has there. Similar documents share tokens and so stay
 together; nodes of few documents are compared exhaustively, larger ones branch
 again. What is still large at the last level (many copies of one text) is
-compared with a pivot and in blocks. Every link is confirmed on the full sets.
+compared with a pivot and in blocks. Every link is confirmed on the full sets:
+first those of spanning forests, then, node by node, whatever may tie what the
+first ones leave apart. A node gives fewer links than it has members.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from locusforge.llm.components import components
@@ -35,6 +37,10 @@ SAMPLE = 64
 PIVOTS = 3
 #: Members of a block when a large node is compared in tiles.
 BLOCK = 512
+#: Shingles of the members of a block, about: 16 MiB of hashes.
+BLOCK_SHINGLES = 2**21
+#: Shared shingles that one product of a node's members takes.
+WIDTH = 4096
 #: Signature places by which an estimate may fall short of the threshold, in standard deviations.
 SLACK = 3.0
 
@@ -136,12 +142,8 @@ def _overlaps(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
         )
 
 
-def _candidates(batches: Iterator[pa.RecordBatch], least: int, spanning: bool) -> Iterator[pa.RecordBatch]:
-    """Pairs of each node whose signatures agree in ``least`` places.
-
-    With ``spanning`` only the pairs of a maximum spanning forest of the node,
-    most similar first; otherwise all pairs whose components differ.
-    """
+def _candidates(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """A maximum spanning forest of each node over the pairs whose signatures agree in ``least`` places."""
     for batch in batches:
         left, right = [], []
         for members in batch.column("members"):
@@ -151,45 +153,88 @@ def _candidates(batches: Iterator[pa.RecordBatch], least: int, spanning: bool) -
             for i in range(len(rows) - 1):
                 same = (table[i + 1 :] == table[i]).sum(axis=1)
                 pairs += [(-int(same[j]), i, i + 1 + int(j)) for j in np.flatnonzero(same >= least)]
-            root = list(range(len(rows)))
-
-            def top(i: int) -> int:
-                while root[i] != i:
-                    root[i] = root[root[i]]
-                    i = root[i]
-                return i
-
-            for _, i, j in sorted(pairs):
-                if spanning:
-                    x, y = top(i), top(j)
-                    if x == y:
-                        continue
-                    root[y] = x
-                elif rows[i]["root"] == rows[j]["root"]:
-                    continue
+            for i, j in _forest([(i, j) for _, i, j in sorted(pairs)], range(len(rows))):
                 left.append(rows[i]["id"])
                 right.append(rows[j]["id"])
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
 
-def _tile(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Pairs across components of one block of left-out members and one block of all members."""
+def _forest(pairs: Iterable[tuple[int, int]], labels: Iterable[int]) -> Iterator[tuple[int, int]]:
+    """The pairs that tie members of still different labels, in the given order."""
+    labels = list(labels)
+    root = {x: x for x in labels}
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for i, j in pairs:
+        x, y = top(labels[i]), top(labels[j])
+        if x != y:
+            root[y] = x
+            yield i, j
+
+
+def _suspects(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Members of each node that agree in ``least`` places with one of another component.
+
+    Only lone members are held against all; each member is named once.
+    """
     for batch in batches:
-        for members in batch.column("members"):
+        nodes, found = [], []
+        for node, members in zip(batch.column("node").to_pylist(), batch.column("members")):
             rows = members.as_py()
-            every, lone = [r for r in rows if not r["lone"]], [r for r in rows if r["lone"]]
-            if not every or not lone:
-                continue
-            table = np.stack([np.frombuffer(r["signature"], np.uint32) for r in every])
-            roots = np.array([r["root"] for r in every])
-            ids = np.array([r["id"] for r in every], np.int64)
-            pairs = set()
-            for r in lone:
-                same = (table == np.frombuffer(r["signature"], np.uint32)).sum(axis=1)
-                for other in ids[(same >= least) & (roots != r["root"])].tolist():
-                    pairs.add((min(other, r["id"]), max(other, r["id"])))
-            left, right = zip(*sorted(pairs)) if pairs else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+            table = np.stack([np.frombuffer(r["signature"], np.uint32) for r in rows])
+            roots = np.array([r["root"] for r in rows], np.int64)
+            met = np.zeros(len(rows), bool)
+            for i in np.flatnonzero([r["lone"] for r in rows]):
+                hits = ((table == table[i]).sum(axis=1) >= least) & (roots != roots[i])
+                if hits.any():
+                    met |= hits
+                    met[i] = True
+            ids = np.unique(np.array([r["id"] for r in rows], np.int64)[met])
+            nodes += [node] * len(ids)
+            found += ids.tolist()
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(found, pa.int64())], names=["node", "id"])
+
+
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets of distinct values, by products of blocks of shared values."""
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [len(x) for x in sets])
+    _, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count[place] > 1
+    owner, place = owner[shared], (np.cumsum(count > 1) - 1)[place[shared]]
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    total = np.zeros((n, n), np.int64)
+    last = int(place[-1]) + 1 if len(place) else 0
+    for first in range(0, last, WIDTH):
+        a, b = np.searchsorted(place, [first, first + WIDTH])
+        held = np.zeros((n, min(WIDTH, last - first)), np.float32)
+        held[owner[a:b], place[a:b] - first] = 1
+        total += (held @ held.T).astype(np.int64)
+    return total
+
+
+def _ties(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Of the links between the full sets of each node, as many as tie its components together."""
+    for batch in batches:
+        left, right = [], []
+        for members in batch.column("members"):
+            part = members.values
+            ids, roots = part.field("id").to_numpy(), part.field("root").to_numpy()
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.field("set")]
+            both = intersections(sets)
+            sizes = np.array([len(x) for x in sets])
+            linked = 100 * both >= percent * (sizes[:, None] + sizes - both)
+            i, j = np.nonzero(np.triu(linked & (roots[:, None] != roots), 1))
+            for x, y in _forest(zip(i.tolist(), j.tolist()), roots.tolist()):
+                left.append(min(ids[x], ids[y]))
+                right.append(max(ids[x], ids[y]))
+        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
 
 def _near(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
@@ -248,10 +293,11 @@ def near_components(
 
     Texts with equal shingle sets are one class from the start, so copies cost
     one row. Of the classes, each tree gives candidate pairs by signature; a
-    spanning forest of each node is confirmed on the full sets first, then all
-    candidate pairs that the links found so far leave in different components.
-    A node that stays large is compared with its pivot and in blocks; members
-    that its main component leaves out are compared with all its rows.
+    spanning forest of each node is confirmed on the full sets first. Members
+    with candidates that the links found so far leave in different components
+    meet again with their full sets, and their node gives the links that tie
+    them. A node that stays large is compared with its pivots and in blocks;
+    members that its main component leaves out are compared with all its rows.
 
     A null text and one without words have no shingle and are linked with
     nothing, but rows of one key are one document, compared by its text of most
@@ -275,23 +321,22 @@ def near_components(
         F.min("id").alias("id"), F.min("signature").alias("signature")
     )
     largest = F.max(F.struct("n_shingles", "set_a", "set_b", "signature"))
-    sets = settle(classes.groupBy("id").agg(largest.alias("s")).select("id", "s.signature"), "sets")
+    sets = settle(classes.groupBy("id").agg(largest.alias("s")).select("id", "s.signature", "s.n_shingles"), "sets")
     small, large = _grow(sets, percent, trees, levels, leaf)
     small = settle(_distinct_nodes(small), "leaves")
-    near = partial(_compare, sets=sets, least=least)
-    found = near(small, None)
+    found = _compare(small, sets, least)
     if large is not None:
         large = settle(large.distinct(), "large")
-        found = found.unionByName(_pivots(large, sets, least)).unionByName(near(_blocks(large, leaf), None))
+        found = found.unionByName(_pivots(large, sets, least)).unionByName(_compare(_blocks(large, leaf), sets, least))
     tried = settle(found.distinct(), "candidates")
     verdicts = settle(_confirm(tried, source, percent, shingle_words), "verdicts")
     links = verdicts.where("linked").select("a", "b")
     roots = settle(components(links), "roots")
-    more = near(small, roots)
+    groups = _mixed(small, roots, sets)
     if large is not None:
-        more = more.unionByName(_left_out(large, sets, roots, least))
-    more = settle(more.distinct().join(verdicts.select("a", "b"), ["a", "b"], "left_anti"), "candidates")
-    again = settle(_confirm(more, source, percent, shingle_words), "verdicts").where("linked").select("a", "b")
+        groups = groups.unionByName(_left_out(large, sets, roots))
+    met = settle(mapped(groups, partial(_suspects, least=least), "node long, id long"), "suspects")
+    again = settle(_tied(met, verdicts, roots, source, percent, shingle_words), "ties")
     # rows of one key with different texts are one document
     firsts = full.groupBy("set_a", "set_b", "n_shingles").agg(F.min("id").alias("b"))
     copies = full.join(settle(firsts, "firsts"), ["set_a", "set_b", "n_shingles"]).select(F.col("id").alias("a"), "b")
@@ -316,32 +361,51 @@ def without_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
 def _distinct_nodes(nodes: DataFrame) -> DataFrame:
     """Small nodes without those that hold the same members as another, as different trees give."""
+    return _member_lists(nodes).select("node", F.explode("ids").alias("id"))
+
+
+def _member_lists(nodes: DataFrame) -> DataFrame:
+    """(node, ids) of the nodes of at least two members, once per list of members."""
     members = nodes.groupBy("node").agg(F.array_sort(F.collect_set("id")).alias("ids"))
-    return (
-        members.groupBy("ids")
-        .agg(F.min("node").alias("node"))
-        .where(F.size("ids") > 1)
-        .select("node", F.explode("ids").alias("id"))
-    )
+    return members.groupBy("ids").agg(F.min("node").alias("node")).where(F.size("ids") > 1)
 
 
-def _compare(nodes: DataFrame, roots: DataFrame | None, sets: DataFrame, least: int) -> DataFrame:
-    """Candidate pairs of small nodes; with ``roots`` only of nodes that hold several components."""
+def _compare(nodes: DataFrame, sets: DataFrame, least: int) -> DataFrame:
+    """Candidate pairs of small nodes."""
     rows = nodes.join(sets.select("id", "signature"), "id")
-    if roots is None:
-        rows = rows.withColumn("root", F.lit(None).cast("long"))
-    else:
-        tagged = nodes.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn(
-            "root", F.coalesce("root", "id")
-        )
-        mixed = tagged.groupBy("node").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y")
-        rows = tagged.join(mixed.select("node"), "node").join(sets.select("id", "signature"), "id")
-    members = rows.groupBy("node").agg(F.collect_list(F.struct("id", "signature", "root")).alias("members"))
-    return mapped(
-        members.select("members"), partial(_candidates, least=least, spanning=roots is None), "a long, b long"
+    members = rows.groupBy("node").agg(F.collect_list(F.struct("id", "signature")).alias("members"))
+    return mapped(members.select("members"), partial(_candidates, least=least), "a long, b long")
+
+
+def _rooted(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, id) rows with the root of each member, itself if nothing links it."""
+    return nodes.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn(
+        "root", F.coalesce("root", "id")
     )
 
 
+def _mixed(nodes: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, members) of the small nodes that hold several components."""
+    tagged = _rooted(nodes, roots)
+    mixed = tagged.groupBy("node").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y")
+    rows = tagged.join(mixed.select("node"), "node").join(sets.select("id", "signature"), "id")
+    member = F.struct("id", "signature", "root", F.lit(True).alias("lone"))
+    return rows.groupBy("node").agg(F.collect_list(member).alias("members"))
+
+
+def _tied(
+    met: DataFrame, verdicts: DataFrame, roots: DataFrame, source: DataFrame, percent: int, size: int
+) -> DataFrame:
+    """Links that tie the components of each node, by the full sets; single pairs only if not yet tried."""
+    lists = _member_lists(met).withColumns({"a": F.col("ids")[0], "b": F.element_at("ids", -1)})
+    pairs = lists.where(F.size("ids") == 2).join(verdicts.select("a", "b"), ["a", "b"], "left_anti")
+    open_lists = pairs.unionByName(lists.where(F.size("ids") > 2))
+    nodes = settle(open_lists.select("node", F.explode("ids").alias("id")), "open")
+    rows = _rooted(nodes, roots).join(_sets_of(nodes, source, size), "id")
+    members = rows.groupBy("node").agg(F.collect_list(F.struct("id", "root", "set")).alias("members"))
+    return mapped(members.select("members"), partial(_ties, percent=percent), "a long, b long").distinct()
+
+
 def _consensus(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The commonest value at each place of the signatures of a node's sample."""
     for batch in batches:
@@ -396,24 +460,23 @@ def _blocks(large: DataFrame, leaf: int) -> DataFrame:
     return large.join(sizes, "node").select(F.xxhash64("node", block).alias("node"), "id")
 
 
-def _left_out(large: DataFrame, sets: DataFrame, roots: DataFrame, least: int) -> DataFrame:
-    """Pairs across components in large nodes: all members outside the main component against all members.
+def _left_out(large: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, members) of large nodes in tiles: blocks of members outside the main component by blocks of all members.
 
-    They meet in tiles of two blocks; a tile gives only pairs whose signatures agree.
+    Blocks are small enough for the full sets of two of them to meet in one task.
     """
-    tagged = settle(
-        large.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn(
-            "root", F.coalesce("root", "id")
-        ),
-        "large",
-    )
+    tagged = settle(_rooted(large, roots), "large")
     parts = tagged.groupBy("node", "root").agg(F.count(F.lit(1)).alias("n"))
     main = settle(parts.groupBy("node").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1"), "main")
     mixed = tagged.join(main, "node").join(sets, "id")
     mixed = settle(mixed.withColumn("out", F.col("root") != F.col("main")), "mixed")
+
+    def blocks(count: Column, shingles: Column) -> Column:
+        return F.greatest(F.ceil(count / BLOCK), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
+
     sizes = mixed.groupBy("node").agg(
-        F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"),
-        F.ceil(F.count_if("out") / BLOCK).cast("int").alias("out_blocks"),
+        blocks(F.count(F.lit(1)), F.sum("n_shingles")).alias("blocks"),
+        blocks(F.count_if("out"), F.sum(F.when(F.col("out"), F.col("n_shingles")))).alias("out_blocks"),
     )
     dealt = mixed.join(settle(sizes, "sizes"), "node")
 
@@ -426,17 +489,20 @@ def _left_out(large: DataFrame, sets: DataFrame, roots: DataFrame, least: int) -
     every = spread(dealt, "blocks", "out_blocks", ("j", "i")).withColumn("lone", F.lit(False))
     member = F.struct("id", "signature", "root", "lone")
     tiles = lone.unionByName(every).groupBy("node", "i", "j").agg(F.collect_list(member).alias("members"))
-    return mapped(tiles.select("members"), partial(_tile, least=least), "a long, b long")
+    return tiles.select(F.xxhash64("node", "i", "j").alias("node"), "members")
 
 
-def _confirm(pairs: DataFrame, source: DataFrame, percent: int, size: int) -> DataFrame:
-    """(a, b, linked) by the full shingle sets of both texts."""
-    wanted = settle(
-        pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted"
-    )
+def _sets_of(ids: DataFrame, source: DataFrame, size: int) -> DataFrame:
+    """(id, set) of the full shingle sets of the given ids, of several texts the one with most shingles."""
+    wanted = settle(ids.select("id").distinct(), "wanted")
     texts = source.join(wanted, source["__id"] == wanted["id"]).select("id", "__text")
     full = settle(mapped(texts, partial(_full_sets, size=size), "id long, set binary"), "full_sets")
-    full = full.groupBy("id").agg(F.max_by("set", F.struct(F.length("set"), "set")).alias("set"))
+    return full.groupBy("id").agg(F.max_by("set", F.struct(F.length("set"), "set")).alias("set"))
+
+
+def _confirm(pairs: DataFrame, source: DataFrame, percent: int, size: int) -> DataFrame:
+    """(a, b, linked) by the full shingle sets of both texts."""
+    full = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")), source, size)
     rows = pairs.join(full.select(F.col("id").alias("a"), F.col("set").alias("set_1")), "a").join(
         full.select(F.col("id").alias("b"), F.col("set").alias("set_2")), "b"
     )

@@ -114,6 +114,29 @@ def test_large_group_of_near_copies_is_one_class(spark):
     assert {r.doc_id: (r.n_shingles, r.component) for r in got} == classes(rows)
 
 
+def test_intersections_of_sets(monkeypatch):
+    monkeypatch.setattr(neardup, "WIDTH", 7)
+    rnd = random.Random(3)
+    sets = [set(rnd.sample(range(60), n)) for n in (1, 5, 30, 40, 60, 12)] + [{100}]
+    got = neardup.intersections([neardup.np.array(sorted(x), neardup.np.uint64) for x in sets])
+    assert [[len(x & y) if x is not y else got[i, i] for y in sets] for i, x in enumerate(sets)] == got.tolist()
+
+
+def test_members_far_from_the_pivots_of_a_large_node(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 20)
+    base = prose(6, 300).split()
+    rows = []
+    for i in range(120):
+        words = list(base)
+        for k in random.Random(i).sample(range(300), 3 + i % 5):
+            words[k] = f"w{i // 2 if i % 10 > 7 else i}x{k}"
+        rows.append((i, " ".join(words)))
+    got = neardup.near_components(spark.createDataFrame(rows, "doc_id long, text string"), leaf=12).collect()
+    want = classes(rows)
+    assert len({c for _, c in want.values()}) > 10
+    assert {r.doc_id: (r.n_shingles, r.component) for r in got} == want
+
+
 def spans(text):
     found = []
     rule = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
