@@ -302,6 +302,9 @@ def ld_clump(
 ) -> DataFrame:
     """Flag leads that a stronger lead of the same study explains through LD.
 
+    Any stronger lead counts, flagged itself or not: unlike a greedy fold, the
+    flag of a lead does not depend on those of others, so one pass decides it.
+
     One row per (study, variant) is expected. Stronger leads are expanded to
     their partners and met again on (study, variant): no pairs of leads arise
     other than those linked by LD.
