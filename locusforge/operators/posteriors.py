@@ -121,28 +121,41 @@ def ecaviar(overlaps: DataFrame, left_pip: str = "left_pip", right_pip: str = "r
 
 def coloc(
     overlaps: DataFrame,
+    rows: DataFrame,
+    *,
+    locus: str,
+    log_bf: str,
     left_bf: str = "left_log_bf",
     right_bf: str = "right_log_bf",
+    pips: tuple[str, str] | None = None,
     p1: float = PRIOR_1,
     p2: float = PRIOR_2,
     p12: float = PRIOR_12,
 ) -> DataFrame:
     """Posteriors of the five hypotheses (Giambartolomei et al. 2014).
 
-    With a single shared variant two distinct causal variants are impossible, so
-    the third hypothesis gets zero.
+    ``rows`` holds every variant of every locus with its log Bayes factor, one
+    row per (locus, variant): one cause in a locus, and two distinct ones, may
+    lie at any of them. Only the shared cause is summed over the overlaps. Loci
+    of a single variant each, the same one, cannot have two distinct causes.
+    With ``pips``, the two columns of inclusion probabilities, the same
+    aggregate gives ``clpp`` as well.
     """
-    sums = log_sum_exp(
-        overlaps,
-        ["left_locus", "right_locus"],
-        l1=F.col(left_bf),
-        l2=F.col(right_bf),
-        l12=F.col(left_bf) + F.col(right_bf),
-    )
+    pair = ["left_locus", "right_locus"]
+    measures = {"l12": F.col(left_bf) + F.col(right_bf)}
+    if pips:
+        measures["clpp"] = F.log(F.col(pips[0])) + F.log(F.col(pips[1]))
+    totals = log_sum_exp(rows, [locus], total=F.col(log_bf))
+    sums = log_sum_exp(overlaps, pair, **measures).withColumnRenamed("n_rows", "n_shared")
+    for side, name in (("left", "1"), ("right", "2")):
+        side_totals = totals.select(
+            F.col(locus).alias(f"{side}_locus"), F.col("total").alias(f"l{name}"), F.col("n_rows").alias(f"n{name}")
+        )
+        sums = sums.join(side_totals, f"{side}_locus")
     ln = math.log
     gap = F.col("l12") - F.col("l1") - F.col("l2")
     diff = F.when(
-        (F.col("n_rows") > 1) & (gap < 0), F.col("l1") + F.col("l2") + F.log(F.lit(1.0) - F.exp(gap))
+        (F.greatest("n1", "n2") > 1) & (gap < 0), F.col("l1") + F.col("l2") + F.log(F.lit(1.0) - F.exp(gap))
     )
     hyp = {
         "h0": F.lit(0.0),
@@ -151,13 +164,14 @@ def coloc(
         "h3": diff + (ln(p1) + ln(p2)),
         "h4": F.col("l12") + ln(p12),
     }
-    cols = sums.select("left_locus", "right_locus", F.col("n_rows").alias("n_shared"), *[c.alias(f"__{k}") for k, c in hyp.items()])
+    kept = [*pair, "n_shared", *(["clpp"] if pips else [])]
+    if pips:
+        sums = sums.withColumn("clpp", F.coalesce(F.exp("clpp"), F.lit(0.0)))
+    cols = sums.select(*kept, *[c.alias(f"__{k}") for k, c in hyp.items()])
     top = F.greatest(*[F.col(f"__{k}") for k in hyp])
     weights = {k: F.coalesce(F.exp(F.col(f"__{k}") - top), F.lit(0.0)) for k in hyp}
     total = sum(weights.values(), F.lit(0.0))
-    return cols.select(
-        "left_locus", "right_locus", "n_shared", *[(w / total).alias(k) for k, w in weights.items()]
-    )
+    return cols.select(*kept, *[(w / total).alias(k) for k, w in weights.items()])
 
 
 def pics(

@@ -532,22 +532,27 @@ def ecaviar(t):
     return posteriors.ecaviar(overlaps(t)).withColumn("clpp", F.round("clpp", 8))
 
 
-@query(
-    f"""
-    WITH m AS (SELECT *, max(l1) OVER w AS m1, max(l2) OVER w AS m2, max(l1 + l2) OVER w AS m12
-               FROM ({_OVERLAPS}) WINDOW w AS (PARTITION BY left_locus, right_locus)),
-    s AS (SELECT left_locus, right_locus, count(*) AS n_shared, any_value(m1) + ln(sum(exp(l1 - m1))) AS a,
-                 any_value(m2) + ln(sum(exp(l2 - m2))) AS b, any_value(m12) + ln(sum(exp(l1 + l2 - m12))) AS c
-          FROM m GROUP BY left_locus, right_locus),
-    h AS (SELECT left_locus, right_locus, n_shared, 1.0 AS e0, exp(a + ln(1e-4)) AS e1, exp(b + ln(1e-4)) AS e2,
-                 CASE WHEN n_shared > 1 AND c < a + b THEN exp(a + b + ln(1 - exp(c - a - b)) + ln(1e-8)) ELSE 0 END AS e3,
-                 exp(c + ln(1e-5)) AS e4 FROM s)
-    SELECT left_locus, right_locus, n_shared, round(e0 / e, 6) AS h0, round(e1 / e, 6) AS h1, round(e2 / e, 6) AS h2,
-           round(e3 / e, 6) AS h3, round(e4 / e, 6) AS h4 FROM (SELECT *, e0 + e1 + e2 + e3 + e4 AS e FROM h)
-    """
-)
+#: Totals of a locus over all its variants, only the shared cause over the overlaps.
+COLOC_SQL = f"""
+    WITH t AS (SELECT locus, any_value(m) + ln(sum(exp(log_bf - m))) AS l, count(*) AS n
+               FROM (SELECT locus, log_bf, max(log_bf) OVER (PARTITION BY locus) AS m FROM ({_BF})) GROUP BY locus),
+    m AS (SELECT *, max(l1 + l2) OVER (PARTITION BY left_locus, right_locus) AS m12 FROM ({_OVERLAPS})),
+    s AS (SELECT left_locus, right_locus, count(*) AS n_shared, sum(left_pip * right_pip) AS clpp,
+                 any_value(m12) + ln(sum(exp(l1 + l2 - m12))) AS c FROM m GROUP BY left_locus, right_locus),
+    h AS (SELECT left_locus, right_locus, n_shared, clpp, 1.0 AS e0, exp(a.l + ln(1e-4)) AS e1, exp(b.l + ln(1e-4)) AS e2,
+                 CASE WHEN greatest(a.n, b.n) > 1 AND c < a.l + b.l
+                      THEN exp(a.l + b.l + ln(1 - exp(c - a.l - b.l)) + ln(1e-8)) ELSE 0 END AS e3,
+                 exp(c + ln(1e-5)) AS e4
+          FROM s JOIN t a ON a.locus = left_locus JOIN t b ON b.locus = right_locus),
+    coloc AS (
+      SELECT left_locus, right_locus, n_shared, round(clpp, 8) AS clpp, round(e0 / e, 6) AS h0, round(e1 / e, 6) AS h1,
+             round(e2 / e, 6) AS h2, round(e3 / e, 6) AS h3, round(e4 / e, 6) AS h4
+      FROM (SELECT *, e0 + e1 + e2 + e3 + e4 AS e FROM h))"""
+
+
+@query(f"{COLOC_SQL} SELECT left_locus, right_locus, n_shared, h0, h1, h2, h3, h4 FROM coloc")
 def coloc(t):
-    rows = posteriors.coloc(overlaps(t))
+    rows = posteriors.coloc(overlaps(t), credible_rows(t), locus="locus", log_bf="log_bf")
     return rows.select(
         "left_locus", "right_locus", "n_shared", *[F.round(f"h{i}", 6).alias(f"h{i}") for i in range(5)]
     )

@@ -120,15 +120,17 @@ def locus_breaker_step(t):
 
 
 @query(
-    f"""
-    SELECT method, count(*) AS n, sum(n_shared)::BIGINT AS n_shared FROM (
-      SELECT left_locus, right_locus, count(*) AS n_shared FROM ({g._OVERLAPS}) GROUP BY ALL),
-      (VALUES ('eCAVIAR'), ('COLOC')) m(method) GROUP BY method
+    f"""{g.COLOC_SQL}
+    SELECT left_locus, right_locus, n_shared, method, CASE WHEN method = 'eCAVIAR' THEN clpp END AS clpp,
+           CASE WHEN method = 'COLOC' THEN h0 END AS h0, CASE WHEN method = 'COLOC' THEN h1 END AS h1,
+           CASE WHEN method = 'COLOC' THEN h2 END AS h2, CASE WHEN method = 'COLOC' THEN h3 END AS h3,
+           CASE WHEN method = 'COLOC' THEN h4 END AS h4
+    FROM coloc, (VALUES ('eCAVIAR'), ('COLOC')) m(method)
     """
 )
 def colocalisation(t):
-    rows = steps.colocalisation(g.overlaps(t))
-    return rows.groupBy("method").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shared").alias("n_shared"))
+    rows = steps.colocalisation(g.overlaps(t), g.credible_rows(t), locus="locus", log_bf="log_bf")
+    return rows.withColumns({"clpp": F.round("clpp", 8), **{f"h{i}": F.round(f"h{i}", 6) for i in range(5)}})
 
 
 @query(

@@ -126,11 +126,15 @@ def locus_breaker_step(
     return intervals.exclude_region(split, "lead_pos", *excluded) if excluded else split
 
 
-def colocalisation(overlaps: DataFrame) -> DataFrame:
-    """Both methods over one set of overlaps, told apart by a method column."""
-    first = posteriors.ecaviar(overlaps).withColumn("method", F.lit("eCAVIAR"))
-    second = posteriors.coloc(overlaps).withColumn("method", F.lit("COLOC"))
-    return first.unionByName(second, allowMissingColumns=True)
+def colocalisation(overlaps: DataFrame, rows: DataFrame, *, locus: str, log_bf: str) -> DataFrame:
+    """Both methods from one aggregate of the overlaps, told apart by a method column.
+
+    ``rows`` holds all variants of the loci. Columns of the other method are null.
+    """
+    both = posteriors.coloc(overlaps, rows, locus=locus, log_bf=log_bf, pips=("left_pip", "right_pip"))
+    methods = both.withColumn("method", F.explode(F.array(F.lit("eCAVIAR"), F.lit("COLOC"))))
+    own = {"clpp": "eCAVIAR", **{f"h{i}": "COLOC" for i in range(5)}}
+    return methods.withColumns({c: F.when(F.col("method") == m, F.col(c)) for c, m in own.items()})
 
 
 def credible_set_validation(

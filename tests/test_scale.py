@@ -230,15 +230,22 @@ def test_overlaps_of_a_hot_variant(spark, block):
 
 
 def test_coloc(spark):
-    rows = [(1, 2, "x", 4.0, 5.0), (1, 2, "y", 1.0, 700.0), (1, 3, "x", 4.0, 9.0)]
-    df = spark.createDataFrame(rows, "left_locus int, right_locus int, variant string, left_log_bf double, right_log_bf double")
-    got = {r["right_locus"]: r for r in posteriors.coloc(df).collect()}
+    pairs = [(1, 2, "x", 4.0, 5.0, 0.5, 0.25), (1, 2, "y", 1.0, 700.0, 0.5, 0.5), (3, 4, "x", 4.0, 9.0, 1.0, 1.0)]
+    df = spark.createDataFrame(
+        pairs,
+        "left_locus int, right_locus int, variant string, left_log_bf double, right_log_bf double, p double, q double",
+    )
+    # loci 1 and 2 have variants that they do not share
+    whole = {1: [4.0, 1.0, 6.0], 2: [5.0, 700.0, 699.0], 3: [4.0], 4: [9.0]}
+    rows = spark.createDataFrame([(k, v) for k, x in whole.items() for v in x], "locus int, bf double")
+    found = posteriors.coloc(df, rows, locus="locus", log_bf="bf", pips=("p", "q")).collect()
+    got = {r["right_locus"]: r for r in found}
     for r in got.values():
         assert abs(sum(r[f"h{i}"] for i in range(5)) - 1) < 1e-12
-    assert got[3]["h3"] == 0.0
-    l1, l2 = np.array([4.0, 1.0]), np.array([5.0, 700.0])
+    assert got[4]["h3"] == 0.0
+    assert abs(got[2]["clpp"] - 0.375) < 1e-12 and got[2]["n_shared"] == 2
     lse = lambda x: x.max() + np.log(np.exp(x - x.max()).sum())
-    s1, s2, s12 = lse(l1), lse(l2), lse(l1 + l2)
+    s1, s2, s12 = lse(np.array(whole[1])), lse(np.array(whole[2])), lse(np.array([9.0, 701.0]))
     h = np.array([
         0.0, math.log(1e-4) + s1, math.log(1e-4) + s2,
         2 * math.log(1e-4) + s1 + s2 + math.log1p(-math.exp(s12 - s1 - s2)), math.log(1e-5) + s12,
