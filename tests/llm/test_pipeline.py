@@ -1,8 +1,11 @@
 """The pipeline's stages on small data: what goes, what stays, and the columns."""
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 
 FOLDER = "/root/testdata/sf0.001"
+#: Names that operators may use for columns of their own.
+CLASHES = ["id", "node", "root", "component", "kept", "n_shingles", "grp", "copy", "n", "size", "spans", "lang_pred", "block", "quality"]
 
 
 def test_stages_decide_and_keep_the_columns(spark):
@@ -21,5 +24,28 @@ def test_stages_decide_and_keep_the_columns(spark):
 
 def test_an_empty_table_stays_empty(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(0)
-    for _, stage in corpus_pipeline.STAGES[1:]:
+    for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, FOLDER).count() == 0
+
+
+def test_odd_rows_and_clashing_names(spark):
+    """Nulls in every column, a null key, repeated rows, a very long text and columns with the operators' own names."""
+    given = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    odd = spark.createDataFrame(
+        [
+            (900_001, None, "en", "src0", None), (900_002, "", None, None, 0), (None, "the words of a row without a key", "en", "src0", 32),
+            (900_003, "a word or two " * 60_000, "en", None, 840_000), (900_004, "once more the same words in this row", None, "src1", 36),
+            (900_004, "once more the same words in this row", None, "src1", 36), (None, None, None, None, None),
+        ],
+        given.schema,
+    )
+    extra = {name: F.concat(F.lit(f"{name}-"), F.coalesce("doc_id", F.lit(-1))) for name in CLASHES}
+    docs = corpus_pipeline.settle(given.unionByName(odd).withColumns(extra), "odd")
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.settle(stage(spark, docs, FOLDER), name)
+        assert docs.columns == columns
+        for clash in CLASHES:
+            assert docs.where(F.col(clash) != F.concat(F.lit(f"{clash}-"), F.coalesce("doc_id", F.lit(-1)))).isEmpty()
+    assert docs.where("text is null").isEmpty()
+    assert docs.groupBy("doc_id").count().where("doc_id is not null and count > 1").isEmpty()
