@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from locusforge.operators.loci import expand_ld
 from locusforge.operators.scale import first_by, nest_rows
+from locusforge.operators.validation import palindromic
 
 # Population codes of the LD index.
 LD_POPULATIONS = ("afr", "amr", "asj", "eas", "est", "fin", "nfe", "nwe", "seu")
@@ -66,13 +67,10 @@ def harmonise_sumstats(
     condition = (F.col(ref) == F.col("__ref")) & (F.col(alt) == F.col("__alt"))
     for p in position:
         condition = condition & (F.col(p) == F.col(f"__p_{p}"))
-    pair = F.concat(F.col(ref), F.col(alt))
-    # Allele pairs that read the same on both strands.
-    palindromic = pair.isin("AT", "TA", "CG", "GC")
     return (
         raw.join(renamed, condition, "inner")
         .withColumn(beta, F.when(F.col("flipped"), -F.col(beta)).otherwise(F.col(beta)))
-        .withColumn("palindromic", palindromic)
+        .withColumn("palindromic", palindromic(F.col(ref), F.col(alt)))
         .withColumn("__swap", F.col(ref))
         .withColumn(ref, F.when(F.col("flipped"), F.col(alt)).otherwise(F.col(ref)))
         .withColumn(alt, F.when(F.col("flipped"), F.col("__swap")).otherwise(F.col(alt)))

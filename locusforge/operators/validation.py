@@ -34,6 +34,13 @@ CREDIBLE_SET_REASONS = (
     "WINDOW_CLUMPED",
     "NON_MAPPED_VARIANT_FLAG",
 )
+# Allele pairs that read the same on both strands.
+PALINDROMES = ("AT", "TA", "CG", "GC")
+
+
+def palindromic(ref: Column, alt: Column) -> Column:
+    """Whether an allele pair reads the same on both strands."""
+    return F.concat(ref, alt).isin(*PALINDROMES)
 
 
 def qc_flags(df: DataFrame, rules: Mapping[str, Column], out: str = "qualityControls") -> DataFrame:

@@ -133,26 +133,80 @@ def colocalisation(t):
     return rows.withColumns({"clpp": F.round("clpp", 8), **{f"h{i}": F.round(f"h{i}", 6) for i in range(5)}})
 
 
+_SETS = """
+    SELECT l_orderkey, l_linenumber, l_orderkey || ':' || l_linenumber AS locus, l_suppkey AS study, l_partkey AS variant,
+           CASE WHEN l_quantity < 50 THEN l_returnflag END AS chrom, l_partkey * 10 AS pos, l_partkey * 10 - 2 AS s,
+           l_partkey * 10 + 2 AS e, substr('ACGT', (l_linenumber % 4 + 1)::INTEGER, 1) AS ref,
+           substr('ACGT', (l_orderkey % 4 + 1)::INTEGER, 1) AS alt, l_extendedprice / 10000 AS value, l_tax,
+           CASE WHEN l_discount < 0.03 THEN 'SuSiE' WHEN l_discount < 0.06 THEN 'PICS' ELSE 'PICS top hit' END AS method
+    FROM lineitem"""
+_SETS_PLACED = f"""
+    SELECT study || chrom AS k, study, chrom, variant AS event_id, pos, value FROM ({_SETS}) WHERE chrom IS NOT NULL"""
+
+
 @query(
-    """
-    SELECT l_orderkey, l_linenumber, reasons = '' AS valid, reasons FROM (
-      SELECT l_orderkey, l_linenumber, concat_ws(',',
-        CASE WHEN count(*) OVER (PARTITION BY l_orderkey) > 1 THEN 'DUPLICATED_STUDYLOCUS_ID' END,
-        CASE WHEN l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) THEN 'MISSING_STUDY' END,
-        CASE WHEN l_extendedprice < 20000 THEN 'SUBSIGNIFICANT_FLAG' END,
-        CASE WHEN l_returnflag = 'A' AND l_partkey BETWEEN 500 AND 900 THEN 'IN_MHC' END,
-        CASE WHEN l_linestatus = 'F' THEN 'WINDOW_CLUMPED' END) AS reasons FROM lineitem)
+    f"""
+    WITH RECURSIVE picked AS ({g._greedy_sql(_SETS_PLACED, "k", 2, 100)}),
+    rows AS ({_SETS}),
+    leads AS (SELECT study, variant, max(value) AS value FROM rows GROUP BY study, variant),
+    d AS (SELECT * FROM ({g._LD}) WHERE r * r >= 0.5),
+    clumped AS (SELECT DISTINCT a.study, a.variant FROM leads a JOIN d ON d.tag = a.variant
+                JOIN leads b ON b.variant = d.variant AND b.study = a.study
+                WHERE b.value > a.value OR (b.value = a.value AND b.variant < a.variant)),
+    studies AS (SELECT s_suppkey AS study, count(*) > 1 AS ambiguous, bool_or(s_acctbal < 1000) AS failed FROM (
+                  SELECT * FROM supplier UNION ALL SELECT * FROM supplier WHERE s_nationkey < 4) WHERE s_suppkey % 7 <> 0 GROUP BY 1),
+    known AS (SELECT p_partkey, substr('ACGT', (p_size % 4 + 1)::INTEGER, 1) AS kref,
+                     substr('ACGT', (p_partkey % 4 + 1)::INTEGER, 1) AS kalt FROM part WHERE p_size < 45),
+    f AS (SELECT rows.*, concat_ws(',',
+        CASE WHEN count(*) OVER (PARTITION BY locus) > 1 THEN 'DUPLICATED_STUDYLOCUS_ID' END,
+        CASE WHEN ambiguous THEN 'AMBIGUOUS_STUDY' END,
+        CASE WHEN failed THEN 'FAILED_STUDY' END,
+        CASE WHEN studies.study IS NULL THEN 'MISSING_STUDY' END,
+        CASE WHEN chrom IS NULL THEN 'NO_GENOMIC_LOCATION_FLAG' END,
+        CASE WHEN l_tax >= 0.07 THEN 'COMPOSITE_FLAG' END,
+        CASE WHEN ref <> kref OR alt <> kalt THEN 'INCONSISTENCY_FLAG' END,
+        CASE WHEN ref || alt IN ('AT', 'TA', 'CG', 'GC') THEN 'PALINDROMIC_ALLELE_FLAG' END,
+        CASE WHEN value < 2 THEN 'SUBSIGNIFICANT_FLAG' END,
+        CASE WHEN clumped.study IS NOT NULL THEN 'LD_CLUMPED' END,
+        CASE WHEN chrom = 'N' AND pos BETWEEN 5000 AND 9000 THEN 'IN_MHC' END,
+        CASE WHEN method = 'PICS top hit' AND EXISTS (SELECT 1 FROM rows o WHERE o.study = rows.study AND o.method = 'PICS'
+             AND o.s <= rows.e AND rows.s <= o.e) THEN 'REDUNDANT_PICS_TOP_HIT' END,
+        CASE WHEN method <> 'SuSiE' AND EXISTS (SELECT 1 FROM rows o WHERE o.study = rows.study AND o.method = 'SuSiE'
+             AND o.s <= rows.e AND rows.s <= o.e) THEN 'EXPLAINED_BY_SUSIE' END,
+        CASE WHEN chrom IS NOT NULL AND value >= 2 AND NOT EXISTS (
+             SELECT 1 FROM picked WHERE picked.k = rows.study || chrom AND lead_id = rows.variant) THEN 'WINDOW_CLUMPED' END,
+        CASE WHEN p_partkey IS NULL THEN 'NON_MAPPED_VARIANT_FLAG' END) AS reasons
+      FROM rows LEFT JOIN studies ON studies.study = rows.study LEFT JOIN known ON p_partkey = rows.variant
+      LEFT JOIN clumped ON clumped.study = rows.study AND clumped.variant = rows.variant)
+    SELECT l_orderkey, l_linenumber, variant, reasons = '' AS valid, reasons FROM f
     """
 )
 def credible_set_validation(t):
-    studies = t.supplier.where("s_acctbal > 0").select(F.col("s_suppkey").alias("l_suppkey"))
+    def base(number):
+        return F.substring(F.lit("ACGT"), (number % 4 + 1).cast("int"), F.lit(1))
+
+    cut = F.when(F.col("l_discount") < 0.03, "SuSiE").when(F.col("l_discount") < 0.06, "PICS").otherwise("PICS top hit")
+    place = F.col("l_partkey") * 10
+    sets = t.lineitem.select(
+        "l_orderkey", "l_linenumber", F.concat_ws(":", "l_orderkey", "l_linenumber").alias("locus"),
+        F.col("l_suppkey").alias("study"), F.col("l_partkey").alias("variant"),
+        F.when(F.col("l_quantity") < 50, F.col("l_returnflag")).alias("chrom"), place.alias("pos"),
+        (place - 2).alias("s"), (place + 2).alias("e"), base(F.col("l_linenumber")).alias("ref"),
+        base(F.col("l_orderkey")).alias("alt"), (F.col("l_extendedprice") / 10000).alias("value"), "l_tax",
+        cut.alias("method"),
+    )
+    studies = t.supplier.unionByName(t.supplier.where("s_nationkey < 4")).where("s_suppkey % 7 <> 0")
+    known = t.part.where("p_size < 45").select(
+        F.col("p_partkey").alias("variant"), base(F.col("p_size")).alias("ref"), base(F.col("p_partkey")).alias("alt")
+    )
     good, bad = steps.credible_set_validation(
-        t.lineitem, studies, locus="l_orderkey", study="l_suppkey", chromosome="l_returnflag", position="l_partkey",
-        strength="l_extendedprice", threshold=20000, mhc=("A", 500, 900),
-        extra={"WINDOW_CLUMPED": F.col("l_linestatus") == "F"},
+        sets, studies.withColumnRenamed("s_suppkey", "study"), known, g.ld_pairs(t).drop("population"), locus="locus",
+        study="study", variant="variant", chromosome="chrom", position="pos", start="s", end="e", ref="ref", alt="alt",
+        strength="value", method="method", composite=F.col("l_tax") >= 0.07, failed=F.col("s_acctbal") < 1000,
+        threshold=2, mhc=("N", 5000, 9000), width=100, distance=100,
     )
     rows = good.withColumn("valid", F.lit(True)).unionByName(bad.withColumn("valid", F.lit(False)))
-    return rows.select("l_orderkey", "l_linenumber", "valid", joined("qualityControls").alias("reasons"))
+    return rows.select("l_orderkey", "l_linenumber", "variant", "valid", joined("qualityControls").alias("reasons"))
 
 
 @query(

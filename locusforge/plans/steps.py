@@ -140,29 +140,85 @@ def colocalisation(overlaps: DataFrame, rows: DataFrame, *, locus: str, log_bf:
 def credible_set_validation(
     sets: DataFrame,
     studies: DataFrame,
+    known: DataFrame,
+    ld: DataFrame,
     *,
     locus: str,
     study: str,
+    variant: str,
     chromosome: str,
     position: str,
+    start: str,
+    end: str,
+    ref: str,
+    alt: str,
     strength: str,
+    method: str,
+    composite: Column,
+    failed: Column,
     threshold: float,
     mhc: tuple,
-    extra: dict[str, Column] | None = None,
+    width: float,
+    distance: int = loci.CLUMP_DISTANCE,
+    min_r2: float = 0.5,
+    susie: str = "SuSiE",
+    statistics: str = "PICS",
+    top_hits: str = "PICS top hit",
     invalid: Sequence[str] = validation.CREDIBLE_SET_REASONS,
 ) -> tuple[DataFrame, DataFrame]:
-    """Valid and invalid credible sets with their reasons."""
-    rows = manifests.duplicate_flag(sets, [locus], "__repeated")
-    rows = validation.resolve(rows, studies, study, study, "__missing")
+    """Valid and invalid credible sets with their reasons, all fifteen of them.
+
+    ``studies`` may list a study more than once (ambiguous) and marks those that
+    ``failed`` their own validation. ``known`` has one row per variant with its
+    alleles, to which those of the set are held. A lead is LD clumped by a
+    stronger one of its study, window clumped if it is significant but leads no
+    window. A set of another method that overlaps a ``susie`` one of its study
+    is explained by it; one of ``top_hits`` is redundant beside one of
+    ``statistics``. A rule whose columns are null does not hold.
+    """
+    index = studies.groupBy(F.col(study).alias("__study")).agg(
+        (F.count(F.lit(1)) > 1).alias("__ambiguous"), F.bool_or(failed).alias("__failed")
+    )
+    rows = manifests.duplicate_flag(sets, [locus], "__repeated").join(index, F.col(study) == F.col("__study"), "left")
+    alleles = known.select(variant, F.col(ref).alias("__ref"), F.col(alt).alias("__alt"))
+    rows = annotate.map_to_variants(rows, alleles, {variant: variant}, ["__ref", "__alt"], "__unmapped")
+    leads = sets.groupBy(study, variant).agg(F.max(strength).alias(strength))
+    clumped = loci.ld_clump(leads, ld, study=study, variant=variant, strength=strength, min_r2=min_r2)
+    clumped = clumped.where("ld_clumped").select(
+        F.col(study).alias("__s"), F.col(variant).alias("__v"), F.lit(True).alias("__clumped")
+    )
+    rows = rows.join(clumped, (F.col(study) == F.col("__s")) & (F.col(variant) == F.col("__v")), "left").drop("__s", "__v")
+    located = F.col(chromosome).isNotNull() & F.col(position).isNotNull()
+    windows = loci.window_clump(
+        sets.where(located), [study, chromosome], position=position, strength=strength, tie=variant, distance=distance,
+        threshold=threshold,
+    ).select(F.col(study).alias("__s"), F.col(chromosome).alias("__c"), F.col("lead_id").alias("__v"), F.lit(True).alias("__leads"))
+    same = (F.col(study) == F.col("__s")) & (F.col(chromosome) == F.col("__c")) & (F.col(variant) == F.col("__v"))
+    rows = rows.join(windows.distinct(), same, "left").drop("__s", "__c", "__v")
+    # whether a set overlaps another depends on nothing else
+    rows = rows.withColumn("__at", F.struct(study, start, end))
+    for better, flag in ((susie, "__susie"), (statistics, "__statistics")):
+        rows = loci.explained_by(
+            rows, sets.where(F.col(method) == better), locus="__at", by=[study], start=start, end=end, width=width, out=flag
+        )
     rules = {
         "DUPLICATED_STUDYLOCUS_ID": F.col("__repeated"),
-        "MISSING_STUDY": F.col("__missing"),
-        "NO_GENOMIC_LOCATION_FLAG": F.col(chromosome).isNull() | F.col(position).isNull(),
+        "AMBIGUOUS_STUDY": F.col("__ambiguous"),
+        "FAILED_STUDY": F.col("__failed"),
+        "MISSING_STUDY": F.col(study).isNotNull() & F.col("__study").isNull(),
+        "NO_GENOMIC_LOCATION_FLAG": ~located,
+        "COMPOSITE_FLAG": composite,
+        "INCONSISTENCY_FLAG": (F.col(ref) != F.col("__ref")) | (F.col(alt) != F.col("__alt")),
+        "PALINDROMIC_ALLELE_FLAG": validation.palindromic(F.col(ref), F.col(alt)),
         "SUBSIGNIFICANT_FLAG": F.col(strength) < threshold,
+        "LD_CLUMPED": F.col("__clumped"),
         "IN_MHC": (F.col(chromosome) == mhc[0]) & F.col(position).between(mhc[1], mhc[2]),
-        **(extra or {}),
+        "REDUNDANT_PICS_TOP_HIT": (F.col(method) == top_hits) & F.col("__statistics"),
+        "EXPLAINED_BY_SUSIE": (F.col(method) != susie) & F.col("__susie"),
+        "WINDOW_CLUMPED": located & (F.col(strength) >= threshold) & F.col("__leads").isNull(),
+        "NON_MAPPED_VARIANT_FLAG": F.col("__unmapped"),
     }
-    flagged = validation.qc_flags(rows, rules).drop("__repeated", "__missing")
+    flagged = validation.qc_flags(rows, rules).select(*sets.columns, "qualityControls")
     return validation.split_valid(flagged, invalid)
 
 
