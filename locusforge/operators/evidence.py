@@ -225,9 +225,13 @@ def association_facts(evidence: DataFrame, columns: Sequence[str], facets: Mappi
     return evidence.select(*columns, *[c.alias(n) for n, c in facets.items()])
 
 
-def write_association_facts(facts: DataFrame, path: str, target: str) -> None:
-    """Facts clustered by target, so that a lookup of one target reads few files."""
-    facts.repartitionByRange(target).sortWithinPartitions(target).write.mode("overwrite").parquet(path)
+def write_association_facts(facts: DataFrame, path: str, target: str, order: Sequence[str]) -> None:
+    """Facts clustered by target, so that a lookup of one target reads few files.
+
+    The further columns of the order spread a target of very many facts over as many tasks and files as it needs.
+    """
+    keys = [target, *order]
+    facts.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
 
 
 def gene_index(targets: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from statistics import NormalDist
 
 import numpy as np
@@ -101,7 +102,8 @@ def _wide_effects(
 
     State is one row per (locus, variant) with an array of the products of
     probability and mean, one entry per effect. The effect of the others on a
-    variant is a sum over its LD partners.
+    variant is a sum over its LD partners. A locus leaves the rounds when its
+    own fit has settled, so its result does not depend on the other loci.
     """
     shrink = prior / (1.0 + prior)
     both = ld.select("locus", "variant_a", "variant_b", "r").unionByName(
@@ -110,6 +112,7 @@ def _wide_effects(
     both = cut_lineage(both)
     zero = F.array_repeat(F.lit(0.0), effects)
     state = rows.select("locus", "variant", "z", zero.alias("b"), zero.alias("alpha"), zero.alias("lbf"))
+    settled = []
     for _ in range(sweeps):
         state = state.withColumn("old", F.col("alpha"))
         for k in range(effects):
@@ -147,9 +150,14 @@ def _wide_effects(
                 )
             )
         moved = F.array_max(F.zip_with("alpha", "old", lambda a, o: F.abs(a - o)))
-        if state.agg(F.max(moved)).first()[0] < tol:
+        at_rest = cut_lineage(state.groupBy("locus").agg((F.max(moved) < tol).alias("rest")))
+        if at_rest.where("rest").isEmpty():
+            continue
+        settled.append(state.join(at_rest.where("rest"), "locus", "left_semi"))
+        state = state.join(at_rest.where("not rest"), "locus", "left_semi")
+        if at_rest.where("not rest").isEmpty():
             break
-    return state
+    return reduce(DataFrame.unionByName, settled, state)
 
 
 def _wide_sets(state: DataFrame, ld: DataFrame, settings: dict) -> DataFrame:
@@ -206,13 +214,14 @@ def finemap_loci(
 ) -> DataFrame:
     """Credible sets per locus: ``locus, effect, variant, alpha, log_bf, pip``.
 
-    ``rows`` holds locus, variant (texts) and z, one row per variant and locus;
+    ``rows`` holds locus, variant (texts) and z; of several rows of a variant in a locus the strongest counts;
     ``ld`` holds locus, variant_a, variant_b, r, pairs not listed count as 0.
     ``prior`` is the prior variance of an effect on the z scale. Loci whose
     strongest signal is below ``lead_neglog10`` are left out. A locus of up to
     ``task_variants`` is solved in a task; wider ones by joins over all such
     loci at once.
     """
+    rows = rows.groupBy("locus", "variant").agg(F.max_by("z", F.struct(F.abs("z"), "z")).alias("z"))
     sizes = rows.groupBy("locus").agg(F.count(F.lit(1)).alias("n"), F.max(F.abs("z")).alias("top"))
     if lead_neglog10 is not None:
         least = -NormalDist().inv_cdf(10.0**-lead_neglog10 / 2.0)

@@ -56,11 +56,9 @@ def merge_variants(
     keys: Sequence[str] = VARIANT_KEYS,
     tie_break: Sequence[Column] = (),
 ) -> DataFrame:
-    """Union and deduplicate. Without tie-break columns only the keys are kept."""
+    """Union and the first whole row per key, by the tie-break or else by all other columns in turn."""
     rows = union_sources(frames)
-    if not tie_break:
-        return rows.select(*keys).distinct()
-    return dedup_first(rows, keys, tie_break)
+    return dedup_first(rows, keys, tie_break or [F.col(c) for c in rows.columns if c not in keys])
 
 
 def chunk_sorted(

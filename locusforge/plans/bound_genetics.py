@@ -29,7 +29,11 @@ def variant_sources(t):
 
 
 _VARIANTS = """
-    SELECT DISTINCT l_suppkey::VARCHAR AS chrom, l_partkey AS pos, l_returnflag AS ref, l_linestatus AS alt FROM lineitem"""
+    SELECT l_suppkey::VARCHAR AS chrom, l_partkey AS pos, l_returnflag AS ref, l_linestatus AS alt, min(l_orderkey::VARCHAR) AS info
+    FROM lineitem GROUP BY l_suppkey, l_partkey, l_returnflag, l_linestatus"""
+WHOLE = """
+    chrom AS "#CHROM", pos AS "POS", concat_ws('_', chrom, pos, ref, alt) AS "ID", ref AS "REF", alt AS "ALT", '.' AS "QUAL",
+    '.' AS "FILTER", info AS "INFO\""""
 _NUMBERED = f"""
     SELECT *, row_number() OVER (ORDER BY chrom, pos, ref, alt) - 1 AS rn FROM ({_VARIANTS})"""
 
@@ -75,21 +79,17 @@ def dedup_first(t):
     return variants.dedup_first(t.lineitem.select(*keys, *rest), keys, [F.col(c) for c in rest])
 
 
-@query(f"SELECT chrom AS \"#CHROM\", pos AS \"POS\", ref AS \"REF\", alt AS \"ALT\" FROM ({_VARIANTS})")
+@query(f"SELECT {WHOLE} FROM ({_VARIANTS})")
 def sort_variants(t):
     return variants.sort_variants(merged(t))
 
 
-@query(f"SELECT count(*) AS n, count(DISTINCT chrom) AS n_chrom, sum(pos)::BIGINT AS positions FROM ({_VARIANTS})")
+@query(f"SELECT {WHOLE} FROM ({_VARIANTS})")
 def merge_variants(t):
-    tie = [F.col("INFO")]
-    rows = variants.merge_variants(list(variant_sources(t).values()), tie_break=tie)
-    return rows.agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("#CHROM").alias("n_chrom"), F.sum("POS").alias("positions")
-    )
+    return variants.merge_variants(list(variant_sources(t).values()), tie_break=[F.col("INFO")])
 
 
-@query(f"SELECT chrom AS \"#CHROM\", pos AS \"POS\", ref AS \"REF\", alt AS \"ALT\", rn AS \"row\", rn // 2000 AS chunk FROM ({_NUMBERED})")
+@query(f"SELECT {WHOLE}, rn AS \"row\", rn // 2000 AS chunk FROM ({_NUMBERED})")
 def chunk_sorted(t):
     return variants.chunk_sorted(merged(t), [F.col(k) for k in variants.VARIANT_KEYS])
 

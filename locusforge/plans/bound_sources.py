@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from locusforge.operators import evidence, manifests, validation, variants
 from locusforge.operators.scale import nest_rows
 from locusforge.plans.bound_functions import FIRST_EXIT_SQL, log_entries
-from locusforge.plans.bound_genetics import merged
+from locusforge.plans.bound_genetics import _NUMBERED, _VARIANTS, WHOLE, merged
 from locusforge.plans.bound_manifests import known_studies, raw_studies
 from locusforge.plans.registry import query
 from locusforge.session import scratch_path
@@ -52,38 +52,28 @@ def list_objects(t):
     ).agg((F.sum("length") > 0).alias("has_bytes"))
 
 
-_VARIANT_ROWS = """
-    SELECT DISTINCT l_suppkey::VARCHAR AS "#CHROM", l_partkey AS "POS", l_returnflag AS "REF", l_linestatus AS "ALT" FROM lineitem"""
-
-
 def _variant_file_rows(t):
-    rows = merged(t)
-    for name in ("ID", "QUAL", "FILTER", "INFO"):
-        rows = rows.withColumn(name, F.lit("."))
-    return rows.select(*variants.VARIANT_SCHEMA.fieldNames())
+    return merged(t).select(*variants.VARIANT_SCHEMA.fieldNames())
 
 
-@query(_VARIANT_ROWS)
+@query(f"SELECT {WHOLE} FROM ({_VARIANTS})")
 def read_variant_tsv(t):
     path = scratch_path(t.spark, "variants")
     _variant_file_rows(t).write.option("sep", "\t").option("header", "true").csv(path)
-    return readers.read_variant_tsv(t.spark, path, "*.csv").select("#CHROM", "POS", "REF", "ALT")
+    return readers.read_variant_tsv(t.spark, path, "*.csv")
 
 
 @query(
     f"""
-    SELECT (rn // 2000 * 2000 + 1) || '-' || (rn // 2000 * 2000 + 2000) AS chunk, count(*) AS n, sum("POS")::BIGINT AS positions
-    FROM (SELECT *, row_number() OVER (ORDER BY ALL) - 1 AS rn FROM ({_VARIANT_ROWS})) GROUP BY 1
-    """.replace("ORDER BY ALL", 'ORDER BY "#CHROM", "POS", "REF", "ALT"')
+    SELECT (rn // 2000 * 2000 + 1) || '-' || (rn // 2000 * 2000 + 2000) AS chunk, {WHOLE} FROM ({_NUMBERED})
+    """
 )
 def write_variant_chunks(t):
     path = scratch_path(t.spark, "chunks")
     order = [F.col(k) for k in variants.VARIANT_KEYS]
     sinks.write_variant_chunks(_variant_file_rows(t), path, order, 2000)
     back = t.spark.read.option("sep", "\t").option("header", "true").csv(path)
-    return back.groupBy("chunk").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("POS").cast("bigint")).alias("positions")
-    )
+    return back.withColumn("POS", F.col("POS").cast("bigint"))
 
 
 @query("SELECT url AS line FROM pages")
@@ -374,7 +364,7 @@ def write_by_chromosome(t):
 def write_association_facts(t):
     path = scratch_path(t.spark, "facts")
     facts = evidence.association_facts(t.lineitem, ["l_suppkey", "l_orderkey", "l_linenumber"], {})
-    evidence.write_association_facts(facts, path, "l_suppkey")
+    evidence.write_association_facts(facts, path, "l_suppkey", ["l_orderkey", "l_linenumber"])
     return t.spark.read.parquet(path).groupBy("l_suppkey").agg(
         F.count(F.lit(1)).alias("n"), F.sum("l_orderkey").alias("orders")
     )

@@ -281,6 +281,23 @@ def test_susie_by_joins_equals_susie_in_a_task(spark):
     assert {"v00", "v06"} <= {v for _, v in kinds["task"]}
 
 
+def test_wide_loci_settle_each_on_its_own(spark):
+    rows, pairs = susie_case(spark)
+    # the weak locus takes two sweeps more than the other
+    both = rows.unionByName(rows.withColumns({"locus": F.lit("weak"), "z": F.col("z") * 0.3}))
+    state = finemap._wide_effects(both, pairs.unionByName(pairs.withColumn("locus", F.lit("weak"))), 2, 50.0, tol=0.02)
+    got = state.select("locus", "variant", "alpha").collect()
+    ld = np.eye(12)
+    for r in pairs.collect():
+        i, j = int(r["variant_a"][1:]), int(r["variant_b"][1:])
+        ld[i, j] = ld[j, i] = r["r"]
+    z = np.array([r["z"] for r in sorted(rows.collect(), key=lambda r: r["variant"])])
+    for locus, scaled in (("L", z), ("weak", 0.3 * z)):
+        alpha, _ = finemap.susie(scaled, ld, 2, 50.0, tol=0.02)
+        mine = [r["alpha"] for r in sorted((r for r in got if r["locus"] == locus), key=lambda r: r["variant"])]
+        assert np.allclose(np.array(mine).T, alpha, atol=1e-9)
+
+
 def test_pics_lead_has_most(spark):
     df = spark.createDataFrame([("l", "lead", 9.0, 1.0), ("l", "near", 9.0, 0.9), ("l", "far", 9.0, 0.3)], "locus string, tag string, m double, r2 double")
     got = {r["tag"]: r["pip"] for r in posteriors.pics(df, ["locus"], lead_strength="m", r2="r2").collect()}
