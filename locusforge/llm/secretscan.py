@@ -33,13 +33,20 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]{16,}"),
     Rule("hex", r"[0-9a-f]{24,}"),
 )
+_KEY = r"(?:[A-Z]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----"
+#: What stands between lines of a key, also in quoted or escaped ones. Possessive repeats take no stack in the JVM.
+_GAP = r"""(?:[\s"'+,>#]|\\[rnt])*+"""
+_HEADS = rf"(?:{_GAP}[A-Z][A-Za-z]*(?:-[A-Z][A-Za-z]*)?:\x20[^\r\n\\]*+)*+"
+_BODY = rf"(?:{_GAP}[A-Za-z0-9+/]{{24,}}+={{0,2}})*+"
+_LAST = rf"""(?:{_GAP}[A-Za-z0-9+/]+={{0,2}}(?=[\x20\t"',]*(?:[\r\n\\]|$)))?"""
 EXTRA = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("gitlab", r"glpat-[A-Za-z0-9_-]{20,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("private_key", r"-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----"),
+    # the whole key: up to its END line, or, before the next BEGIN, header lines and lines of base64 as far as they go
+    Rule("private_key", f"-----BEGIN {_KEY}(?:(?:(?!-----BEGIN )[\\s\\S])*?-----END {_KEY}|{_HEADS}{_BODY}{_LAST})"),
 )
 RULES = (*BASE, *EXTRA)
 
