@@ -10,10 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusforge.llm.frames import mapped, settle
@@ -24,6 +25,10 @@ WINDOW = 8
 SHORTEST = 3
 #: Part of the benchmark text's windows that a document has to hold in one place.
 LEAST_SHARE = 0.5
+#: Words in a row that are held whatever their part of the benchmark text.
+RUN_WORDS = 13
+#: Words put in or left out between two parts of one copy.
+DRIFT = 8
 #: Bits of the filter that tells tasks which windows may be in the benchmark: 4 MiB whatever the benchmark's size.
 FILTER_BITS = 25
 
@@ -50,15 +55,52 @@ def _unit_hashes() -> np.ndarray:
 UNIT_HASHES = _unit_hashes()
 
 
-def template(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Template word, value and text limits of a chunk's words.
+class Reading(NamedTuple):
+    """One way to read texts: template words, their values (0 for plain words), their places among all words, text limits."""
+
+    token: np.ndarray
+    value: np.ndarray
+    word: np.ndarray
+    bounds: np.ndarray
+
+
+#: Names one by one; runs of names as one; and runs with the capitalised words that open sentences; words as they are.
+SINGLE, RUNS, OPENED, EXACT = READINGS = range(4)
+
+
+def _split_units(chunk: Chunk, words: Words) -> Words:
+    """``words`` with a listed unit that is glued to its number as a word of its own."""
+    data = chunk.data
+    if len(data) < 2 or not len(words.starts):
+        return words
+    digit = (data >= 48) & (data <= 57)
+    letter = _ALNUM[data] & ~digit
+    cut = np.flatnonzero(digit[:-1] & letter[1:]) + 1
+    if not len(cut):
+        return words
+    at = np.searchsorted(words.starts, cut, "right") - 1
+    left = np.stack([words.starts[at], cut], axis=1).ravel()
+    right = Words(cut, words.ends[at], np.array([0, len(cut)]))
+    value = word_hashes(LOWER[data], right, _ALNUM[data])
+    place = np.minimum(np.searchsorted(UNIT_HASHES, value), len(UNIT_HASHES) - 1)
+    glued = (UNIT_HASHES[place] == value) & (cut > words.starts[at]) & (sums(letter, left)[::2] == 0)
+    cut, at = cut[glued], at[glued]
+    ends = words.ends.copy()
+    ends[at] = cut
+    starts = np.insert(words.starts, at + 1, cut)
+    return Words(starts, np.insert(ends, at + 1, words.ends[at]), np.searchsorted(starts, chunk.limits))
+
+
+def readings(chunk: Chunk) -> list[Reading]:
+    """A chunk's words by each of ``READINGS``.
 
     A word is its letters and digits, lowered; one without any is left out. A
     number has only digits; a name starts with a capital, isn't all capitals and
-    doesn't follow the end of a sentence; a unit is a listed word after a
-    number. The value is the hash of the word, 0 unless it is a placeholder.
+    doesn't follow the end of a sentence (if ``OPENED`` it may); a unit is a
+    listed word after a number or glued to it. The value is the hash of the
+    word, or of the run of names, 0 unless it is a placeholder.
     """
-    words = word_limits(chunk)
+    words = _split_units(chunk, word_limits(chunk))
     data = chunk.data
     low = LOWER[data]
     kept = _ALNUM[data]
@@ -67,7 +109,7 @@ def template(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     full = np.flatnonzero(n_kept)
     bounds = np.searchsorted(full, words.bounds)
     if not len(full):
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), bounds
+        return [Reading(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), bounds)] * len(READINGS)
     own = Words(words.starts[full], words.ends[full], bounds)
     value = word_hashes(low, own, kept)
     spans = np.stack([own.starts, own.ends], axis=1).ravel()
@@ -83,13 +125,34 @@ def template(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     start[opening] = True
     head = data[first]
     upper = ((head >= 65) & (head <= 90)) | ((head == 0xC3) & (data[np.minimum(first + 1, len(data) - 1)] < 0x9F))
-    name = upper & ~start & ~number & (capitals * 2 < np.maximum(n_kept[full], 2))
+    opened = upper & ~number & (capitals * 2 < np.maximum(n_kept[full], 2))
+    name = opened & ~start
     unit = np.zeros(len(full), bool)
     at = np.minimum(np.searchsorted(UNIT_HASHES, value), len(UNIT_HASHES) - 1)
     unit[1:] = (UNIT_HASHES[at] == value)[1:] & number[:-1]
     unit[opening] = False
-    token = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, value)))
-    return token, np.where(number | name | unit, value, np.uint64(0)), bounds
+    place = np.arange(len(full)) - np.repeat(bounds[:-1], np.diff(bounds))
+
+    def read(names: np.ndarray) -> Reading:
+        names = names & ~unit
+        token = np.where(number, NUMBER, np.where(unit, UNIT, np.where(names, NAME, value)))
+        return Reading(token, np.where(number | names | unit, value, np.uint64(0)), place, bounds)
+
+    # a sentence's end parts names where the next word may be one of its own
+    whole = Reading(value, np.zeros(len(full), np.uint64), place, bounds)
+    return [read(name), _joined(read(name), start), _joined(read(opened), start), whole]
+
+
+def _joined(given: Reading, start: np.ndarray) -> Reading:
+    """``given`` with each run of names inside a sentence as one."""
+    name = given.token == NAME
+    more = np.zeros(len(name), bool)
+    more[1:] = name[1:] & name[:-1] & ~start[1:]
+    heads = np.flatnonzero(~more)
+    n = np.diff(np.append(heads, len(name)))
+    turn = np.arange(len(name)) - np.repeat(heads, n)
+    value = np.add.reduceat(np.where(turn > 0, mix(given.value + turn.astype(np.uint64)), given.value), heads)
+    return Reading(given.token[heads], value, given.word[heads], np.searchsorted(heads, given.bounds))
 
 
 def template_windows(token: np.ndarray, value: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,72 +169,83 @@ def template_windows(token: np.ndarray, value: np.ndarray, bounds: np.ndarray, s
     return mix(total[at]), at
 
 
-def _rows(keys: pa.Array, owner: np.ndarray, place: np.ndarray, size: int, hashes: np.ndarray, value: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-    slots = [value[i : i + size] for i in at.tolist()]
+def _rows(keys: pa.Array, owner: np.ndarray, reading: int, given: Reading, size: int, hashes: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    slots = [given.value[i : i + size] for i in at.tolist()]
     slots = [s[s != 0].view(np.int64).tolist() for s in slots]
     return pa.RecordBatch.from_arrays(
         [
             keys.take(pa.array(owner)),
-            pa.array(place.astype(np.int64)),
+            pa.array((at - given.bounds[owner]).astype(np.int64)),
+            pa.array(given.word[at].astype(np.int64)),
+            pa.array(np.full(len(at), reading, np.int64)),
             pa.array(np.full(len(at), size, np.int64)),
             pa.array(hashes.view(np.int64)),
             pa.array(slots, pa.list_(pa.int64())),
         ],
-        names=["key", "place", "size", "hash", "slots"],
+        names=["key", "place", "word", "reading", "size", "hash", "slots"],
     )
 
 
 def _item_windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for chunk in chunks(batch.column("text")):
-            token, value, bounds = template(chunk)
             keys = batch.column("key").slice(chunk.first, chunk.n)
-            lengths = np.diff(bounds)
-            for size in sorted({min(window, int(x)) for x in lengths if x >= SHORTEST}):
-                hashes, at = template_windows(token, value, bounds, size)
-                owner = np.searchsorted(bounds, at, "right") - 1
-                fits = (lengths[owner] >= window) if size == window else (lengths[owner] == size)
-                hashes, at, owner = hashes[fits], at[fits], owner[fits]
-                yield _rows(keys, owner, at - bounds[owner], size, hashes, value, at)
-
-
-def _text_windows(batches: Iterator[pa.RecordBatch], sizes: list[int], held: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for reading, given in enumerate(readings(chunk)):
+                lengths = np.diff(given.bounds)
+                least = 1 if reading == EXACT else SHORTEST
+                for size in sorted({min(window, int(x)) for x in lengths if x >= least}):
+                    hashes, at = template_windows(given.token, given.value, given.bounds, size)
+                    owner = np.searchsorted(given.bounds, at, "right") - 1
+                    fits = (lengths[owner] >= window) if size == window else (lengths[owner] == size)
+                    hashes, at, owner = hashes[fits], at[fits], owner[fits]
+                    yield _rows(keys, owner, reading, given, size, hashes, at)
+
+
+def _text_windows(batches: Iterator[pa.RecordBatch], sizes: list[tuple[int, int]], held: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Windows of documents that the filter says may be in the benchmark."""
     for batch in batches:
         for chunk in chunks(batch.column("text")):
-            token, value, bounds = template(chunk)
+            read = readings(chunk)
             keys = batch.column("key").slice(chunk.first, chunk.n)
-            for size in sizes:
-                hashes, at = template_windows(token, value, bounds, size)
+            for reading, size in sizes:
+                given = read[reading]
+                hashes, at = template_windows(given.token, given.value, given.bounds, size)
                 bit = hashes >> np.uint64(64 - FILTER_BITS)
                 hit = (held[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
                 hashes, at = hashes[hit], at[hit]
-                owner = np.searchsorted(bounds, at, "right") - 1
-                yield _rows(keys, owner, at - bounds[owner], size, hashes, value, at)
+                owner = np.searchsorted(given.bounds, at, "right") - 1
+                if size < SHORTEST:
+                    alone = np.diff(given.bounds)[owner] == size
+                    hashes, at, owner = hashes[alone], at[alone], owner[alone]
+                yield _rows(keys, owner, reading, given, size, hashes, at)
 
 
-WINDOW_SCHEMA = "key long, place long, size long, hash long, slots array<long>"
+WINDOW_SCHEMA = "key long, place long, word long, reading long, size long, hash long, slots array<long>"
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", window: int = WINDOW, least_share: float = LEAST_SHARE) -> DataFrame:
     """(key, item, place, n_windows, share, kind) of every benchmark text that a document holds.
 
-    A document holds a text if, at one place, it has at least ``least_share`` of
-    the text's template windows, and each value of the text always has the same
-    value in its stead. Kind is ``copy`` if no value differs, else
-    ``reworded``. The best place is returned: the one of most windows, then the
-    first.
-
-    A null or empty text holds and is nothing, and so does a benchmark text of
-    fewer than ``SHORTEST`` words. Rows of one key are one document whose places
-    are compared by number. Repeated benchmark texts are items of their own; an
-    item without a key is looked for under the null key. Null document keys are
-    left out, for the result would name none. Other columns are not read.
+    A document holds a text if, by one of ``READINGS``, it has at least
+    ``least_share`` of the text's template windows at one place or at places
+    that ``DRIFT`` or fewer words part from the next, or ``RUN_WORDS`` words in
+    a row whatever their share; and each value of the text always has the same
+    value in its stead there. Kind is ``copy`` if no value differs, else
+    ``reworded``. The best place is returned, counted in words: the one of most
+    windows, then the first.
+
+    A null or empty text holds and is nothing. A benchmark text of fewer than
+    ``SHORTEST`` words is held only by a document that is nothing else. Rows of
+    one key are one document whose places are compared by number. Repeated
+    benchmark texts are items of their own; an item without a key is looked for
+    under the null key. Null document keys are left out, for the result would
+    name none. Other columns are not read.
     """
     items = benchmark.select(F.col(item).cast("long").alias("key"), F.col(text).alias("text"))
     wanted = mapped(items, partial(_item_windows, window=window), WINDOW_SCHEMA)
     wanted = settle(wanted.distinct(), "item_windows")
-    sizes = sorted(r[0] for r in wanted.select("size").distinct().collect())  # at most as many as WINDOW
+    # at most as many as READINGS times WINDOW
+    sizes = sorted((r[0], r[1]) for r in wanted.select("reading", "size").distinct().collect())
     bits = wanted.select(F.shiftrightunsigned("hash", 64 - FILTER_BITS).alias("bit")).select(
         F.bitmap_bucket_number("bit").alias("bucket"), F.bitmap_bit_position("bit").alias("position")
     )
@@ -183,31 +257,44 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     found = mapped(rows, partial(_text_windows, sizes=sizes, held=held), WINDOW_SCHEMA)
     theirs = wanted.select(
-        F.col("key").alias("item"), F.col("place").alias("item_place"), "size", "hash", F.col("slots").alias("item_slots")
+        F.col("key").alias("item"), F.col("place").alias("item_place"), F.col("word").alias("item_word"),
+        "reading", "size", "hash", F.col("slots").alias("item_slots"),
+    )
+    met = found.join(theirs, ["reading", "size", "hash"]).select(
+        "key", "item", "reading", (F.col("place") - F.col("item_place")).alias("at"), (F.col("word") - F.col("item_word")).alias("word"),
+        "item_place", "slots", "item_slots",
+    )
+    # runs and neighbouring places are found inside the matches of one document with one item
+    one = Window.partitionBy("key", "item", "reading")
+    row = one.orderBy("at", "item_place")
+    far = F.coalesce(F.col("at") - F.lag("at").over(row) > DRIFT, F.lit(True)).cast("long")
+    run = F.col("item_place") - F.dense_rank().over(Window.partitionBy("key", "item", "reading", "at").orderBy("item_place"))
+    met = met.withColumn("run", run).withColumn("far", far)
+    near = F.sum("far").over(row.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    met = settle(met.withColumn("near", near).drop("far"), "matches")
+    none = F.lit(0).cast("long")
+    ways = [("place", F.col("at"), none), ("near", F.col("near"), none), ("run", F.col("at"), F.col("run"))]
+    ways = F.array(*[F.struct(F.lit(w).alias("way"), a.alias("a"), b.cast("long").alias("b")) for w, a, b in ways])
+    met = met.withColumn("g", F.explode(ways)).select("*", "g.way", "g.a", "g.b")
+    group = ["key", "item", "reading", "way", "a", "b"]
+    counts = met.groupBy(*group).agg(
+        F.count_distinct("item_place").alias("n_windows"), F.min(F.struct("item_place", "at", "word")).alias("first")
     )
-    met = found.join(theirs, ["size", "hash"]).select(
-        "key", "item", (F.col("place") - F.col("item_place")).alias("at"), "item_place", "slots", "item_slots"
-    )
-    met = settle(met, "matches")
-    group = ["key", "item", "at"]
-    counts = met.groupBy(*group).agg(F.count_distinct("item_place").alias("n_windows"))
     pairs = met.where(F.size("slots") > 0).select(*group, F.explode(F.arrays_zip("item_slots", "slots")).alias("p"))
     pairs = pairs.select(*group, "p.item_slots", "p.slots").distinct()
     values = pairs.groupBy(*group, "item_slots").agg(
         F.count(F.lit(1)).alias("n"), F.max((F.col("slots") != F.col("item_slots")).cast("int")).alias("other")
     )
     slots = values.groupBy(*group).agg(F.max("n").alias("most"), F.max("other").alias("other"))
-    whole = wanted.groupBy(F.col("key").alias("item")).agg(F.count_distinct("place").alias("all"))
-    same = [counts[g].eqNullSafe(slots[g]) for g in group]
-    judged = counts.join(slots, same[0] & same[1] & same[2], "left").select(
-        *[counts[g] for g in group], "n_windows", "most", "other"
-    )
-    other = whole.withColumnRenamed("item", "whole_item")
-    judged = judged.join(other, F.col("item").eqNullSafe(F.col("whole_item"))).withColumn(
-        "share", F.col("n_windows") / F.col("all")
-    )
-    sound = judged.where((F.col("share") >= least_share) & (F.coalesce("most", F.lit(1)) == 1))
-    best = F.max(F.struct("n_windows", (-F.col("at")).alias("back"), "share", "other")).alias("b")
+    both = counts.unionByName(slots, allowMissingColumns=True).groupBy(*group)
+    judged = both.agg(*[F.max(c).alias(c) for c in ("n_windows", "first", "most", "other")])
+    whole = wanted.groupBy(F.col("key").alias("whole_item"), F.col("reading").alias("whole_reading"))
+    whole = whole.agg(F.count_distinct("place").alias("all"))
+    same = F.col("item").eqNullSafe(F.col("whole_item")) & (F.col("reading") == F.col("whole_reading"))
+    judged = judged.join(whole, same).withColumn("share", F.col("n_windows") / F.col("all"))
+    long_run = (F.col("way") == "run") & (F.col("n_windows") >= max(RUN_WORDS - window + 1, 1))
+    sound = judged.where(((F.col("share") >= least_share) | long_run) & (F.coalesce("most", F.lit(1)) == 1))
+    best = F.max(F.struct("n_windows", (-F.col("first.word")).alias("back"), "share", "other")).alias("b")
     return sound.groupBy("key", "item").agg(best).select(
         F.col("key").alias(key),
         F.col("item").alias(item),

@@ -350,6 +350,37 @@ def test_decontamination(spark, docs, nothing):
     assert decontam.leaks(frame, bench.limit(0)).count() == 0 and decontam.leaks(nothing, bench).count() == 0
 
 
+def held(spark, texts, items):
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {(r.doc_id, r.item_id): (r.kind, r.n_windows) for r in decontam.leaks(frame, bench).collect()}
+
+
+def test_decontamination_of_excerpts_and_shifted_copies(spark):
+    long, short = prose(21, 59).split(), prose(22, 40).split()
+    city = prose(23, 6) + " Paris " + prose(24, 6) + " Paris " + prose(25, 6)
+    texts = [
+        "x " + " ".join(long[20:49]) + " y",  # 22 of 52 windows, in a row
+        " ".join([*short[:20], "new", *short[20:]]),  # 13 and 13 of 33 windows
+        " ".join([*short[:20], *short[21:]]),
+        city.replace("Paris", "New York"),
+        city.replace("Paris", "New York", 1).replace("Paris", "Old Boston"),  # of one form only
+        " ".join(long[20:32]) + " y",  # 12 words
+    ]
+    got = held(spark, texts, [" ".join(long), " ".join(short), city])
+    assert got == {(0, 0): ("copy", 22), (1, 1): ("copy", 26), (2, 1): ("copy", 25), (3, 2): ("reworded", got[3, 2][1])}
+
+
+def test_decontamination_of_openings_units_and_placeholders(spark):
+    parts = [prose(30 + i, 6) for i in range(5)]
+    story = " ".join(f"Tom {p}." for p in parts)
+    weights = " ".join(f"{p} 5kg and" for p in parts)
+    numbers, names = "1 2 3 5 8 13 21 34 55 89 144", "Anna and Boris, Clara, David, Emma, Fred, Gina, Hugo"
+    texts = [story.replace("Tom", "Bob"), weights.replace("5kg", "17 kg"), "so " + numbers + " go", "a " + names.lower() + " b", "5 6", "5 6 7"]
+    got = held(spark, texts, [story, weights, numbers, names, "5 6"])
+    assert {k: v[0] for k, v in got.items()} == {(0, 0): "reworded", (1, 1): "reworded", (2, 2): "copy", (3, 3): "copy", (4, 4): "copy"}
+
+
 def test_warc_round_trip(spark):
     rows = [(1, "http://a/1", "same"), (2, "http://a/2", "same"), (3, None, None), (None, "u\r\nx", "same"), (4, "http://a/4", ""), (5, "é", "ü" * 50_000), (5, "é", "ü" * 50_000)]
     pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, digest int")
