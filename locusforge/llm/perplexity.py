@@ -270,15 +270,17 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     A row is kept if the perplexity of its whole text, per byte, is at most the
     limit of its language, which comes from held-out trusted text. Short
     texts are drawn towards the mean of their language. A language with few
-    trusted texts, and a null one, is scored by the model of all trusted text.
+    trusted texts or none held out, and a null one, is scored by the model of
+    all trusted text, and its limit comes from all held-out trusted text.
     A null or empty text has no perplexity and goes. Without trusted text every
     other row is kept. Rows of one key are judged each on its own. Labels of
     unknown keys and extra columns of ``labels`` don't matter.
     """
     names = {c: fresh(docs.columns, c) for c in ("surprise", "n_bytes", "grp", "kept")}
     trusted = trusted_text(docs, labels, key, text, lang)
-    groups = trusted.where("not held and lang is not null").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    known = settle(groups.where(F.col("n") >= LEAST_TRUSTED).select("lang", F.col("lang").alias("grp")), "groups")
+    groups = trusted.where("lang is not null").groupBy("lang").agg(F.count_if(~F.col("held")).alias("n"), F.count_if(F.col("held") & (F.length("text") > 0)).alias("n_held"))
+    known = groups.where((F.col("n") >= LEAST_TRUSTED) & (F.col("n_held") > 0)).select("lang", F.col("lang").alias("grp"))
+    known = settle(known, "groups")
     counted = joined_by(trusted.where("not held"), known, "lang").withColumn("grp", F.coalesce("grp", F.lit(ALL)))
     # texts of small languages are counted under a name of their own, which only the model of all text sees
     named = counted.withColumn("grp", F.when(F.col("grp") == ALL, F.lit("")).otherwise(F.col("grp")))
@@ -299,7 +301,11 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     scored = settle(score(rows, model, kept_columns, own_text), "scores")
     good = labels.where((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).select(F.col(key).alias("__k")).distinct()
     held = scored.where(is_held_out("__k")).select("__k", "grp", "surprise", "n_bytes").join(good, "__k")
-    edges = settle(limits(held.select("grp", "surprise", "n_bytes")), "limits")
+    # the limit of all text comes from all held-out trusted text, so that of known languages is scored by its model as well
+    again = settle(joined_by(trusted.where("held"), known, "lang", "inner").select("text", F.lit(ALL).alias("grp")), "held_out")
+    again = again.withColumn("block", F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS))
+    held = held.select("grp", "surprise", "n_bytes").unionByName(score(again, model, ("grp",), "text"))
+    edges = settle(limits(held), "limits")
     value = (F.col("surprise") + SHRINK * F.col("mid")) / (F.col("n_bytes") + SHRINK)
     judged = scored.join(edges, "grp", "left").withColumn("value", value)
     inside = F.coalesce(F.col("value") <= F.col("high"), F.lit(True))

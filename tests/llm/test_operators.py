@@ -335,6 +335,19 @@ def test_perplexity_against_a_plain_model(spark, docs, labels, nothing):
     assert perplexity.classify(nothing, labels).count() == 0
 
 
+def test_rows_without_a_known_language_are_judged_by_all_held_out_text(spark):
+    noise = random.Random(7)
+    rows = [(i, prose(100 + i, 60), "en") for i in range(160)]
+    rows += [(1000 + i, prose(500 + i, 60), (None, "xx")[i % 2]) for i in range(20)]
+    rows += [(2000 + i, "".join(noise.choice("#%&QZXJ019~^|") for _ in range(400)), (None, "xx")[i % 2]) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(160)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in perplexity.classify(docs, labels).collect()}
+    assert {r.grp for i, r in got.items() if i < 160} == {"en"} and {r.grp for i, r in got.items() if i >= 1000} == {perplexity.ALL}
+    assert not any(got[2000 + i].kept for i in range(20))
+    assert sum(got[1000 + i].kept for i in range(20)) >= 18
+
+
 def test_decontamination(spark, docs, nothing):
     question = "A train leaves the station with 12 km per hour and Anna waits for 30 minutes before the bus with 12 people comes"
     other = question.replace("12", "75").replace("Anna", "Boris").replace("30", "8")
