@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from locusforge.llm import decontam, mixing, neardup, perplexity, secretscan
 from locusforge.llm.frames import settle
 
+#: Least similarity of near duplicates in the corpus, in percent; the operator's own default is the contract of op3.
+NEAR_PERCENT = 80
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -19,7 +22,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest doc_id."""
-    return neardup.without_duplicates(docs)
+    return neardup.without_duplicates(docs, percent=NEAR_PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

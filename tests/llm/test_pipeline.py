@@ -1,5 +1,7 @@
 """The pipeline's stages on small data: what goes, what stays, and the columns."""
 
+import random
+
 import corpus_pipeline
 from pyspark.sql import functions as F
 
@@ -49,3 +51,26 @@ def test_odd_rows_and_clashing_names(spark):
             assert docs.where(F.col(clash) != F.concat(F.lit(f"{clash}-"), F.coalesce("doc_id", F.lit(-1)))).isEmpty()
     assert docs.where("text is null").isEmpty()
     assert docs.groupBy("doc_id").count().where("doc_id is not null and count > 1").isEmpty()
+
+
+def test_near_duplicates_stage_against_all_pairs(spark):
+    """Copies with 1 to 4 of 100 words replaced: those with 2 have a similarity of 0.81."""
+    rows = []
+    for group in range(12):
+        rnd = random.Random(group)
+        base = [f"w{rnd.randrange(10_000)}" for _ in range(100)]
+        for n in range(5):
+            words = list(base)
+            for k in range(n):
+                words[10 + 20 * k] = f"x{group}y{n}z{k}"
+            if n != 1 or group % 2:
+                rows.append((len(rows), " ".join(words)))
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in rows)}
+    root = {i: i for i in sets}
+    for i in sets:
+        for j in sets:
+            if i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = {k: low if r == high else r for k, r in root.items()}
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), FOLDER)
+    assert sorted(r.doc_id for r in got.collect()) == sorted(i for i, r in root.items() if i == r)
