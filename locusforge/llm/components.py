@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusforge.llm.frames import settle
+from locusforge.llm.frames import scope, settle
 
 MAX_ROUNDS = 64
 
@@ -25,18 +25,8 @@ def components(links: DataFrame) -> DataFrame:
     )
     seen = None
     for _ in range(MAX_ROUNDS):
-        both = edges.select(F.col("u").alias("n"), F.col("v").alias("m")).unionByName(
-            edges.select(F.col("v").alias("n"), F.col("u").alias("m"))
-        )
-        least = settle(both.groupBy("n").agg(F.least(F.min("m"), F.col("n")).alias("root")), "least")
-        large = both.where("m > n").join(least, "n").select(F.col("m").alias("u"), F.col("root").alias("v"))
-        own = settle(large.where("u <> v").distinct(), "large_stars")
-        least = settle(own.groupBy("u").agg(F.min("v").alias("root")), "least")
-        ends = F.array(
-            F.struct(F.col("u"), F.col("root").alias("v")), F.struct(F.col("v").alias("u"), F.col("root").alias("v"))
-        )
-        small = own.join(least, "u").select(F.explode(ends).alias("e")).select("e.u", "e.v")
-        edges = settle(small.where("u <> v").distinct(), "links")
+        with scope():
+            edges = settle(_star_round(edges), "links", outer=True)
         state = edges.agg(
             F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")
         ).first()
@@ -50,3 +40,19 @@ def components(links: DataFrame) -> DataFrame:
     return stars.select(F.col("u").alias("node"), "root").unionByName(
         stars.select(F.col("root").alias("node"), "root").distinct()
     )
+
+
+def _star_round(edges: DataFrame) -> DataFrame:
+    """One large star and one small star of (u, v) links with u > v."""
+    both = edges.select(F.col("u").alias("n"), F.col("v").alias("m")).unionByName(
+        edges.select(F.col("v").alias("n"), F.col("u").alias("m"))
+    )
+    least = settle(both.groupBy("n").agg(F.least(F.min("m"), F.col("n")).alias("root")), "least")
+    large = both.where("m > n").join(least, "n").select(F.col("m").alias("u"), F.col("root").alias("v"))
+    own = settle(large.where("u <> v").distinct(), "large_stars")
+    least = settle(own.groupBy("u").agg(F.min("v").alias("root")), "least")
+    ends = F.array(
+        F.struct(F.col("u"), F.col("root").alias("v")), F.struct(F.col("v").alias("u"), F.col("root").alias("v"))
+    )
+    small = own.join(least, "u").select(F.explode(ends).alias("e")).select("e.u", "e.v")
+    return small.where("u <> v").distinct()

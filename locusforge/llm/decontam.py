@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from locusforge.llm.frames import mapped, settle
+from locusforge.llm.frames import mapped, scope, settle
 from locusforge.llm.words import LOWER, Chunk, Words, chunks, mix, sums, word_hashes, word_limits
 
 WINDOW = 8
@@ -314,5 +314,6 @@ def _place(held: np.ndarray, bucket: int, part: bytes) -> None:
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark text, with all their columns; null keys stay."""
-    found = settle(leaks(docs, benchmark, key, text, **settings).select(key).distinct(), "leaks")
+    with scope():
+        found = settle(leaks(docs, benchmark, key, text, **settings).select(key).distinct(), "leaks", outer=True)
     return docs.join(found, key, "left_anti")

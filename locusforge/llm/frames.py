@@ -3,21 +3,54 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locusforge.session import scratch_path, ship_package
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
+#: Tables that each open scope removes when it ends, the innermost scope last.
+_scopes: ContextVar[tuple[list[tuple[SparkSession, str]], ...]] = ContextVar("scopes", default=())
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """Tables settled inside are removed at the end, but for those settled with ``outer``.
+
+    What leaves the scope must therefore be settled with ``outer``; it then
+    belongs to the scope around this one, if there is one.
+    """
+    own: list[tuple[SparkSession, str]] = []
+    token = _scopes.set((*_scopes.get(), own))
+    try:
+        yield
+    finally:
+        _scopes.reset(token)
+        for spark, path in own:
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table of the scratch folder, in whatever store it lies."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def settle(df: DataFrame, name: str, outer: bool = False) -> DataFrame:
     """Write a frame to the shared scratch folder and read it back.
 
     Later passes read the files, so they see the same rows when an executor is
-    lost, and Spark knows the size of the table when it plans a join.
+    lost, and Spark knows the size of the table when it plans a join. The table
+    goes with the innermost open scope; with ``outer``, with the one around it.
     """
     path = scratch_path(df.sparkSession, name)
+    held = _scopes.get()[: -1 if outer else None]
+    if held:
+        held[-1].append((df.sparkSession, path))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -48,3 +81,17 @@ def joined_by(left: DataFrame, right: DataFrame, key: str, how: str = "left") ->
     """Join on one key where null equals null; the right key is dropped."""
     other = fresh([*left.columns, *right.columns], "right_key")
     return left.join(right.withColumnRenamed(key, other), F.col(key).eqNullSafe(F.col(other)), how).drop(other)
+
+
+#: Rows into which a small table's row is dealt, for joins on a key of few values.
+SALTS = 32
+
+
+def salted(left: DataFrame, right: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """Join on a key of few values, each dealt over ``SALTS`` tasks by a column of ``left``.
+
+    ``right`` has one row per key. Null keys join nothing.
+    """
+    salt = fresh([*left.columns, *right.columns], "salt")
+    dealt = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.withColumn(salt, F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(dealt, [key, salt], how).drop(salt)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from locusforge.llm.frames import mapped, settle
-from locusforge.llm.words import LOWER, SPACE, chunks, sums
+from locusforge.llm.words import LOWER, SPACE, chunks, sums, text_sums
 from locusforge.operators import scale
 
 #: Labelled rows used for training, for each language; the choice is by a hash of the key.
@@ -168,7 +168,7 @@ def _predict(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iterator
                 for buckets, limits in subwords(chunk.data, chunk.limits):
                     count += np.diff(limits)
                     for c in range(len(model.languages)):
-                        total[:, c] += sums(model.table[buckets, c], limits)
+                        total[:, c] += text_sums(model.table[buckets, c], limits)
                 p = _softmax(total / np.maximum(count, 1)[:, None] / model.temperature)
                 best = p.argmax(axis=1)
                 names[known] = np.array(model.languages, object)[best[known]]

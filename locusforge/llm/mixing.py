@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locusforge.llm.frames import fresh, joined_by, settle
+from locusforge.llm.frames import fresh, joined_by, scope, settle
 from locusforge.operators import scale
 
 WEIGHTS = (3, 1, 2)
@@ -88,10 +88,12 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS) -> DataFrame:
     """
     row, copy = fresh(docs.columns, "row"), fresh(docs.columns, "copies")
     numbered = settle(docs.withColumn(row, F.monotonically_increasing_id()), "mixed")
-    taken = copies(numbered, carry=[row], weights=weights).where("copies > 0").select(row, F.col("copies").alias(copy))
+    with scope():
+        taken = copies(numbered, carry=[row], weights=weights).where("copies > 0").select(row, F.col("copies").alias(copy))
+        taken = settle(taken, "taken", outer=True)
     name = "copy" if "copy" not in {c.lower() for c in docs.columns} else fresh(docs.columns, "copy")
     return (
-        numbered.join(settle(taken, "taken"), row)
+        numbered.join(taken, row)
         .withColumn(name, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copy))))
         .drop(row, copy)
     )

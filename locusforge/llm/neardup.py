@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from locusforge.llm.components import components
-from locusforge.llm.frames import fresh, mapped, settle
+from locusforge.llm.frames import fresh, mapped, scope, settle
 from locusforge.llm.words import LOWER, chunks, mix, windows, word_hashes, word_limits
 from locusforge.operators import scale
 
@@ -308,44 +308,58 @@ def near_components(
     named = docs.select(F.col(key).cast("long").alias(ids), F.col(text).alias("__t"))
     source = named.select(F.col(ids).alias("__id"), F.col("__t").alias("__text"))
     least = int(np.ceil(SIGNATURE * (percent / 100 - SLACK * (percent / 100 * (1 - percent / 100) / SIGNATURE) ** 0.5)))
-    sketched = settle(
-        mapped(
-            source,
-            partial(_sketch, size=shingle_words),
-            "id long, n_shingles long, set_a long, set_b long, signature binary",
-        ),
-        "sketches",
-    )
-    full = sketched.where("n_shingles > 0 and id is not null")
-    classes = full.groupBy("set_a", "set_b", "n_shingles").agg(
-        F.min("id").alias("id"), F.min("signature").alias("signature")
-    )
-    largest = F.max(F.struct("n_shingles", "set_a", "set_b", "signature"))
-    sets = settle(classes.groupBy("id").agg(largest.alias("s")).select("id", "s.signature", "s.n_shingles"), "sets")
-    small, large = _grow(sets, percent, trees, levels, leaf)
-    small = settle(_distinct_nodes(small), "leaves")
-    found = _compare(small, sets, least)
-    if large is not None:
-        large = settle(large.distinct(), "large")
-        found = found.unionByName(_pivots(large, sets, least)).unionByName(_compare(_blocks(large, leaf), sets, least))
-    tried = settle(found.distinct(), "candidates")
-    verdicts = settle(_confirm(tried, source, percent, shingle_words), "verdicts")
+    with scope():
+        rows = _linked(source, percent, least, shingle_words, trees, levels, leaf)
+        found = rows.select(F.col("id").alias(key), "n_shingles", F.coalesce("root", "id").alias("component"))
+        return settle(found, "components", outer=True)
+
+
+def _linked(source: DataFrame, percent: int, least: int, size: int, trees: int, levels: int, leaf: int) -> DataFrame:
+    """(id, n_shingles, root) of every row; root is null where nothing is linked."""
+    with scope():
+        sketched = settle(
+            mapped(
+                source,
+                partial(_sketch, size=size),
+                "id long, n_shingles long, set_a long, set_b long, signature binary",
+            ),
+            "sketches",
+        )
+        classes = sketched.where("n_shingles > 0 and id is not null").groupBy("set_a", "set_b", "n_shingles").agg(
+            F.min("id").alias("id"), F.min("signature").alias("signature")
+        )
+        largest = F.max(F.struct("n_shingles", "set_a", "set_b", "signature"))
+        sets = classes.groupBy("id").agg(largest.alias("s")).select("id", "s.signature", "s.n_shingles")
+        sets = settle(sets, "sets", outer=True)
+        sketched = settle(sketched.drop("signature"), "keys", outer=True)
+    with scope():
+        small, large = _grow(sets, percent, trees, levels, leaf)
+        small = settle(_distinct_nodes(small), "leaves", outer=True)
+        large = None if large is None else settle(large.distinct(), "large", outer=True)
+    with scope():
+        found = _compare(small, sets, least)
+        if large is not None:
+            found = found.unionByName(_pivots(large, sets, least)).unionByName(_compare(_blocks(large, leaf), sets, least))
+        tried = settle(found.distinct(), "candidates")
+        verdicts = settle(_confirm(tried, source, percent, size), "verdicts", outer=True)
     links = verdicts.where("linked").select("a", "b")
-    roots = settle(components(links), "roots")
-    groups = _mixed(small, roots, sets)
-    if large is not None:
-        groups = groups.unionByName(_left_out(large, sets, roots))
-    met = settle(mapped(groups, partial(_suspects, least=least), "node long, id long"), "suspects")
-    again = settle(_tied(met, verdicts, roots, source, percent, shingle_words), "ties")
+    with scope():
+        roots = settle(components(links), "roots", outer=True)
+    with scope():
+        groups = _mixed(small, roots, sets)
+        if large is not None:
+            groups = groups.unionByName(_left_out(large, sets, roots))
+        met = settle(mapped(groups, partial(_suspects, least=least), "node long, id long"), "suspects", outer=True)
+    with scope():
+        again = settle(_tied(met, verdicts, roots, source, percent, size), "ties", outer=True)
     # rows of one key with different texts are one document
+    full = sketched.where("n_shingles > 0 and id is not null")
     firsts = full.groupBy("set_a", "set_b", "n_shingles").agg(F.min("id").alias("b"))
     copies = full.join(settle(firsts, "firsts"), ["set_a", "set_b", "n_shingles"]).select(F.col("id").alias("a"), "b")
     copies = copies.where("a <> b").distinct()
-    roots = settle(components(links.unionByName(again).unionByName(copies)), "roots")
-    renamed = roots.select(F.col("node").alias("id"), "root")
-    return sketched.join(renamed, "id", "left").select(
-        F.col("id").alias(key), "n_shingles", F.coalesce("root", "id").alias("component")
-    )
+    with scope():
+        roots = settle(components(links.unionByName(again).unionByName(copies)), "roots", outer=True)
+    return sketched.drop("set_a", "set_b").join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
 
 
 def without_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
@@ -353,8 +367,9 @@ def without_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     Of several rows of one key one stays. Rows with a null key stay as they are.
     """
-    found = near_components(docs, key, text, **settings)
-    first = settle(found.where(F.col(key) == F.col("component")).select(key).distinct(), "kept")
+    with scope():
+        found = near_components(docs, key, text, **settings)
+        first = settle(found.where(F.col(key) == F.col("component")).select(key).distinct(), "kept", outer=True)
     kept = docs.join(first, key, "left_semi").dropDuplicates([key])
     return kept.unionByName(docs.where(F.col(key).isNull()))
 
@@ -439,7 +454,7 @@ def _pivots(large: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     other. Pivots are the members that agree best with the consensus signature
     of a sample of the node; the sample only steers the choice of the pivots.
     """
-    rows = settle(large.join(sets, "id"), "large_signatures")
+    rows = large.join(sets, "id")
     sample = scale.top_rows(rows, ["node"], [F.xxhash64("id"), F.col("id")], SAMPLE)
     sample = sample.groupBy("node").agg(F.collect_list("signature").alias("sample"))
     middle = settle(mapped(sample, _consensus, "node long, middle binary"), "consensus")
@@ -448,7 +463,7 @@ def _pivots(large: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     )
     best = scale.top_rows(agreed, ["node"], [F.col("same").desc(), F.col("id")], PIVOTS).select("node", F.col("id").alias("p"))
     pivots = settle(best.join(sets.select(F.col("id").alias("p"), F.col("signature").alias("s1")), "p"), "pivots")
-    pairs = rows.join(pivots, "node").where("id <> p")
+    pairs = large.join(pivots, "node").where("id <> p").join(sets.select("id", "signature"), "id")
     pairs = pairs.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"), "s1", F.col("signature").alias("s2"))
     return mapped(pairs, partial(_near, least=least), "a long, b long").distinct()
 
@@ -468,7 +483,7 @@ def _left_out(large: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
     tagged = settle(_rooted(large, roots), "large")
     parts = tagged.groupBy("node", "root").agg(F.count(F.lit(1)).alias("n"))
     main = settle(parts.groupBy("node").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1"), "main")
-    mixed = tagged.join(main, "node").join(sets, "id")
+    mixed = tagged.join(main, "node").join(sets.select("id", "n_shingles"), "id")
     mixed = settle(mixed.withColumn("out", F.col("root") != F.col("main")), "mixed")
 
     def blocks(count: Column, shingles: Column) -> Column:
@@ -478,7 +493,7 @@ def _left_out(large: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
         blocks(F.count(F.lit(1)), F.sum("n_shingles")).alias("blocks"),
         blocks(F.count_if("out"), F.sum(F.when(F.col("out"), F.col("n_shingles")))).alias("out_blocks"),
     )
-    dealt = mixed.join(settle(sizes, "sizes"), "node")
+    dealt = mixed.join(settle(sizes, "sizes"), "node").join(sets.select("id", "signature"), "id")
 
     def spread(rows: DataFrame, own: str, other: str, names: tuple[str, str]) -> DataFrame:
         return rows.withColumn(names[0], F.pmod(F.xxhash64("id"), F.col(own)).cast("int")).withColumn(

@@ -14,19 +14,24 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from locusforge.llm.frames import fresh, joined_by, mapped, settle
+from locusforge.llm.frames import fresh, mapped, salted, scope, settle
 from locusforge.llm.langid import is_held_out
-from locusforge.llm.words import chunks, sums
+from locusforge.llm.words import chunks, text_sums
 from locusforge.session import ship_package
 
 ORDER = 4
-#: Rows of a block, as a power of two; a block is the unit that one task scores.
-BLOCK_BITS = 13
-#: Languages with fewer trusted texts are scored by the model of all trusted text.
-LEAST_TRUSTED = 50
+#: A block, the unit that one task scores, ends at so many bytes or rows; a longer text is a block of its own.
+BLOCK_BYTES = 1 << 23
+BLOCK_ROWS = 1 << 13
+#: Bytes of trusted text of a language that weigh as much as the model of all text.
+PRIOR_BYTES = 20_000
+#: Held-out trusted texts of a language that weigh as much as the limit of all text.
+PRIOR_TEXTS = 12
 ALL = "*"
 #: Ids of trusted rows are broadcast up to this many, 16 bytes each; beyond that they are joined by shuffling.
 MOST_BROADCAST = 2_000_000
@@ -70,33 +75,50 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
+def _blocked(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The rows of a task cut into blocks; the cuts depend on the rows alone, not on their batches."""
+    block = TaskContext.get().partitionId() << 32
+    rows = size = 0
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).tolist()
+        first = 0
+        for i, length in enumerate(lengths):
+            if rows and (size + length > BLOCK_BYTES or rows == BLOCK_ROWS):
+                if i > first:
+                    yield block, batch.slice(first, i - first)
+                first, block, rows, size = i, block + 1, 0, 0
+            rows, size = rows + 1, size + length
+        if len(lengths) > first:
+            yield block, batch.slice(first)
+
+
+def _numbered(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+    for block, batch in _blocked(batches, text):
+        yield batch.append_column("block", pa.array(np.full(batch.num_rows, block, np.int64)))
+
+
 def _requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct n-grams of each block; the rows of a block are neighbours."""
-    block, held = None, {}
+    """Distinct n-grams of each block."""
+    last, held = None, {}
 
     def flush() -> Iterator[pa.RecordBatch]:
         for name, parts in held.items():
             found = np.unique(np.concatenate(parts))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(found), block, np.int64)), pa.array([name] * len(found), pa.string()), pa.array(found)],
+                [pa.array(np.full(len(found), last, np.int64)), pa.array([name] * len(found), pa.string()), pa.array(found)],
                 names=["block", "grp", "gram"],
             )
 
-    for batch in batches:
-        blocks = batch.column("block").to_numpy(zero_copy_only=False)
-        cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            if a == b:
-                continue
-            if blocks[a] != block:
-                yield from flush()
-                block, held = int(blocks[a]), {}
-            for chunk in chunks(batch.column("text").slice(a, b - a)):
-                for name, grams in _by_group(chunk, batch.column("grp").slice(a + chunk.first, chunk.n)):
-                    parts = held.setdefault(name, [])
-                    parts.append(np.unique(grams))
-                    if len(parts) > 16:
-                        parts[:] = [np.unique(np.concatenate(parts))]
+    for block, batch in _blocked(batches, "text"):
+        if block != last:
+            yield from flush()
+            last, held = block, {}
+        for chunk in chunks(batch.column("text")):
+            for name, grams in _by_group(chunk, batch.column("grp").slice(chunk.first, chunk.n)):
+                parts = held.setdefault(name, [])
+                parts.append(np.unique(grams))
+                if len(parts) > 16:
+                    parts[:] = [np.unique(np.concatenate(parts))]
     yield from flush()
 
 
@@ -123,8 +145,11 @@ def _score(texts: pa.Table, answers: pa.Table, columns: tuple[str, ...], text: s
                     at = np.flatnonzero(np.array([g == name for g in groups])[owner])
                     keys, given = tables[name]
                     distinct, inverse = np.unique(wanted[at], return_inverse=True)
-                    values[at] = given[np.searchsorted(keys, distinct)][inverse]
-            total += sums(values, chunk.limits).tolist()
+                    place = np.minimum(np.searchsorted(keys, distinct), len(keys) - 1)
+                    if (keys[place] != distinct).any():
+                        raise RuntimeError("a block has n-grams it didn't ask for: the input changed between two passes")
+                    values[at] = given[place][inverse]
+            total += text_sums(values, chunk.limits).tolist()
             n_bytes += np.diff(chunk.limits).tolist()
     kept = texts.select(list(columns))
     return kept.append_column("surprise", pa.array(total, pa.float64())).append_column("n_bytes", pa.array(n_bytes, pa.int64()))
@@ -132,8 +157,7 @@ def _score(texts: pa.Table, answers: pa.Table, columns: tuple[str, ...], text: s
 
 def trusted_text(docs: DataFrame, labels: DataFrame, key: str, text: str, lang: str) -> DataFrame:
     """(text, lang, held) of the rows labelled good and not toxic; held rows set limits, the others are counted."""
-    good = labels.where((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).select(key).distinct()
-    good = settle(good, "trusted")
+    good = settle(_good(labels, key, key), "trusted")
     if good.count() <= MOST_BROADCAST:
         good = F.broadcast(good)
     rows = docs.select(F.col(key), F.col(text).alias("text"), F.col(lang).alias("lang"))
@@ -151,7 +175,7 @@ def _discounted(table: DataFrame) -> DataFrame:
 
     shape = settle(shape.select("grp", d(1, 0.5), d(2, 1.0), d(3, 1.5)), "discounts")
     cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-    rows = table.join(shape, "grp").select("grp", "gram", "n", cut.alias("cut"), F.shiftright("gram", 8).alias("ctx"))
+    rows = salted(table, shape, "grp", "gram").select("grp", "gram", "n", cut.alias("cut"), F.shiftright("gram", 8).alias("ctx"))
     totals = settle(
         rows.groupBy("grp", "ctx").agg(F.sum("n").alias("total"), (F.sum("cut") / F.sum("n")).alias("left")), "contexts"
     )
@@ -192,7 +216,7 @@ def build_model(trusted: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
 
 
 def answer(requests: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
-    """(grp, gram, surprise) of distinct (grp, gram) requests.
+    """(grp, gram, p) of distinct (grp, gram) requests.
 
     A request that an order doesn't know goes on to the next lower one with the
     weight its context leaves, so only the unknown ones are joined again.
@@ -202,7 +226,7 @@ def answer(requests: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> Dat
     for order, (known, contexts) in zip(range(ORDER, 0, -1), model):
         joined = open_.join(known.select("grp", F.col("gram").alias("part"), "p"), ["grp", "part"], "left")
         joined = settle(joined, "answers")
-        hit = joined.where("p is not null").select("grp", "gram", (-F.log(F.col("weight") * F.col("p"))).alias("surprise"))
+        hit = joined.where("p is not null").select("grp", "gram", (F.col("weight") * F.col("p")).alias("p"))
         done = hit if done is None else done.unionByName(hit)
         open_ = (
             joined.where("p is null")
@@ -215,24 +239,44 @@ def answer(requests: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> Dat
                 (F.col("weight") * F.coalesce("left", F.lit(1.0))).alias("weight"),
             )
         )
-    rest = open_.select("grp", "gram", (-F.log(F.col("weight") / 256)).alias("surprise"))
-    return done.unionByName(rest)
+    return done.unionByName(open_.select("grp", "gram", (F.col("weight") / 256).alias("p")))
+
 
+def surprises(asked: DataFrame, model: list[tuple[DataFrame, DataFrame]], shares: DataFrame) -> DataFrame:
+    """(grp, gram, surprise) of distinct (grp, gram) requests.
 
-def score(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]], columns: tuple[str, ...], text: str) -> DataFrame:
+    The model of a language and that of all text are mixed by the language's
+    share, which grows with its trusted text and is 0 without any.
+    """
+    wanted = settle(asked.select("grp", "gram").distinct(), "wanted")
+    own = answer(wanted.where(F.col("grp") != ALL), model)
+    every = settle(answer(wanted.select(F.lit(ALL).alias("grp"), "gram").distinct(), model), "all_answers")
+    every = every.select("gram", F.col("p").alias("q"))
+    # a gram that many languages ask for is one row of each
+    mixed = salted(own.join(every, "gram"), shares, "grp", "gram", "left").withColumn("share", F.coalesce("share", F.lit(0.0)))
+    p = F.col("share") * F.col("p") + (1 - F.col("share")) * F.col("q")
+    plain = wanted.where(F.col("grp") == ALL).join(every, "gram").select("grp", "gram", (-F.log("q")).alias("surprise"))
+    return mixed.select("grp", "gram", (-F.log(p)).alias("surprise")).unionByName(plain)
+
+
+def score(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]], shares: DataFrame, columns: tuple[str, ...], text: str) -> DataFrame:
     """The given columns of every row with ``surprise`` (sum over bytes, in nats) and ``n_bytes``.
 
-    ``docs`` has also (block, grp) and the column of the text. A block is a run of rows of one scan
-    task, found alike by both passes over the same table.
+    ``docs`` has also ``grp`` and the column of the text. Two passes cut it into
+    the same blocks if they read the same rows in the same order, as scans of
+    one table do; otherwise the job fails.
     """
     ship_package(docs.sparkSession)
-    asked = mapped(docs.select("block", "grp", F.col(text).alias("text")), _requests, "block long, grp string, gram long")
+    asked = mapped(docs.select("grp", F.col(text).alias("text")), _requests, "block long, grp string, gram long")
     asked = settle(asked, "requests")
-    answers = settle(answer(asked.select("grp", "gram").distinct(), model), "surprises")
+    with scope():
+        answers = settle(surprises(asked, model, shares), "surprises", outer=True)
     answered = asked.join(answers.withColumn("surprise", F.col("surprise").cast("float")), ["grp", "gram"])
     kinds = dict(docs.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", surprise double, n_bytes long"
-    wanted = docs.select("block", *dict.fromkeys(["grp", text, *columns]))
+    wanted = docs.select(*dict.fromkeys(["grp", text, *columns]))
+    shape = ", ".join(f"`{c}` {kinds[c]}" for c in wanted.columns) + ", block long"
+    wanted = mapped(wanted, partial(_numbered, text=text), shape)
 
     def scored(texts: pa.Table, given: pa.Table) -> pa.Table:
         return _score(texts, given, columns, text)
@@ -241,15 +285,16 @@ def score(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]], columns: tu
 
 
 def limits(scores: DataFrame) -> DataFrame:
-    """(grp, mid, high) of (grp, surprise, n_bytes) rows of held-out trusted text.
+    """(grp, mid, high, n) of (grp, surprise, n_bytes) rows of held-out trusted text.
 
     Quantiles are read off counts of rounded values, which combine before the
     shuffle.
     """
     whole = scores.where("n_bytes > 0")
-    means = settle(whole.groupBy("grp").agg((F.sum("surprise") / F.sum("n_bytes")).alias("mid")), "means")
+    means = whole.groupBy("grp").agg((F.sum("surprise") / F.sum("n_bytes")).alias("mid"), F.count(F.lit(1)).alias("n"))
+    means = settle(means, "means")
     value = (F.col("surprise") + SHRINK * F.col("mid")) / (F.col("n_bytes") + SHRINK)
-    buckets = whole.join(means, "grp").groupBy("grp", F.floor(value * BUCKETS).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    buckets = salted(whole, means.drop("n"), "grp", "n_bytes").groupBy("grp", F.floor(value * BUCKETS).alias("b")).agg(F.count(F.lit(1)).alias("n"))
     up_to = F.sum("n").over(Window.partitionBy("grp").orderBy("b")) / F.sum("n").over(Window.partitionBy("grp"))
     ranked = buckets.withColumn("q", up_to)
 
@@ -260,6 +305,7 @@ def limits(scores: DataFrame) -> DataFrame:
     return edges.join(means, "grp").select(
         "grp",
         "mid",
+        "n",
         (F.col("z") + MARGIN * (F.col("z") - F.col("m")) + 1.0 / BUCKETS).alias("high"),
     )
 
@@ -269,51 +315,68 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
 
     A row is kept if the perplexity of its whole text, per byte, is at most the
     limit of its language, which comes from held-out trusted text. Short
-    texts are drawn towards the mean of their language. A language with few
-    trusted texts or none held out, and a null one, is scored by the model of
-    all trusted text, and its limit comes from all held-out trusted text.
-    A null or empty text has no perplexity and goes. Without trusted text every
-    other row is kept. Rows of one key are judged each on its own. Labels of
-    unknown keys and extra columns of ``labels`` don't matter.
+    texts are drawn towards the mean of their language. The model of a language
+    is mixed with that of all trusted text, and its limit with the limit of all
+    held-out trusted text under the latter, the more so the less of its own
+    there is; a null language and one without trusted text have only the latter.
+    A null or empty text has no perplexity and goes. Without trusted text every other row is kept. Rows of
+    one key are judged each on its own. Labels of unknown keys and extra columns
+    of ``labels`` don't matter.
     """
-    names = {c: fresh(docs.columns, c) for c in ("surprise", "n_bytes", "grp", "kept")}
+    sources = [c for c in docs.columns] if carry else [key]
+    back = [F.col(f"c{i}").alias(c) for i, c in enumerate(sources)]
+    with scope():
+        scored, edges = _scored(docs, labels, key, text, lang, sources, carry)
+        # one row, or none without held-out trusted text
+        every = edges.where(F.col("grp") == ALL).first()
+    own = salted(scored, edges.where(F.col("grp") != ALL), "grp", "n_bytes", "left")
+    weight = F.coalesce(F.col("n") / (F.col("n") + PRIOR_TEXTS), F.lit(0.0))
+    for name in ("mid", "high"):
+        other = F.lit(None if every is None else every[name]).cast("double")
+        own = own.withColumn(name, weight * F.coalesce(name, F.lit(0.0)) + (1 - weight) * other)
+    value = (F.col("surprise") + SHRINK * F.col("mid")) / (F.col("n_bytes") + SHRINK)
+    verdict = (F.col("n_bytes") > 0) & F.coalesce(value <= F.col("high"), F.lit(True))
+    if carry:
+        return own.where(verdict).select(*back)
+    perplexity = F.when(F.col("n_bytes") > 0, F.exp(F.coalesce(value, F.col("surprise") / F.col("n_bytes"))))
+    return own.select(
+        *back, "grp", "n_bytes", perplexity.alias("perplexity"), F.exp("high").alias("high"), verdict.alias("kept")
+    )
+
+
+def _scored(
+    docs: DataFrame, labels: DataFrame, key: str, text: str, lang: str, sources: list[str], carry: bool
+) -> tuple[DataFrame, DataFrame]:
+    """Every row with the columns ``sources`` as c0, c1 and so on and its surprise; and the limits. Both outlive the scope."""
     trusted = trusted_text(docs, labels, key, text, lang)
-    groups = trusted.where("lang is not null").groupBy("lang").agg(F.count_if(~F.col("held")).alias("n"), F.count_if(F.col("held") & (F.length("text") > 0)).alias("n_held"))
-    known = groups.where((F.col("n") >= LEAST_TRUSTED) & (F.col("n_held") > 0)).select("lang", F.col("lang").alias("grp"))
-    known = settle(known, "groups")
-    counted = joined_by(trusted.where("not held"), known, "lang").withColumn("grp", F.coalesce("grp", F.lit(ALL)))
-    # texts of small languages are counted under a name of their own, which only the model of all text sees
-    named = counted.withColumn("grp", F.when(F.col("grp") == ALL, F.lit("")).otherwise(F.col("grp")))
-    model = build_model(named)
-    if known.count() <= MOST_BROADCAST:
+    # texts without a language are counted under a name of their own, which only the model of all text sees
+    own = F.when(F.col("lang") != ALL, F.col("lang")).otherwise("")
+    counted = trusted.where("not held").select(own.alias("grp"), "text")
+    model = build_model(counted)
+    sizes = counted.where("grp <> ''").groupBy("grp").agg(F.sum(F.octet_length("text")).alias("n"))
+    share = F.col("n") / (F.col("n") + PRIOR_BYTES)
+    shares = settle(sizes.where("n > 0").select("grp", share.alias("share")), "shares")
+    known = shares.select(F.col("grp").alias("lang"), "grp")
+    if shares.count() <= MOST_BROADCAST:
         known = F.broadcast(known)
-    sources = [c for c in docs.columns] if carry else [key]
     plain = docs.select(
         *[F.col(c).alias(f"c{i}") for i, c in enumerate(sources)],
         F.col(key).alias("__k"),
         F.col(lang).alias("lang"),
         *([] if carry else [F.col(text).alias("text")]),
-        F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS).alias("block"),
     )
-    rows = joined_by(plain, known, "lang").withColumn("grp", F.coalesce("grp", F.lit(ALL)))
+    rows = plain.join(known, "lang", "left").withColumn("grp", F.coalesce("grp", F.lit(ALL)))
     kept_columns = (*[f"c{i}" for i in range(len(sources))], "__k", "grp")
     own_text = f"c{sources.index(text)}" if carry else "text"
-    scored = settle(score(rows, model, kept_columns, own_text), "scores")
-    good = labels.where((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).select(F.col(key).alias("__k")).distinct()
-    held = scored.where(is_held_out("__k")).select("__k", "grp", "surprise", "n_bytes").join(good, "__k")
-    # the limit of all text comes from all held-out trusted text, so that of known languages is scored by its model as well
-    again = settle(joined_by(trusted.where("held"), known, "lang", "inner").select("text", F.lit(ALL).alias("grp")), "held_out")
-    again = again.withColumn("block", F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS))
-    held = held.select("grp", "surprise", "n_bytes").unionByName(score(again, model, ("grp",), "text"))
-    edges = settle(limits(held), "limits")
-    value = (F.col("surprise") + SHRINK * F.col("mid")) / (F.col("n_bytes") + SHRINK)
-    judged = scored.join(edges, "grp", "left").withColumn("value", value)
-    inside = F.coalesce(F.col("value") <= F.col("high"), F.lit(True))
-    verdict = (F.col("n_bytes") > 0) & inside
-    back = [F.col(f"c{i}").alias(c) for i, c in enumerate(sources)]
-    if carry:
-        return judged.select(*back, verdict.alias(names["kept"])).where(names["kept"]).drop(names["kept"])
-    perplexity = F.when(F.col("n_bytes") > 0, F.exp(F.coalesce("value", F.col("surprise") / F.col("n_bytes"))))
-    return judged.select(
-        *back, "grp", "n_bytes", perplexity.alias("perplexity"), F.exp("high").alias("high"), verdict.alias("kept")
-    )
+    scored = settle(score(rows, model, shares, kept_columns, own_text), "scores", outer=True)
+    held = scored.where(is_held_out("__k")).select("__k", "grp", "surprise", "n_bytes").join(_good(labels, key, "__k"), "__k")
+    # the limit of all text comes from all held-out trusted text under the model of all text
+    again = settle(trusted.where("held").select("text", F.lit(ALL).alias("grp")), "held_out")
+    held = held.where(F.col("grp") != ALL).select("grp", "surprise", "n_bytes")
+    edges = limits(held.unionByName(score(again, model, shares, ("grp",), "text")))
+    return scored, settle(edges, "limits", outer=True)
+
+
+def _good(labels: DataFrame, key: str, name: str) -> DataFrame:
+    trusted = (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
+    return labels.where(trusted).select(F.col(key).alias(name)).distinct()

@@ -70,9 +70,9 @@ def chunks(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[Chunk]:
         first = last
 
 
-def word_limits(chunk: Chunk) -> Words:
-    """Maximal runs of bytes other than space and 0x09 to 0x0D, none crossing two texts."""
-    inside = ~SPACE[chunk.data]
+def word_limits(chunk: Chunk, apart: np.ndarray = SPACE) -> Words:
+    """Maximal runs of bytes not marked in ``apart`` (space and 0x09 to 0x0D), none crossing two texts."""
+    inside = ~apart[chunk.data]
     starts, ends = inside.copy(), inside.copy()
     starts[1:] &= ~inside[:-1]
     ends[:-1] &= ~inside[1:]
@@ -130,6 +130,15 @@ def sums(values: np.ndarray, limits: np.ndarray) -> np.ndarray:
     return np.diff(total[limits])
 
 
+def text_sums(values: np.ndarray, limits: np.ndarray) -> np.ndarray:
+    """Sum of doubles between each two limits, each added up on its own, so that neighbours don't change it."""
+    out = np.zeros(len(limits) - 1)
+    full = np.flatnonzero(np.diff(limits))
+    if len(full):
+        out[full] = np.add.reduceat(values.astype(np.float64), limits[full])
+    return out
+
+
 def line_limits(chunk: Chunk) -> Words:
     """The lines of each text, split at line feeds, as limits without the feeds."""
     feeds = np.flatnonzero(chunk.data == 10)
