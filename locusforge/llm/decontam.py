@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from locusforge.llm.bits import bit_filter, may_hold
 from locusforge.llm.frames import mapped, scope, settle
 from locusforge.llm.words import LOWER, Chunk, Words, chunks, mix, sums, word_hashes, word_limits
 
@@ -29,8 +30,6 @@ LEAST_SHARE = 0.5
 RUN_WORDS = 13
 #: Words put in or left out between two parts of one copy.
 DRIFT = 8
-#: Bits of the filter that tells tasks which windows may be in the benchmark: 4 MiB whatever the benchmark's size.
-FILTER_BITS = 25
 
 UNITS = (
     "mm cm m km inch inches foot feet yard yards mile miles mg g kg ton tons tonne tonnes oz lb lbs pound pounds ml l "
@@ -210,8 +209,7 @@ def _text_windows(batches: Iterator[pa.RecordBatch], sizes: list[tuple[int, int]
             for reading, size in sizes:
                 given = read[reading]
                 hashes, at = template_windows(given.token, given.value, given.bounds, size)
-                bit = hashes >> np.uint64(64 - FILTER_BITS)
-                hit = (held[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                hit = may_hold(held, hashes)
                 hashes, at = hashes[hit], at[hit]
                 owner = np.searchsorted(given.bounds, at, "right") - 1
                 if size < SHORTEST:
@@ -246,14 +244,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     wanted = settle(wanted.distinct(), "item_windows")
     # at most as many as READINGS times WINDOW
     sizes = sorted((r[0], r[1]) for r in wanted.select("reading", "size").distinct().collect())
-    bits = wanted.select(F.shiftrightunsigned("hash", 64 - FILTER_BITS).alias("bit")).select(
-        F.bitmap_bucket_number("bit").alias("bucket"), F.bitmap_bit_position("bit").alias("position")
-    )
-    held = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    # 4 KiB for each of the filter's parts, as many as its fixed size has
-    for bucket, part in bits.groupBy("bucket").agg(F.bitmap_construct_agg("position")).collect():
-        # the parts are numbered from 1, and bit 0 is in part 0, position 0
-        _place(held, bucket, part)
+    held = bit_filter(wanted, "hash")
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     found = mapped(rows, partial(_text_windows, sizes=sizes, held=held), WINDOW_SCHEMA)
     theirs = wanted.select(
@@ -305,13 +296,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     )
 
 
-def _place(held: np.ndarray, bucket: int, part: bytes) -> None:
-    """Put one bitmap part into the filter; part ``k`` has the bits from ``32768 * (k - 1) + 1`` on."""
-    found = np.flatnonzero(np.unpackbits(np.frombuffer(part, np.uint8), bitorder="little")).astype(np.int64)
-    bits = found + 32768 * (bucket - 1) + 1 if bucket > 0 else -found
-    np.bitwise_or.at(held, bits >> 3, (1 << (bits & 7)).astype(np.uint8))
-
-
 def without_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark text, with all their columns; null keys stay."""
     with scope():

@@ -40,18 +40,19 @@ def remove(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def settle(df: DataFrame, name: str, outer: bool = False) -> DataFrame:
+def settle(df: DataFrame, name: str, outer: bool = False, by: str | None = None) -> DataFrame:
     """Write a frame to the shared scratch folder and read it back.
 
     Later passes read the files, so they see the same rows when an executor is
     lost, and Spark knows the size of the table when it plans a join. The table
     goes with the innermost open scope; with ``outer``, with the one around it.
+    With ``by``, each value of that column has a folder of its own.
     """
     path = scratch_path(df.sparkSession, name)
     held = _scopes.get()[: -1 if outer else None]
     if held:
         held[-1].append((df.sparkSession, path))
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusforge.llm import decontam, html, langid, lines, mixing, neardup, perplexity, secretscan, toolcalls, warc
+from locusforge.llm import (
+    decontam,
+    html,
+    langid,
+    lines,
+    mixing,
+    neardup,
+    perplexity,
+    ranked,
+    secretscan,
+    tokenalign,
+    toolcalls,
+    vectors,
+    warc,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -274,3 +288,47 @@ def op10_tool_calls(spark: SparkSession, folder: str) -> DataFrame:
     schemas = spark.createDataFrame(SCHEMA, "name string, field string, type string, required boolean")
     linked = toolcalls.link_calls(calls, results, needs, schemas)
     return linked.withColumn("errors", F.array_join("errors", ","))
+
+
+RANKED_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+),
+i AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+),
+s AS (SELECT (count(*) FILTER (len(terms) > 0))::BIGINT AS n_all, sum(len(terms))::BIGINT AS l_all FROM d),
+x AS (SELECT doc_id, len(terms)::BIGINT AS n, unnest(terms) AS term FROM d),
+f AS (SELECT doc_id, n, term, count(*)::BIGINT AS tf FROM x WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+w AS (
+  SELECT term, floor(1000 * ln((2 * n_all + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM f, s GROUP BY term, n_all
+),
+p AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_all) // l_all))))::BIGINT AS score
+  FROM f JOIN w USING (term) JOIN i USING (term), s GROUP BY item_id, doc_id
+),
+r AS (
+  SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score FROM p WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+
+@query(RANKED_SQL)
+def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The best documents of every benchmark item."""
+    return ranked.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query()
+def op12_nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Nearest neighbours of every twentieth vector among all."""
+    return vectors.nearest(table(spark, folder, "embeddings"))
+
+
+@query()
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Token groups and links of every document under two tokenizers."""
+    return tokenalign.alignments(table(spark, folder, "documents"))
