@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right, insort
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusforge.operators.intervals import bin_of, join_points_to_intervals, mark_overlapping
 from locusforge.operators.scale import null_safe_join
-from locusforge.session import cut_lineage
+from locusforge.session import cut_lineage, ship_package
 
 # Thresholds and distances of the configured steps.
 EQTL_LEAD_PVALUE = 1e-3
@@ -23,6 +25,8 @@ CLUMP_DISTANCE = 500_000
 
 # An island of at most this many candidate positions is clumped in one array fold.
 FOLD_POSITIONS = 5_000
+# Rows of a tile of a larger island, which one task folds together with the bins beside it.
+TILE_ROWS = 200_000
 
 
 def pvalue_filter(df: DataFrame, strength: str, threshold: float) -> DataFrame:
@@ -136,49 +140,87 @@ def _fold_islands(rows: DataFrame, group: list[str], distance: int) -> DataFrame
     return sorted_rows.select(*group, F.explode(leads).alias("lead")).select(*group, "lead.*")
 
 
-def _neighbour_min(rows: DataFrame, group: list[str], distance: int, value: Column, out: str) -> DataFrame:
-    """Smallest ``value`` among the rows less than ``distance`` away.
-
-    Each row is also shown to the two bins beside its own, so a window needs one
-    bin of positions and its neighbours, not the whole group.
-    """
-    shown = rows.withColumn("__shift", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn(
-        "__at", F.col("__bin") + F.col("__shift")
-    )
-    near = (
-        Window.partitionBy(*group, "__at").orderBy("pos").rangeBetween(-(distance - 1), distance - 1)
-    )
-    return (
-        shown.withColumn(out, F.min(value).over(near))
-        .where(F.col("__shift") == 0)
-        .drop("__shift", "__at")
-    )
+#: What a tile says of a row: a lead, claimed by one, or dependent on rows of another tile.
+LEAD, CLAIMED, OPEN = range(3)
 
 
-def _clump_in_rounds(rows: DataFrame, group: list[str], distance: int) -> DataFrame:
-    """Greedy choice for islands of any size.
+def _decide(positions: list[int], own: list[bool], leads: list[int], distance: int) -> list[int]:
+    """State of each row of a tile and its borders, given strongest first.
 
-    A row that is the strongest within its window is a lead whatever happens
-    elsewhere, so all such rows are taken at once, the rows they claim are
-    removed, and the rest goes into the next round. The outcome equals choosing
-    one after the other.
+    A lead claims what lies less than ``distance`` away. A row of another tile
+    is open unless a known lead claims it; a row of this tile is open if a
+    stronger open one is that near and no lead is.
     """
-    leads = None
-    rank = F.struct("neg", "pos", "id")
+    leads, open_ = sorted(leads), []
+    states = []
+
+    def near(places: list[int], x: int) -> bool:
+        i = bisect_right(places, x - distance)
+        return i < len(places) and places[i] < x + distance
+
+    for x, mine in zip(positions, own):
+        if near(leads, x):
+            states.append(CLAIMED)
+        elif not mine or near(open_, x):
+            states.append(OPEN)
+            insort(open_, x)
+        else:
+            states.append(LEAD)
+            insort(leads, x)
+    return states
+
+
+def _clump_in_tiles(rows: DataFrame, group: list[str], distance: int, tile_rows: int) -> DataFrame:
+    """Greedy choice for islands of any size, tile by tile.
+
+    Neighbouring bins make a tile of about ``tile_rows`` rows, which is folded
+    together with the rows one bin beyond it. What depends on open rows of
+    another tile stays open and meets the leads found so far in the next round,
+    so that only chains over many tiles take many rounds. The outcome equals
+    choosing one after the other.
+    """
+    ship_package(rows.sparkSession)
     columns = [*group, "neg", "pos", "id", "__bin"]
-    rest = rows.select(*columns)
+    kinds = dict(rows.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", __state int"
+    open_, leads = rows.select(*columns), None
     while True:
-        marked = _neighbour_min(rest, group, distance, rank, "__best").withColumn(
-            "__rank", F.when(F.col("__best") == rank, F.lit(0)).otherwise(F.lit(1))
-        )
-        decided = cut_lineage(
-            _neighbour_min(marked.drop("__best"), group, distance, F.col("__rank"), "__claimed")
-        )
-        found = decided.where(F.col("__rank") == 0).select(*group, "neg", "pos", "id")
+        tiled = _tiles(open_, group, tile_rows)
+        shown = null_safe_join(open_, tiled, [*group, "__bin"]).select(*columns, "__tile", "__near", F.lit(False).alias("__lead"))
+        if leads is not None:
+            around = F.explode(F.array(*[F.col("__bin") + k for k in (-1, 0, 1)])).alias("__bin")
+            places = tiled.select(*group, "__bin", "__tile")
+            met = null_safe_join(leads.select(*group, "neg", "pos", "id", around), places, [*group, "__bin"])
+            met = met.select(*columns, F.lit(-1).cast("long").alias("__tile"), F.array("__tile").alias("__near"), F.lit(True).alias("__lead"))
+            shown = shown.unionByName(met)
+        shown = shown.withColumn("__in", F.explode("__near"))
+
+        def fold(tile: pd.DataFrame) -> pd.DataFrame:
+            known = tile["__lead"].to_numpy()
+            part = tile[~known].sort_values(["neg", "pos"])
+            own = (part["__tile"] == part["__in"]).tolist()
+            found = sorted(set(tile["pos"][known].tolist()))
+            part = part.assign(__state=_decide(part["pos"].tolist(), own, found, distance))
+            return part[own][[*columns, "__state"]]
+
+        decided = cut_lineage(shown.groupBy(*group, "__in").applyInPandas(fold, schema))
+        found = decided.where(F.col("__state") == LEAD).select(*columns)
         leads = found if leads is None else leads.unionByName(found)
-        rest = decided.where(F.col("__claimed") == 1).select(*columns)
-        if rest.isEmpty():
-            return leads
+        open_ = decided.where(F.col("__state") == OPEN).select(*columns)
+        if open_.isEmpty():
+            return leads.select(*group, "neg", "pos", "id")
+
+
+def _tiles(rows: DataFrame, group: list[str], tile_rows: int) -> DataFrame:
+    """Tile of each occupied bin, and the tiles that its rows are shown to: its own and those of the bins beside it."""
+    w = Window.partitionBy(*group).orderBy("__bin")
+    bins = rows.groupBy(*group, "__bin").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")
+    bins = bins.withColumn("__tile", F.floor(before / tile_rows))
+    beside = [
+        F.when(F.abs(move("__bin").over(w) - F.col("__bin")) == 1, move("__tile").over(w)) for move in (F.lag, F.lead)
+    ]
+    return cut_lineage(bins.withColumn("__near", F.array_distinct(F.array_compact(F.array("__tile", *beside)))).drop("__n"))
 
 
 def window_clump(
@@ -191,6 +233,7 @@ def window_clump(
     distance: int = CLUMP_DISTANCE,
     threshold: float,
     fold_positions: int = FOLD_POSITIONS,
+    tile_rows: int = TILE_ROWS,
 ) -> DataFrame:
     """Leads: the strongest signal of a group claims all positions less than
     ``distance`` away, and so on with what is left. Equal signals go by position,
@@ -198,7 +241,7 @@ def window_clump(
 
     A position is first reduced to its strongest row, since the others can never
     lead. The group then falls into islands that cannot reach each other; small
-    islands are folded in one pass and larger ones solved in rounds, both exact.
+    islands are folded in one pass and larger ones solved in tiles, both exact.
     """
     group = list(group)
     best = cut_lineage(
@@ -213,7 +256,7 @@ def window_clump(
     leads = _fold_islands(placed.where(F.col("__size") <= fold_positions), group, distance)
     if not islands.where(F.col("__size") > fold_positions).isEmpty():
         large = placed.where(F.col("__size") > fold_positions)
-        leads = leads.unionByName(_clump_in_rounds(large, group, distance))
+        leads = leads.unionByName(_clump_in_tiles(large, group, distance, tile_rows))
     return leads.select(
         *group, F.col("id").alias("lead_id"), F.col("pos").alias("lead_pos"), (-F.col("neg")).alias("lead_strength")
     )

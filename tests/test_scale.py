@@ -302,3 +302,39 @@ def test_pics_lead_has_most(spark):
     df = spark.createDataFrame([("l", "lead", 9.0, 1.0), ("l", "near", 9.0, 0.9), ("l", "far", 9.0, 0.3)], "locus string, tag string, m double, r2 double")
     got = {r["tag"]: r["pip"] for r in posteriors.pics(df, ["locus"], lead_strength="m", r2="r2").collect()}
     assert set(got) == {"lead", "near"} and got["lead"] > got["near"] and abs(sum(got.values()) - 1) < 1e-12
+
+
+@pytest.mark.parametrize("tile_rows", [25])
+def test_window_clump_over_tile_borders(spark, tile_rows):
+    rnd = random.Random(8)
+    rows = [("loose", rnd.randrange(3_000), float(rnd.randrange(8, 40)), i) for i in range(400)]
+    rows += [("rising", 30 * n, 10.0 + n, 1_000 + n) for n in range(80)]
+    rows += [("wave", 40 * n, 50.0 + (n % 13) * (-1) ** (n // 13), 2_000 + n) for n in range(100)]
+    df = spark.createDataFrame(rows, "study string, pos long, v double, id long")
+    got = loci.window_clump(
+        df, ["study"], position="pos", strength="v", tie="id", distance=100, threshold=8.0, fold_positions=0, tile_rows=tile_rows
+    ).collect()
+    for study in ("loose", "rising", "wave"):
+        want = greedy([(-v, pos, i) for s, pos, v, i in rows if s == study], 100)
+        assert {r["lead_id"] for r in got if r["study"] == study} == want
+
+
+def jobs_of(spark, run):
+    """Spark jobs that a call starts."""
+    name = f"count-{random.random()}"
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        run()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+
+def test_clumping_jobs_do_not_grow_with_a_chain(spark):
+    counts = []
+    for windows in (5, 20, 100):
+        rows = [("chain", 50 * n, 10.0 + n, n) for n in range(2 * windows)]
+        df = spark.createDataFrame(rows, "study string, pos long, v double, id long")
+        args = dict(position="pos", strength="v", tie="id", distance=100, threshold=8.0, fold_positions=0)
+        counts.append(jobs_of(spark, lambda: loci.window_clump(df, ["study"], **args).collect()))
+    assert counts[0] == counts[1] == counts[2]
