@@ -48,29 +48,76 @@ def new_file_stream(
     )
 
 
+# Buckets into which the state of a stream is dealt by key.
+STATE_BUCKETS = 64
+
+
+def _versions(spark: SparkSession, target: str) -> list[tuple[int, int]]:
+    """(bucket, version) of the folders of a state table, from their names alone."""
+    pattern = os.path.join(target, "bucket=*", "version=*")
+    paths = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = paths.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(paths) or []
+    names = [str(x.getPath()) for x in found]
+    return [(int(n.rsplit("bucket=", 1)[1].split("/")[0]), int(n.rsplit("version=", 1)[1])) for n in names]
+
+
+def _state_folder(target: str, bucket: int, version: int) -> str:
+    return os.path.join(target, f"bucket={bucket}", f"version={version}")
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def _one_row_per_key(
-    changes: DataFrame, key: str, pick: Callable[[Column, Column], Column], ts: str, tie: str, target: str, checkpoint: str
+    changes: DataFrame,
+    key: str,
+    pick: Callable[[Column, Column], Column],
+    ts: str,
+    tie: str,
+    target: str,
+    checkpoint: str,
+    buckets: int = STATE_BUCKETS,
 ) -> StreamingQuery:
     """Keep one row per key over all batches, chosen by time.
 
-    A batch is reduced to one row per key and merged with the table of the
-    batch before. Two folders take turns: a batch reads the one and overwrites
-    the other, so a batch that is run again finds its predecessor in place.
+    The state is dealt into buckets by a hash of the key. A batch is reduced to
+    one row per key, and only the buckets of its keys are read and written
+    again, each as a new version in a folder of its own; the others aren't
+    touched. The version before the newest stays, so that a batch that is run
+    again starts from what it found the first time.
     """
     columns = [c for c in changes.columns if c != key]
 
     def reduce_rows(df: DataFrame) -> DataFrame:
         row = pick(F.struct(*columns), F.struct(F.col(ts).alias("a"), F.col(tie).alias("b")))
-        return df.groupBy(key).agg(row.alias("__r")).select(key, "__r.*")
+        return df.groupBy(key, "bucket").agg(row.alias("__r")).select(key, "bucket", "__r.*")
 
     def process(batch: DataFrame, number: int) -> None:
-        rows = reduce_rows(batch)
-        earlier = _existing(batch.sparkSession, os.path.join(target, f"turn={(number + 1) % 2}"))
-        if earlier is not None:
-            rows = reduce_rows(rows.unionByName(earlier.drop("version")))
-        rows.withColumn("version", F.lit(number)).write.mode("overwrite").parquet(
-            os.path.join(target, f"turn={number % 2}")
-        )
+        spark = batch.sparkSession
+        rows = reduce_rows(batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))).persist()
+        touched = {r["bucket"] for r in rows.select("bucket").distinct().collect()}  # at most ``buckets``
+        before: dict[int, list[int]] = {}
+        for bucket, version in _versions(spark, target):
+            if bucket in touched:
+                before.setdefault(bucket, []).append(version)
+        newest = {b: max(v for v in found if v < number) for b, found in before.items() if min(found) < number}
+        if newest:
+            held = spark.read.schema(changes.schema).option("basePath", target)
+            held = held.parquet(*[_state_folder(target, b, v) for b, v in sorted(newest.items())])
+            hashed = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+            merged = reduce_rows(rows.unionByName(held.select(*changes.columns).withColumn("bucket", hashed)))
+        else:
+            merged = rows
+        merged.withColumn("version", F.lit(number)).repartition("bucket").write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic"
+        ).partitionBy("bucket", "version").parquet(target)
+        rows.unpersist()
+        for bucket, found in before.items():
+            for version in found:
+                if version < newest.get(bucket, 0):
+                    _remove(spark, _state_folder(target, bucket, version))
 
     return (
         changes.writeStream.foreachBatch(process)
@@ -105,7 +152,9 @@ def status_state_stream(
 
 
 def newest_state(spark: SparkSession, target: str) -> DataFrame:
-    """The table after the last batch."""
-    versions = spark.read.parquet(target)
-    last = versions.agg(F.max("version")).scalar()
-    return versions.where(F.col("version") == last).drop("version", "turn")
+    """The table after the last batch: the newest version of each bucket."""
+    newest: dict[int, int] = {}
+    for bucket, version in _versions(spark, target):
+        newest[bucket] = max(version, newest.get(bucket, version))
+    folders = [_state_folder(target, b, v) for b, v in sorted(newest.items())]
+    return spark.read.option("basePath", target).parquet(*folders).drop("bucket", "version")

@@ -229,3 +229,34 @@ def test_sum_of_inverse_squares(spark):
     got = spark.range(0, 300).select("id", inverse_squares(F.col("id")).alias("s")).collect()
     for r in got:
         assert abs(r["s"] - sum(1 / i**2 for i in range(1, r["id"] + 1))) < 1e-13
+
+
+def test_a_batch_rewrites_only_the_buckets_it_touches(spark, tmp_path):
+    schema = "study string, status string, ts long, tie long"
+
+    def put(name, rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / name))
+
+    def run():
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in" / "*"))
+        out, log = str(tmp_path / "state"), str(tmp_path / "log")
+        streams.status_state_stream(stream, study="study", status="status", ts="ts", tie="tie", target=out, checkpoint=log).awaitTermination()
+        return {r["study"]: r["status"] for r in streams.newest_state(spark, out).collect()}
+
+    def files():
+        return {p.relative_to(tmp_path): p.stat().st_mtime_ns for p in (tmp_path / "state").rglob("*.parquet")}
+
+    put("a", [(f"s{i}", "old", 1, i) for i in range(200)])
+    assert len(run()) == 200
+    before = files()
+    put("b", [("s7", "new", 5, 1), ("s8", "late", 0, 1)])
+    state = run()
+    after = files()
+    assert state["s7"] == "new" and state["s8"] == "old" and len(state) == 200
+    assert len(set(after) - set(before)) <= 2 and all(after[f] == before[f] for f in before)
+    put("c", [("s7", "newer", 9, 1)])
+    assert run()["s7"] == "newer"
+    versions = {p.parts[-3]: set() for p in files()}
+    for p in files():
+        versions[p.parts[-3]].add(p.parts[-2])
+    assert max(len(v) for v in versions.values()) <= 2
