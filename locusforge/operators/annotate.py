@@ -38,6 +38,33 @@ def map_to_variants(
     )
 
 
+def _allele_offers(
+    variants: DataFrame, position: Sequence[str], ref: str, alt: str, variant_id: str
+) -> tuple[DataFrame, Column]:
+    """Each variant under its alleles in both orders, one offer per position and order, and the condition that meets it."""
+    direct = F.struct(F.col(ref).alias("__ref"), F.col(alt).alias("__alt"), F.lit(False).alias("flipped"))
+    swapped = F.struct(F.col(alt).alias("__ref"), F.col(ref).alias("__alt"), F.lit(True).alias("flipped"))
+    ways = F.array_compact(F.array(direct, F.when(F.col(ref) != F.col(alt), swapped)))
+    offered = variants.select(*position, variant_id, F.explode(ways).alias("__way")).select(
+        *position, variant_id, "__way.*"
+    )
+    # the direct offer of an order goes first
+    offers = first_by(offered, [*position, "__ref", "__alt"], [F.col("flipped"), F.col(variant_id)])
+    renamed = offers.select(*[F.col(p).alias(f"__p_{p}") for p in position], "__ref", "__alt", variant_id, "flipped")
+    condition = (F.col(ref) == F.col("__ref")) & (F.col(alt) == F.col("__alt"))
+    for p in position:
+        condition = condition & (F.col(p) == F.col(f"__p_{p}"))
+    return renamed, condition
+
+
+def unmatched_sumstats(
+    raw: DataFrame, variants: DataFrame, *, position: Sequence[str], ref: str, alt: str, variant_id: str
+) -> DataFrame:
+    """The statistics that ``harmonise_sumstats`` finds no variant for, in either allele order; nulls match nothing."""
+    offers, condition = _allele_offers(variants, position, ref, alt, variant_id)
+    return raw.join(offers, condition, "left_anti")
+
+
 def harmonise_sumstats(
     raw: DataFrame,
     variants: DataFrame,
@@ -53,22 +80,12 @@ def harmonise_sumstats(
     Both orders are tried through one equi join: each variant is offered under
     its alleles in both orders. A direct match wins over a swapped one; a
     swapped match changes the sign of the effect and the alleles. Palindromic
-    pairs are flagged. Statistics without a known variant are dropped.
+    pairs are flagged. Statistics without a known variant are not in the
+    result; ``unmatched_sumstats`` has them.
     """
-    direct = F.struct(F.col(ref).alias("__ref"), F.col(alt).alias("__alt"), F.lit(False).alias("flipped"))
-    swapped = F.struct(F.col(alt).alias("__ref"), F.col(ref).alias("__alt"), F.lit(True).alias("flipped"))
-    ways = F.array_compact(F.array(direct, F.when(F.col(ref) != F.col(alt), swapped)))
-    offered = variants.select(*position, variant_id, F.explode(ways).alias("__way")).select(
-        *position, variant_id, "__way.*"
-    )
-    # one offer per position and allele order, the direct one first
-    offers = first_by(offered, [*position, "__ref", "__alt"], [F.col("flipped"), F.col(variant_id)])
-    renamed = offers.select(*[F.col(p).alias(f"__p_{p}") for p in position], "__ref", "__alt", variant_id, "flipped")
-    condition = (F.col(ref) == F.col("__ref")) & (F.col(alt) == F.col("__alt"))
-    for p in position:
-        condition = condition & (F.col(p) == F.col(f"__p_{p}"))
+    offers, condition = _allele_offers(variants, position, ref, alt, variant_id)
     return (
-        raw.join(renamed, condition, "inner")
+        raw.join(offers, condition, "inner")
         .withColumn(beta, F.when(F.col("flipped"), -F.col(beta)).otherwise(F.col(beta)))
         .withColumn("palindromic", palindromic(F.col(ref), F.col(alt)))
         .withColumn("__swap", F.col(ref))

@@ -11,12 +11,17 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from locusforge.operators.graph import connected
 from locusforge.operators.scale import row_numbers
+from locusforge.session import cut_lineage
 
 # Model settings and the evidence threshold.
 ESTIMATORS = 100
 DEPTH = 5
 EVIDENCE_THRESHOLD = 0.05
+# Least score at which a gene that interacts with a positive is no negative, and parts of cross-validation.
+INTERACTION_SCORE = 0.8
+FOLDS = 5
 
 
 def l2g_features(
@@ -63,6 +68,45 @@ def score_threshold(df: DataFrame, score: str, threshold: float = EVIDENCE_THRES
     return df.where(F.col(score) >= F.lit(float(threshold)))
 
 
+def l2g_labels(
+    pairs: DataFrame,
+    gold: DataFrame,
+    interactions: DataFrame,
+    *,
+    locus: str,
+    gene: str,
+    partner: str,
+    score: str,
+    min_score: float = INTERACTION_SCORE,
+    folds: int = FOLDS,
+) -> DataFrame:
+    """Labelled (locus, gene) pairs for training: ``locus, gene, label, component, fold``.
+
+    ``pairs`` are the candidates, ``gold`` the (locus, gene) pairs held to be
+    true. A gold pair among the candidates is a positive. The other genes of a
+    locus with a positive are negatives, but for those that an interaction of at
+    least ``min_score``, in either direction, ties to a positive gene of the
+    locus: they may be true themselves and have no label. Loci that share a
+    gene are one component, and a component lies in one fold.
+    """
+    key = [locus, gene]
+    candidates = pairs.select(*key).distinct()
+    positives = cut_lineage(candidates.join(gold.select(*key).distinct(), key))
+    others = candidates.join(positives.select(locus).distinct(), locus, "left_semi").join(positives, key, "left_anti")
+    strong = interactions.where(F.col(score) >= F.lit(float(min_score)))
+    both = strong.select(F.col(gene).alias("__a"), F.col(partner).alias("__b")).unionByName(
+        strong.select(F.col(partner).alias("__a"), F.col(gene).alias("__b"))
+    ).distinct()
+    tied = positives.join(both, F.col(gene) == F.col("__a")).select(locus, F.col("__b").alias(gene)).distinct()
+    labelled = positives.withColumn("label", F.lit(1)).unionByName(
+        others.join(tied, key, "left_anti").withColumn("label", F.lit(0))
+    )
+    labelled = cut_lineage(labelled)
+    parts = connected(labelled, locus, gene).select(F.col("node").alias(locus), "component")
+    fold = F.pmod(F.xxhash64("component"), F.lit(folds)).cast("int").alias("fold")
+    return labelled.join(parts, locus).select(locus, gene, "label", "component", fold)
+
+
 def l2g_train(
     features: DataFrame,
     gold: DataFrame,

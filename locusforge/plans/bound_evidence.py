@@ -291,21 +291,19 @@ def known_drug(t):
 @query(
     """
     SELECT coalesce(a.k, b.k, c.k) AS nation, n_customers, n_suppliers, n_name FROM
-      (SELECT c_nationkey AS k, count(*) AS n_customers FROM customer WHERE c_acctbal > 9900 GROUP BY 1) a
-      FULL JOIN (SELECT s_nationkey AS k, count(*) AS n_suppliers FROM supplier WHERE s_acctbal > 5000 GROUP BY 1) b ON a.k = b.k
-      FULL JOIN (SELECT n_nationkey AS k, n_name FROM nation WHERE n_regionkey = 0) c ON c.k = coalesce(a.k, b.k)
+      (SELECT c_nationkey AS k, count(*) AS n_customers FROM customer GROUP BY 1) a
+      FULL JOIN (SELECT s_nationkey AS k, count(*) AS n_suppliers FROM supplier GROUP BY 1) b ON a.k = b.k
+      FULL JOIN (SELECT n_nationkey AS k, n_name FROM nation) c ON c.k = coalesce(a.k, b.k)
     """
 )
 def target_table(t):
     return evidence.target_table(
         {
-            "customers": t.customer.where("c_acctbal > 9900")
-            .groupBy(F.col("c_nationkey").alias("nation"))
+            "customers": t.customer.groupBy(F.col("c_nationkey").alias("nation"))
             .agg(F.count(F.lit(1)).alias("n_customers")),
-            "suppliers": t.supplier.where("s_acctbal > 5000")
-            .groupBy(F.col("s_nationkey").alias("nation"))
+            "suppliers": t.supplier.groupBy(F.col("s_nationkey").alias("nation"))
             .agg(F.count(F.lit(1)).alias("n_suppliers")),
-            "names": t.nation.where("n_regionkey = 0").select(F.col("n_nationkey").alias("nation"), "n_name"),
+            "names": t.nation.select(F.col("n_nationkey").alias("nation"), "n_name"),
         },
         "nation",
     )
@@ -343,8 +341,8 @@ def homologues(t):
 @query(
     """
     SELECT p_partkey, p_brand, qty, best FROM part
-    LEFT JOIN (SELECT l_partkey, sum(l_quantity)::BIGINT AS qty FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) a ON a.l_partkey = p_partkey
-    LEFT JOIN (SELECT l_partkey, max(l_discount) AS best FROM lineitem WHERE l_quantity > 45 GROUP BY 1) b ON b.l_partkey = p_partkey
+    LEFT JOIN (SELECT l_partkey, sum(l_quantity)::BIGINT AS qty FROM lineitem GROUP BY 1) a ON a.l_partkey = p_partkey
+    LEFT JOIN (SELECT l_partkey, max(l_discount) AS best FROM lineitem GROUP BY 1) b ON b.l_partkey = p_partkey
     """
 )
 def prioritise_targets(t):
@@ -352,8 +350,8 @@ def prioritise_targets(t):
     return evidence.prioritise_targets(
         t.part.select("p_partkey", "p_brand"),
         [
-            t.lineitem.where("l_returnflag = 'R'").groupBy(key).agg(F.sum("l_quantity").cast("bigint").alias("qty")),
-            t.lineitem.where("l_quantity > 45").groupBy(key).agg(F.max("l_discount").alias("best")),
+            t.lineitem.groupBy(key).agg(F.sum("l_quantity").cast("bigint").alias("qty")),
+            t.lineitem.groupBy(key).agg(F.max("l_discount").alias("best")),
         ],
         "p_partkey",
     )
@@ -433,17 +431,13 @@ def ingest_study_index(t):
     """
     SELECT 'STUDY_' || l_suppkey AS "studyId", 'SuSie' AS "finemappingMethod", l_suppkey, l_orderkey, l_linenumber, l_discount, lead
     FROM (SELECT l_suppkey, l_orderkey, l_linenumber, l_discount FROM lineitem)
-    JOIN (SELECT l_suppkey AS k, max(l_extendedprice) / 10000 AS lead FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1 HAVING lead >= 9.0)
+    JOIN (SELECT l_suppkey AS k, max(l_extendedprice) / 10000 AS lead FROM lineitem GROUP BY 1 HAVING lead >= 9.0)
       ON k = l_suppkey
     """
 )
 def ingest_study_locus(t):
     snps = t.lineitem.select("l_suppkey", "l_orderkey", "l_linenumber", "l_discount")
-    summary = (
-        t.lineitem.where("l_returnflag = 'R'")
-        .groupBy("l_suppkey")
-        .agg((F.max("l_extendedprice") / 10000).alias("lead"))
-    )
+    summary = t.lineitem.groupBy("l_suppkey").agg((F.max("l_extendedprice") / 10000).alias("lead"))
     return annotate.ingest_study_locus(
         snps, summary, on=["l_suppkey"], study=F.concat(F.lit("STUDY_"), "l_suppkey"), lead_strength="lead",
         threshold=9.0, method="SuSie",
@@ -463,11 +457,11 @@ def feature_matrix(t):
     genes = t.part.select(
         F.col("p_partkey").alias("variant"), F.col("p_brand").alias("gene"), (F.col("p_size") * 1000).alias("distance")
     )
-    coloc = t.lineitem.where("l_returnflag = 'R'").join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(
+    coloc = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(
         F.col("l_suppkey").alias("locus"), F.col("p_brand").alias("gene"), F.col("l_tax").alias("clpp")
     )
     return l2g.l2g_features(
-        sets, genes, coloc, t.nation.where("n_regionkey <> 4").select(F.col("n_nationkey").alias("study")),
+        sets, genes, coloc, t.nation.select(F.col("n_nationkey").alias("study")),
         t.part.select(F.col("p_brand").alias("gene")).distinct(), locus="locus", variant="variant", gene="gene",
         study="study", pip="pip", distance="distance", coloc_score="clpp",
     )
@@ -477,10 +471,9 @@ _FEATURES = """
     SELECT locus, study, gene, min(distance) AS distance_min, sum(pip * distance) AS distance_weighted, max(pip) AS pip_max,
            sum(pip) AS pip_sum, count(*) AS n_variants, coalesce(any_value(cm), 0) AS coloc_max FROM (
       SELECT l_suppkey AS locus, l_partkey AS variant, max(l_discount) / 100 AS pip FROM lineitem GROUP BY ALL) cs
-    JOIN (SELECT s_suppkey, s_nationkey AS study FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey <> 4) ON s_suppkey = locus
+    JOIN (SELECT s_suppkey, s_nationkey AS study FROM supplier JOIN nation ON s_nationkey = n_nationkey) ON s_suppkey = locus
     JOIN (SELECT p_partkey, p_brand AS gene, p_size * 1000 AS distance FROM part) ON p_partkey = variant
-    LEFT JOIN (SELECT l_suppkey, p_brand, max(l_tax) AS cm FROM lineitem JOIN part ON l_partkey = p_partkey
-               WHERE l_returnflag = 'R' GROUP BY ALL) c ON c.l_suppkey = locus AND c.p_brand = gene
+    LEFT JOIN (SELECT l_suppkey, p_brand, max(l_tax) AS cm FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL) c ON c.l_suppkey = locus AND c.p_brand = gene
     GROUP BY locus, study, gene"""
 
 
@@ -517,6 +510,32 @@ def _gold(t):
     return t.labels.select("doc_id", F.col("quality").alias("label"))
 
 
+@query(
+    """
+    WITH c AS (SELECT DISTINCT l_orderkey AS locus, l_partkey AS gene FROM lineitem),
+    p AS (SELECT DISTINCT l_orderkey AS locus, l_partkey AS gene FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 1),
+    i AS (SELECT p_partkey AS a, p_partkey + 1 AS b, p_size / 50 AS s FROM part),
+    b AS (SELECT a, b FROM i WHERE s >= 0.8 UNION SELECT b, a FROM i WHERE s >= 0.8),
+    t AS (SELECT DISTINCT locus, b.b AS gene FROM p JOIN b ON b.a = p.gene)
+    SELECT locus, gene, 1 AS label FROM p
+    UNION ALL SELECT locus, gene, 0 FROM c WHERE locus IN (SELECT locus FROM p)
+      AND NOT EXISTS (SELECT 1 FROM p WHERE p.locus = c.locus AND p.gene = c.gene)
+      AND NOT EXISTS (SELECT 1 FROM t WHERE t.locus = c.locus AND t.gene = c.gene)
+    """
+)
+def l2g_labels(t):
+    """Orders as loci and parts as genes; the gold standard is a returned first line."""
+    pairs = t.lineitem.select(F.col("l_orderkey").alias("locus"), F.col("l_partkey").alias("gene"))
+    gold = t.lineitem.where("l_returnflag = 'R' AND l_linenumber = 1").select(
+        F.col("l_orderkey").alias("locus"), F.col("l_partkey").alias("gene")
+    )
+    interactions = t.part.select(
+        F.col("p_partkey").alias("gene"), (F.col("p_partkey") + 1).alias("partner"), (F.col("p_size") / 50).alias("s")
+    )
+    rows = l2g.l2g_labels(pairs, gold, interactions, locus="locus", gene="gene", partner="partner", score="s")
+    return rows.select("locus", "gene", "label")
+
+
 @query()
 def l2g_train(t):
     """Importance of each feature in the trained model."""

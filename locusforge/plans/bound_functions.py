@@ -220,6 +220,25 @@ def expand_template(t):
     )
 
 
+@query(
+    """
+    SELECT n_nationkey, 'download ' || n_name || ' ' || kind AS name, 'https://ftp.example.org/' || n_name || '/' || kind || '.json' AS source
+    FROM nation, (VALUES ('dictionary'), ('genes'), ('homologies')) k(kind)
+    """
+)
+def expand_template_for_all(t):
+    """Three templates for each species, without a group."""
+    kinds = F.explode(F.array(*map(F.lit, ("dictionary", "genes", "homologies")))).alias("kind")
+    templates = t.region.agg(F.count(F.lit(1)).alias("__n")).select(kinds).select(
+        F.concat(F.lit("download ${species} "), "kind").alias("name"),
+        F.concat(F.lit("https://ftp.example.org/${species}/"), "kind", F.lit(".json")).alias("source"),
+    )
+    variables = t.nation.select("n_nationkey", "n_name")
+    return listing.expand_template(templates, variables, None, ["name", "source"], {"species": "n_name"}).select(
+        "n_nationkey", "name", "source"
+    )
+
+
 def log_entries(t):
     return t.events.select(
         "event_id", "user_id", "ts", epoch("ts").alias("at"), _message().alias("message")

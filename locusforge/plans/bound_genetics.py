@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from locusforge.functions.stats import log_abf
+from locusforge.functions.stats import erfc_sql, log_abf
 from locusforge.operators import annotate, graph, intervals, loci, posteriors, variants
 from locusforge.operators.scale import nest_rows
 from locusforge.plans.registry import epoch, joined, query
@@ -317,8 +317,7 @@ def split_large_loci(t):
 
 @query(
     f"""
-    WITH loci AS (SELECT study, kind, study || kind AS id, min(pos) AS s, max(pos) AS e FROM ({_SIGNALS})
-                  WHERE value >= 60 GROUP BY study, kind)
+    WITH loci AS (SELECT study, kind, study || kind AS id, min(pos) AS s, max(pos) AS e FROM ({_SIGNALS}) GROUP BY study, kind)
     SELECT a.study, a.kind, a.s AS "start", a.e AS "end",
            EXISTS (SELECT 1 FROM loci b WHERE b.kind = 'error' AND b.study = a.study AND b.s <= a.e AND a.s <= b.e) AS explained
     FROM loci a WHERE a.kind <> 'error'
@@ -326,7 +325,7 @@ def split_large_loci(t):
 )
 def explained_by(t):
     peaks = loci.locus_peak(
-        signals(t).where("value >= 60"), ["study", "kind"], position="pos", strength="value", tie="event_id"
+        signals(t), ["study", "kind"], position="pos", strength="value", tie="event_id"
     ).select("study", "kind", F.concat("study", "kind").alias("id"), "start", "end")
     return loci.explained_by(
         peaks.where("kind <> 'error'"), peaks.where("kind = 'error'"), locus="id", by=["study"], start="start",
@@ -422,19 +421,13 @@ def ld_index_build(t):
     )
 
 
-_ERFC = """(CASE WHEN x >= 0 THEN e ELSE 2 - e END)"""
-
-
 @query(
     f"""
     WITH tags AS (SELECT study, lead, tag, max(r * r) AS r2, any_value(strength) / 10000 AS m FROM ({_LEADS}) l
                   JOIN ({_LD}) d ON d.variant = l.lead WHERE r * r >= 0.5 GROUP BY study, lead, tag),
     z AS (SELECT *, sqrt(1 - pow(sqrt(r2), 6.4)) * sqrt(m) / 2 AS sd FROM tags),
     x AS (SELECT *, (m - r2 * m) / sd / sqrt(2.0) AS x FROM z),
-    k AS (SELECT *, 1 / (1 + 0.3275911 * abs(x)) AS k FROM x),
-    w AS (SELECT *, CASE WHEN sd > 0 THEN
-            (((((1.061405429 * k - 1.453152027) * k) + 1.421413741) * k - 0.284496736) * k + 0.254829592) * k * exp(-x * x)
-          ELSE 1 END AS w FROM k)
+    w AS (SELECT *, CASE WHEN sd > 0 THEN {erfc_sql("x")} ELSE 1 END AS w FROM x)
     SELECT study, lead, tag, round(w / sum(w) OVER (PARTITION BY study, lead), 5) AS pip FROM w
     """
 )
@@ -565,11 +558,11 @@ def coloc(t):
     """
     SELECT o_orderkey, o_custkey, lines, n FROM orders LEFT JOIN (
       SELECT l_orderkey, string_agg(l_linenumber || ':' || l_partkey, ',' ORDER BY l_linenumber, l_partkey) AS lines, count(*) AS n
-      FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey) ON o_orderkey = l_orderkey
+      FROM lineitem GROUP BY l_orderkey) ON o_orderkey = l_orderkey
     """
 )
 def study_ancestry_join(t):
-    lines = t.lineitem.where("l_returnflag = 'R'").withColumnRenamed("l_orderkey", "o_orderkey")
+    lines = t.lineitem.withColumnRenamed("l_orderkey", "o_orderkey")
     rows = annotate.study_ancestry_join(
         t.orders.select("o_orderkey", "o_custkey"), lines, "o_orderkey", F.struct("l_linenumber", "l_partkey")
     )
@@ -604,6 +597,15 @@ def map_to_variants(t):
     """
 )
 def harmonise_sumstats(t):
+    raw, known = _raw_statistics(t)
+    rows = annotate.harmonise_sumstats(
+        raw, known, position=["l_partkey"], ref="ref", alt="alt", beta="beta", variant_id="id"
+    )
+    return rows.withColumn("beta", F.round("beta", 4) + F.lit(0.0))
+
+
+def _raw_statistics(t):
+    """Lines as statistics, and parts as variants with made-up alleles."""
     code = F.col("p_size") % 3
     known = t.part.select(
         F.col("p_partkey").alias("l_partkey"),
@@ -615,10 +617,23 @@ def harmonise_sumstats(t):
         "l_orderkey", "l_linenumber", "l_partkey", F.col("l_returnflag").alias("ref"), F.col("l_linestatus").alias("alt"),
         (F.col("l_discount") - 0.05).alias("beta"),
     )
-    rows = annotate.harmonise_sumstats(
-        raw, known, position=["l_partkey"], ref="ref", alt="alt", beta="beta", variant_id="id"
-    )
-    return rows.withColumn("beta", F.round("beta", 4) + F.lit(0.0))
+    return raw, known
+
+
+@query(
+    """
+    WITH v AS (SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'O' ELSE 'N' END AS r,
+                      CASE p_size % 3 WHEN 0 THEN 'F' WHEN 1 THEN 'R' ELSE 'O' END AS a FROM part)
+    SELECT l_orderkey, l_linenumber, l_partkey, l_returnflag AS ref, l_linestatus AS alt FROM lineitem
+    WHERE NOT EXISTS (SELECT 1 FROM v WHERE p_partkey = l_partkey
+      AND ((v.r = l_returnflag AND v.a = l_linestatus) OR (v.r = l_linestatus AND v.a = l_returnflag)))
+    """
+)
+def unmatched_sumstats(t):
+    raw, known = _raw_statistics(t)
+    return annotate.unmatched_sumstats(
+        raw, known, position=["l_partkey"], ref="ref", alt="alt", variant_id="id"
+    ).drop("beta")
 
 
 @query(
@@ -712,12 +727,12 @@ def id_mapping(t):
 @query(
     """
     SELECT o_orderkey, n_name FROM orders LEFT JOIN
-      (SELECT DISTINCT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 0)
+      (SELECT DISTINCT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey)
       ON c_custkey = o_custkey
     """
 )
 def id_mapping_of_arrays(t):
-    members = t.customer.where("c_acctbal > 0").withColumnRenamed("c_nationkey", "n_nationkey")
+    members = t.customer.withColumnRenamed("c_nationkey", "n_nationkey")
     mapping = nest_rows(members, ["n_nationkey"], F.col("c_custkey"), "ids").join(t.nation, "n_nationkey")
     return annotate.id_mapping(
         t.orders.select("o_orderkey", "o_custkey"), mapping, "o_custkey", "ids", F.col("n_name"), "n_name"

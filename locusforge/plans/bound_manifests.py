@@ -216,14 +216,14 @@ def exclusion_join(t):
 @query(
     """
     SELECT c_custkey, c_name, c_mktsegment AS curation FROM customer WHERE c_mktsegment = 'BUILDING'
-    UNION ALL SELECT c_custkey, c_name, NULL FROM customer WHERE c_acctbal > 0 AND c_mktsegment <> 'BUILDING'
+    UNION ALL SELECT c_custkey, c_name, NULL FROM customer WHERE c_mktsegment <> 'BUILDING'
     """
 )
 def curation_update(t):
     existing = t.customer.where("c_mktsegment = 'BUILDING'").select(
         "c_custkey", "c_name", F.col("c_mktsegment").alias("curation")
     )
-    new = t.customer.where("c_acctbal > 0").select("c_custkey", "c_name")
+    new = t.customer.select("c_custkey", "c_name")
     return manifests.curation_update(existing, new, "c_custkey")
 
 

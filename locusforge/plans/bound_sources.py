@@ -4,41 +4,44 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from locusforge.operators import evidence, manifests, validation, variants
+from locusforge.operators import evidence, graph, manifests, validation, variants
 from locusforge.operators.scale import nest_rows
 from locusforge.plans.bound_functions import FIRST_EXIT_SQL, log_entries
 from locusforge.plans.bound_genetics import _NUMBERED, _VARIANTS, WHOLE, merged
-from locusforge.plans.bound_manifests import known_studies, raw_studies
+from locusforge.plans.bound_manifests import raw_studies
 from locusforge.plans.registry import query
 from locusforge.session import scratch_path
-from locusforge.sources import listing, readers, sinks
+from locusforge.sources import blockgzip, listing, readers, sinks
 from locusforge.streaming import studies as streams
 
 _MANIFESTS = """
     SELECT 'GCST' || doc_id AS "studyId", 'gs://staging/GCST' || doc_id || '/manifest.json' AS "manifestPath",
-           false AS "passQc", 'pending' AS status FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)"""
+           false AS "passQc", 'pending' AS status FROM documents"""
 
 
-def _written_manifests(t) -> str:
+def _written_manifests(t):
     root = scratch_path(t.spark, "manifests")
-    rows = manifests.make_manifest_rows(
-        raw_studies(t).join(known_studies(t), "studyId", "left_semi"), "gs://staging"
-    )
-    sinks.write_manifests(rows, root)
-    return root
+    return root, sinks.write_manifests(manifests.make_manifest_rows(raw_studies(t), root))
 
 
 @query(_MANIFESTS)
 def read_manifests(t):
-    rows, _ = readers.read_manifests(t.spark, _written_manifests(t))
-    return rows.select("studyId", "manifestPath", "passQc", "status")
+    root, _ = _written_manifests(t)
+    rows, _ = readers.read_manifests(t.spark, root)
+    path = F.replace("manifestPath", F.lit(root), F.lit("gs://staging")).alias("manifestPath")
+    return rows.select("studyId", path, "passQc", "status")
 
 
-@query("SELECT 'GCST' || doc_id AS study, count(*) AS n_files FROM labels GROUP BY 1")
+@query("SELECT 'GCST' || doc_id AS study, 'GCST' || doc_id || '/manifest.json' AS path, 1::BIGINT AS n_files, 'GCST' || doc_id AS held FROM documents")
 def write_manifests(t):
-    files = listing.list_objects(t.spark, _written_manifests(t), "*.json")
-    study = F.regexp_extract("path", "study=([^/]+)/", 1).alias("study")
-    return files.groupBy(study).agg(F.count(F.lit(1)).alias("n_files"))
+    """The returned paths, the files that lie there, and the study that each one holds."""
+    root, written = _written_manifests(t)
+    own = F.concat(F.lit("/"), F.regexp_replace("path", "^[a-z]+:/*", ""))
+    below = F.substring_index(own, "/", -2).alias("path")
+    files = t.spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(root)
+    files = files.select(F.col("_metadata.file_path").alias("path"), F.get_json_object("value", "$.studyId").alias("held"))
+    found = files.groupBy(below).agg(F.count(F.lit(1)).alias("n_files"), F.max("held").alias("held"))
+    return written.select("study", below).join(found, "path")
 
 
 @query("SELECT DISTINCT c_nationkey, c_mktsegment, true AS has_bytes FROM customer")
@@ -110,13 +113,13 @@ def read_partitioned(t):
     return rows.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys"))
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_acctbal > 0")
+@query("SELECT c_custkey, c_name FROM customer")
 def sink(t):
     path = scratch_path(t.spark, "release")
     rows = t.customer.select("c_custkey", "c_name")
-    sinks.sink(rows, path, "errorifexists")
-    sinks.sink(t.customer.where("c_acctbal > 0").select("c_custkey", "c_name"), path, "overwrite")
-    sinks.sink(rows, path, "ignore")
+    sinks.sink(t.customer.select("c_custkey", F.lit("first").alias("c_name")), path, "errorifexists")
+    sinks.sink(rows, path, "overwrite")
+    sinks.sink(rows.limit(0), path, "ignore")
     return t.spark.read.parquet(path)
 
 
@@ -251,7 +254,7 @@ def read_ontology_obo(t):
         F.lit("[Term]\nid: "), "id", F.lit("\nname: "), "name", F.lit("\nis_a: "), "parent", F.lit(" ! parent\n")
     )
     _terms(t).select(stanza.alias("value")).write.text(path)
-    return readers.read_ontology_obo(t.spark, path)[1]
+    return readers.read_ontology_obo(t.spark, path)[1].select("child", "parent")
 
 
 @query(_TERMS)
@@ -261,7 +264,7 @@ def read_ontology_json(t):
     edge = F.struct(F.col("id").alias("sub"), F.lit("is_a").alias("pred"), F.col("parent").alias("obj"))
     graphs = F.array(F.struct(F.array(node).alias("nodes"), F.array(edge).alias("edges")))
     _terms(t).select(graphs.alias("graphs")).write.json(path)
-    return readers.read_ontology_json(t.spark, path, multi_line=False)[1]
+    return readers.read_ontology_json(t.spark, path, multi_line=False)[1].select("child", "parent")
 
 
 @query("SELECT id, name, count(*) AS parents FROM (SELECT 'C:' || c_custkey AS id, c_name AS name FROM customer UNION ALL SELECT 'N:' || n_nationkey, n_name FROM nation) GROUP BY ALL")
@@ -281,7 +284,7 @@ def read_ontology_owl(t):
     documents.select("parent", "part", value.alias("value")).write.partitionBy("parent", "part").text(path)
     terms, edges = readers.read_ontology_owl(t.spark, path)
     parents = edges.groupBy(F.col("child").alias("id")).agg(F.count(F.lit(1)).alias("parents"))
-    return terms.join(parents, "id")
+    return terms.select("id", "name").join(parents, "id")
 
 
 @query("SELECT 'P' || p_partkey AS gene, p_name AS name, p_partkey * 10 AS start, p_brand AS seqid FROM part")
@@ -336,7 +339,7 @@ def read_susie_files(t):
     summary = t.supplier.select(F.col("s_suppkey").alias("locus"), F.concat(F.lit("cs"), "s_suppkey").alias("cs"))
     for name in ("A_SUSIE.cred.summary.tsv", "A_SUSIE_99.cred.summary.tsv"):
         summary.write.option("sep", "\t").option("header", "true").csv(f"{path}/summary/{name}")
-    rows, sets = readers.read_susie_files(
+    rows, sets, _ = readers.read_susie_files(
         t.spark, path + "/snp", "*.gz", "locus bigint, variant bigint, pip double",
         path + "/summary/*SUSIE.cred.summary.tsv", "locus bigint, cs string",
     )
@@ -405,3 +408,141 @@ def status_state_stream(t):
         checkpoint=path + "/state",
     ).awaitTermination()
     return streams.newest_state(t.spark, path + "/out").select("user_id", "event_type")
+
+
+# ---- ontologies with all that terms carry --------------------------------------
+
+_ONTOLOGY = """
+    SELECT 'C:' || c_custkey AS id, c_name AS name, [c_mktsegment, c_name || ' "x"'] AS synonyms, ['X:' || c_nationkey] AS refs,
+           c_custkey % 10 = 0 AS obsolete, CASE WHEN c_custkey % 10 = 0 AND c_custkey > 10 THEN 'C:' || (c_custkey - CASE WHEN c_custkey % 20 = 0 THEN 10 ELSE 1 END) END AS replaced_by
+    FROM customer"""
+
+
+def _ontology(t):
+    """Customers as terms: every tenth is obsolete, and replaced by the one before or by another obsolete one."""
+    number = F.col("c_custkey")
+    behind = number - F.when(number % 20 == 0, 10).otherwise(1)
+    return t.customer.select(
+        F.concat(F.lit("C:"), number).alias("id"), F.col("c_name").alias("name"),
+        F.array("c_mktsegment", F.concat("c_name", F.lit(' "x"'))).alias("synonyms"),
+        F.array(F.concat(F.lit("X:"), "c_nationkey")).alias("references"), (number % 10 == 0).alias("obsolete"),
+        F.when((number % 10 == 0) & (number > 10), F.concat(F.lit("C:"), behind)).alias("replaced_by"),
+        F.concat(F.lit("N:"), "c_nationkey").alias("place"),
+    )
+
+
+def _written_obo(t) -> str:
+    path = scratch_path(t.spark, "obo")
+    synonyms = F.transform("synonyms", lambda x: F.concat(F.lit('synonym: "'), F.replace(x, F.lit('"'), F.lit('\\"')), F.lit('" EXACT []')))
+    lines = F.concat(
+        F.array(F.lit("[Term]"), F.concat(F.lit("id: "), "id"), F.concat(F.lit("name: "), "name")), synonyms,
+        F.transform("references", lambda x: F.concat(F.lit("xref: "), x)),
+        F.array(F.concat(F.lit("relationship: part_of "), "place", F.lit(" ! place"))),
+        F.when(F.col("obsolete"), F.array(F.lit("is_obsolete: true"))).otherwise(F.array()),
+        F.when(F.col("replaced_by").isNotNull(), F.array(F.concat(F.lit("replaced_by: "), "replaced_by"))).otherwise(F.array()),
+    )
+    people = _ontology(t).select(F.concat(F.array_join(lines, "\n"), F.lit("\n")).alias("value"))
+    nations = t.nation.select(
+        F.concat(F.lit("[Term]\nid: N:"), "n_nationkey", F.lit("\nname: "), "n_name", F.lit("\nis_a: R:"), "n_regionkey", F.lit("\n")).alias("value")
+    )
+    people.unionByName(nations).write.text(path)
+    return path
+
+
+@query(f"SELECT id, name, array_to_string(synonyms, ',') AS synonyms, array_to_string(refs, ',') AS refs, obsolete, replaced_by FROM ({_ONTOLOGY})")
+def ontology_terms_of_obo(t):
+    terms, _ = readers.read_ontology_obo(t.spark, _written_obo(t))
+    return terms.where("id LIKE 'C:%'").select(
+        "id", "name", F.array_join("synonyms", ",").alias("synonyms"), F.array_join("references", ",").alias("refs"), "obsolete", "replaced_by"
+    )
+
+
+@query(f"SELECT id, name, array_to_string(synonyms, ',') AS synonyms, array_to_string(refs, ',') AS refs, obsolete, replaced_by FROM ({_ONTOLOGY})")
+def ontology_terms_of_json(t):
+    path = scratch_path(t.spark, "graph")
+    replaced = F.when(
+        F.col("replaced_by").isNotNull(),
+        F.array(F.struct(F.lit(readers.REPLACED_BY).alias("pred"), F.col("replaced_by").alias("val"))),
+    )
+    meta = F.struct(
+        F.transform("synonyms", lambda x: F.struct(F.lit("hasExactSynonym").alias("pred"), x.alias("val"))).alias("synonyms"),
+        F.transform("references", lambda x: F.struct(x.alias("val"))).alias("xrefs"),
+        F.when(F.col("obsolete"), F.lit(True)).alias("deprecated"), replaced.alias("basicPropertyValues"),
+    )
+    node = F.struct("id", F.col("name").alias("lbl"), F.lit("CLASS").alias("type"), meta.alias("meta"))
+    _ontology(t).select(F.array(F.struct(F.array(node).alias("nodes"))).alias("graphs")).write.json(path)
+    terms, _ = readers.read_ontology_json(t.spark, path, multi_line=False)
+    return terms.select(
+        "id", "name", F.array_join("synonyms", ",").alias("synonyms"), F.array_join("references", ",").alias("refs"), "obsolete", "replaced_by"
+    )
+
+
+@query(
+    """
+    SELECT 'C:' || c_custkey AS node, 'N:' || c_nationkey AS ancestor, 'part_of' AS relation FROM customer
+    UNION ALL SELECT 'C:' || c_custkey, 'R:' || n_regionkey, 'part_of' FROM customer JOIN nation ON n_nationkey = c_nationkey
+    UNION ALL SELECT 'N:' || n_nationkey, 'R:' || n_regionkey, 'is_a' FROM nation
+    """
+)
+def typed_closure(t):
+    _, edges = readers.read_ontology_obo(t.spark, _written_obo(t))
+    return graph.typed_closure(edges, "child", "parent", "relation")
+
+
+@query(
+    f"""
+    WITH RECURSIVE o AS ({_ONTOLOGY}),
+    c AS (SELECT id, id AS place, obsolete, replaced_by FROM o
+          UNION ALL SELECT c.id, o.id, o.obsolete, o.replaced_by FROM c JOIN o ON c.obsolete AND o.id = c.replaced_by)
+    SELECT id, max(place) FILTER (NOT obsolete) AS current FROM c GROUP BY id
+    """
+)
+def current_terms(t):
+    terms, _ = readers.read_ontology_obo(t.spark, _written_obo(t))
+    return graph.current_terms(terms.where("id LIKE 'C:%'"))
+
+
+@query("SELECT DISTINCT 'C:' || c_custkey AS id, 'S:' || s_suppkey AS phenotype FROM customer JOIN supplier ON s_nationkey = c_nationkey")
+def disease_phenotypes_of_files(t):
+    """Cross-references from the ontology reader, annotations from the annotation reader."""
+    path = scratch_path(t.spark, "phenotypes")
+    empty = F.lit("")
+    line = F.concat_ws(
+        "\t", F.concat(F.lit("X:"), "s_nationkey"), "s_name", empty, F.concat(F.lit("S:"), "s_suppkey"), *[empty] * 7, F.lit("made")
+    )
+    header = F.lit("#version\ndatabase_id\tdisease_name\tqualifier\thpo_id\treference\tevidence\tonset\tfrequency\tsex\tmodifier\taspect\tbiocuration\n")
+    t.supplier.select(F.concat(header, line).alias("value")).write.text(path)
+    terms, _ = readers.read_ontology_obo(t.spark, _written_obo(t))
+    annotations = readers.read_phenotype_annotation(t.spark, path)
+    return graph.disease_phenotypes(
+        terms, annotations, term="id", references="references", on="disease", phenotype="phenotype"
+    )
+
+
+@query(
+    f"""
+    SELECT o.id, o.name, (SELECT string_agg(DISTINCT s, ',' ORDER BY s) FROM (
+      SELECT unnest(o.synonyms) AS s UNION ALL SELECT 'P' || c_custkey FROM customer WHERE 'C:' || c_custkey = o.id)) AS synonyms
+    FROM ({_ONTOLOGY}) o
+    """
+)
+def biosample_index_of_files(t):
+    """Names and synonyms from the ontology reader, more synonyms from a table."""
+    terms, _ = readers.read_ontology_obo(t.spark, _written_obo(t))
+    more = t.customer.select(
+        F.concat(F.lit("C:"), "c_custkey").alias("id"), F.lit(None).cast("string").alias("name"),
+        F.array(F.concat(F.lit("P"), "c_custkey")).alias("synonyms"),
+    )
+    rows = evidence.biosample_index([terms.where("id LIKE 'C:%'").select("id", "name", "synonyms"), more], "id", "name", "synonyms")
+    return rows.select("id", "name", F.array_join("synonyms", ",").alias("synonyms"))
+
+
+@query("SELECT o_orderpriority AS file, count(*) AS n, sum(o_orderkey)::BIGINT AS keys FROM orders GROUP BY 1")
+def read_gzip_lines(t):
+    """Orders in a gzip file per priority, read in byte ranges."""
+    path = scratch_path(t.spark, "lines")
+    rows = t.orders.select(F.concat_ws("\t", "o_orderkey", "o_orderpriority", "o_orderdate").alias("value"), F.col("o_orderpriority").alias("file"))
+    rows.write.partitionBy("file").option("compression", "gzip").text(path)
+    lines, _ = blockgzip.read_gzip_lines(t.spark, path, "*.gz")
+    cells = F.split("line", "\t")
+    return lines.groupBy(cells[1].alias("file")).agg(F.count(F.lit(1)).alias("n"), F.sum(cells[0].cast("bigint")).alias("keys"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from locusforge.functions.stats import erfc_sql
 from locusforge.operators import graph
 from locusforge.plans import bound_evidence as e
 from locusforge.plans import bound_genetics as g
@@ -88,10 +89,7 @@ _STATS = """
              JOIN d ON d.variant = lead_id WHERE r * r >= 0.5 GROUP BY study, lead_id, tag),
     z AS (SELECT *, sqrt(1 - pow(sqrt(r2), 6.4)) * sqrt(m) / 2 AS sd FROM tags),
     x AS (SELECT *, (m - r2 * m) / sd / sqrt(2.0) AS x FROM z),
-    k AS (SELECT *, 1 / (1 + 0.3275911 * abs(x)) AS k FROM x),
-    w AS (SELECT *, CASE WHEN sd > 0 THEN
-            (((((1.061405429 * k - 1.453152027) * k) + 1.421413741) * k - 0.284496736) * k + 0.254829592) * k * exp(-x * x)
-          ELSE 1 END AS w FROM k),
+    w AS (SELECT *, CASE WHEN sd > 0 THEN {erfc_sql("x")} ELSE 1 END AS w FROM x),
     p AS (SELECT study, lead_id, tag, w / sum(w) OVER (PARTITION BY study, lead_id) AS pip FROM w),
     c AS (SELECT *, sum(pip) OVER (PARTITION BY study, lead_id ORDER BY pip DESC, tag ROWS UNBOUNDED PRECEDING) AS cum FROM p)
     SELECT study, lead_id, tag, round(pip, 5) AS pip FROM c WHERE round(cum - pip, 9) < 0.95
@@ -242,7 +240,7 @@ def ld_index(t):
     """
     SELECT o_orderkey, lines FROM orders LEFT JOIN (
       SELECT l_orderkey, string_agg(l_linenumber || ':' || l_partkey, ',' ORDER BY l_linenumber, l_partkey) AS lines
-      FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1) ON l_orderkey = o_orderkey
+      FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey
     WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')
     """
 )
@@ -251,7 +249,7 @@ def catalog_study_index(t):
     included = t.orders.join(
         t.customer.where("c_mktsegment = 'BUILDING'"), F.col("o_custkey") == F.col("c_custkey"), "left_semi"
     ).select("o_orderkey")
-    lines = t.lineitem.where("l_linestatus = 'O'").withColumnRenamed("l_orderkey", "o_orderkey")
+    lines = t.lineitem.withColumnRenamed("l_orderkey", "o_orderkey")
     rows = steps.catalog_study_index(studies, lines, included, "o_orderkey", F.struct("l_linenumber", "l_partkey"))
     texts = F.transform("ancestries", lambda x: F.concat_ws(":", x["l_linenumber"], x["l_partkey"]))
     return rows.select("o_orderkey", F.array_join(texts, ",").alias("lines"))

@@ -42,15 +42,24 @@ def filter_listing(listing: DataFrame, pattern: str, path: str = "path") -> Data
     return listing.where(F.col(path).contains(pattern))
 
 
+# Sets of variables that are sent to every task, at most; more are spread by a join on blocks.
+MOST_VARIABLES = 10_000
+
+
 def expand_template(
-    templates: DataFrame, variables: DataFrame, on: str, texts: Sequence[str], names: Mapping[str, str]
+    templates: DataFrame, variables: DataFrame, on: str | None, texts: Sequence[str], names: Mapping[str, str]
 ) -> DataFrame:
-    """Templates of a group filled with each set of variables of that group.
+    """Templates filled with each set of variables, or each of their group if ``on`` names one.
 
     ``names`` maps placeholder to variable column. A placeholder that stays open
-    is an error.
+    is an error. Without a group every template meets every set: few sets, as
+    counted first, go to all tasks as one array; more are cut into blocks of
+    that many, and the templates are shown to each block.
     """
-    joined = templates.join(variables, on)
+    if on is None:
+        joined = _every_set(templates, variables)
+    else:
+        joined = templates.join(variables, on)
 
     def fill(text: str) -> Column:
         value = reduce(
@@ -66,6 +75,17 @@ def expand_template(
     return joined.select(*[filled.get(c, F.col(c)).alias(c) for c in joined.columns])
 
 
+def _every_set(templates: DataFrame, variables: DataFrame) -> DataFrame:
+    """Each template with each set of variables."""
+    blocks = -(-variables.count() // MOST_VARIABLES)
+    block = F.pmod(F.xxhash64(*variables.columns), F.lit(max(blocks, 1))).cast("int").alias("__block")
+    sets = variables.select(block, F.struct(*variables.columns).alias("__set"))
+    sets = sets.groupBy("__block").agg(F.collect_list("__set").alias("__sets"))
+    shown = templates.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(max(blocks, 1) - 1))))
+    met = shown.join(sets, "__block").withColumn("__set", F.explode("__sets"))
+    return met.select(*templates.columns, "__set.*")
+
+
 def json_path_explode(df: DataFrame, document: str, schema: str, field: Column, prefix: str, out: str = "source") -> DataFrame:
     """One row per element of an array inside a JSON text, with a name cut from the prefix.
 

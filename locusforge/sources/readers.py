@@ -9,12 +9,13 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from locusforge.operators.variants import VARIANT_SCHEMA
 from locusforge.session import ship_package
+from locusforge.sources.blockgzip import read_gzip_lines
 
 CORRUPT = "_corrupt_record"
 PIECE = 8 * 1024 * 1024
@@ -105,55 +106,128 @@ def project_fields(df: DataFrame, fields: list[str]) -> DataFrame:
     return df.select(*[F.col(f).alias(f.replace(".", "_")) for f in fields])
 
 
+# Identifiers of relations and annotations in graph documents.
+PART_OF = "http://purl.obolibrary.org/obo/BFO_0000050"
+REPLACED_BY = "http://purl.obolibrary.org/obo/IAO_0100001"
+
+
+def _relation(name: Column) -> Column:
+    """A relation by its plain name; identifiers of others stay as they are."""
+    return F.when(name.isin(PART_OF, "BFO:0000050"), "part_of").otherwise(name)
+
+
 def read_ontology_json(spark: SparkSession, path: str, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Terms and edges of JSON graph documents."""
+    """Terms and edges of JSON graph documents.
+
+    Terms: ``id, name, synonyms, references, obsolete, replaced_by``; the lists
+    are empty where there is none. Edges: ``child, parent, relation`` with
+    ``is_a``, ``part_of`` and any other relation by its identifier.
+    """
     schema = (
-        "graphs array<struct<"
-        "nodes array<struct<id string, lbl string, type string>>,"
+        "graphs array<struct<nodes array<struct<id string, lbl string, type string, meta struct<"
+        "synonyms array<struct<pred string, val string>>, xrefs array<struct<val string>>, deprecated boolean, "
+        "basicPropertyValues array<struct<pred string, val string>>>>>,"
         "edges array<struct<sub string, pred string, obj string>>>>"
     )
     graphs = read_json_source(spark, path, schema, multi_line).select(F.explode("graphs").alias("g"))
-    terms = graphs.select(F.explode("g.nodes").alias("n")).select(
-        F.col("n.id").alias("id"), F.col("n.lbl").alias("name")
+    nodes = graphs.select(F.explode("g.nodes").alias("n"))
+    replaced = F.filter("n.meta.basicPropertyValues", lambda x: x["pred"] == REPLACED_BY)
+    terms = nodes.select(
+        F.col("n.id").alias("id"),
+        F.col("n.lbl").alias("name"),
+        _listed(F.transform("n.meta.synonyms", lambda x: x["val"])).alias("synonyms"),
+        _listed(F.transform("n.meta.xrefs", lambda x: x["val"])).alias("references"),
+        F.coalesce("n.meta.deprecated", F.lit(False)).alias("obsolete"),
+        F.get(F.transform(replaced, lambda x: x["val"]), 0).alias("replaced_by"),
     )
-    edges = (
-        graphs.select(F.explode("g.edges").alias("e"))
-        .where(F.col("e.pred") == "is_a")
-        .select(F.col("e.sub").alias("child"), F.col("e.obj").alias("parent"))
+    edges = graphs.select(F.explode("g.edges").alias("e"))
+    return terms, edges.select(
+        F.col("e.sub").alias("child"), F.col("e.obj").alias("parent"), _relation(F.col("e.pred")).alias("relation")
     )
-    return terms, edges
+
+
+def _listed(values: Column) -> Column:
+    return F.coalesce(F.array_compact(values), F.array().cast("array<string>"))
 
 
 def read_ontology_obo(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Terms and edges of OBO text; stanzas are split at empty lines by the reader."""
+    """Terms and edges of OBO text as ``read_ontology_json`` gives them; stanzas are split at empty lines by the reader."""
     stanzas = spark.read.option("lineSep", "\n\n").text(path).where(F.col("value").contains("[Term]"))
     lines = F.split("value", "\n")
+
+    def each(start: str, pattern: str) -> Column:
+        return F.transform(F.filter(lines, lambda x: x.startswith(start)), lambda x: F.regexp_extract(x, pattern, 1))
+
+    def one(pattern: str) -> Column:
+        value = F.regexp_extract("value", pattern, 1)
+        return F.when(value != "", value)
+
+    links = F.transform(
+        F.filter(lines, lambda x: x.startswith("relationship: ")),
+        lambda x: F.struct(
+            F.regexp_extract(x, r"^relationship: \S+ (\S+)", 1).alias("parent"),
+            _relation(F.regexp_extract(x, r"^relationship: (\S+)", 1)).alias("relation"),
+        ),
+    )
+    parents = F.transform(
+        each("is_a: ", r"^is_a: (\S+)"), lambda x: F.struct(x.alias("parent"), F.lit("is_a").alias("relation"))
+    )
+    quoted = each("synonym: ", r'^synonym: "((?:[^"\\]|\\.)*)"')
     term = stanzas.select(
         F.regexp_extract("value", r"(?m)^id: (\S+)", 1).alias("id"),
         F.regexp_extract("value", r"(?m)^name: (.*)$", 1).alias("name"),
-        F.transform(
-            F.filter(lines, lambda x: x.startswith("is_a: ")),
-            lambda x: F.regexp_extract(x, r"^is_a: (\S+)", 1),
-        ).alias("parents"),
+        F.transform(quoted, lambda x: F.regexp_replace(x, r"\\(.)", "$1")).alias("synonyms"),
+        each("xref: ", r"^xref: (\S+)").alias("references"),
+        F.col("value").rlike(r"(?m)^is_obsolete: true\s*$").alias("obsolete"),
+        one(r"(?m)^replaced_by: (\S+)").alias("replaced_by"),
+        F.concat(parents, links).alias("edges"),
     )
-    return term.select("id", "name"), term.select(F.col("id").alias("child"), F.explode("parents").alias("parent"))
+    edges = term.select(F.col("id").alias("child"), F.explode("edges").alias("e")).select("child", "e.parent", "e.relation")
+    return term.drop("edges"), edges
 
 
 def read_ontology_owl(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Terms and edges of OWL classes in XML."""
+    """Terms and edges of OWL classes in XML as ``read_ontology_json`` gives them."""
     schema = (
-        "`_rdf:about` string, `rdfs:label` string, "
-        "`rdfs:subClassOf` array<struct<`_rdf:resource` string>>"
+        "`_rdf:about` string, `rdfs:label` string, `oboInOwl:hasExactSynonym` array<string>, "
+        "`oboInOwl:hasRelatedSynonym` array<string>, `oboInOwl:hasDbXref` array<string>, `owl:deprecated` string, "
+        "`obo:IAO_0100001` struct<`_rdf:resource` string>, "
+        "`rdfs:subClassOf` array<struct<`_rdf:resource` string, `owl:Restriction` struct<"
+        "`owl:onProperty` struct<`_rdf:resource` string>, `owl:someValuesFrom` struct<`_rdf:resource` string>>>>"
     )
     classes = spark.read.format("xml").option("rowTag", "owl:Class").schema(schema).load(path)
     known = classes.where(F.col("`_rdf:about`").isNotNull())
-    terms = known.select(F.col("`_rdf:about`").alias("id"), F.col("`rdfs:label`").alias("name"))
-    edges = (
-        known.select(F.col("`_rdf:about`").alias("child"), F.explode("`rdfs:subClassOf`").alias("p"))
-        .select("child", F.col("p.`_rdf:resource`").alias("parent"))
-        .where(F.col("parent").isNotNull())
+    terms = known.select(
+        F.col("`_rdf:about`").alias("id"),
+        F.col("`rdfs:label`").alias("name"),
+        F.concat(_listed(F.col("`oboInOwl:hasExactSynonym`")), _listed(F.col("`oboInOwl:hasRelatedSynonym`"))).alias("synonyms"),
+        _listed(F.col("`oboInOwl:hasDbXref`")).alias("references"),
+        F.coalesce(F.col("`owl:deprecated`") == "true", F.lit(False)).alias("obsolete"),
+        F.col("`obo:IAO_0100001`.`_rdf:resource`").alias("replaced_by"),
     )
-    return terms, edges
+    rows = known.select(F.col("`_rdf:about`").alias("child"), F.explode("`rdfs:subClassOf`").alias("p"))
+    link = F.col("p.`owl:Restriction`")
+    edges = rows.select(
+        "child",
+        F.coalesce(F.col("p.`_rdf:resource`"), link["owl:someValuesFrom"]["_rdf:resource"]).alias("parent"),
+        F.when(F.col("p.`_rdf:resource`").isNotNull(), F.lit("is_a"))
+        .otherwise(_relation(link["owl:onProperty"]["_rdf:resource"]))
+        .alias("relation"),
+    )
+    return terms, edges.where(F.col("parent").isNotNull())
+
+
+# Columns of phenotype annotation files.
+PHENOTYPE_SCHEMA = (
+    "disease string, name string, qualifier string, phenotype string, reference string, evidence string, onset string, "
+    "frequency string, sex string, modifier string, aspect string, curation string"
+)
+
+
+def read_phenotype_annotation(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of phenotype annotation files (twelve tab-separated columns); comments and the header are left out."""
+    rows = spark.read.schema(PHENOTYPE_SCHEMA).option("sep", "\t").option("comment", "#").option("quote", "").csv(path)
+    return rows.where(F.col("disease") != "database_id")
 
 
 GFF_SCHEMA = (
@@ -254,7 +328,7 @@ def bulk_decompress(spark: SparkSession, prefix: str, glob: str = "*") -> tuple[
     Spark spreads the files over tasks; a task decodes one file after the other
     in pieces cut at line ends. A file that fails contributes no lines. The
     compressed bytes of a file travel in one binary column, which Spark limits
-    to 2 GB; read larger gzip and bzip2 files with the text reader.
+    to 2 GB; larger gzip files are read by ``read_gzip_lines``.
     """
     ship_package(spark)
     rows = (
@@ -274,13 +348,15 @@ def bulk_decompress(spark: SparkSession, prefix: str, glob: str = "*") -> tuple[
 
 def read_susie_files(
     spark: SparkSession, snp_prefix: str, snp_glob: str, snp_schema: str, summary_path: str, summary_schema: str
-) -> tuple[DataFrame, DataFrame]:
-    """Block-gzip SNP tables and credible-set summaries.
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Gzip SNP tables, credible-set summaries, and (path, start, error) of tables that are broken.
 
+    Block-gzip tables are read by many tasks each. A broken one gives no rows.
     The summary path is a glob that must be tight enough to leave the files of
     the other credible level out.
     """
-    lines, _ = bulk_decompress(spark, snp_prefix, snp_glob)
-    body = lines.where((F.col("piece") > 0) | (F.col("pos") > 0))
-    snps = body.select(F.from_csv("line", F.lit(snp_schema), {"sep": "\t"}).alias("r")).select("r.*")
-    return snps, read_delimited_source(spark, summary_path, summary_schema)
+    lines, failures = read_gzip_lines(spark, snp_prefix, snp_glob)
+    body = lines.where((F.col("start") > 0) | (F.col("pos") > 0))
+    sound = body.join(failures.select("path").distinct(), "path", "left_anti")
+    snps = sound.select(F.from_csv("line", F.lit(snp_schema), {"sep": "\t"}).alias("r")).select("r.*")
+    return snps, read_delimited_source(spark, summary_path, summary_schema), failures

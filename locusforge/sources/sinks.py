@@ -3,37 +3,65 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+import uuid
+from collections.abc import Iterator, Sequence
+from functools import partial
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locusforge.operators.manifests import duplicate_targets
 from locusforge.operators.validation import is_invalid
 from locusforge.operators.variants import chunk_descriptors, row_range_chunks
+from locusforge.session import cut_lineage, ship_package
+from locusforge.sources.blockgzip import store_of
 from locusforge.sources.readers import bulk_decompress
 
 # Write modes of a release.
 MODES = ("overwrite", "ignore", "errorifexists")
 
 
-def write_manifests(df: DataFrame, root: str, key: str = "studyId", path: str = "manifestPath") -> None:
-    """One JSON file per manifest in a folder of its study.
-
-    A target path used twice is an error that names the path. The cost lies in
-    opening files, so the few bytes are spread over all tasks.
+def _commit(batches: Iterator[pa.RecordBatch], root: str | None) -> Iterator[pa.RecordBatch]:
+    """Write each document beside its path and move it there, so that a task that runs again replaces its files."""
+    for batch in batches:
+        paths = []
+        for path, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist()):
+            whole = path if root is None or path.startswith("/") or ":/" in path else f"{root.rstrip('/')}/{path}"
+            store, place = store_of(whole)
+            folder, _, name = place.rpartition("/")
+            store.create_dir(folder, recursive=True)
+            draft = f"{folder}/.{name}.{uuid.uuid4().hex}"
+            with store.open_output_stream(draft) as out:
+                out.write(text.encode())
+            store.move(draft, place)
+            paths.append(whole)
+        yield pa.RecordBatch.from_arrays([batch.column("study"), pa.array(paths, pa.string())], names=["study", "path"])
+
+
+def write_manifests(
+    df: DataFrame, root: str | None = None, key: str = "studyId", path: str = "manifestPath"
+) -> DataFrame:
+    """One JSON file per manifest at the path that its row names; returns (study, path) of what was written.
+
+    Paths without a scheme or a leading slash lie below ``root``. A target path
+    used twice is an error that names the path, and so is a missing one. The
+    cost lies in opening files, so the few bytes are spread over all tasks. Each
+    file is put in place by a move: a reader never sees half of one, and a task
+    that is tried again leaves one file. Files are written through Arrow's file
+    systems. The returned frame is checkpointed, so using it writes nothing again.
     """
     repeated = duplicate_targets(df, path).select(path).limit(5).collect()
     if repeated:
         raise ValueError(f"target paths used more than once: {[r[0] for r in repeated]}")
-    tasks = df.sparkSession.sparkContext.defaultParallelism
-    (
-        df.withColumn("study", F.col(key))
-        .repartition(tasks, "study")
-        .write.mode("overwrite")
-        .partitionBy("study")
-        .json(root)
-    )
+    spark = df.sparkSession
+    ship_package(spark)
+    kind = dict(df.dtypes)[key]
+    target = F.when(F.col(path).isNull(), F.raise_error(F.lit("a manifest without a target path"))).otherwise(F.col(path))
+    rows = df.select(F.col(key).alias("study"), target.alias("path"), F.to_json(F.struct(*df.columns)).alias("text"))
+    tasks = spark.sparkContext.defaultParallelism
+    written = rows.repartition(tasks, "path").mapInArrow(partial(_commit, root=root), f"study {kind}, path string")
+    return cut_lineage(written)
 
 
 def sink(df: DataFrame, path: str, mode: str = "errorifexists", fmt: str = "parquet") -> None:

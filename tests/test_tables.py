@@ -1,21 +1,25 @@
 """Manifests, joins, sources, sinks and streams on small frames."""
 
 import gzip
+import json
+import random
+import struct
 import zipfile
+import zlib
 
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from locusforge.operators import annotate, evidence, logs, manifests, posteriors, validation
-from locusforge.sources import listing, readers, sinks
+from locusforge.operators import annotate, evidence, graph, l2g, logs, manifests, posteriors, validation
+from locusforge.sources import blockgzip, listing, readers, sinks
 from locusforge.streaming import studies as streams
 
 MANIFEST = readers.MANIFEST_SCHEMA
 
 
 def manifest(study, harmonised=False, qc=False, status="pending", path=None):
-    return (study, f"raw/{study}", path or f"m/{study}", f"h/{study}", f"q/{study}", harmonised, qc, status, "gwas", None, True, "1")
+    return (study, f"raw/{study}", path or f"m/{study}/manifest.json", f"h/{study}", f"q/{study}", harmonised, qc, status, "gwas", None, True, "1")
 
 
 def test_flags(spark):
@@ -260,3 +264,125 @@ def test_a_batch_rewrites_only_the_buckets_it_touches(spark, tmp_path):
     for p in files():
         versions[p.parts[-3]].add(p.parts[-2])
     assert max(len(v) for v in versions.values()) <= 2
+
+
+def block_gzip(text, size=200):
+    """Block-gzip of a text: members of an extra field with their length, and the empty one at the end."""
+    out = b""
+    for first in [*range(0, len(text), size), None]:
+        part = b"" if first is None else text[first : first + size]
+        packed = zlib.compressobj(0, zlib.DEFLATED, -15)
+        body = packed.compress(part) + packed.flush()
+        extra = b"BC" + struct.pack("<HH", 2, 12 + 6 + len(body) + 8 - 1)
+        head = b"\x1f\x8b\x08\x04" + bytes(5) + b"\xff" + struct.pack("<H", len(extra)) + extra
+        out += head + body + struct.pack("<II", zlib.crc32(part), len(part))
+    return out
+
+
+@pytest.mark.parametrize("size", [137, 1000, 5_000, 1 << 26])
+def test_block_gzip_lines_by_ranges(spark, tmp_path, size):
+    rnd = random.Random(4)
+    # stored blocks: the text itself holds the magic of a block, which must not be taken for one
+    lines = ["".join(rnd.choice("abc é") for _ in range(rnd.choice([0, 3, 40, 900]))) for _ in range(300)]
+    lines[7] = "\x1f\x08\x04 no block BC"
+    raw = "\n".join(lines).encode()
+    (tmp_path / "with blanks 10%").mkdir()
+    (tmp_path / "with blanks 10%" / "a.gz").write_bytes(block_gzip(raw + b"\n"))
+    (tmp_path / "open.gz").write_bytes(block_gzip(raw.replace(b"abc", b"\x1f\x8b\x08\x04\xff")))
+    (tmp_path / "plain.gz").write_bytes(gzip.compress(raw[:5000]) + gzip.compress(raw[5000:]))
+    (tmp_path / "empty.gz").write_bytes(block_gzip(b""))
+    found, broken = blockgzip.read_gzip_lines(spark, str(tmp_path), "*.gz", size)
+    got = {}
+    for r in found.orderBy("path", "start", "pos").collect():
+        got.setdefault(r["path"].rsplit("/", 1)[1], []).append(r["line"])
+    assert got["a.gz"] == lines and got["plain.gz"] == lines and "empty.gz" not in got
+    errors = {r["path"].rsplit("/", 1)[1] for r in broken.collect()}
+    assert errors == {"open.gz"} or not errors  # that text is no UTF-8
+    if size == 137:
+        assert found.where("path LIKE '%a.gz'").select("start").distinct().count() > 20
+
+
+def test_ranges_that_fail_come_back(spark, tmp_path):
+    good, bad = block_gzip(b"v\tx\n" + b"1\t2\n" * 2000), bytearray(block_gzip(b"v\tx\n" + b"3\t4\n" * 2000))
+    bad[len(bad) // 2] ^= 0xFF
+    (tmp_path / "good.gz").write_bytes(good)
+    (tmp_path / "bad.gz").write_bytes(bytes(bad))
+    (tmp_path / "sets.tsv").write_text("v\tc\n1\tcs\n")
+    rows, sets, broken = readers.read_susie_files(
+        spark, str(tmp_path), "*.gz", "v bigint, x bigint", str(tmp_path / "sets.tsv"), "v bigint, c string"
+    )
+    assert {r["path"].rsplit("/", 1)[1] for r in broken.collect()} == {"bad.gz"}
+    assert rows.distinct().collect() == [(1, 2)] and rows.count() == 2000 and sets.count() == 1
+
+
+def test_manifests_at_their_own_paths(spark, tmp_path):
+    df = spark.createDataFrame([manifest("a", path=str(tmp_path / "x 1" / "one.json")), manifest("b", path="two.json")], MANIFEST)
+    for _ in range(2):  # a second run replaces the files
+        written = sinks.write_manifests(df, str(tmp_path / "root"))
+        assert {r["study"]: r["path"] for r in written.collect()} == {"a": str(tmp_path / "x 1" / "one.json"), "b": str(tmp_path / "root/two.json")}
+    files = [p for p in tmp_path.rglob("*") if p.is_file()]
+    assert sorted(p.name for p in files) == ["one.json", "two.json"]
+    assert json.loads((tmp_path / "x 1" / "one.json").read_text())["studyId"] == "a"
+
+
+def test_templates_meet_every_set(spark, monkeypatch):
+    t = spark.createDataFrame([("get ${species}",), ("list ${species}",)], "name string")
+    v = spark.createDataFrame([(f"s{i}",) for i in range(25)], "species string")
+    want = sorted(f"{verb} s{i}" for verb in ("get", "list") for i in range(25))
+    for most in (10_000, 4):
+        monkeypatch.setattr(listing, "MOST_VARIABLES", most)
+        got = listing.expand_template(t, v, None, ["name"], {"species": "species"})
+        assert sorted(r["name"] for r in got.collect()) == want
+    assert listing.expand_template(t, v.limit(0), None, ["name"], {"species": "species"}).count() == 0
+
+
+def test_owl_terms_with_all_they_carry(spark, tmp_path):
+    (tmp_path / "o.owl").write_text(
+        '<rdf:RDF xmlns:rdf="r" xmlns:rdfs="s" xmlns:owl="o" xmlns:obo="b" xmlns:oboInOwl="i">'
+        '<owl:Class rdf:about="A"><rdfs:label>a</rdfs:label><oboInOwl:hasExactSynonym>x</oboInOwl:hasExactSynonym>'
+        "<oboInOwl:hasRelatedSynonym>y</oboInOwl:hasRelatedSynonym><oboInOwl:hasDbXref>D:1</oboInOwl:hasDbXref>"
+        '<rdfs:subClassOf rdf:resource="B"/><rdfs:subClassOf><owl:Restriction>'
+        f'<owl:onProperty rdf:resource="{readers.PART_OF}"/><owl:someValuesFrom rdf:resource="C"/></owl:Restriction></rdfs:subClassOf></owl:Class>'
+        '<owl:Class rdf:about="B"><owl:deprecated>true</owl:deprecated><obo:IAO_0100001 rdf:resource="A"/></owl:Class></rdf:RDF>'
+    )
+    terms, edges = readers.read_ontology_owl(spark, str(tmp_path / "o.owl"))
+    assert sorted(map(tuple, terms.collect())) == [("A", "a", ["x", "y"], ["D:1"], False, None), ("B", None, [], [], True, "A")]
+    assert sorted(map(tuple, edges.collect())) == [("A", "B", "is_a"), ("A", "C", "part_of")]
+
+
+def test_replacements_along_chains(spark):
+    rows = [("a", False, None), ("b", True, "c"), ("c", True, "a"), ("d", True, None), ("e", True, "f"), ("f", True, "e"), ("g", True, "gone")]
+    df = spark.createDataFrame(rows, "id string, obsolete boolean, replaced_by string")
+    got = {r["id"]: r["current"] for r in graph.current_terms(df).collect()}
+    assert got == {"a": "a", "b": "a", "c": "a", "d": None, "e": None, "f": None, "g": None}
+
+
+def test_labels_and_folds(spark):
+    rnd = random.Random(6)
+    pairs = [(i, rnd.randrange(150)) for i in range(120) for _ in range(3)] + [(500 + i, 1000 + i) for i in range(40)] + [(500 + i, 1001 + i) for i in range(40)]
+    gold = [p for p in set(pairs) if rnd.random() < 0.2] + [(9999, 1)]
+    ties = [(rnd.randrange(150), rnd.randrange(150), rnd.random()) for _ in range(400)]
+    df = spark.createDataFrame(pairs, "locus long, gene long")
+    got = l2g.l2g_labels(
+        df, spark.createDataFrame(gold, "locus long, gene long"), spark.createDataFrame(ties, "gene long, partner long, s double"),
+        locus="locus", gene="gene", partner="partner", score="s", folds=3,
+    ).collect()
+    true = set(gold) & set(pairs)
+    strong = {(a, b) for a, b, s in ties if s >= 0.8} | {(b, a) for a, b, s in ties if s >= 0.8}
+    want = {p: 1 for p in true}
+    for locus, gene in set(pairs) - true:
+        own = {g for l, g in true if l == locus}
+        if own and not any((g, gene) in strong for g in own):
+            want[locus, gene] = 0
+    assert {(r["locus"], r["gene"]): r["label"] for r in got} == want and len(got) == len(want)
+    root = {l: l for l, _ in want}
+    for a, g in want:
+        for b, h in want:
+            if g == h and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = {k: low if v == high else v for k, v in root.items()}
+    assert all(r["component"] == root[r["locus"]] for r in got)
+    folds = {}
+    for r in got:
+        folds.setdefault(r["component"], set()).add(r["fold"])
+    assert all(len(f) == 1 for f in folds.values()) and {f for x in folds.values() for f in x} <= {0, 1, 2}
