@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator, Sequence
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from contextvars import ContextVar
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,7 +63,22 @@ def mapped(
 ) -> DataFrame:
     """Arrow batches of each task through a function of this package."""
     ship_package(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(partial(_released, fn=fn), schema)
+
+
+def _released(
+    batches: Iterator[pa.RecordBatch], fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+) -> Iterator[pa.RecordBatch]:
+    """The function's batches; at the end the worker, which stays for later tasks, gives free memory back."""
+    yield from fn(batches)
+    give_back()
+
+
+def give_back() -> None:
+    """Return memory that Arrow and numpy have freed to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def fresh(columns: Sequence[str], stem: str) -> str:

@@ -19,9 +19,14 @@ from locusforge.llm.frames import mapped, settle
 from locusforge.operators import scale
 
 DROPPED = frozenset(
-    "head title script style noscript template iframe svg math object canvas nav header footer aside form button select "
+    "head title script style noscript template iframe svg math object canvas nav header footer aside button select "
     "option textarea input label dialog menu audio video".split()
 )
+#: Elements that an article has.
+HEADS = frozenset("article main h1".split())
+#: Part of a page's unlinked text beyond which an element named like noise, or a form, is none if it holds a head of
+#: an article, and the part beyond which it is none even without.
+MOST, NEARLY_ALL = 0.5, 0.95
 RAW = ("script", "style", "textarea", "title", "noscript", "iframe")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
@@ -37,10 +42,12 @@ SAME_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
 #: Class and id words of what is no article.
 NOISE = re.compile(
     r"^(ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notice\w*|alert|menu\w*|nav\w*|sidebar\w*|"
-    r"aside|foot(er)?|head(er)?|masthead|breadcrumbs?|comments?|commentlist|disqus|replies|respond|share|sharing|social|"
+    r"aside|foot(er)?|masthead|breadcrumbs?|comments?|commentlist|disqus|replies|respond|share|sharing|social|"
     r"related|recommend\w*|newsletter|subscri\w*|signup|login|popup|modal|overlay|widget\w*|pagination|pager|toolbar|"
     r"copyright|disclaimer|skip)$"
 )
+#: Words of a page's header; that of an entry or a section holds a title.
+PAGE_HEADER = re.compile(r"^(?:(?:site|page|main|top|global)[-_])?head(er)?$")
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW) + r")\b([^>]*)>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
     re.S | re.I,
@@ -48,38 +55,69 @@ TAG = re.compile(
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
-def _named(tag: str, attributes: str) -> tuple[str, bool]:
-    """Tag with its first class, digits made one sign, and whether it is no article."""
-    label, noise = tag, tag in DROPPED
+def _named(tag: str, attributes: str) -> tuple[str, int]:
+    """Tag with its first class, digits made one sign, and whether it is an article's (0), named like noise (1) or surely none (2)."""
+    label, noise = tag, 2 * (tag in DROPPED) or int(tag == "form")
     if attributes and "=" in attributes:
         for name, *values in ATTRIBUTE.findall(attributes):
             words = "".join(values).lower().split()
             if name.lower() == "class" and words and label == tag:
                 label = f"{tag}.{re.sub(r'[0-9]+', '#', words[0])}"
-            noise |= any(NOISE.match(part) for w in words for part in (w, *re.split(r"[-_]+", w)))
-    return label, noise and tag not in ("html", "body", "article", "main")
+            named = any(PAGE_HEADER.match(w) or any(NOISE.match(part) for part in (w, *re.split(r"[-_]+", w))) for w in words)
+            noise = max(noise, int(named))
+    return label, 0 if tag in ("html", "body", "article", "main") else noise
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
-    """Text of each block outside of noise, with its path of labels from the root and its characters inside links."""
-    out: list[tuple[tuple[str, ...], str, int]] = []
-    stack: list[tuple[str, str, bool]] = []
+Block = tuple[tuple[str, ...], str, int]
+
+
+def blocks(page: str) -> list[Block]:
+    """Text of each block outside of noise, with its path of labels from the root and its characters inside links.
+
+    An element that is only named like noise is none if it holds most of the
+    page's unlinked text and a head of an article, or nearly all of that text.
+    """
+    out, doubts, heads = _parsed(page)
+    size = [max(len(words) - linked, 0) for _, words, linked in out]
+    held: dict[int, int] = {}
+    for n, around in zip(size, doubts):
+        for element in around:
+            held[element] = held.get(element, 0) + n
+    total = max(sum(size), 1)
+    # an article without any doubt leaves no room for another
+    framed = any(not around and not {"article", "main"}.isdisjoint(label.split(".")[0] for label in block[0]) for block, around in zip(out, doubts))
+    kept = {e for e, n in held.items() if n > (MOST if e in heads else NEARLY_ALL) * total and (e in heads or not framed)}
+    return [block for block, around in zip(out, doubts) if kept.issuperset(around)]
+
+
+def _parsed(page: str) -> tuple[list[Block], list[tuple[int, ...]], set[int]]:
+    """All blocks outside of what is surely noise, the doubtful elements around each, and those with a head of an article."""
+    out: list[Block] = []
+    doubts: list[tuple[int, ...]] = []
+    heads: set[int] = set()
+    stack: list[tuple[str, str, int]] = []
+    around: list[int] = []
     text: list[str] = []
-    linked = at = depth = links = 0
+    linked = at = depth = links = n_doubts = 0
 
     def flush() -> None:
         nonlocal linked
         words = " ".join("".join(text).split())
         if words:
             out.append((tuple(label for tag, label, _ in stack if tag not in INLINE), words, linked))
+            doubts.append(tuple(around))
         text.clear()
         linked = 0
 
     def pop() -> None:
         nonlocal depth, links
         tag, _, noise = stack.pop()
-        depth -= noise
+        depth -= noise == 2
         links -= tag == "a"
+        if noise == 1:
+            if tag in INLINE:
+                flush()
+            around.pop()
 
     for match in TAG.finditer(page):
         if match.start() > at and not depth:
@@ -115,14 +153,48 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         if match[5].rstrip().endswith("/") and tag not in CONTAINERS:
             continue
         label, noise = _named(tag, match[5])
+        if noise == 1:
+            if tag in INLINE:
+                flush()
+            n_doubts += 1
+            around.append(n_doubts)
+        elif tag in HEADS and not depth:
+            heads.update(around)
         stack.append((tag, label, noise))
-        depth += noise
+        depth += noise == 2
         links += tag == "a"
     if not depth:
         piece = unescape(re.sub(r"<[/!?a-zA-Z][^>]*\Z", "", page[at:]))  # a tag cut off by the end
         text.append(piece)
     flush()
-    return out
+    return out, doubts, heads
+
+
+def best_container(found: list[Block]) -> tuple[tuple[str, ...], float]:
+    """Path and score of the best container, or of what it is a part of.
+
+    A container in an article stands for the article. Another one stands for
+    its parent while the rest of that is headings and paragraphs of its own,
+    without containers beside it, and mostly unlinked.
+    """
+    scores = container_scores(found)
+    if not scores:
+        return (), 0.0
+    key = max(sorted(scores), key=scores.__getitem__)
+    path, score = tuple(key.split("/")), scores[key]
+    tags = [label.split(".")[0] for label in path]
+    if "article" in tags:
+        return path[: tags.index("article") + 1], score
+    while True:
+        above = [n for n in range(1, len(path)) if tags[n - 1] in CONTAINERS]
+        if not above or tags[above[-1] - 1] == "body":
+            return path, score
+        parent = path[: above[-1]]
+        beside = [b for b in found if b[0][: len(parent)] == parent and b[0][: len(path)] != path]
+        inside = any(label.split(".")[0] in CONTAINERS for b in beside for label in b[0][len(parent) :])
+        if not beside or inside or 2 * sum(b[2] for b in beside) > sum(len(b[1]) for b in beside):
+            return path, score
+        path = parent
 
 
 def container_scores(found: list[tuple[tuple[str, ...], str, int]]) -> dict[str, float]:
@@ -143,13 +215,11 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         votes: dict[tuple[str | None, str], list[float]] = {}
         for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-            scores = container_scores(blocks(page or ""))
-            if scores:
-                path = max(sorted(scores), key=scores.__getitem__)
-                if scores[path] > 0:
-                    vote = votes.setdefault((host, path), [0, 0.0])
-                    vote[0] += 1
-                    vote[1] += scores[path]
+            path, score = best_container(blocks(page or ""))
+            if score > 0:
+                vote = votes.setdefault((host, "/".join(path)), [0, 0.0])
+                vote[0] += 1
+                vote[1] += score
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([h for h, _ in votes], pa.string()),
@@ -167,8 +237,7 @@ def page_text(page: str, winner: str | None) -> str:
     start = tuple(winner.split("/")) if winner else None
     chosen = [words for path, words, _ in found if start and path[: len(start)] == start]
     if not chosen and found:
-        scores = container_scores(found)
-        best = tuple(max(sorted(scores), key=scores.__getitem__).split("/")) if scores else ()
+        best, _ = best_container(found)
         chosen = [words for path, words, _ in found if path[: len(best)] == best]
     return " ".join(chosen)
 

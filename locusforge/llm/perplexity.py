@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from locusforge.llm.frames import fresh, mapped, salted, scope, settle
+from locusforge.llm.frames import fresh, give_back, mapped, salted, scope, settle
 from locusforge.llm.langid import is_held_out
 from locusforge.llm.words import chunks, text_sums
 from locusforge.session import ship_package
@@ -152,6 +152,7 @@ def _score(texts: pa.Table, answers: pa.Table, columns: tuple[str, ...], text: s
             total += text_sums(values, chunk.limits).tolist()
             n_bytes += np.diff(chunk.limits).tolist()
     kept = texts.select(list(columns))
+    give_back()
     return kept.append_column("surprise", pa.array(total, pa.float64())).append_column("n_bytes", pa.array(n_bytes, pa.int64()))
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locusforge.llm.frames import settle
+from locusforge.llm.frames import scope, settle
 
 #: Types of JSON schema by the leading word of the type that Spark gives a variant.
 JSON_TYPES = {
@@ -47,10 +47,10 @@ def argument_errors(calls: DataFrame, schemas: DataFrame) -> DataFrame:
         F.explode(F.array_compact(F.array(F.when(~F.col("object"), F.lit("invalid")), F.when(~F.col("known"), F.lit("unknown tool"))))).alias("error"),
     )
     sound = checked.where("object and known")
-    # the keys of the object: with a map every key gives one entry whatever its type
-    keys = F.map_keys(F.from_json(F.to_json("v"), "map<string,string>"))
-    given = sound.select("conv_id", "call_id", "name", "v", F.explode(keys).alias("field")).withColumn(
-        "given", json_type(F.try_variant_get("v", F.concat(F.lit("$['"), F.col("field"), F.lit("']")), "variant"))
+    # the object's own entries, so that a field may have any name
+    entries = calls.sparkSession.tvf.variant_explode(F.col("v").outer()).select(F.col("key").alias("field"), F.col("value").alias("entry"))
+    given = sound.lateralJoin(entries).select(
+        "conv_id", "call_id", "name", "field", json_type(F.col("entry")).alias("given")
     )
     types = schemas.groupBy("name", "field").agg(F.collect_set("type").alias("types"))
     fits = F.array_contains("types", F.col("given")) | (
@@ -74,25 +74,60 @@ def argument_errors(calls: DataFrame, schemas: DataFrame) -> DataFrame:
 def call_levels(calls: DataFrame, needs: DataFrame) -> DataFrame:
     """(conv_id, call_id, level): 0 for calls that need no other, else one more than the largest level needed.
 
-    Each round places the calls all of whose needs are placed. Calls on a cycle
-    or behind one, or that need an unknown call, are not returned. The rounds
-    are as many as the levels; a round reads and writes only ids.
+    Calls that need just one other point to it; pointers are doubled until they
+    end at a call that needs none or several, so a chain takes as many rounds as
+    its length has binary digits. Then each round places the calls with several
+    needs all of which are placed: these rounds are as many as such calls follow
+    each other. Calls on a cycle or behind one, or that need an unknown call,
+    are not returned. A round reads and writes only ids.
     """
     keys = ["conv_id", "call_id"]
-    known = calls.select(*keys).distinct()
-    wanted = settle(needs.select(*keys, "needs").distinct(), "needs")
-    first = known.join(wanted, keys, "left_anti").withColumn("level", F.lit(0))
-    done = settle(first, "levels")
-    open_ = settle(wanted.join(known, keys, "left_semi"), "open_needs")
-    newest, level = done, 0
+    with scope():
+        placed = _placed(calls.select(*keys).distinct(), needs.select(*keys, "needs").distinct(), keys)
+        return settle(placed, "levels", outer=True)
+
+
+def _placed(known: DataFrame, needs: DataFrame, keys: list[str]) -> DataFrame:
+    wanted = settle(needs.join(known, keys, "left_semi"), "needs")
+    counts = settle(wanted.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), "need_counts")
+    done = settle(known.join(counts, keys, "left_anti").withColumn("level", F.lit(0)), "levels")
+    chains = _chain_ends(wanted.join(counts.where("n = 1"), keys).select(*keys, F.col("needs").alias("end"), F.lit(1).alias("far")))
+    behind = chains.select("conv_id", F.col("call_id").alias("needs"), "end", "far")
+    # what calls with several needs wait for, chains left out
+    open_ = wanted.join(counts.where("n > 1").select(*keys), keys, "left_semi").join(behind, ["conv_id", "needs"], "left")
+    open_ = open_.select(*keys, F.coalesce("end", "needs").alias("end"), (F.coalesce("far", F.lit(0)) + 1).alias("far"))
+    open_ = settle(open_.groupBy(*keys, "end").agg(F.max("far").alias("far")), "open_needs")
+    found, newest = done, done
     while not newest.isEmpty() and not open_.isEmpty():
-        level += 1
-        met = newest.select("conv_id", F.col("call_id").alias("needs"))
-        left = settle(open_.join(met, ["conv_id", "needs"], "left_anti"), "open_needs")
-        ready = open_.select(*keys).distinct().join(left, keys, "left_anti")
-        newest = settle(ready.withColumn("level", F.lit(level)), "levels")
-        done, open_ = done.unionByName(newest), left
-    return done
+        ends = found.select("conv_id", F.col("call_id").alias("end"), "level")
+        reached = open_.join(ends, ["conv_id", "end"], "left").groupBy(*keys)
+        reached = reached.agg(F.max(F.col("level") + F.col("far")).alias("level"), F.count_if(F.col("level").isNull()).alias("left"))
+        newest = settle(reached.where("left = 0").select(*keys, "level"), "levels")
+        open_ = settle(open_.join(newest, keys, "left_anti"), "open_needs")
+        found = settle(found.unionByName(newest), "levels")
+    ends = found.select("conv_id", F.col("call_id").alias("end"), "level")
+    along = chains.join(ends, ["conv_id", "end"]).select(*keys, (F.col("level") + F.col("far")).alias("level"))
+    return found.unionByName(along)
+
+
+def _chain_ends(pointers: DataFrame) -> DataFrame:
+    """(conv_id, call_id, end, far) of calls with one need: where their chain ends, or some call of their cycle."""
+    pointers = settle(pointers, "pointers")
+    covered, most = 1, pointers.count()
+    while covered <= most:
+        next_ = pointers.select("conv_id", F.col("call_id").alias("end"), F.col("end").alias("end2"), F.col("far").alias("far2"))
+        joined = pointers.join(next_, ["conv_id", "end"], "left")
+        moved = settle(
+            joined.select(
+                "conv_id", "call_id", F.coalesce("end2", "end").alias("end"), (F.col("far") + F.coalesce("far2", F.lit(0))).alias("far"),
+                F.col("end2").isNotNull().alias("moved"),
+            ),
+            "pointers",
+        )
+        pointers, covered = moved.drop("moved"), covered * 2
+        if moved.where("moved").isEmpty():
+            break
+    return pointers
 
 
 def link_calls(calls: DataFrame, results: DataFrame, needs: DataFrame, schemas: DataFrame) -> DataFrame:

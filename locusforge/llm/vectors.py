@@ -41,6 +41,8 @@ OPEN = 32
 #: Queries whose true neighbours set the ratio, and the part of these that the lists have to hold.
 TRIALS = 256
 RECALL = 0.98
+#: Lists that a query reads first.
+NEAREST = 4
 #: Members and queries of a tile.
 BLOCK = 2048
 #: Scores nearer than this to the last one kept are computed anew, value by value.
@@ -179,7 +181,8 @@ def _select(batches: Iterator[pa.RecordBatch], index: Index, enough: int) -> Ite
             near = (ranked <= index.ratio * ranked[:, :1]) | (before < enough)
             at, place = np.nonzero(near)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(order[at, place].astype(np.int32)), part.column("cls").take(pa.array(at))], names=["list", "cls"]
+                [pa.array(order[at, place].astype(np.int32)), pa.array(place.astype(np.int32)), part.column("cls").take(pa.array(at))],
+                names=["list", "nth", "cls"],
             )
 
 
@@ -216,6 +219,8 @@ def _compare(queries: pa.Table, members: pa.Table, best: int) -> pa.Table:
         flat = [t.column("vec").combine_chunks() for t in (queries, members)]
         width = len(flat[0][0])
         q, m, score = _nearest(*(_matrix(x, width) for x in flat), best)
+        kept = score >= queries.column("least").to_numpy()[q]
+        q, m, score = q[kept], m[kept], score[kept]
     return pa.table(
         {
             "query": queries.column("cls").take(pa.array(q)),
@@ -323,8 +328,25 @@ def build(classes: DataFrame, asking: DataFrame, best: int, recall: float) -> tu
 
 
 def search(classes: DataFrame, asking: DataFrame, index: Index, lists: DataFrame, best: int) -> DataFrame:
-    """(query, cls, first, score) of the best classes in each tile of the lists that a query reads, once per class."""
-    visits = settle(mapped(asking, partial(_select, index=index, enough=2 * best), "list int, cls long"), "visits")
+    """(query, cls, first, score) of the best classes in each tile of the lists that a query reads, once per class.
+
+    The nearest lists of all queries are read first. The last of the best found
+    there is what a member of the other lists has to reach, so that those give
+    few rows.
+    """
+    visits = mapped(asking, partial(_select, index=index, enough=2 * best), "list int, nth int, cls long")
+    visits = settle(visits, "visits")
+    near = _met(classes, asking, lists, visits.where(F.col("nth") < NEAREST).withColumn("least", F.lit(float("-inf"))), best)
+    near = settle(near.distinct(), "near")
+    top = scale.top_rows(near.select("query", "cls", "score"), ["query"], [F.col("score").desc(), F.col("cls")], best, "place")
+    least = top.where(F.col("place") == best).select(F.col("query").alias("cls"), F.col("score").alias("least"))
+    rest = visits.where(F.col("nth") >= NEAREST).join(least, "cls", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
+    far = _met(classes, asking, lists, rest, best)
+    return near.unionByName(far).distinct()
+
+
+def _met(classes: DataFrame, asking: DataFrame, lists: DataFrame, visits: DataFrame, best: int) -> DataFrame:
+    """The best classes for each query in each tile of (list, cls, least) visits, if they reach ``least``."""
 
     def parts(rows: DataFrame, name: str) -> DataFrame:
         return rows.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
@@ -334,15 +356,14 @@ def search(classes: DataFrame, asking: DataFrame, index: Index, lists: DataFrame
     def dealt(rows: DataFrame, own: str, other: str) -> DataFrame:
         block = F.pmod(F.xxhash64("cls"), F.col(own)).cast("int").alias(f"of_{own}")
         each: Column = F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(f"of_{other}")
-        return rows.join(F.broadcast(sizes), "list").select("list", "cls", block, each)
+        return rows.join(F.broadcast(sizes), "list").select(*rows.columns, block, each)
 
     tile = ["list", "of_q", "of_m"]
-    queries = dealt(visits, "q", "m").join(asking, "cls").select(*tile, "cls", "vec")
+    queries = dealt(visits.select("list", "cls", "least"), "q", "m").join(asking, "cls").select(*tile, "cls", "vec", "least")
     members = dealt(lists.select("list", "cls"), "m", "q").join(classes.select("cls", "first", "vec"), "cls")
     members = members.select(*tile, "cls", "first", "vec")
 
     def compared(left: pa.Table, right: pa.Table) -> pa.Table:
         return _compare(left, right, best)
 
-    met = queries.groupBy(*tile).cogroup(members.groupBy(*tile)).applyInArrow(compared, "query long, cls long, first long, score double")
-    return met.distinct()
+    return queries.groupBy(*tile).cogroup(members.groupBy(*tile)).applyInArrow(compared, "query long, cls long, first long, score double")

@@ -28,13 +28,15 @@ MOST_TASKS = 20_000
 READ_BYTES = 1 << 18
 MAGIC = b"\x1f\x8b\x08"
 HEADER_END = b"\r\n\r\n"
-#: Header of a record with all its fields, decoded; longer ones aren't written.
+FIRST = b"WARC/"
+#: Decoded bytes in which a record's header is looked for at a time.
 HEADER_BYTES = 1 << 16
 
 
 def _clean(text: str) -> str:
-    """A header value on one line."""
-    return re.sub(r"[\x00-\x1f\x7f]", lambda m: f"%{ord(m[0]):02X}", text)[: HEADER_BYTES // 8]
+    """A header value on one line: control characters are percent-encoded, outer blanks too."""
+    text = re.sub(r"[\x00-\x1f\x7f-\x9f]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), text)
+    return re.sub(r"^\s+|\s+$", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), text)
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, is_revisit: bool) -> bytes:
@@ -47,6 +49,8 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
         ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{url}')}>"),
         ("WARC-Page-ID", page_id),
         ("WARC-Target-URI", None if url is None else _clean(url)),
+        # a url that can't stand in a header as it is, exactly
+        ("WARC-Page-URL", None if url is None or _clean(url) == url else base64.b64encode(url.encode()).decode()),
         ("WARC-Date", "1970-01-01T00:00:00Z"),
         ("WARC-Payload-Digest", f"sha1:{digest}"),
         ("WARC-Payload-Length", len(payload)),
@@ -120,23 +124,27 @@ class _Window:
 
 
 def _decoded(window: _Window, whole: bool) -> tuple[bytes, int] | None:
-    """What the gzip member at the window's start holds and its length; only its header unless ``whole``.
+    """What the gzip member at the window's start holds and its length; unless ``whole``, to its header's end if it is a record.
 
     None if it can't be decoded. The window is read on but not moved.
     """
     unpacker, out, given, have = zlib.decompressobj(31), [], 0, 0
     while not unpacker.eof:
-        if given == len(window.data) and not window.fill(given + 1):
+        if not unpacker.unconsumed_tail and given == len(window.data) and not window.fill(given + 1):
             return None
-        piece = window.data[given : given + READ_BYTES]
         try:
+            # what the limit left over goes first
+            piece = unpacker.unconsumed_tail or window.data[given : given + READ_BYTES]
+            given += 0 if unpacker.unconsumed_tail else len(piece)
             out.append(unpacker.decompress(piece, 0 if whole else HEADER_BYTES))
         except zlib.error:
             return None
-        given += len(piece)
         have += len(out[-1])
-        if not whole and (have >= HEADER_BYTES or HEADER_END in b"".join(out)):
-            break
+        if not whole and have >= len(FIRST):
+            start = b"".join(out)
+            if HEADER_END in start or not start.startswith(FIRST):
+                break
+            out = [start]
     return b"".join(out), given - len(unpacker.unused_data)
 
 
@@ -196,9 +204,11 @@ def _read(batches: Iterator[pa.RecordBatch], with_payload: bool) -> Iterator[pa.
                         and len(payload) == int(fields["warc-payload-length"])
                     )
                     page, refers = fields.get("warc-page-id"), fields.get("warc-refers-to-page")
+                    length = int(fields["warc-payload-length"])
+                    if not intact:
+                        length, stated = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
                     rows.append((
-                        page and int(page), fields.get("warc-target-uri"), int(fields["warc-payload-length"]), stated,
-                        fields["warc-type"], refers and int(refers), intact,
+                        page and int(page), _url(fields), length, stated, fields["warc-type"], refers and int(refers), intact,
                         payload if with_payload and fields["warc-type"] == "response" else None,
                     ))
                     held += len(payload) if with_payload else 200
@@ -209,6 +219,11 @@ def _read(batches: Iterator[pa.RecordBatch], with_payload: bool) -> Iterator[pa.
                 yield _batch(rows, names)
 
 
+def _url(fields: dict[str, str]) -> str | None:
+    exact = fields.get("warc-page-url")
+    return fields.get("warc-target-uri") if exact is None else base64.b64decode(exact).decode()
+
+
 def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.binary()]
     columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
@@ -220,7 +235,9 @@ def read_archives(archives: DataFrame, range_bytes: int = RANGE_BYTES, with_payl
 
     Columns: page_id, url, payload_bytes, payload_digest, record_type,
     refers_to, intact (the payload has the stated digest and length; true for
-    revisits) and payload (null for revisits, and without ``with_payload``).
+    revisits, whose figures are the stated ones) and payload (null for revisits,
+    and without ``with_payload``). Figures of a response are those of the payload
+    that was read. A url comes back as it was, whatever its length and characters.
     Bytes between records that are no record are passed over.
     """
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(range_bytes).cast("long")))
