@@ -209,13 +209,15 @@ def _text_windows(batches: Iterator[pa.RecordBatch], sizes: list[tuple[int, int]
             for reading, size in sizes:
                 given = read[reading]
                 hashes, at = template_windows(given.token, given.value, given.bounds, size)
-                hit = may_hold(held, hashes)
-                hashes, at = hashes[hit], at[hit]
                 owner = np.searchsorted(given.bounds, at, "right") - 1
+                again = np.zeros(len(at), bool)
+                again[1:] = (hashes[1:] == hashes[:-1]) & (at[1:] == at[:-1] + 1) & (owner[1:] == owner[:-1])
+                hit = may_hold(held, hashes)
+                hashes, at, owner, again = hashes[hit], at[hit], owner[hit], again[hit]
                 if size < SHORTEST:
                     alone = np.diff(given.bounds)[owner] == size
-                    hashes, at, owner = hashes[alone], at[alone], owner[alone]
-                yield _rows(keys, owner, reading, given, size, hashes, at)
+                    hashes, at, owner, again = hashes[alone], at[alone], owner[alone], again[alone]
+                yield _rows(keys, owner, reading, given, size, hashes, at).append_column("again", pa.array(again))
 
 
 WINDOW_SCHEMA = "key long, place long, word long, reading long, size long, hash long, slots array<long>"
@@ -246,15 +248,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     sizes = sorted((r[0], r[1]) for r in wanted.select("reading", "size").distinct().collect())
     held = bit_filter(wanted, "hash")
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    found = mapped(rows, partial(_text_windows, sizes=sizes, held=held), WINDOW_SCHEMA)
+    found = mapped(rows, partial(_text_windows, sizes=sizes, held=held), WINDOW_SCHEMA + ", again boolean")
+    found = settle(found, "text_windows")
     theirs = wanted.select(
         F.col("key").alias("item"), F.col("place").alias("item_place"), F.col("word").alias("item_word"),
         "reading", "size", "hash", F.col("slots").alias("item_slots"),
     )
-    met = found.join(theirs, ["reading", "size", "hash"]).select(
-        "key", "item", "reading", (F.col("place") - F.col("item_place")).alias("at"), (F.col("word") - F.col("item_word")).alias("word"),
-        "item_place", "slots", "item_slots",
-    )
+    met = _met(found, theirs)
     # runs and neighbouring places are found inside the matches of one document with one item
     one = Window.partitionBy("key", "item", "reading")
     row = one.orderBy("at", "item_place")
@@ -296,6 +296,43 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     )
 
 
+def _met(found: DataFrame, theirs: DataFrame) -> DataFrame:
+    """Windows that a text and an item have in common, with their alignment ``at``.
+
+    A window that an item has once meets every place of a text. One that it has
+    several times would meet each place once per repeat; such windows are held
+    only against the places where the item would have to stand by its single
+    windows, or, of an item without any, by the first place of each, taken where
+    a run of equal windows begins.
+    """
+    item = ["item", "reading", "size"]
+    own = Window.partitionBy(*item, "hash")
+    marked = theirs.withColumn("times", F.count(F.lit(1)).over(own)).withColumn("head", F.min("item_place").over(own) == F.col("item_place"))
+    single = F.max((F.col("times") == 1).cast("int")).over(Window.partitionBy(*item)) == 1
+    marked = settle(marked.withColumn("anchored", single), "marked_windows")
+    shape = ("key", "item", "reading", "size", "at", "off", "item_place", "slots", "item_slots")
+
+    def aligned(windows: DataFrame, places: DataFrame) -> DataFrame:
+        return places.join(windows, ["reading", "size", "hash"]).select(
+            *shape[:4], (F.col("place") - F.col("item_place")).alias("at"), (F.col("word") - F.col("item_word")).alias("off"), *shape[6:]
+        )
+
+    once = aligned(marked.where("times = 1"), found)
+    repeated = marked.where("times > 1")
+    if repeated.isEmpty():
+        return once.withColumnRenamed("off", "word").drop("size")
+    # windows of a text that overlap in a run of equal ones begin but one alignment
+    first = aligned(repeated.where("head and not anchored"), found.where("not again"))
+    tied = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in item]
+    ways = once.unionByName(first).select("key", *[F.col(c).alias(f"__{c}") for c in item], "at").distinct()
+    ways = ways.join(repeated.select(*item).distinct().select(*[F.col(c).alias(f"___{c}") for c in item]),
+                     [F.col(f"__{c}").eqNullSafe(F.col(f"___{c}")) for c in item], "left_semi")
+    spread = repeated.join(ways, tied).withColumn("place", F.col("at") + F.col("item_place"))
+    more = spread.join(found.select("key", "reading", "size", "hash", "place", "word", "slots"), ["key", "reading", "size", "hash", "place"])
+    more = more.select(*shape[:5], (F.col("word") - F.col("item_word")).alias("off"), *shape[6:])
+    return once.unionByName(more).withColumnRenamed("off", "word").drop("size")
+
+
 def without_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark text, with all their columns; null keys stay."""
     with scope():

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager, suppress
 from contextvars import ContextVar
@@ -12,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from locusforge.operators import scale
 from locusforge.session import scratch_path, ship_package
 
 
@@ -58,6 +60,13 @@ def settle(df: DataFrame, name: str, outer: bool = False, by: str | None = None)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def replayable(df: DataFrame, name: str) -> DataFrame:
+    """The frame itself if it only scans files, whose rows come in the same order in every pass; else a written copy."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    nodes = set(re.findall(r"^[\s:+\-|]*([A-Za-z]+)", plan, re.M))
+    return df if nodes <= {"Project", "Filter", "Relation"} else settle(df, name)
+
+
 def mapped(
     df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str
 ) -> DataFrame:
@@ -105,6 +114,24 @@ def joined_by(left: DataFrame, right: DataFrame, key: str, how: str = "left") ->
 SALTS = 32
 
 
+def hashed_first(rows: DataFrame, group: str, key: str, limit: int) -> DataFrame:
+    """The first ``limit`` rows of each group by a hash of the key, then by the key.
+
+    Groups are counted first. A row whose hash lies far beyond the place where
+    the last one must be stays where it is, so that few rows of a group are
+    sent to its task, whatever the number of tasks.
+    """
+    counts = settle(rows.groupBy(group).agg(F.count(F.lit(1)).alias("n_rows")), "group_sizes")
+    share = fresh([*rows.columns, "n_rows"], "share")
+    # twice as many as wanted and a hundred more: fewer than wanted are as good as impossible
+    wide = counts.select(group, ((2.0 * limit + 100) / F.col("n_rows")).alias(share))
+    near = salted(rows, wide, group, key).where(
+        (F.xxhash64(key).cast("double") / 2.0**64 + 0.5 <= F.col(share)) | (F.col(share) >= 1)
+    )
+    order = [F.xxhash64(key), F.col(key)]
+    return scale.top_rows(near.drop(share), [group], order, limit)
+
+
 def salted(left: DataFrame, right: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
     """Join on a key of few values, each dealt over ``SALTS`` tasks by a column of ``left``.
 

@@ -17,12 +17,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locusforge.llm.frames import mapped, settle
+from locusforge.llm.frames import hashed_first, mapped, scope, settle
 from locusforge.llm.words import LOWER, SPACE, chunks, sums, text_sums
-from locusforge.operators import scale
 
 #: Labelled rows used for training, for each language; the choice is by a hash of the key.
 SAMPLE_PER_LANGUAGE = 400
+#: Characters of a text in the sample.
+SAMPLE_CHARS = 50_000
 BUCKET_BITS = 15
 DIMENSIONS = 16
 SIZES = (1, 2, 3, 4)
@@ -190,13 +191,15 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     """A model of the rows that aren't held out and have a language.
 
     At most ``SAMPLE_PER_LANGUAGE`` rows of each language, the first by a hash
-    of the key, are read by the driver: the only bound of the fit.
+    of the key, are read by the driver, and of each text ``SAMPLE_CHARS``
+    characters: the only bounds of the fit.
     """
-    order = [F.xxhash64(key), F.col(key)]
     known = docs.where(~is_held_out(key) & F.col(lang).isNotNull() & F.col(key).isNotNull()).select(key, lang)
-    picked = settle(scale.top_rows(known, [lang], order, SAMPLE_PER_LANGUAGE).select(key).distinct(), "language_sample")
-    rows = docs.join(picked, key).where(F.col(lang).isNotNull()).select(key, text, lang)
-    sample = sorted(rows.collect(), key=lambda r: (r[0], r[2], r[1] or ""))
+    with scope():
+        picked = settle(hashed_first(known, lang, key, SAMPLE_PER_LANGUAGE).select(key).distinct(), "language_sample")
+        piece = F.substring(text, 1, SAMPLE_CHARS).alias("__piece")
+        rows = docs.join(picked, key).where(F.col(lang).isNotNull()).select(F.col(key), piece, F.col(lang))
+        sample = sorted(rows.collect(), key=lambda r: (r[0], r[2], r[1] or ""))
     return train([(r[1], r[2]) for r in sample])
 
 

@@ -16,12 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusforge.llm.frames import mapped, settle
+from locusforge.llm.frames import hashed_first, mapped, scope, settle
 from locusforge.llm.words import Chunk, Words, chunks, line_limits, mix, sums, windows, word_hashes, word_limits
-from locusforge.operators import scale
 
 #: Labelled documents used for training, for each quality; the choice is by a hash of the key.
 SAMPLE_PER_LABEL = 500
+#: Characters of a text in the sample.
+SAMPLE_CHARS = 50_000
 LEAST_CONTENT = 0.5
 EPOCHS = 8
 RATE = 0.1
@@ -222,11 +223,15 @@ def _judge(batches: Iterator[pa.RecordBatch], field: Field, least: float) -> Ite
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> Field:
-    """A field of labelled documents: at most ``SAMPLE_PER_LABEL`` of each quality, the first by a hash of the key."""
+    """A field of labelled documents: at most ``SAMPLE_PER_LABEL`` of each quality, the first by a hash of the key.
+
+    Of each text the driver reads ``SAMPLE_CHARS`` characters.
+    """
     known = labels.where(F.col("quality").isin(0, 1) & F.col(key).isNotNull()).select(key, "quality").distinct()
-    order = [F.xxhash64(key), F.col(key)]
-    picked = settle(scale.top_rows(known, ["quality"], order, SAMPLE_PER_LABEL).select(key, "quality"), "line_sample")
-    rows = docs.select(key, text).join(picked, key).where(F.col(text).isNotNull()).select(key, text, "quality").collect()
+    with scope():
+        picked = settle(hashed_first(known, "quality", key, SAMPLE_PER_LABEL).select(key, "quality"), "line_sample")
+        piece = F.substring(text, 1, SAMPLE_CHARS).alias("__piece")
+        rows = docs.select(key, piece).join(picked, key).where(F.col("__piece").isNotNull()).select(key, "__piece", "quality").collect()
     return train([(r[1], r[2]) for r in sorted(rows, key=lambda r: (r[0], r[2], r[1]))])
 
 

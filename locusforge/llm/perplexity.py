@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from locusforge.llm.frames import fresh, give_back, mapped, salted, scope, settle
+from locusforge.llm.frames import fresh, give_back, mapped, replayable, salted, scope, settle
 from locusforge.llm.langid import is_held_out
 from locusforge.llm.words import chunks, text_sums
 from locusforge.session import ship_package
@@ -265,7 +265,7 @@ def score(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]], shares: Dat
 
     ``docs`` has also ``grp`` and the column of the text. Two passes cut it into
     the same blocks if they read the same rows in the same order, as scans of
-    one table do; otherwise the job fails.
+    files do; otherwise the job fails.
     """
     ship_package(docs.sparkSession)
     asked = mapped(docs.select("grp", F.col(text).alias("text")), _requests, "block long, grp string, gram long")
@@ -324,9 +324,10 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     one key are judged each on its own. Labels of unknown keys and extra columns
     of ``labels`` don't matter.
     """
-    sources = [c for c in docs.columns] if carry else [key]
+    sources = list(docs.columns) if carry else [key]
     back = [F.col(f"c{i}").alias(c) for i, c in enumerate(sources)]
     with scope():
+        docs = replayable(docs, "documents")
         scored, edges = _scored(docs, labels, key, text, lang, sources, carry)
         # one row, or none without held-out trusted text
         every = edges.where(F.col("grp") == ALL).first()

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from locusforge.llm import frames, html, neardup, perplexity, toolcalls, warc
+from locusforge.llm import decontam, frames, html, neardup, perplexity, toolcalls, warc
 from locusforge.session import scratch_root
 
 PAGES = {
@@ -194,3 +194,32 @@ def test_recall_near_the_threshold(spark):
     linked = {i for i in pairs if got[i + 1] == i}
     true = {i for i, near in pairs.items() if near}
     assert linked <= true and len(linked) >= 0.97 * len(true)
+
+
+def test_repeated_windows_do_not_multiply(spark, monkeypatch):
+    """A document of 20,000 times one word and an item of 60 of them: few rows, and the item is found."""
+    rows = [(1, "same " * 20_000), (2, "same " * 20 + "other words here"), (3, "left right " * 300), (4, "before " + "left right " * 30 + "after")]
+    items = [(1, "same " * 60), (2, "left right " * 30)]
+    sizes, settled = {}, decontam.settle
+
+    def counted(df, name, **more):
+        out = settled(df, name, **more)
+        sizes[name] = max(out.count(), sizes.get(name, 0))
+        return out
+
+    monkeypatch.setattr(decontam, "settle", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontam.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert found == {(1, 1), (2, 1), (3, 2), (4, 2)}  # 20 words in a row are a run
+    assert sizes["matches"] < 100_000
+
+
+def test_samples_are_the_first_by_hash(spark):
+    """Groups of one row and of most rows: the same rows as by ranking all of them."""
+    rows = spark.range(20_000).select(F.col("id").alias("k"), F.when(F.col("id") % 100 == 0, "b").when(F.col("id") == 7, "c").otherwise("a").alias("g"))
+    got = {}
+    for r in frames.hashed_first(rows, "g", "k", 50).collect():
+        got.setdefault(r.g, set()).add(r.k)
+    ranked = rows.select("g", "k", F.xxhash64("k").alias("h")).collect()
+    for g in "abc":
+        assert got[g] == {r.k for r in sorted((r for r in ranked if r.g == g), key=lambda r: (r.h, r.k))[:50]}

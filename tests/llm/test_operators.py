@@ -5,6 +5,7 @@ import io
 import math
 import random
 import re
+import zlib
 
 import pytest
 
@@ -309,7 +310,11 @@ def kneser_ney(texts, order=perplexity.ORDER):
         own = (v - cut[k][min(v, 3)]) / total[k][g[:-1]] if v else 0.0
         return own + left[k][g[:-1]] / total[k][g[:-1]] * lower
 
-    return lambda text: sum(-math.log(p((pad + text)[i : i + order])) for i in range(len(text)))
+    def surprise(text):
+        return sum(-math.log(p((pad + text)[i : i + order])) for i in range(len(text)))
+
+    surprise.p = lambda text: [p((pad + text)[i : i + order]) for i in range(len(text))]
+    return surprise
 
 
 def test_perplexity_against_a_plain_model(spark, docs, labels, nothing):
@@ -335,6 +340,78 @@ def test_perplexity_against_a_plain_model(spark, docs, labels, nothing):
     assert perplexity.classify(nothing, labels).count() == 0
 
 
+def plain_verdicts(rows, trusted):
+    """{id: (perplexity, limit, kept)} by models, mixes and limits worked out in plain Python."""
+    def held(i):
+        return zlib.crc32(str(i).encode()) % 4 == 2
+
+    counted = [(text.encode(), lang) for i, text, lang in rows if i in trusted and not held(i)]
+    own = {}
+    for text, lang in counted:
+        if lang is not None:
+            own.setdefault(lang, []).append(text)
+    models = {lang: kneser_ney(texts) for lang, texts in own.items()}
+    every = kneser_ney([text for text, _ in counted])
+    share = {lang: sum(map(len, texts)) / (sum(map(len, texts)) + perplexity.PRIOR_BYTES) for lang, texts in own.items()}
+
+    def score(text, lang):
+        q = every.p(text)
+        if lang not in models:
+            return sum(-math.log(x) for x in q)
+        return sum(-math.log(share[lang] * x + (1 - share[lang]) * y) for x, y in zip(models[lang].p(text), q))
+
+    def limit(found):
+        found = [(s, n) for s, n in found if n]
+        mid = sum(s for s, _ in found) / sum(n for _, n in found)
+        values = sorted(math.floor((s + perplexity.SHRINK * mid) / (n + perplexity.SHRINK) * perplexity.BUCKETS) for s, n in found)
+
+        def at(q):
+            return next(v for k, v in enumerate(values) if sum(x <= v for x in values) / len(values) >= q) / perplexity.BUCKETS
+
+        m, z = at(0.5), at(perplexity.QUANTILE)
+        return mid, z + perplexity.MARGIN * (z - m) + 1 / perplexity.BUCKETS, len(found)
+
+    kept_out = [(text.encode(), lang) for i, text, lang in rows if i in trusted and held(i)]
+    overall = limit([(score(text, None), len(text)) for text, _ in kept_out])
+    edges = {}
+    for lang in models:
+        mine = [(score(text, lang), len(text)) for text, other in kept_out if other == lang]
+        edges[lang] = limit(mine) if mine else (0.0, 0.0, 0)
+    out = {}
+    for i, text, lang in rows:
+        mid, high, n = edges.get(lang, (0.0, 0.0, 0))
+        w = n / (n + perplexity.PRIOR_TEXTS)
+        mid, high = w * mid + (1 - w) * overall[0], w * high + (1 - w) * overall[1]
+        raw = (text or "").encode()
+        value = (score(raw, lang) + perplexity.SHRINK * mid) / (len(raw) + perplexity.SHRINK)
+        out[i] = (value, high, bool(raw) and value <= high)
+    return out
+
+
+def test_limits_and_verdicts_against_plain_models(spark):
+    noise = random.Random(11)
+    words = {"en": WORDS[:20], "fr": WORDS[8:], "de": WORDS[::3], None: WORDS}
+    rows = []
+    for lang, n in (("en", 60), ("fr", 25), ("de", 6), (None, 12), ("xx", 5)):
+        for _ in range(n):
+            rows.append((len(rows), " ".join(noise.choice(words.get(lang, WORDS)) for _ in range(noise.randrange(5, 40))), lang))
+    trusted = {i for i, _, lang in rows if lang != "xx"}
+    for lang in ("en", "fr", "de", None, "xx"):
+        rows += [(len(rows), "".join(noise.choice("#%QZ019~^| ar en") for _ in range(120)), lang), (len(rows) + 1, None, lang)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    marks = spark.createDataFrame([(i, 1, 0) for i in trusted], "doc_id long, quality int, toxic int")
+    want = plain_verdicts(rows, trusted)
+    got = {r.doc_id: r for r in perplexity.classify(docs, marks).collect()}
+    assert got.keys() == want.keys()
+    for i, (value, high, kept) in want.items():
+        if not got[i].n_bytes:
+            assert got[i].perplexity is None and not got[i].kept
+            continue
+        assert got[i].perplexity == pytest.approx(math.exp(value), rel=1e-4)
+        assert math.log(got[i].high) == pytest.approx(high, abs=0.0031)
+        assert got[i].kept == kept or abs(value - high) < 0.005
+
+
 def test_rows_without_a_known_language_are_judged_by_all_held_out_text(spark):
     noise = random.Random(7)
     rows = [(i, prose(100 + i, 60), "en") for i in range(160)]
