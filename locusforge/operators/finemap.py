@@ -106,6 +106,14 @@ def _wide_effects(
     own fit has settled, so its result does not depend on the other loci.
     """
     shrink = prior / (1.0 + prior)
+    if effects == 1:
+        # no other effect pulls, so LD is not read
+        bf = F.lit(0.5) * (F.lit(float(np.log1p(-shrink))) + shrink * F.col("z") * F.col("z"))
+        one = rows.withColumn("__bf", bf)
+        one = one.join(log_sum_exp(one, ["locus"], __lse=F.col("__bf")), "locus")
+        alpha = F.exp(F.col("__bf") - F.col("__lse"))
+        lbf = F.col("__lse") - F.log(F.col("n_rows").cast("double"))
+        return cut_lineage(one.select("locus", "variant", "z", F.array(alpha).alias("alpha"), F.array(lbf).alias("lbf")))
     both = ld.select("locus", "variant_a", "variant_b", "r").unionByName(
         ld.select("locus", F.col("variant_b").alias("variant_a"), F.col("variant_a").alias("variant_b"), "r")
     )

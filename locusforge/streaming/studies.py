@@ -14,6 +14,10 @@ from locusforge.functions.text import exit_status
 from locusforge.operators.manifests import new_studies
 
 
+# Buckets into which the state of a stream is dealt by key.
+STATE_BUCKETS = 64
+
+
 def _existing(spark: SparkSession, path: str) -> DataFrame | None:
     """Earlier output of a stream, or none on the first batch."""
     try:
@@ -30,15 +34,20 @@ def new_file_stream(
     """Append the studies that are neither known nor found by an earlier batch.
 
     Each batch writes to its own folder in overwrite mode, so a batch that is
-    run again replaces its rows.
+    run again replaces its rows. Studies are dealt into buckets by a hash, as
+    folders in each batch's own, and a batch reads only those of its studies.
     """
 
     def process(batch: DataFrame, number: int) -> None:
-        fresh = new_studies(batch, known, key).dropDuplicates([key])
-        earlier = _existing(batch.sparkSession, target)
+        bucket = F.pmod(F.xxhash64(key), F.lit(STATE_BUCKETS)).cast("int")
+        fresh = new_studies(batch, known, key).dropDuplicates([key]).withColumn("bucket", bucket).persist()
+        touched = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]  # at most ``STATE_BUCKETS``
+        earlier = _existing(batch.sparkSession, target) if touched else None
+        found = fresh
         if earlier is not None:
-            fresh = new_studies(fresh, earlier.where(F.col("batch") < number), key)
-        fresh.write.mode("overwrite").parquet(os.path.join(target, f"batch={number}"))
+            found = new_studies(fresh, earlier.where((F.col("batch") < number) & F.col("bucket").isin(touched)), key)
+        found.write.mode("overwrite").partitionBy("bucket").parquet(os.path.join(target, f"batch={number}"))
+        fresh.unpersist()
 
     return (
         raw.writeStream.foreachBatch(process)
@@ -48,10 +57,6 @@ def new_file_stream(
     )
 
 
-# Buckets into which the state of a stream is dealt by key.
-STATE_BUCKETS = 64
-
-
 def _versions(spark: SparkSession, target: str) -> list[tuple[int, int]]:
     """(bucket, version) of the folders of a state table, from their names alone."""
     pattern = os.path.join(target, "bucket=*", "version=*")

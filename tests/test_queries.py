@@ -71,6 +71,9 @@ def test_model_separates(spark):
     model = l2g.l2g_train(df.drop("label"), df.select("id", "label"), ["id"], ["a", "b"], estimators=3, depth=2)
     scored = l2g.l2g_predict(model, df).collect()
     assert all((r["score"] > 0.5) == bool(r["label"]) for r in scored)
+    assert all(0 <= r["score"] <= 1 for r in scored)
+    # the order on the feature that separates
+    assert min(r["score"] for r in scored if r["a"] >= 5) > max(r["score"] for r in scored if r["a"] < 5)
 
 
 @pytest.mark.parametrize("name", ["dedup_first", "pick_consequence", "evidence_union"])

@@ -338,3 +338,17 @@ def test_clumping_jobs_do_not_grow_with_a_chain(spark):
         args = dict(position="pos", strength="v", tie="id", distance=100, threshold=8.0, fold_positions=0)
         counts.append(jobs_of(spark, lambda: loci.window_clump(df, ["study"], **args).collect()))
     assert counts[0] == counts[1] == counts[2]
+
+
+def test_one_effect_of_a_wide_locus_reads_no_ld(spark):
+    """The fit by joins equals the one in a task; a table of LD that can't be read isn't needed."""
+    rnd = random.Random(2)
+    z = [rnd.gauss(0, 1) + (6 if i == 3 else 0) for i in range(40)]
+    rows = spark.createDataFrame([("L", f"v{i:02d}", x) for i, x in enumerate(z)], "locus string, variant string, z double")
+    broken = spark.range(1).select(
+        F.lit("L").alias("locus"), F.lit("v00").alias("variant_a"), F.lit("v01").alias("variant_b"), F.raise_error(F.lit("read")).cast("double").alias("r")
+    )
+    state = finemap._wide_effects(rows, broken, 1, 50.0).collect()
+    alpha, lbf = finemap.susie(np.array(z), np.eye(40), 1, 50.0)
+    for r in state:
+        assert abs(r["alpha"][0] - alpha[0][int(r["variant"][1:])]) < 1e-9 and abs(r["lbf"][0] - lbf[0]) < 1e-9
