@@ -621,3 +621,41 @@ def finemap_single_effect(t):
     sets = finemap.finemap_loci(rows, ld, effects=1, mean_r2=-1.0, min_r2=-1.0, min_log_bf=-1e9)
     return sets.groupBy("locus").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("alpha"), 6).alias("top"))
 
+
+
+@query(
+    """
+    SELECT locus, true AS sums, true AS sizes, true AS pips FROM (
+      SELECT l_suppkey::VARCHAR AS locus, (max(l_discount) - 0.05) / (min(l_tax) + 0.01) AS z FROM lineitem GROUP BY l_suppkey, l_partkey)
+    GROUP BY locus HAVING max(abs(z)) >= 4.417173413
+    """
+)
+def finemap_invariants(t):
+    """Of every locus with a strong lead: what its credible sets, if any, have to keep to."""
+    rows, ld = finemap_inputs(t)
+    sets = finemap.finemap_loci(rows, ld, lead_neglog10=5.0)
+    each = sets.groupBy("locus", "effect").agg(
+        F.sum("alpha").alias("mass"), F.count(F.lit(1)).alias("n"), F.min(F.col("pip") - F.col("alpha")).alias("gap"), F.max("pip").alias("top")
+    )
+    whole = each.groupBy("locus").agg(
+        F.min((F.col("mass") >= finemap.SUM_PIPS - 1e-6) & (F.col("mass") <= 1 + 1e-6)).alias("sums"),
+        F.count(F.lit(1)).alias("effects"), F.max("n").alias("largest"),
+        F.min((F.col("gap") >= -1e-9) & (F.col("top") <= 1 + 1e-9)).alias("pips"),
+    )
+    loci = rows.groupBy("locus").agg(F.count(F.lit(1)).alias("n"), F.max(F.abs("z")).alias("top")).where("top >= 4.417173413")
+    joined = loci.join(whole, "locus", "left")
+    sizes = (F.col("effects") <= finemap.MAX_CAUSAL) & (F.col("largest") <= F.col("n"))
+    return joined.select(
+        "locus", F.coalesce("sums", F.lit(True)).alias("sums"), F.coalesce(sizes, F.lit(True)).alias("sizes"),
+        F.coalesce("pips", F.lit(True)).alias("pips"),
+    )
+
+
+@query("SELECT doc_id, least(n_chars // 500, 20) >= 4 AS positive FROM documents")
+def l2g_scores_on_a_separable_feature(t):
+    """Documents of at least 2,000 characters are positive; the model has to put all others below them."""
+    steps = F.least(F.floor(F.col("n_chars") / 500), F.lit(20)).cast("double")
+    features = t.documents.select("doc_id", steps.alias("steps"), F.length("source").cast("double").alias("noise"))
+    gold = features.select("doc_id", (F.col("steps") >= 4).cast("int").alias("label"))
+    model = l2g.l2g_train(features, gold, ["doc_id"], ["steps", "noise"], estimators=5, depth=2)
+    return l2g.l2g_predict(model, features).select("doc_id", (F.col("score") > 0.5).alias("positive"))

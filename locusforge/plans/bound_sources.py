@@ -546,3 +546,33 @@ def read_gzip_lines(t):
     lines, _ = blockgzip.read_gzip_lines(t.spark, path, "*.gz")
     cells = F.split("line", "\t")
     return lines.groupBy(cells[1].alias("file")).agg(F.count(F.lit(1)).alias("n"), F.sum(cells[0].cast("bigint")).alias("keys"))
+
+
+@query("SELECT 'G' || s_suppkey AS gene, 'GO:' || s_nationkey AS term, s_name AS properties FROM supplier")
+def read_gene_annotation_gpa(t):
+    path = scratch_path(t.spark, "gpa")
+    line = F.concat_ws(
+        "\t", F.lit("DB"), F.concat(F.lit("G"), "s_suppkey"), F.lit("enables"), F.concat(F.lit("GO:"), "s_nationkey"), *[F.lit("x")] * 7, "s_name"
+    )
+    t.supplier.select(F.explode(F.array(F.lit("!gpa-version: 1.2"), line)).alias("value")).write.text(path)
+    rows = readers.read_gene_annotation(t.spark, path, "gpa")
+    return rows.select(F.col("object_id").alias("gene"), "term", "properties")
+
+
+@query(
+    """
+    SELECT 'broken' AS kind, c_mktsegment AS segment, NULL::BIGINT AS n FROM customer GROUP BY ALL
+    UNION ALL SELECT 'sound', c_mktsegment, count(*) FROM customer GROUP BY ALL
+    """
+)
+def bulk_decompress_failures(t):
+    """A sound and a broken file per segment: the text of the latter isn't what its name says."""
+    path = scratch_path(t.spark, "mixed")
+    rows = t.customer.select(F.col("c_name").alias("value"), F.regexp_replace("c_mktsegment", " ", "_").alias("segment")).repartition("segment")
+    rows.write.partitionBy("segment").option("compression", "gzip").text(path + "/sound")
+    rows.write.partitionBy("segment").option("compression", "deflate").text(path + "/broken")
+    lines, failed = readers.bulk_decompress(t.spark, path, "*.{gz,deflate}")
+    segment = F.regexp_replace(F.regexp_extract("path", "segment=([^/]+)/", 1), "_", " ").alias("segment")
+    return lines.groupBy(F.lit("sound").alias("kind"), segment).agg(F.count(F.lit(1)).alias("n")).unionByName(
+        failed.select(F.lit("broken").alias("kind"), segment, F.lit(None).cast("bigint").alias("n"))
+    )
