@@ -339,7 +339,9 @@ def _linked(source: DataFrame, percent: int, least: int, size: int, trees: int,
     with scope():
         found = _compare(small, sets, least)
         if large is not None:
-            found = found.unionByName(_pivots(large, sets, least)).unionByName(_compare(_blocks(large, leaf), sets, least))
+            with scope():
+                near = settle(_pivots(large, sets, least), "pivot_pairs", outer=True)
+            found = found.unionByName(near).unionByName(_compare(_blocks(large, leaf), sets, least))
         tried = settle(found.distinct(), "candidates")
         verdicts = settle(_confirm(tried, source, percent, size), "verdicts", outer=True)
     links = verdicts.where("linked").select("a", "b")
@@ -454,7 +456,7 @@ def _pivots(large: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     other. Pivots are the members that agree best with the consensus signature
     of a sample of the node; the sample only steers the choice of the pivots.
     """
-    rows = large.join(sets, "id")
+    rows = settle(large.join(sets, "id"), "large_signatures")
     sample = scale.top_rows(rows, ["node"], [F.xxhash64("id"), F.col("id")], SAMPLE)
     sample = sample.groupBy("node").agg(F.collect_list("signature").alias("sample"))
     middle = settle(mapped(sample, _consensus, "node long, middle binary"), "consensus")
@@ -463,7 +465,7 @@ def _pivots(large: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     )
     best = scale.top_rows(agreed, ["node"], [F.col("same").desc(), F.col("id")], PIVOTS).select("node", F.col("id").alias("p"))
     pivots = settle(best.join(sets.select(F.col("id").alias("p"), F.col("signature").alias("s1")), "p"), "pivots")
-    pairs = large.join(pivots, "node").where("id <> p").join(sets.select("id", "signature"), "id")
+    pairs = rows.join(pivots, "node").where("id <> p")
     pairs = pairs.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"), "s1", F.col("signature").alias("s2"))
     return mapped(pairs, partial(_near, least=least), "a long, b long").distinct()
 
@@ -483,7 +485,7 @@ def _left_out(large: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
     tagged = settle(_rooted(large, roots), "large")
     parts = tagged.groupBy("node", "root").agg(F.count(F.lit(1)).alias("n"))
     main = settle(parts.groupBy("node").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1"), "main")
-    mixed = tagged.join(main, "node").join(sets.select("id", "n_shingles"), "id")
+    mixed = tagged.join(main, "node").join(sets, "id")
     mixed = settle(mixed.withColumn("out", F.col("root") != F.col("main")), "mixed")
 
     def blocks(count: Column, shingles: Column) -> Column:
@@ -493,7 +495,7 @@ def _left_out(large: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
         blocks(F.count(F.lit(1)), F.sum("n_shingles")).alias("blocks"),
         blocks(F.count_if("out"), F.sum(F.when(F.col("out"), F.col("n_shingles")))).alias("out_blocks"),
     )
-    dealt = mixed.join(settle(sizes, "sizes"), "node").join(sets.select("id", "signature"), "id")
+    dealt = mixed.join(settle(sizes, "sizes"), "node")
 
     def spread(rows: DataFrame, own: str, other: str, names: tuple[str, str]) -> DataFrame:
         return rows.withColumn(names[0], F.pmod(F.xxhash64("id"), F.col(own)).cast("int")).withColumn(

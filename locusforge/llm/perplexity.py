@@ -10,7 +10,7 @@ the answers meet the texts of the block again.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -260,19 +260,28 @@ def surprises(asked: DataFrame, model: list[tuple[DataFrame, DataFrame]], shares
     return mixed.select("grp", "gram", (-F.log(p)).alias("surprise")).unionByName(plain)
 
 
-def score(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]], shares: DataFrame, columns: tuple[str, ...], text: str) -> DataFrame:
-    """The given columns of every row with ``surprise`` (sum over bytes, in nats) and ``n_bytes``.
+def score(
+    parts: list[tuple[DataFrame, tuple[str, ...], str]], model: list[tuple[DataFrame, DataFrame]], shares: DataFrame
+) -> list[DataFrame]:
+    """The given columns of every row of each (docs, columns, text) with ``surprise`` (sum over bytes, in nats) and ``n_bytes``.
 
-    ``docs`` has also ``grp`` and the column of the text. Two passes cut it into
-    the same blocks if they read the same rows in the same order, as scans of
-    files do; otherwise the job fails.
+    ``docs`` has also ``grp`` and the column of the text. What all parts ask for
+    is answered together. Two passes cut a part into the same blocks if they
+    read the same rows in the same order, as scans of files do; otherwise the
+    job fails.
     """
-    ship_package(docs.sparkSession)
-    asked = mapped(docs.select("grp", F.col(text).alias("text")), _requests, "block long, grp string, gram long")
-    asked = settle(asked, "requests")
+    asked = []
+    for docs, _, text in parts:
+        rows = mapped(docs.select("grp", F.col(text).alias("text")), _requests, "block long, grp string, gram long")
+        asked.append(settle(rows, "requests"))
     with scope():
-        answers = settle(surprises(asked, model, shares), "surprises", outer=True)
-    answered = asked.join(answers.withColumn("surprise", F.col("surprise").cast("float")), ["grp", "gram"])
+        wanted = reduce(DataFrame.unionByName, asked)
+        answers = settle(surprises(wanted, model, shares), "surprises", outer=True)
+    answers = answers.withColumn("surprise", F.col("surprise").cast("float"))
+    return [_scored_part(*part, own.join(answers, ["grp", "gram"])) for part, own in zip(parts, asked)]
+
+
+def _scored_part(docs: DataFrame, columns: tuple[str, ...], text: str, answered: DataFrame) -> DataFrame:
     kinds = dict(docs.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", surprise double, n_bytes long"
     wanted = docs.select(*dict.fromkeys(["grp", text, *columns]))
@@ -370,12 +379,13 @@ def _scored(
     rows = plain.join(known, "lang", "left").withColumn("grp", F.coalesce("grp", F.lit(ALL)))
     kept_columns = (*[f"c{i}" for i in range(len(sources))], "__k", "grp")
     own_text = f"c{sources.index(text)}" if carry else "text"
-    scored = settle(score(rows, model, shares, kept_columns, own_text), "scores", outer=True)
-    held = scored.where(is_held_out("__k")).select("__k", "grp", "surprise", "n_bytes").join(_good(labels, key, "__k"), "__k")
     # the limit of all text comes from all held-out trusted text under the model of all text
     again = settle(trusted.where("held").select("text", F.lit(ALL).alias("grp")), "held_out")
+    scored, again = score([(rows, kept_columns, own_text), (again, ("grp",), "text")], model, shares)
+    scored = settle(scored, "scores", outer=True)
+    held = scored.where(is_held_out("__k")).select("__k", "grp", "surprise", "n_bytes").join(_good(labels, key, "__k"), "__k")
     held = held.where(F.col("grp") != ALL).select("grp", "surprise", "n_bytes")
-    edges = limits(held.unionByName(score(again, model, shares, ("grp",), "text")))
+    edges = limits(held.unionByName(again))
     return scored, settle(edges, "limits", outer=True)
 
 
