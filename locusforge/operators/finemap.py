@@ -24,6 +24,8 @@ SUM_PIPS = 0.99
 
 # Variants of a locus that are solved inside one task; wider loci are solved by joins.
 TASK_VARIANTS = 2_000
+# A matrix with fewer than one in so many entries listed is kept as a list.
+LISTED_SHARE = 16
 RESULT = "locus string, effect int, variant string, alpha double, log_bf double, pip double"
 
 
@@ -33,19 +35,47 @@ def _single_effect(z: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray,
     lbf = 0.5 * (np.log1p(-shrink) + shrink * z * z)
     top = lbf.max()
     w = np.exp(lbf - top)
-    return w / w.sum(), shrink * z, float(top + np.log(w.mean()))
+    total = w.sum()
+    return w / total, shrink * z, float(top + np.log(total / len(z)))
 
 
-def susie(z: np.ndarray, ld: np.ndarray, effects: int, prior: float, sweeps: int = 100, tol: float = 1e-4):
+class ListedLD:
+    """Correlations of ``n`` variants as listed pairs, both ways round; the diagonal is 1, all others are 0."""
+
+    def __init__(self, n: int, i: np.ndarray, j: np.ndarray, r: np.ndarray):
+        self.n = n
+        self.i, self.j, self.r = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([r, r])
+        self.full = None
+        if len(self.r) * LISTED_SHARE > n * n:
+            self.full = np.eye(n)
+            self.full[self.i, self.j] = self.r
+
+    def __matmul__(self, x: np.ndarray) -> np.ndarray:
+        if self.full is not None:
+            return self.full @ x
+        return x + np.bincount(self.i, weights=self.r * x[self.j], minlength=self.n)
+
+    def purity(self, chosen: np.ndarray) -> tuple[float, float]:
+        """Mean and least r2 of all pairs of the chosen variants, each with itself included."""
+        held = np.zeros(self.n, dtype=bool)
+        held[chosen] = True
+        r2 = self.r[held[self.i] & held[self.j]] ** 2
+        k = len(chosen)
+        least = 0.0 if len(r2) < k * (k - 1) else r2.min(initial=1.0)
+        return (r2.sum() + k) / (k * k), least
+
+
+def susie(z: np.ndarray, ld: np.ndarray | ListedLD, effects: int, prior: float, sweeps: int = 100, tol: float = 1e-4):
     """Iterative single-effect fits on z-scores; the prior variance stays fixed."""
     alpha = np.full((effects, len(z)), 1.0 / len(z))
-    mean = np.zeros_like(alpha)
+    part = np.zeros_like(alpha)
     lbf = np.zeros(effects)
     for _ in range(sweeps):
         old = alpha.copy()
         for k in range(effects):
-            others = (alpha * mean).sum(axis=0) - alpha[k] * mean[k]
-            alpha[k], mean[k], lbf[k] = _single_effect(z - ld @ others, prior)
+            others = part.sum(axis=0) - part[k]
+            alpha[k], mean, lbf[k] = _single_effect(z - ld @ others, prior)
+            part[k] = alpha[k] * mean
         if np.abs(alpha - old).max() < tol:
             break
     return alpha, lbf
@@ -57,14 +87,11 @@ def _solve(settings: dict):
         at = {v: i for i, v in enumerate(names)}
         z = np.zeros(len(names))
         z[[at[v] for v in left["variant"]]] = left["z"].to_numpy()
-        ld = np.eye(len(names))
-        if len(right):
-            a = right["variant_a"].map(at)
-            b = right["variant_b"].map(at)
-            ok = a.notna() & b.notna()
-            i, j, r = a[ok].astype(int).to_numpy(), b[ok].astype(int).to_numpy(), right["r"][ok].to_numpy()
-            ld[i, j] = r
-            ld[j, i] = r
+        a = right["variant_a"].map(at)
+        b = right["variant_b"].map(at)
+        ok = a.notna() & b.notna()
+        i, j, r = a[ok].to_numpy(dtype=int), b[ok].to_numpy(dtype=int), right["r"][ok].to_numpy(dtype=float)
+        ld = ListedLD(len(names), i, j, r)
         alpha, lbf = susie(z, ld, min(settings["effects"], len(names)), settings["prior"])
         pip = 1.0 - np.prod(1.0 - alpha, axis=0)
         parts = []
@@ -74,8 +101,8 @@ def _solve(settings: dict):
             rank = np.argsort(-alpha[k], kind="stable")
             before = np.cumsum(alpha[k][rank]) - alpha[k][rank]
             chosen = rank[np.round(before, 9) < settings["mass"]]
-            r2 = ld[np.ix_(chosen, chosen)] ** 2
-            if r2.mean() < settings["mean_r2"] or r2.min() < settings["min_r2"]:
+            mean_r2, min_r2 = ld.purity(chosen)
+            if mean_r2 < settings["mean_r2"] or min_r2 < settings["min_r2"]:
                 continue
             parts.append(
                 pd.DataFrame(
@@ -229,7 +256,11 @@ def finemap_loci(
     ``task_variants`` is solved in a task; wider ones by joins over all such
     loci at once.
     """
-    rows = rows.groupBy("locus", "variant").agg(F.max_by("z", F.struct(F.abs("z"), "z")).alias("z"))
+    # read by every join below
+    least, most = F.min("z"), F.max("z")
+    rows = cut_lineage(
+        rows.groupBy("locus", "variant").agg(F.when(F.abs(least) > F.abs(most), least).otherwise(most).alias("z"))
+    )
     sizes = rows.groupBy("locus").agg(F.count(F.lit(1)).alias("n"), F.max(F.abs("z")).alias("top"))
     if lead_neglog10 is not None:
         least = -NormalDist().inv_cdf(10.0**-lead_neglog10 / 2.0)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from locusforge.operators import annotate, evidence, finemap, graph, l2g
 from locusforge.plans.bound_genetics import world_edges
 from locusforge.plans.registry import joined, query
+from locusforge.session import cut_lineage
 
 _ANCESTORS = """
     SELECT n_nationkey AS nation, 'N' || n_nationkey AS disease FROM nation
@@ -582,7 +583,7 @@ def finemap_inputs(t):
     rows = t.lineitem.groupBy(F.col("l_suppkey").cast("string").alias("locus"), "l_partkey").agg(
         ((F.max("l_discount") - 0.05) / (F.min("l_tax") + 0.01)).alias("z")
     )
-    rows = rows.withColumn("variant", F.col("l_partkey").cast("string"))
+    rows = cut_lineage(rows.withColumn("variant", F.col("l_partkey").cast("string")))
     step = rows.select("locus", F.col("l_partkey"), F.explode(F.array(F.lit(1), F.lit(2))).alias("d"))
     pairs = step.withColumn("other", F.col("l_partkey") + F.col("d")).join(
         rows.select("locus", F.col("l_partkey").alias("other")), ["locus", "other"], "left_semi"
