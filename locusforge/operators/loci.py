@@ -357,8 +357,9 @@ def ld_clump(
         F.col("tag").alias("__tag"),
         F.struct(F.col(strength).alias("s"), (F.col(variant)).alias("v")).alias("__by"),
     )
+    # dealt first: an aggregate before the shuffle would sort all partners of a task's leads and merge few
     # the strongest explaining lead per (study, tag) decides; ties go to the smaller variant
-    best = reach.groupBy("__study", "__tag").agg(
+    best = reach.repartition("__study", "__tag").groupBy("__study", "__tag").agg(
         F.min(F.struct((-F.col("__by.s")).alias("neg"), F.col("__by.v").alias("v"))).alias("__best")
     )
     own = F.struct((-F.col(strength)).alias("neg"), F.col(variant).alias("v"))
