@@ -99,14 +99,18 @@ def expression_by_gene(summary: DataFrame, gene: str, tissue: str) -> DataFrame:
 
 
 def interaction_edges(sources: Mapping[str, DataFrame], a: str, b: str, score: str) -> DataFrame:
-    """Unordered pairs over all sources with evidence count, source count and best score."""
+    """Unordered pairs over all sources with evidence count, source count and best score.
+
+    Sources are counted by a flag each: a distinct count would keep every (pair, source) in a first aggregate.
+    """
+    held = [F.max((F.col("source") == name).cast("bigint")) for name in sources]
     rows = union_sources([df.select(a, b, score, F.lit(n).alias("source")) for n, df in sources.items()])
     return (
         rows.select(F.least(a, b).alias("geneA"), F.greatest(a, b).alias("geneB"), score, "source")
         .groupBy("geneA", "geneB")
         .agg(
             F.count(F.lit(1)).alias("n_evidence"),
-            F.count_distinct("source").alias("n_sources"),
+            sum(held[1:], held[0]).alias("n_sources"),
             F.max(score).alias("max_score"),
         )
     )
