@@ -32,7 +32,7 @@ TOKENIZERS = "/opt/tokenizers"
 BYTE_FILE = "byte_bpe_50k.json"
 PIECE_FILE = "piece_bpe_32k.model"
 #: Bytes of text aligned at a time, and asked for at a time; a longer text is a block of its own.
-BLOCK_BYTES = 1 << 22
+BLOCK_BYTES = 1 << 21
 #: Parts of texts whose pieces a worker remembers, and the longest of them in characters.
 REMEMBERED = 300_000
 LONGEST = 64
