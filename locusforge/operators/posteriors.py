@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from locusforge.functions.stats import normal_two_sided
+from locusforge.functions.stats import with_normal_two_sided
 from locusforge.operators.scale import log_sum_exp, null_safe_join, running_total
 
 # Priors and thresholds of the configured steps.
@@ -182,13 +182,15 @@ def pics(
     The tag's signal is normal with mean ``r2 * m`` and deviation
     ``sqrt(1 - |r|^6.4) * sqrt(m) / 2``; its weight is the two-sided tail at the
     lead's ``m``. The lead itself, with no deviation, has weight one, and so
-    has an ``r2`` that rounding put above 1.
+    has an ``r2`` that rounding put above 1. A locus holds the partners of one
+    lead and is summed in a window, which spills what memory does not hold: a
+    join with the totals would compute tags and weights twice.
     """
     m = F.col(lead_strength)
     r = F.sqrt(F.least(F.col(r2), F.lit(1.0)))
     sd = F.sqrt(F.lit(1.0) - F.pow(r, F.lit(6.4))) * F.sqrt(m) / 2
-    z = (m - F.col(r2) * m) / sd
-    weight: Column = F.when(sd > 0, normal_two_sided(z)).otherwise(F.lit(1.0))
-    rows = tags.where(F.col(r2) >= min_r2).withColumn("__w", weight)
-    totals = rows.groupBy(*locus).agg(F.sum("__w").alias("__t"))
-    return null_safe_join(rows, totals, locus).withColumn(out, F.col("__w") / F.col("__t")).drop("__w", "__t")
+    z = F.when(F.col("__sd") > 0, (m - F.col(r2) * m) / F.col("__sd"))
+    rows = with_normal_two_sided(tags.where(F.col(r2) >= min_r2).withColumn("__sd", sd), z, "__w").drop("__sd")
+    rows = rows.withColumn("__w", F.coalesce("__w", F.lit(1.0)))
+    total = F.sum("__w").over(Window.partitionBy(*locus))
+    return rows.withColumn(out, F.col("__w") / total).drop("__w")
