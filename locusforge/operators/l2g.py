@@ -117,7 +117,8 @@ def l2g_train(
     depth: int = DEPTH,
 ) -> PipelineModel:
     """Gradient-boosted trees on the features of the gold-standard pairs."""
-    rows = features.join(gold.select(*keys, F.col(label).cast("double").alias(label)), list(keys))
+    # every pass of the training reads the rows, so features are computed once
+    rows = cut_lineage(features.join(gold.select(*keys, F.col(label).cast("double").alias(label)), list(keys)))
     assemble = VectorAssembler(inputCols=list(columns), outputCol="features", handleInvalid="keep")
     trees = GBTClassifier(
         featuresCol="features",

@@ -6,7 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from locusforge.functions.stats import rounded
-from locusforge.operators import posteriors
+from locusforge.operators import l2g, posteriors
 
 
 def physical(df):
@@ -43,3 +43,16 @@ def test_weights_of_tags_are_compiled_and_computed_once(spark):
     sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(-?\d+)", code)]
     # Java compiles no larger methods
     assert sizes and all(0 < n < 8000 for n in sizes)
+
+
+def test_training_computes_features_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def feature(k):
+        seen.add(1)
+        return float(k % 7)
+
+    df = spark.range(80, numPartitions=2).select("id", F.udf(feature, "double")("id").alias("a"), F.rand(1).alias("b"))
+    gold = spark.range(80).select("id", (F.col("id") % 7 > 3).cast("int").alias("label"))
+    l2g.l2g_train(df, gold, ["id"], ["a", "b"], estimators=2, depth=2)
+    assert seen.value == 80
