@@ -4,21 +4,29 @@ from __future__ import annotations
 
 import bz2
 import io
+import re
 import zipfile
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from locusforge.operators.variants import VARIANT_SCHEMA
-from locusforge.session import ship_package
-from locusforge.sources.blockgzip import read_gzip_lines
+from locusforge.session import cut_lineage, ship_package
+from locusforge.sources.blockgzip import read_gzip_lines, store_of
 
 CORRUPT = "_corrupt_record"
 PIECE = 8 * 1024 * 1024
+#: Names of files in a batch, at most.
+LISTED = 4096
+# fixed values: what Spark writes as a code in the address of a file
+UNSAFE = re.compile(r"[^\x80-\U0010ffffA-Za-z0-9/_\-!.~'()*,;:$&+=@]")
 
 # Fields of a manifest.
 MANIFEST_SCHEMA = T.StructType(
@@ -39,18 +47,90 @@ MANIFEST_SCHEMA = T.StructType(
 )
 
 
+def _hidden(name: str) -> bool:
+    """Whether Spark's readers pass over a file or folder of this name."""
+    return name.startswith(".") or name.endswith("._COPYING_") or (
+        name.startswith("_") and "=" not in name and not name.startswith(("_metadata", "_common_metadata"))
+    )
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What lies in each folder, its folders included."""
+    for batch in batches:
+        for path in batch.column("path").to_pylist():
+            store, place = store_of(path)
+            found = [e for e in store.get_file_info(fs.FileSelector(place)) if not _hidden(e.base_name)]
+            for first in range(0, len(found), LISTED):
+                part = found[first : first + LISTED]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([f"{path.rstrip('/')}/{e.base_name}" for e in part], pa.string()),
+                        pa.array([e.type == fs.FileType.Directory for e in part], pa.bool_()),
+                    ],
+                    names=["path", "folder"],
+                )
+
+
+def _small_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The whole text of each file, unpacked by its name."""
+    paths, texts, size = [], [], 0
+
+    def rows() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(texts, pa.string())], names=["source_file", "value"])
+
+    for batch in batches:
+        for path in batch.column("path").to_pylist():
+            store, place = store_of(path)
+            with store.open_input_stream(place) as file:
+                text = file.read().decode("utf-8", "replace")
+            if not text:
+                continue
+            texts.append(text)
+            paths.append(UNSAFE.sub(lambda found: f"%{ord(found[0]):02X}", path))
+            size += len(text)
+            if size >= PIECE or len(paths) == LISTED:
+                yield rows()
+                paths, texts, size = [], [], 0
+    if paths:
+        yield rows()
+
+
+def read_small_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """(source_file, value) of every file below a path that is not empty, whole, whatever the number of files.
+
+    Spark's own sources list on the driver, which then holds every file and cuts
+    the read into tasks of some thirty. Here tasks list the folders, level by
+    level, and the files found are dealt to tasks that read many each. Files are
+    opened through Arrow's file systems.
+    """
+    ship_package(spark)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(path)
+    roots = root.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(root)
+    if not roots:
+        raise FileNotFoundError(path)
+    rows = [(r.getPath().toString(), r.isDirectory()) for r in roots]
+    level = spark.createDataFrame(rows, "path string, folder boolean")
+    tasks = spark.sparkContext.defaultParallelism
+    found = []
+    while True:
+        found.append(level.where("not folder").select("path"))
+        folders = level.where("folder").select("path")
+        if folders.isEmpty():
+            break
+        level = cut_lineage(folders.repartition(tasks).mapInArrow(_entries, "path string, folder boolean"))
+    name = F.substring_index("path", "/", -1)
+    pattern = hadoop.GlobPattern(glob).compiled().pattern()
+    files = reduce(DataFrame.unionByName, found).where(name.rlike(f"^(?:{pattern})$"))
+    return files.repartition(tasks, "path").mapInArrow(_small_texts, "source_file string, value string")
+
+
 def read_manifests(
     spark: SparkSession, path: str, schema: T.StructType = MANIFEST_SCHEMA, glob: str = "*.json"
 ) -> tuple[DataFrame, DataFrame]:
     """Manifests, one per file, and the files that could not be parsed."""
     full = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    documents = (
-        spark.read.option("wholetext", "true")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", glob)
-        .text(path)
-        .select(F.col("_metadata.file_path").alias("source_file"), "value")
-    )
+    documents = read_small_files(spark, path, glob)
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     rows = documents.withColumn("doc", F.from_json("value", full, options))
     bad = F.col("doc").isNull() | F.col(f"doc.{CORRUPT}").isNotNull()
