@@ -38,8 +38,8 @@ def write_manifests(t):
     root, written = _written_manifests(t)
     own = F.concat(F.lit("/"), F.regexp_replace("path", "^[a-z]+:/*", ""))
     below = F.substring_index(own, "/", -2).alias("path")
-    files = t.spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(root)
-    files = files.select(F.col("_metadata.file_path").alias("path"), F.get_json_object("value", "$.studyId").alias("held"))
+    files = readers.read_small_files(t.spark, root)
+    files = files.select(F.col("source_file").alias("path"), F.get_json_object("value", "$.studyId").alias("held"))
     found = files.groupBy(below).agg(F.count(F.lit(1)).alias("n_files"), F.max("held").alias("held"))
     return written.select("study", below).join(found, "path")
 
