@@ -75,7 +75,8 @@ def write_variant_chunks(t):
     path = scratch_path(t.spark, "chunks")
     order = [F.col(k) for k in variants.VARIANT_KEYS]
     sinks.write_variant_chunks(_variant_file_rows(t), path, order, 2000)
-    back = t.spark.read.option("sep", "\t").option("header", "true").csv(path)
+    kinds = ", ".join(f"`{c}` string" for c in variants.VARIANT_SCHEMA.fieldNames())
+    back = t.spark.read.schema(f"{kinds}, chunk string").option("sep", "\t").option("header", "true").option("enforceSchema", "false").csv(path)
     return back.withColumn("POS", F.col("POS").cast("bigint"))
 
 

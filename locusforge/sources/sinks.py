@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 import uuid
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 from functools import partial
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +22,8 @@ from locusforge.sources.readers import bulk_decompress
 
 # Write modes of a release.
 MODES = ("overwrite", "ignore", "errorifexists")
+# fixed values: the file in the folder of a chunk
+CHUNK_FILE = "part-00000.csv"
 
 
 def _commit(batches: Iterator[pa.RecordBatch], root: str | None) -> Iterator[pa.RecordBatch]:
@@ -79,20 +83,64 @@ def clean_then_write(df: DataFrame, path: str, partition: str | None = None, fmt
     writer.save(path)
 
 
+def _whole_files(batches: Iterator[pa.RecordBatch], root: str, header: str) -> Iterator[pa.RecordBatch]:
+    """Write the lines of each label, which follow each other, beside their file and move it into its folder."""
+    out = label = None
+
+    def close() -> pa.RecordBatch:
+        out.close()
+        store.move(draft, f"{folder}/{CHUNK_FILE}")
+        return pa.RecordBatch.from_arrays([pa.array([label], pa.string())], names=["label"])
+
+    for batch in batches:
+        labels, lines = batch.column("label"), batch.column("line")
+        # the lines of a batch lie one after the other
+        places = np.frombuffer(lines.buffers()[1], np.int32)[lines.offset :].tolist()
+        text, first = lines.buffers()[2], 0
+        while first < batch.num_rows:
+            own = labels[first].as_py()
+            last = bisect_right(range(batch.num_rows), False, lo=first, key=lambda i: labels[i].as_py() != own)
+            if own != label:
+                if out is not None:
+                    yield close()
+                label = own
+                store, folder = store_of(f"{root.rstrip('/')}/chunk={label}")
+                store.create_dir(folder, recursive=True)
+                draft = f"{folder}/.{uuid.uuid4().hex}"
+                out = store.open_output_stream(draft, compression=None)
+                out.write(f"{header}\n".encode())
+            out.write(text.slice(places[first], places[last] - places[first]))
+            first = last
+    if out is not None:
+        yield close()
+
+
 def write_variant_chunks(df: DataFrame, path: str, order: list, n: int) -> None:
-    """Tab-separated files with a header, one per chunk, in a folder named by its row range."""
+    """Tab-separated files with a header, one per chunk, in a folder named by its row range.
+
+    The cost lies in opening files: Spark's writer sets the rights of each file
+    by a command of its own on local disks and moves all of them from the
+    driver. Here Spark makes the lines and tasks put the files in place through
+    Arrow's file systems; a task that runs again replaces its files. The mark of
+    success comes last.
+    """
+    spark = df.sparkSession
+    ship_package(spark)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    target = hadoop.Path(path)
+    target = target.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(target)
+    store = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    options = {"sep": "\t"}
+    names = F.struct(*[F.lit(c).alias(f"c{i}") for i, c in enumerate(df.columns)])
+    header = spark.range(1).select(F.to_csv(names, options)).first()[0]
     labelled = row_range_chunks(df, order, n)
-    (
-        labelled.repartition("label")
-        .sortWithinPartitions("label", "row")
-        .drop("row", "chunk")
-        .withColumnRenamed("label", "chunk")
-        .write.mode("overwrite")
-        .option("sep", "\t")
-        .option("header", "true")
-        .partitionBy("chunk")
-        .csv(path)
-    )
+    line = F.concat(F.to_csv(F.struct(*[F.col(f"`{c}`") for c in df.columns]), options), F.lit("\n")).alias("line")
+    # rows of a chunk have neighbouring numbers
+    rows = labelled.repartition("label").sortWithinPartitions("row").select("label", line)
+    store.delete(target, True)
+    store.mkdirs(target)
+    rows.mapInArrow(partial(_whole_files, root=target.toString(), header=header), "label string").write.format("noop").mode("overwrite").save()
+    store.create(hadoop.Path(target, "_SUCCESS"), True).close()
 
 
 def write_validated(
