@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 from bisect import bisect_right, insort
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusforge.operators.intervals import bin_of, join_points_to_intervals, mark_overlapping
 from locusforge.operators.scale import null_safe_join
-from locusforge.session import cut_lineage, ship_package
+from locusforge.session import cut_lineage, only_scans, ship_package, stored
 
 # Thresholds and distances of the configured steps.
 EQTL_LEAD_PVALUE = 1e-3
@@ -27,6 +27,8 @@ CLUMP_DISTANCE = 500_000
 FOLD_POSITIONS = 5_000
 # Rows of a tile of a larger island, which one task folds together with the bins beside it.
 TILE_ROWS = 200_000
+# Longs of 64 bits in the sketch of a variant's studies.
+SKETCH_WORDS = 4
 
 
 def pvalue_filter(df: DataFrame, strength: str, threshold: float) -> DataFrame:
@@ -111,6 +113,18 @@ def locus_breaker(
     )
 
 
+def _apart(signals: DataFrame, group: list[str], distance: int) -> DataFrame:
+    """Occupied bins, and whether one is alone: a single signal with none less than ``distance`` away, which the row has."""
+    w = Window.partitionBy(*group).orderBy("__bin")
+    bins = signals.groupBy(*group, "__bin").agg(
+        F.min("pos").alias("pos"), F.max("pos").alias("__hi"), F.min("neg").alias("neg"), F.min("id").alias("id"),
+        F.count(F.lit(1)).alias("__n"),
+    )
+    before = F.coalesce(F.col("pos") - F.lag("__hi").over(w) >= distance, F.lit(True))
+    after = F.coalesce(F.lead("pos").over(w) - F.col("__hi") >= distance, F.lit(True))
+    return bins.withColumn("__alone", (F.col("__n") == 1) & before & after).select(*group, "__bin", "__alone", "pos", "neg", "id")
+
+
 def _islands(best: DataFrame, group: list[str], distance: int) -> DataFrame:
     """Island number and size per occupied bin; islands lie at least ``distance`` apart."""
     w = Window.partitionBy(*group).orderBy("__bin")
@@ -239,21 +253,33 @@ def window_clump(
     ``distance`` away, and so on with what is left. Equal signals go by position,
     then id.
 
-    A position is first reduced to its strongest row, since the others can never
-    lead. The group then falls into islands that cannot reach each other; small
-    islands are folded in one pass and larger ones solved in tiles, both exact.
+    A signal alone in its bin of width ``distance``, with no other bin's signals
+    in reach, is a lead and needs no comparison. Of the others, a position is
+    first reduced to its strongest row, since the rest can never lead; the group
+    falls into islands that cannot reach each other; small islands are folded in
+    one pass and larger ones solved in tiles, all exact.
     """
     group = list(group)
+    signals = df.where((F.col(strength) >= F.lit(float(threshold))) & F.col(position).isNotNull()).select(
+        *group, F.col(position).cast("bigint").alias("pos"), (-F.col(strength)).alias("neg"), F.col(tie).alias("id")
+    )
+    if not only_scans(signals):
+        signals = cut_lineage(signals)
+    signals = signals.withColumn("__bin", bin_of(F.col("pos"), distance))
+    bins = stored(_apart(signals, group, distance), "bins")
+    alone = bins.where("__alone").select(*group, "neg", "pos", "id")
+    crowded = bins.where("NOT __alone").select(*group, "__bin")
     best = cut_lineage(
-        df.where((F.col(strength) >= F.lit(float(threshold))) & F.col(position).isNotNull())
-        .groupBy(*group, F.col(position).cast("bigint").alias("pos"))
-        .agg(F.min(F.struct((-F.col(strength)).alias("neg"), F.col(tie).alias("id"))).alias("__b"))
-        .select(*group, "pos", F.col("__b.neg").alias("neg"), F.col("__b.id").alias("id"))
-        .withColumn("__bin", bin_of(F.col("pos"), distance))
+        null_safe_join(signals, crowded, ["__bin", *group])
+        .groupBy(*group, "__bin", "pos")
+        .agg(F.min(F.struct("neg", "id")).alias("__b"))
+        .select(*group, "__bin", "pos", "__b.*")
     )
     islands = cut_lineage(_islands(best, group, distance))
     placed = null_safe_join(best, islands, [*group, "__bin"])
-    leads = _fold_islands(placed.where(F.col("__size") <= fold_positions), group, distance)
+    leads = alone
+    if not islands.where(F.col("__size") <= fold_positions).isEmpty():
+        leads = leads.unionByName(_fold_islands(placed.where(F.col("__size") <= fold_positions), group, distance))
     if not islands.where(F.col("__size") > fold_positions).isEmpty():
         large = placed.where(F.col("__size") > fold_positions)
         leads = leads.unionByName(_clump_in_tiles(large, group, distance, tile_rows))
@@ -332,6 +358,32 @@ def ld_join(loci: DataFrame, ld: DataFrame, *, variant: str, population: str | N
     )
 
 
+def _sketch_bit(study: Column) -> tuple[Column, Column]:
+    """Word and bit of a study in a sketch."""
+    code = F.xxhash64(study)
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), code.bitwiseAND(F.lit(63)).cast("int"))
+    return F.pmod(F.shiftrightunsigned(code, 6), F.lit(SKETCH_WORDS)), bit
+
+
+def _study_sketch(leads: DataFrame, study: str, variant: str) -> DataFrame:
+    """Per variant a bit for each study it leads in, by a hash of the study."""
+    word, bit = _sketch_bit(F.col(study))
+    none = F.lit(0).cast("bigint")
+    rows = leads.select(F.col(variant).alias("__led"), word.alias("__word"), bit.alias("__bit"))
+    return rows.groupBy("__led").agg(
+        *[F.bit_or(F.when(F.col("__word") == k, F.col("__bit")).otherwise(none)).alias(f"__w{k}") for k in range(SKETCH_WORDS)]
+    )
+
+
+def _sketched(study: Column) -> Column:
+    """Whether the sketch has the study's bit, as it has for each of its studies and few others."""
+    word, bit = _sketch_bit(study)
+    held = F.lit(False)
+    for k in range(SKETCH_WORDS):
+        held = held | ((word == k) & (F.col(f"__w{k}").bitwiseAND(bit) != 0))
+    return held
+
+
 def ld_clump(
     leads: DataFrame,
     ld: DataFrame,
@@ -350,9 +402,15 @@ def ld_clump(
 
     One row per (study, variant) is expected. Stronger leads are expanded to
     their partners and met again on (study, variant): no pairs of leads arise
-    other than those linked by LD.
+    other than those linked by LD. A pair carries a sketch of the studies that
+    its tag leads in, so that most partners which are no leads of the study
+    stay out of the shuffle; the join behind it is exact.
     """
-    reach = ld_join(leads, ld, variant=variant, population=population, min_r2=min_r2).select(
+    sketched = ld.where(F.col("r") * F.col("r") >= min_r2).join(
+        _study_sketch(leads, study, variant), F.col("tag") == F.col("__led")
+    )
+    linked = ld_join(leads, sketched, variant=variant, population=population, min_r2=min_r2)
+    reach = linked.where(_sketched(F.col(study))).select(
         F.col(study).alias("__study"),
         F.col("tag").alias("__tag"),
         F.struct(F.col(strength).alias("s"), (F.col(variant)).alias("v")).alias("__by"),
@@ -372,16 +430,23 @@ def ld_clump(
 
 def explained_by(
     loci: DataFrame,
-    better: DataFrame,
+    better: DataFrame | Mapping[str, DataFrame],
     *,
-    locus: str,
+    locus: str | Sequence[str],
     by: Sequence[str],
     start: str,
     end: str,
     width: float,
     out: str = "explained",
+    asked: Mapping[str, Column] | None = None,
+    places: DataFrame | None = None,
 ) -> DataFrame:
-    """Flag loci that overlap a locus of a better method in the same study."""
+    """Flag loci that overlap a locus of a better method in the same study.
+
+    Several methods, by the name of their flag, are looked up in one join;
+    ``asked`` says which loci a flag is wanted for. ``places`` may have the same
+    loci where that frame takes less to compute.
+    """
     return mark_overlapping(
-        loci, better, key=locus, by=by, start=start, end=end, width=width, out=out
+        loci, better, key=locus, by=by, start=start, end=end, width=width, out=out, asked=asked, places=places
     )

@@ -44,10 +44,13 @@ def palindromic(ref: Column, alt: Column) -> Column:
 
 
 def qc_flags(df: DataFrame, rules: Mapping[str, Column], out: str = "qualityControls") -> DataFrame:
-    """Array of the reasons whose rule holds, in the order of the rules."""
-    return df.withColumn(
-        out, F.array_compact(F.array(*[F.when(rule, F.lit(name)) for name, rule in rules.items()]))
-    )
+    """Array of the reasons whose rule holds, in the order of the rules.
+
+    Slices of one reason or none put together are compiled, rules included; a
+    filter of an array would have all of them interpreted.
+    """
+    held = [F.slice(F.array(F.lit(name)), F.lit(1), F.when(rule, 1).otherwise(0)) for name, rule in rules.items()]
+    return df.withColumn(out, F.concat(*held))
 
 
 def is_invalid(reasons: Column, invalid: Sequence[str]) -> Column:

@@ -204,7 +204,7 @@ def credible_set_validation(t):
         threshold=2, mhc=("N", 5000, 9000), width=100, distance=100,
     )
     rows = good.withColumn("valid", F.lit(True)).unionByName(bad.withColumn("valid", F.lit(False)))
-    return rows.select("l_orderkey", "l_linenumber", "variant", "valid", joined("qualityControls").alias("reasons"))
+    return rows.select("l_orderkey", "l_linenumber", "variant", "valid", F.array_join("qualityControls", ",").alias("reasons"))
 
 
 @query(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from locusforge.functions.paths import partition_key, study_id
 from locusforge.operators import annotate, evidence, intervals, loci, manifests, posteriors, validation, variants
-from locusforge.operators.scale import nest_rows
+from locusforge.operators.scale import nest_rows, null_safe_join
 
 
 def manifest_run(files: DataFrame, manifest_files: DataFrame, common_path: str, path: str = "path") -> DataFrame:
@@ -179,29 +179,22 @@ def credible_set_validation(
     index = studies.groupBy(F.col(study).alias("__study")).agg(
         (F.count(F.lit(1)) > 1).alias("__ambiguous"), F.bool_or(failed).alias("__failed")
     )
-    rows = manifests.duplicate_flag(sets, [locus], "__repeated").join(index, F.col(study) == F.col("__study"), "left")
-    alleles = known.select(variant, F.col(ref).alias("__ref"), F.col(alt).alias("__alt"))
-    rows = annotate.map_to_variants(rows, alleles, {variant: variant}, ["__ref", "__alt"], "__unmapped")
+    # what depends on study and variant is gathered in narrow rows, so that the sets are joined with it once
     leads = sets.groupBy(study, variant).agg(F.max(strength).alias(strength))
-    clumped = loci.ld_clump(leads, ld, study=study, variant=variant, strength=strength, min_r2=min_r2)
-    clumped = clumped.where("ld_clumped").select(
-        F.col(study).alias("__s"), F.col(variant).alias("__v"), F.lit(True).alias("__clumped")
-    )
-    rows = rows.join(clumped, (F.col(study) == F.col("__s")) & (F.col(variant) == F.col("__v")), "left").drop("__s", "__v")
+    facts = loci.ld_clump(
+        leads, ld, study=study, variant=variant, strength=strength, min_r2=min_r2, out="__clumped"
+    ).drop(strength)
     located = F.col(chromosome).isNotNull() & F.col(position).isNotNull()
     windows = loci.window_clump(
         sets.where(located), [study, chromosome], position=position, strength=strength, tie=variant, distance=distance,
         threshold=threshold,
-    ).select(F.col(study).alias("__s"), F.col(chromosome).alias("__c"), F.col("lead_id").alias("__v"), F.lit(True).alias("__leads"))
-    same = (F.col(study) == F.col("__s")) & (F.col(chromosome) == F.col("__c")) & (F.col(variant) == F.col("__v"))
-    rows = rows.join(windows.distinct(), same, "left").drop("__s", "__c", "__v")
-    # whether a set overlaps another depends on nothing else
-    rows = rows.withColumn("__at", F.struct(study, start, end))
-    for better, flag in ((susie, "__susie"), (statistics, "__statistics")):
-        rows = loci.explained_by(
-            rows, sets.where(F.col(method) == better), locus="__at", by=[study], start=start, end=end, width=width, out=flag
-        )
-    rules = {
+    ).groupBy(F.col(study).alias("__s"), F.col("lead_id").alias("__v")).agg(F.collect_set(chromosome).alias("__led"))
+    facts = facts.join(windows, (F.col(study) == F.col("__s")) & (F.col(variant) == F.col("__v")), "left").drop("__s", "__v")
+    alleles = known.select(variant, F.col(ref).alias("__ref"), F.col(alt).alias("__alt"))
+    facts = annotate.map_to_variants(facts, alleles, {variant: variant}, ["__ref", "__alt"], "__unmapped")
+    facts = facts.join(index, F.col(study) == F.col("__study"), "left")
+    rows = null_safe_join(manifests.duplicate_flag(sets, [locus], "__repeated"), facts, [variant, study])
+    first = {
         "DUPLICATED_STUDYLOCUS_ID": F.col("__repeated"),
         "AMBIGUOUS_STUDY": F.col("__ambiguous"),
         "FAILED_STUDY": F.col("__failed"),
@@ -213,13 +206,24 @@ def credible_set_validation(
         "SUBSIGNIFICANT_FLAG": F.col(strength) < threshold,
         "LD_CLUMPED": F.col("__clumped"),
         "IN_MHC": (F.col(chromosome) == mhc[0]) & F.col(position).between(mhc[1], mhc[2]),
-        "REDUNDANT_PICS_TOP_HIT": (F.col(method) == top_hits) & F.col("__statistics"),
-        "EXPLAINED_BY_SUSIE": (F.col(method) != susie) & F.col("__susie"),
-        "WINDOW_CLUMPED": located & (F.col(strength) >= threshold) & F.col("__leads").isNull(),
+    }
+    overlaps = {"REDUNDANT_PICS_TOP_HIT": F.col("__statistics"), "EXPLAINED_BY_SUSIE": F.col("__susie")}
+    led = F.coalesce(F.array_contains("__led", F.col(chromosome)), F.lit(False))
+    last = {
+        "WINDOW_CLUMPED": located & (F.col(strength) >= threshold) & ~led,
         "NON_MAPPED_VARIANT_FLAG": F.col("__unmapped"),
     }
-    flagged = validation.qc_flags(rows, rules).select(*sets.columns, "qualityControls")
-    return validation.split_valid(flagged, invalid)
+    # valid and invalid rows both pass the last join, so it has the fewest rows on its other side and finds the rest settled
+    rows = validation.qc_flags(validation.qc_flags(rows, first, "__first"), last, "__last")
+    rows = loci.explained_by(
+        rows.select(*sets.columns, "__first", "__last"),
+        {"__susie": sets.where(F.col(method) == susie), "__statistics": sets.where(F.col(method) == statistics)},
+        locus=[start, end, study], by=[study], start=start, end=end, width=width,
+        asked={"__susie": F.col(method) != susie, "__statistics": F.col(method) == top_hits}, places=sets,
+    )
+    flagged = validation.qc_flags(rows, overlaps)
+    flagged = flagged.withColumn("qualityControls", F.concat("__first", "qualityControls", "__last"))
+    return validation.split_valid(flagged.select(*sets.columns, "qualityControls"), invalid)
 
 
 def ld_index(
