@@ -44,14 +44,15 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS) -> DataFr
     filled = scale.running_total(weighed, [], order, F.col("source_size"), "size_to")
     filled = scale.running_total(filled, [], order, F.col("weight"), "weight_to")
     total = weighed.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
-    size, all_weight = F.lit(total["size"] or 0), F.lit(total["weight"] or 0)
+    # longs whatever their value: a literal takes the type that just holds it, and products of it overflow
+    size, all_weight = F.lit(total["size"] or 0).cast("long"), F.lit(total["weight"] or 0).cast("long")
     left = MIX_HALVES * size - 2 * MOST_TIMES * (F.col("size_to") - F.col("source_size"))
     rest = all_weight - (F.col("weight_to") - F.col("weight"))
     full = 2 * MOST_TIMES * F.col("source_size") * rest < F.col("weight") * left
     placed = settle(filled.withColumn("full", full), "sources")
     open_ = placed.where("not full").agg(F.sum("weight").alias("w")).first()["w"] or 1
-    full_size = placed.where("full").agg(F.sum("source_size").alias("s")).first()["s"] or 0
-    share = (F.col("weight") * (MIX_HALVES * size - 2 * MOST_TIMES * F.lit(full_size))).cast("double") / F.lit(2.0 * open_)
+    full_size = F.lit(placed.where("full").agg(F.sum("source_size").alias("s")).first()["s"] or 0).cast("long")
+    share = (F.col("weight") * (MIX_HALVES * size - 2 * MOST_TIMES * full_size)).cast("double") / F.lit(2.0 * open_)
     return placed.select(
         "source",
         "source_size",
