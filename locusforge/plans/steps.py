@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from locusforge.functions.paths import partition_key, study_id
 from locusforge.operators import annotate, evidence, intervals, loci, manifests, posteriors, validation, variants
 from locusforge.operators.scale import nest_rows, null_safe_join
+from locusforge.session import shuffles_removed, stored
 
 
 def manifest_run(files: DataFrame, manifest_files: DataFrame, common_path: str, path: str = "path") -> DataFrame:
@@ -176,53 +177,72 @@ def credible_set_validation(
     is explained by it; one of ``top_hits`` is redundant beside one of
     ``statistics``. A rule whose columns are null does not hold.
     """
+    spark = sets.sparkSession
+    # the sets are numbered and written: what is found out in narrow rows, step by step, meets them by number at the end
+    rows = stored(sets.withColumn("__row", F.monotonically_increasing_id()), "sets")
+    located = F.col(chromosome).isNotNull() & F.col(position).isNotNull()
+    with shuffles_removed(spark):
+        windows = loci.window_clump(
+            rows.where(located), [study, chromosome], position=position, strength=strength, tie=variant,
+            distance=distance, threshold=threshold,
+        )
+    windows = windows.groupBy(F.col(study).alias("__s"), F.col("lead_id").alias("__v")).agg(
+        F.collect_set(chromosome).alias("__led")
+    )
     index = studies.groupBy(F.col(study).alias("__study")).agg(
         (F.count(F.lit(1)) > 1).alias("__ambiguous"), F.bool_or(failed).alias("__failed")
     )
-    # what depends on study and variant is gathered in narrow rows, so that the sets are joined with it once
-    leads = sets.groupBy(study, variant).agg(F.max(strength).alias(strength))
+    leads = stored(rows.groupBy(study, variant).agg(F.max(strength).alias(strength)), "leads")
     facts = loci.ld_clump(
         leads, ld, study=study, variant=variant, strength=strength, min_r2=min_r2, out="__clumped"
     ).drop(strength)
-    located = F.col(chromosome).isNotNull() & F.col(position).isNotNull()
-    windows = loci.window_clump(
-        sets.where(located), [study, chromosome], position=position, strength=strength, tie=variant, distance=distance,
-        threshold=threshold,
-    ).groupBy(F.col(study).alias("__s"), F.col("lead_id").alias("__v")).agg(F.collect_set(chromosome).alias("__led"))
     facts = facts.join(windows, (F.col(study) == F.col("__s")) & (F.col(variant) == F.col("__v")), "left").drop("__s", "__v")
     alleles = known.select(variant, F.col(ref).alias("__ref"), F.col(alt).alias("__alt"))
     facts = annotate.map_to_variants(facts, alleles, {variant: variant}, ["__ref", "__alt"], "__unmapped")
     facts = facts.join(index, F.col(study) == F.col("__study"), "left")
-    rows = null_safe_join(manifests.duplicate_flag(sets, [locus], "__repeated"), facts, [variant, study])
+    facts = stored(facts.withColumn("__missing", F.col(study).isNotNull() & F.col("__study").isNull()).drop("__study"), "facts")
+    own = {
+        "__unlocated": ~located,
+        "__composite": composite,
+        "__weak": F.col(strength) < threshold,
+        "__in_mhc": (F.col(chromosome) == mhc[0]) & F.col(position).between(mhc[1], mhc[2]),
+        "__significant": located & (F.col(strength) >= threshold),
+    }
+    told = rows.select("__row", *dict.fromkeys([study, variant, chromosome, ref, alt]), *[c.alias(n) for n, c in own.items()])
     first = {
-        "DUPLICATED_STUDYLOCUS_ID": F.col("__repeated"),
         "AMBIGUOUS_STUDY": F.col("__ambiguous"),
         "FAILED_STUDY": F.col("__failed"),
-        "MISSING_STUDY": F.col(study).isNotNull() & F.col("__study").isNull(),
-        "NO_GENOMIC_LOCATION_FLAG": ~located,
-        "COMPOSITE_FLAG": composite,
+        "MISSING_STUDY": F.col("__missing"),
+        "NO_GENOMIC_LOCATION_FLAG": F.col("__unlocated"),
+        "COMPOSITE_FLAG": F.col("__composite"),
         "INCONSISTENCY_FLAG": (F.col(ref) != F.col("__ref")) | (F.col(alt) != F.col("__alt")),
         "PALINDROMIC_ALLELE_FLAG": validation.palindromic(F.col(ref), F.col(alt)),
-        "SUBSIGNIFICANT_FLAG": F.col(strength) < threshold,
+        "SUBSIGNIFICANT_FLAG": F.col("__weak"),
         "LD_CLUMPED": F.col("__clumped"),
-        "IN_MHC": (F.col(chromosome) == mhc[0]) & F.col(position).between(mhc[1], mhc[2]),
+        "IN_MHC": F.col("__in_mhc"),
     }
-    overlaps = {"REDUNDANT_PICS_TOP_HIT": F.col("__statistics"), "EXPLAINED_BY_SUSIE": F.col("__susie")}
     led = F.coalesce(F.array_contains("__led", F.col(chromosome)), F.lit(False))
     last = {
-        "WINDOW_CLUMPED": located & (F.col(strength) >= threshold) & ~led,
+        "WINDOW_CLUMPED": F.col("__significant") & ~led,
         "NON_MAPPED_VARIANT_FLAG": F.col("__unmapped"),
     }
-    # valid and invalid rows both pass the last join, so it has the fewest rows on its other side and finds the rest settled
-    rows = validation.qc_flags(validation.qc_flags(rows, first, "__first"), last, "__last")
-    rows = loci.explained_by(
-        rows.select(*sets.columns, "__first", "__last"),
-        {"__susie": sets.where(F.col(method) == susie), "__statistics": sets.where(F.col(method) == statistics)},
+    found = validation.qc_flags(null_safe_join(told, facts, [variant, study]), first, "__first")
+    found = stored(validation.qc_flags(found, last, "__last").select("__row", "__first", "__last"), "found")
+    repeated = manifests.duplicate_flag(rows.select("__row", locus), [locus], "__repeated").where("__repeated")
+    repeated = stored(repeated.select("__row", "__repeated"), "repeated")
+    places = rows.select(*dict.fromkeys(["__row", start, end, study, method]))
+    explained = loci.explained_by(
+        places,
+        {"__susie": places.where(F.col(method) == susie), "__statistics": places.where(F.col(method) == statistics)},
         locus=[start, end, study], by=[study], start=start, end=end, width=width,
-        asked={"__susie": F.col(method) != susie, "__statistics": F.col(method) == top_hits}, places=sets,
-    )
+        asked={"__susie": F.col(method) != susie, "__statistics": F.col(method) == top_hits},
+    ).where("__susie OR __statistics")
+    explained = stored(explained.select("__row", "__susie", "__statistics"), "explained")
+    rows = rows.join(found, "__row").join(repeated, "__row", "left").join(explained, "__row", "left")
+    rows = validation.qc_flags(rows, {"DUPLICATED_STUDYLOCUS_ID": F.col("__repeated")}, "__before")
+    overlaps = {"REDUNDANT_PICS_TOP_HIT": F.col("__statistics"), "EXPLAINED_BY_SUSIE": F.col("__susie")}
     flagged = validation.qc_flags(rows, overlaps)
-    flagged = flagged.withColumn("qualityControls", F.concat("__first", "qualityControls", "__last"))
+    flagged = flagged.withColumn("qualityControls", F.concat("__before", "__first", "qualityControls", "__last"))
     return validation.split_valid(flagged.select(*sets.columns, "qualityControls"), invalid)
 
 
